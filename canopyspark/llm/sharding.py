@@ -42,7 +42,8 @@ def shuffle_into_shards(df: DataFrame, n_shards: int = 24, seed: int = 17, bucke
     before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     place = F.col("_start") + F.col("_at")
-    return written.join(starts, "_bucket").select(
+    # One row a bucket: broadcast while their number, known here, is small.
+    return written.join(F.broadcast(starts) if buckets <= 100_000 else starts, "_bucket").select(
         *[F.col(f"`{c}`") for c in rows.columns],
         "size",
         (place % n_shards).cast("int").alias("shard"),
