@@ -51,6 +51,16 @@ def drop_staged(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows in an Arrow batch: the default of 10,000 whole texts can be hundreds of MB, once in the JVM and twice in Python.
+BATCH_ROWS = 512
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, its Python workers set up for texts: the package there, and small Arrow batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return ship(spark)
+
+
 def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
     """``mapInArrow`` over slices of at most about 8 MB, so that very long texts don't add up in a worker."""
 
@@ -63,7 +73,7 @@ def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterator[pa.Re
                 else:
                     yield from out
 
-    ship(df.sparkSession)
+    bounded(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -16,9 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import ship
 from .chunks import ChunkEncoder
-from .common import new_path, slices, texts_of
+from .common import bounded, new_path, slices, texts_of
 
 #: Rows that the dictionary is trained on, and its size in bytes: the bounds of what reaches the driver.
 TRAINING_ROWS, TRAINING_CHARS, DICTIONARY_BYTES = 1000, 20_000, 32 << 10
@@ -112,7 +111,7 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 1, text: st
     ordered by a hash of the text. Rows are range-partitioned by both, so that one key can't fill a task unless its
     texts are equal.
     """
-    spark, dtype = ship(docs.sparkSession), id_type(path)
+    spark, dtype = bounded(docs.sparkSession), id_type(path)
     dictionary = train(docs, path, dtype, text, key)
     hashed = dictionary_hash(dictionary)
     signed = hashed - (1 << 64) if hashed >> 63 else hashed
@@ -162,7 +161,7 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
 
 
 def _read(spark: SparkSession, out: str, column: str, of: object) -> DataFrame:
-    ship(spark)
+    bounded(spark)
     dictionary = bytes(spark.read.parquet(f"{out}/dictionary").first().dictionary)
     blocks = spark.read.schema(BLOCKS).parquet(f"{out}/blocks")
     totals = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row a partition
