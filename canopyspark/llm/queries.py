@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, linededup, mixing, sharding, tokenfile
+from . import bpe, linededup, minhash, mixing, quality, sharding, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_minhash_dedup": minhash.query,
+    "op4_quality": quality.query,
     "op5_mix_sources": mixing.query,
     "op6_bpe": bpe.query,
     "op8_shards": sharding.query,
@@ -17,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_minhash_dedup": minhash.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
     "op10_line_dedup": linededup.ORACLE,
 }
