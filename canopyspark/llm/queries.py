@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, linededup, minhash, mixing, quality, sharding, tokenfile
+from . import bpe, linededup, minhash, mixing, quality, sharding, syncmers, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_syncmer_fingerprints": syncmers.query,
     "op3_minhash_dedup": minhash.query,
     "op4_quality": quality.query,
     "op5_mix_sources": mixing.query,
