@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import ChunkEncoder
-from .common import map_batches, texts_of
+from .common import map_batches
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -156,7 +156,7 @@ class PairIndexBpe:
             out.append(ids)
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
         """Ids of each text as bytes of int32."""
         return self.chunks.encode(texts)
 
@@ -196,7 +196,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = model(path)
-        ids = bpe.encode(texts_of(batch.column(text)))
+        ids = bpe.encode(batch.column(text))
         flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
         ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
         decoded = pa.array([bpe.decode(x) for x in ids] if decode else [None] * len(ids), pa.string())

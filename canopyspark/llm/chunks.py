@@ -3,13 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import filterfalse
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks remembered in a worker at most; the memory starts anew beyond that.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Longer chunks (bytes) aren't remembered.
 LONGEST = 64
 
 
+def split_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of a column of texts, the place of each word of it among them, and where each text's words begin.
+
+    Words stand between ASCII white space; an empty one can come at either end of a text. A null text is empty.
+    """
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    coded = lists.flatten().dictionary_encode()
+    starts = lists.offsets.to_numpy()
+    return coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(), starts - starts[0]
+
+
 class ChunkEncoder(dict):
     """Chunk -> its ids as little-endian bytes of one width.
 
@@ -18,24 +34,24 @@ class ChunkEncoder(dict):
     """
 
     def __init__(self, encode_new: Callable[[list[bytes]], list[bytes]]):
-        super().__init__()
+        super().__init__({b"": b""})
         self.encode_new = encode_new
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [x.encode().split() for x in texts]
-        new = set()
-        for p in parts:
-            new.update(p)
-        new.difference_update(self)
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """The ids of each text. Distinct chunks are looked up once; their ids are laid out by Arrow."""
+        words, place, starts = split_words(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
+        new = list(filterfalse(self.__contains__, words))
+        if len(self) + len(new) > REMEMBERED:
+            self.clear()
+            self[b""] = b""
+            new = [w for w in words if w]
         if new:
-            if len(self) + len(new) > REMEMBERED:
-                self.clear()
-                for p in parts:
-                    new.update(p)
-            chunks = list(new)
-            self.update(zip(chunks, self.encode_new(chunks), strict=True))
-        out = [b"".join(map(self.__getitem__, p)) for p in parts]
-        for x in new:
-            if len(x) > LONGEST:
-                del self[x]
-        return out
+            self.update(zip(new, self.encode_new(new), strict=True))
+        laid = pa.array(list(map(self.__getitem__, words)), pa.binary()).take(pa.array(place))
+        for w in new:
+            if len(w) > LONGEST:
+                del self[w]
+        ends = np.frombuffer(laid.buffers()[1], np.int32)[laid.offset :][: len(laid) + 1] if len(laid) else np.zeros(1, np.int32)
+        data = memoryview(laid.buffers()[2] or b"")
+        at = ends[starts].tolist()
+        return [data[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
