@@ -13,14 +13,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import ChunkEncoder
+from .chunks import PIECES, SPACES, ChunkEncoder, WordEncoder
 from .common import map_batches
 
 VOCABULARY = "word_bpe_49k.json"
 
-# Fixed values of the vocabulary file's own definition: its word pattern and what its regular expressions take as white space.
-SPACES = r"\t-\r \x85\xa0  -     　"
-PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+")
 WHITE = regex.compile(rf"[{SPACES}]+")
 
 
@@ -50,7 +47,7 @@ class PairIndexBpe:
         self.tokens = [""] * size
         for k, v in [*vocab.items(), *special.items()]:
             self.tokens[v] = k
-        self.chunks = ChunkEncoder(self.encode_chunks)
+        self.chunks = ChunkEncoder(WordEncoder(self.encode_words, self.encode_raw).encode_new)
 
     def pieces(self, text: str) -> list[bytes]:
         """Normalised words of a text without special tokens, in UTF-8."""
@@ -61,28 +58,21 @@ class PairIndexBpe:
             text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
         return [x.encode() for x in PIECES.findall(text)]
 
-    def encode_chunks(self, chunks: list[bytes]) -> list[bytes]:
-        plan, words = [], {}
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        return [array("i", ids).tobytes() for ids in self.merge([w.encode() for w in words])]
+
+    def encode_raw(self, chunks: list[str]) -> list[bytes]:
+        """Chunks with special tokens, or that are normalised by :meth:`pieces` alone."""
+        out = []
         for chunk in chunks:
-            text, ids = chunk.decode(), []
-            for part in self.cut.split(text) if b"<|" in chunk else (text,):
+            ids = array("i")
+            for part in self.cut.split(chunk):
                 if (found := self.special.get(part.encode())) is not None:
                     ids.append(found)
                 else:
-                    for w in self.pieces(part):
-                        words.setdefault(w, len(words))
-                        ids.append(w)
-            plan.append(ids)
-        made = dict(zip(words, self.merge(list(words)), strict=True))
-        out = []
-        for ids in plan:
-            flat = array("i")
-            for x in ids:
-                if isinstance(x, int):
-                    flat.append(x)
-                else:
-                    flat.extend(made[x])
-            out.append(flat.tobytes())
+                    for made in self.merge(self.pieces(part)):
+                        ids.extend(made)
+            out.append(ids.tobytes())
         return out
 
     def merge(self, words: list[bytes]) -> list[list[int]]:

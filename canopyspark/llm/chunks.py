@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Callable
 from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
+
+# Fixed values of the vocabulary's own definition: its word pattern, and what its regular expressions take as white space.
+SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+"
+PIECES = regex.compile(PATTERN)
+# The same with an end of line between chunks, for any text and for lower-case ASCII.
+PARTED = regex.compile(rf"\n|{PATTERN}")
+PARTED_ASCII = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 
 #: Chunks remembered in a worker at most; the memory starts anew beyond that.
 REMEMBERED = 1_000_000
+#: Words remembered besides chunks: the same word comes with many punctuation marks.
+WORDS_REMEMBERED = 400_000
 #: Longer chunks (bytes) aren't remembered.
 LONGEST = 64
 
@@ -26,6 +39,57 @@ def split_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(), starts - starts[0]
 
 
+def laid_out(values: list[bytes], place: np.ndarray) -> tuple[np.ndarray, memoryview]:
+    """The values at ``place`` one after another: where each begins and ends, and all of them."""
+    laid = pa.array(values, pa.binary()).take(pa.array(place))
+    if not len(laid):
+        return np.zeros(1, np.int32), memoryview(b"")
+    return np.frombuffer(laid.buffers()[1], np.int32)[laid.offset :][: len(laid) + 1], memoryview(laid.buffers()[2] or b"")
+
+
+class WordEncoder:
+    """Ids of chunks from ids of their words (see PATTERN), both as bytes.
+
+    ``encode_words`` gets distinct normalised words that aren't known yet; ``encode_raw`` gets chunks that hold special
+    tokens, or whose lower case isn't normalised or depends on neighbours, as they are.
+    """
+
+    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], encode_raw: Callable[[list[str]], list[bytes]]):
+        self.encode_words, self.encode_raw = encode_words, encode_raw
+        self.words: dict[str, bytes] = {"\n": b""}
+
+    def encode_new(self, chunks: list[bytes]) -> list[bytes]:
+        if len(self.words) > WORDS_REMEMBERED:
+            self.words = {"\n": b""}
+        plain, wide, odd = [], [], []
+        for i, c in enumerate(chunks):
+            (odd if b"<|" in c else plain if c.isascii() else wide).append(i)
+        texts = {i: chunks[i].decode() for i in wide}
+        if not unicodedata.is_normalized("NFC", "\n".join(texts.values()).lower()) or any("\u03a3" in x for x in texts.values()):
+            strange = {i for i, x in texts.items() if "\u03a3" in x or not unicodedata.is_normalized("NFC", x.lower())}
+            odd += strange
+            wide = [i for i in wide if i not in strange]
+        out: list[bytes] = [b""] * len(chunks)
+        for some, pattern in ((plain, PARTED_ASCII), (wide, PARTED)):
+            if some:
+                joined = b"\n".join([*(chunks[i] for i in some), b""]).decode().lower()
+                for i, ids in zip(some, self._parted(pattern.findall(joined)), strict=True):
+                    out[i] = ids
+        if odd:
+            for i, ids in zip(odd, self.encode_raw([chunks[i].decode() for i in odd]), strict=True):
+                out[i] = ids
+        return out
+
+    def _parted(self, pieces: list[str]) -> list[bytes]:
+        coded = pa.array(pieces).dictionary_encode()
+        distinct, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        new = list(filterfalse(self.words.__contains__, distinct))
+        self.words.update(zip(new, self.encode_words(new), strict=True))
+        ends, data = laid_out(list(map(self.words.__getitem__, distinct)), place)
+        at = [0, *ends[np.flatnonzero(place == distinct.index("\n")) + 1].tolist()]
+        return [data[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
+
+
 class ChunkEncoder(dict):
     """Chunk -> its ids as little-endian bytes of one width.
 
@@ -47,11 +111,9 @@ class ChunkEncoder(dict):
             new = [w for w in words if w]
         if new:
             self.update(zip(new, self.encode_new(new), strict=True))
-        laid = pa.array(list(map(self.__getitem__, words)), pa.binary()).take(pa.array(place))
+        ends, data = laid_out(list(map(self.__getitem__, words)), place)
         for w in new:
             if len(w) > LONGEST:
                 del self[w]
-        ends = np.frombuffer(laid.buffers()[1], np.int32)[laid.offset :][: len(laid) + 1] if len(laid) else np.zeros(1, np.int32)
-        data = memoryview(laid.buffers()[2] or b"")
         at = ends[starts].tolist()
         return [data[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]

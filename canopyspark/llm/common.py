@@ -62,21 +62,34 @@ def bounded(spark: SparkSession) -> SparkSession:
 
 
 def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
-    """``mapInArrow`` over slices of at most about 8 MB, so that very long texts don't add up in a worker."""
+    """``mapInArrow`` over pieces of about 8 MB (or one row): small batches go together, large ones are cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                out = kernel(part)
-                if isinstance(out, pa.RecordBatch):
-                    yield out
-                else:
-                    yield from out
+        for part in pieces(batches):
+            out = kernel(part)
+            if isinstance(out, pa.RecordBatch):
+                yield out
+            else:
+                yield from out
 
     bounded(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if batch.num_rows and held and size + batch.nbytes > most:
+            yield from slices(pa.concat_batches(held), most)
+            held, size = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+    if held:
+        yield from slices(pa.concat_batches(held), most)
+
+
 def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     rows = batch.num_rows
     if not rows:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import struct
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -17,9 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import PIECES
-from .chunks import ChunkEncoder
-from .common import bounded, new_path, slices
+from .chunks import ChunkEncoder, WordEncoder
+from .common import bounded, new_path, pieces
 
 #: Rows that the dictionary is trained on, and its size in bytes: the bounds of what reaches the driver.
 TRAINING_ROWS, TRAINING_CHARS, DICTIONARY_BYTES = 1000, 20_000, 32 << 10
@@ -32,16 +30,14 @@ BLOCKS = "part int, block int, first long, n_docs long, n_tokens long, dictionar
 _encoders: dict[tuple[str, str], ChunkEncoder] = {}
 
 
-#: Words remembered besides chunks, and words that the library gets in one text.
-PIECES_REMEMBERED, TOGETHER = 300_000, 512
+#: New words that the library gets in one text.
+TOGETHER = 512
 
 
 class LibraryEncoder:
-    """Ids of chunks by the tokenizers library, as bytes of ``dtype``.
+    """Ids of words and chunks by the tokenizers library, as bytes of ``dtype``.
 
-    A chunk's words are remembered, too: the same word comes with many punctuation marks. New words go to the library
-    together in one text; the token that ends a word says where to cut its ids. Chunks with special tokens, or whose
-    lower case could be normalised once more, go there as they are.
+    New words go to the library together in one text; the token that ends a word says where to cut its ids.
     """
 
     def __init__(self, path: str, dtype: str):
@@ -50,7 +46,7 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.dtype, self.words = np.dtype(dtype), {}
+        self.dtype = np.dtype(dtype)
         self.final = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.final[i] = token.endswith("</w>")
@@ -58,43 +54,23 @@ class LibraryEncoder:
     def library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_new(self, chunks: list[bytes]) -> list[bytes]:
-        plan: list[list[str] | int] = []
-        raw, new = [], {}
-        if len(self.words) > PIECES_REMEMBERED:
-            self.words.clear()
-        for chunk in chunks:
-            if chunk.isalpha():
-                words = [chunk.decode().lower()]
-            else:
-                text = chunk.decode()
-                lower = text.lower()
-                if b"<|" in chunk or not unicodedata.is_normalized("NFC", lower) or "Σ" in text:
-                    plan.append(len(raw))
-                    raw.append(text)
-                    continue
-                words = PIECES.findall(lower)
-            plan.append(words)
-            for w in words:
-                if w not in self.words:
-                    new[w] = None
-        fresh = list(new)
-        groups = [fresh[i : i + TOGETHER] for i in range(0, len(fresh), TOGETHER)]
-        width = self.dtype.itemsize
-        for group, ids in zip(groups, self.library([" ".join(g) for g in groups]), strict=True):
+    def raw(self, chunks: list[str]) -> list[bytes]:
+        return [ids.tobytes() for ids in self.library(chunks)]
+
+    def words(self, words: list[str]) -> list[bytes]:
+        out, width = [], self.dtype.itemsize
+        for ids in self.library([" ".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]):
             data, start = ids.tobytes(), 0
-            for w, stop in zip(group, (np.flatnonzero(self.final[ids]) * width + width).tolist(), strict=True):
-                self.words[w] = data[start:stop]
+            for stop in ((np.flatnonzero(self.final[ids]) + 1) * width).tolist():
+                out.append(data[start:stop])
                 start = stop
-        whole = [ids.tobytes() for ids in self.library(raw)]
-        known = self.words
-        return [whole[p] if isinstance(p, int) else known[p[0]] if len(p) == 1 else b"".join([known[w] for w in p]) for p in plan]
+        return out
 
 
 def encoder(path: str, dtype: str) -> ChunkEncoder:
     if (path, dtype) not in _encoders:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _encoders[path, dtype] = ChunkEncoder(LibraryEncoder(path, dtype).encode_new)
+        _encoders[path, dtype] = ChunkEncoder(WordEncoder((library := LibraryEncoder(path, dtype)).words, library.raw).encode_new)
     return _encoders[path, dtype]
 
 
@@ -185,18 +161,17 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 1, text: st
             return pa.record_batch([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
         size = 0
-        for batch in batches:
-            for some in slices(batch):
-                for k, ids in zip(some.column("key").to_pylist(), encode(some.column("text")), strict=True):
-                    frame = packer.compress(ids + end)
-                    keys.append(k)
-                    lengths.append(len(ids) // width + 1)
-                    frames.append(frame)
-                    size += len(frame)
-                    if size >= BLOCK_BYTES:
-                        yield made()
-                        block, first, size = block + 1, first + sum(lengths), 0
-                        keys, lengths, frames = [], [], []
+        for some in pieces(batches):
+            for k, ids in zip(some.column("key").to_pylist(), encode(some.column("text")), strict=True):
+                frame = packer.compress(ids + end)
+                keys.append(k)
+                lengths.append(len(ids) // width + 1)
+                frames.append(frame)
+                size += len(frame)
+                if size >= BLOCK_BYTES:
+                    yield made()
+                    block, first, size = block + 1, first + sum(lengths), 0
+                    keys, lengths, frames = [], [], []
         if keys:
             yield made()
 
