@@ -43,8 +43,8 @@ class LineRuns:
 
     def add(self, keys: DataFrame) -> None:
         known = self._known()
-        fresh = keys if known is None else keys.join(known.select("key"), "key", "left_anti")
-        self.levels.setdefault(0, []).append((self._run(fresh.groupBy("key").agg(F.count(F.lit(1)).alias("n"))), True))
+        counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"))  # summed in each task first: a line of every document stays small
+        self.levels.setdefault(0, []).append((self._run(counts if known is None else counts.join(known.select("key"), "key", "left_anti")), True))
         level = 0
         while len(self.levels.get(level, [])) >= self.fanout:
             self._merge([level], level + 1)
