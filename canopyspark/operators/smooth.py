@@ -21,7 +21,7 @@ def fold_table(spark: SparkSession, lengths: list[int], folds: int = 5, seed: in
     """``n, pos, fold`` for series of the given lengths (at most 366 of them a daily series)."""
     parts = [pd.DataFrame({"n": n, "pos": range(n), "fold": fold_ids(n, folds, seed)}) for n in lengths if n >= folds]
     table = pd.concat(parts) if parts else pd.DataFrame({"n": [], "pos": [], "fold": []})
-    return spark.createDataFrame(table.astype("int32"))
+    return spark.createDataFrame(table.astype("int32"), "n int, pos int, fold int")
 
 
 def rolling(value: Column, window: int, keys: list[str], order: str) -> Column:
