@@ -13,7 +13,7 @@ from ..functions import chroma
 from ..functions import expressions as X
 from ..functions.geometry import mask_pixels, shrunk_ring
 from ..operators import filters, montecarlo, records, resample, sampling, smooth, transitions
-from ..session import ship
+from ..session import kept, ship
 from ..sources import files
 from ..sources.files import KEYS
 from .config import Aggregation, Extraction, Modelling, Processing
@@ -28,10 +28,10 @@ MASK_BYTES = 64 << 20
 
 def regions(polygons: DataFrame, categories: list[str], ratios: list[int]) -> DataFrame:
     """Long table of rings: the region's fields, ``ring`` ("" or "_s<ratio>"), ``coords`` and ``area``; degenerate shrunk rings are left out."""
-    kept = filters.keep_categories(polygons, categories)
-    rings = kept.withColumn("ring", F.lit(""))
+    chosen = filters.keep_categories(polygons, categories)
+    rings = chosen.withColumn("ring", F.lit(""))
     for r in ratios:
-        rings = rings.unionByName(kept.withColumn("coords", shrunk_ring(F.col("coords"), r)).where(F.col("coords").isNotNull()).withColumn("ring", F.lit(f"_s{r}")))
+        rings = rings.unionByName(chosen.withColumn("coords", shrunk_ring(F.col("coords"), r)).where(F.col("coords").isNotNull()).withColumn("ring", F.lit(f"_s{r}")))
     return rings.withColumn("area", X.shoelace(F.col("coords"))).withColumn("polygon_width", X.extent(F.col("coords"), 0)).withColumn("polygon_height", X.extent(F.col("coords"), 1))
 
 
@@ -45,7 +45,7 @@ def extract(pictures: DataFrame, rings: DataFrame) -> DataFrame:
     ship(pictures.sparkSession)
     shapes = filters.modal_shape(pictures.select(*SITE_YEAR, "path", "height", "width"), SITE_YEAR)
     masks = rings.join(shapes, SITE_YEAR).withColumn("pixels", mask_pixels(F.col("coords"), F.col("height"), F.col("width"))).where(F.size("pixels") > 0)
-    grouped = masks.groupBy(*SITE_YEAR, "height", "width").agg(F.collect_list(F.struct("annotation_id", "ring", "pixels")).alias("masks")).cache()
+    grouped = kept(masks.groupBy(*SITE_YEAR, "height", "width").agg(F.collect_list(F.struct("annotation_id", "ring", "pixels")).alias("masks")))
     size = grouped.agg(F.sum(F.aggregate("masks", F.lit(0).cast("long"), lambda n, m: n + F.size(m["pixels"])))).first()[0] or 0
     joined = pictures.join(F.broadcast(grouped) if 4 * size <= MASK_BYTES else grouped, [*SITE_YEAR, "height", "width"])
     names = [*SITE_YEAR, "path", "ts", "annotation_id", "ring", "gcc", "rcc", "bcc", "brightness"]
@@ -92,9 +92,9 @@ def run_extraction(spark: SparkSession, cfg: Extraction, mode: str = "normal") -
     done = files.completed(spark, str(cfg.output_root), "_raw-cc-data.csv")
     todo = files.pending(named, done) if mode == "check" else files.pending(named, done.select(*SITE_YEAR).distinct(), keys=SITE_YEAR)
     missing = named.where(F.col("uid").isNull()).select(F.concat_ws("/", F.concat_ws("_", "location", "sublocation"), "year", "annotation_id").alias("line")).distinct().orderBy("line")
-    rings = regions(todo, cfg.categories_kept, cfg.shrink_ratios).cache()
+    rings = kept(regions(todo, cfg.categories_kept, cfg.shrink_ratios))
     pictures = files.read_pictures(spark, str(cfg.image_dataset_root)).join(F.broadcast(rings.select(*SITE_YEAR).distinct()), SITE_YEAR)
-    wide = by_ring(extract(pictures, rings), cfg.shrink_ratios).join(F.broadcast(uids), "annotation_id").cache()
+    wide = kept(by_ring(extract(pictures, rings), cfg.shrink_ratios).join(uids, "annotation_id"))
     columns = [f"{c}{s}" for s in ["", *(f"_s{r}" for r in cfg.shrink_ratios)] for c in ("GCC", "RCC", "BCC", "brightness")]
     body = files.csv_body(["datetime", *columns], "ts", [X.observation_key(F.col("ts")), *[F.col(c) for c in columns]])
     n = files.write_files(wide.groupBy(*KEYS).agg(body.alias("body")).withColumn("path", files.tree_path("_raw-cc-data.csv")), str(cfg.output_root))
@@ -133,16 +133,16 @@ def process(observations: DataFrame, cfg: Processing, snow: DataFrame | None = N
     status = status.select(*KEYS, F.when(F.col("_some"), F.lit(ending)).otherwise(F.lit("empty-after-brightness")).alias("status"))
     if not selected:
         return {"status": status}
-    kept = filters.mask_snow(bright, snow, [c for c in bright.columns if c not in [*KEYS, "ts"]]) if snow is not None else bright
-    steps = sampling.step_detector(kept, KEYS)
+    rows = filters.mask_snow(bright, snow, [c for c in bright.columns if c not in [*KEYS, "ts"]]) if snow is not None else bright
+    steps = sampling.step_detector(rows, KEYS)
     if cfg.noon_only_on_resolution_change:
-        kept = sampling.noon_where_stepped(kept, steps, KEYS)
-    flags = sampling.sampling_flags(kept, KEYS).join(steps.select(*KEYS, F.col("detected").alias("resolution_change_detected"), F.col("best_doy").alias("resolution_change_doy")), KEYS, "left")
+        rows = sampling.noon_where_stepped(rows, steps, KEYS)
+    flags = sampling.sampling_flags(rows, KEYS).join(steps.select(*KEYS, F.col("detected").alias("resolution_change_detected"), F.col("best_doy").alias("resolution_change_doy")), KEYS, "left")
     flags = flags.withColumn("resolution_change_detected", F.coalesce("resolution_change_detected", F.lit(False)))
     flags = flags.withColumn("noon_only_applied", F.col("resolution_change_detected") & F.lit(cfg.noon_only_on_resolution_change))
     flags = flags.withColumn("noon_only_gate_config", F.lit(cfg.noon_only_on_resolution_change)).withColumn("shrink_suffix", F.lit(cfg.shrink_suffix))
     flags = flags.withColumn("column_selected", F.create_map(*[F.lit(x) for pair in selected.items() for x in pair]))
-    long = kept.select(*KEYS, "ts", *[F.col(n).alias(c) for c, n in selected.items()]).unpivot([*KEYS, "ts"], list(selected), "channel", "value").where(F.col("value").isNotNull())
+    long = rows.select(*KEYS, "ts", *[F.col(n).alias(c) for c, n in selected.items()]).unpivot([*KEYS, "ts"], list(selected), "channel", "value").where(F.col("value").isNotNull())
     keys = [*KEYS, "channel"]
     parts, strategies = [], tuple(cfg.aggregation_strategies)
     for window in cfg.aggregation_windows:
@@ -163,12 +163,12 @@ def run_processing(spark: SparkSession, cfg: Processing, force: bool = False) ->
     if not force and not done.isEmpty():
         same = (F.col("fields")["noon_only_gate_config"] == str(cfg.noon_only_on_resolution_change).lower()) & F.col("fields")["shrink_suffix"].eqNullSafe(F.lit(cfg.shrink_suffix))
         done = files.read_json_maps(spark, str(cfg.output_root), "-sampling-flags.json").where(same).select(*KEYS)
-    todo = files.pending(rows, done, force).cache()
-    skipped = rows.select(*KEYS).distinct().join(todo.select(*KEYS).distinct(), KEYS, "left_anti").withColumn("status", F.lit("skip"))
+    todo = kept(files.pending(rows, done, force))
+    skipped = kept(rows.select(*KEYS).distinct().join(todo.select(*KEYS).distinct(), KEYS, "left_anti").withColumn("status", F.lit("skip")))
     snow = files.read_snow(spark, str(cfg.snow_flags_root)) if cfg.snow_flags_root else None
     out = process(todo, cfg, snow)
     if "product" in out:
-        product = out["product"].cache()
+        product = kept(out["product"])
         series = [*KEYS, "channel", "window"]
         for kind, value in (("product", "value"), ("smoothed", "smoothed")):
             columns = [F.max(F.when(F.col("strategy") == s, F.col(value))).alias(s) for s in cfg.aggregation_strategies]
@@ -223,7 +223,7 @@ def run_modelling(spark: SparkSession, cfg: Modelling, force: bool = False) -> D
         series = f"{one.series_index}-{one.series_window}-{one.series_strategy}"
         product = files.read_product(spark, str(cfg.input_root), str(one.series_index), str(one.series_window))
         done = files.completed(spark, str(cfg.output_root), f"-{series}-transitions.json")
-        found = estimate(product, one).join(done.withColumn("_d", F.lit(not force)), KEYS, "left").withColumn("status", F.when(F.col("_d"), "skip").otherwise(F.col("status"))).cache()
+        found = kept(estimate(product, one).join(done.withColumn("_d", F.lit(not force)), KEYS, "left").withColumn("status", F.when(F.col("_d"), "skip").otherwise(F.col("status"))))
         text = F.to_json(F.struct("dates", "amplitude", "baseline", "peak_value", "uncertainties", "window_selected", "noise_std", "snr", "n_peak"), {"ignoreNullFields": "false"})
         files.write_files(found.where("status = 'done'").select(files.tree_path(f"-{series}-transitions.json").alias("path"), text.alias("body")), str(cfg.output_root))
         parts.append(found.select(*KEYS, F.lit(series).alias("series"), "status"))
@@ -266,11 +266,11 @@ def run_aggregation(spark: SparkSession, cfg: Aggregation) -> tuple[DataFrame, s
     listed = None
     if cfg.exclude_csv_path is not None:
         listed = files.read_exclusions(spark, str(cfg.exclude_csv_path)).withColumn("year", F.col("year").cast("string"))
-    judged = records.judged(found, rules, listed).cache()
+    judged = kept(records.judged(found, rules, listed))
     report = records.report(records.counts(judged, rules).first().asDict(), rules)
-    kept = records.filtered(judged)
-    names = sorted(r.k for r in kept.select(F.explode(F.map_keys("metrics")).alias("k")).distinct().collect())  # bounded by the settings
-    wide = records.widen(kept, names, [*KEYS, *_IDENTITY, "column_selected"], nan_as_null=True)
+    passed = records.filtered(judged)
+    names = sorted(r.k for r in passed.select(F.explode(F.map_keys("metrics")).alias("k")).distinct().collect())  # bounded by the settings
+    wide = records.widen(passed, names, [*KEYS, *_IDENTITY, "column_selected"], nan_as_null=True)
     out = cfg.output_path
     os.makedirs(out.parent, exist_ok=True)
     wide.orderBy(*KEYS).toPandas().to_csv(out, index=False)  # one row a unit

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -34,3 +34,11 @@ def ship(spark: SparkSession) -> SparkSession:
                 z.write(p, p.relative_to(top.parent))
         context.addPyFile(str(archive))
     return spark
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared checkpoint folder (one of this machine's where none is set, as in tests)."""
+    context = df.sparkSession.sparkContext
+    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="canopy-"))
+    return df.checkpoint(eager=True)
