@@ -59,11 +59,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     1. Rows with equal sets form a class, named by its smallest key; only classes go on, so copies cost a count.
     2. Each band of a class's signature is a bucket. The member of a bucket that lies in the most populous buckets is
-       its centre; each other member is compared with it: first signatures, then full sets.
-    3. Components of the links so found. In buckets that hold more than one component, every member outside the
-       largest is compared with all members of other components. So no pair of a bucket is left out unless its
-       components are one already, and no bucket's pairs are all made.
-    4. Components of all links.
+       its centre; each other member is compared with it: first signatures, then full sets. Components of these links.
+    3. A link (x, y) of a bucket with centre c shares either a shingle outside c, or so many inside that the smaller of
+       the overlaps with c suffices. So members of c's buckets that lie in different components are paired only where
+       they share one of their first shingles outside c (the prefix that a link must meet), or where those overlaps
+       suffice; then they are compared in full. Components of all links.
 
     Scale: buckets are counted with pre-aggregation and joined back on (band, hash), never gathered; what moves is
     32 short rows a class, and texts only of the classes in compared pairs. The joins are sort-merge joins that AQE
@@ -96,24 +96,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     fame = member.groupBy("class").agg(F.sum("m").alias("fame"))
     famed = member.select("band", "h", "class").join(fame, "class")
     best = famed.groupBy("band", "h").agg(F.max(F.struct("fame", (-F.col("class")).alias("less"))).alias("b")).select("band", "h", (-F.col("b.less")).alias("centre"))
-    first = stage(_pairs(member.join(best, ["band", "h"]), "class", "centre"), "pairs")
+    first = member.join(best, ["band", "h"]).where(F.col("class") != F.col("centre")).select(F.col("class").alias("a"), F.col("centre").alias("b")).distinct()
     texts = source.where(F.col("key").isNotNull())
-    links = stage(verified(first, texts), "found")
-    part = components(links)
-    again = stage(
-        member.select("band", "h", "class").join(part, F.col("class") == F.col("node"), "left").select("band", "h", "class", F.coalesce("component", "class").alias("component")), "again"
-    )
-    count = again.groupBy("band", "h", "component").agg(F.count(F.lit(1)).alias("m"))
-    split = count.groupBy("band", "h").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("m", "component")).alias("most")).where("parts > 1").select("band", "h", F.col("most.component").alias("largest"))
-    open_ = stage(again.join(split, ["band", "h"]), "open")
-    outside = open_.where(F.col("component") != F.col("largest")).select("band", "h", F.col("class").alias("x"), F.col("component").alias("xc"))
-    second = outside.join(open_, ["band", "h"]).where((F.col("xc") != F.col("component")) & ((F.col("component") == F.col("largest")) | (F.col("x") < F.col("class"))))
-    more = _pairs(second, "x", "class").join(first, ["a", "b"], "left_anti")
-    found = stage(verified(stage(more, "pairs"), texts), "found")
+    seen = stage(compared(stage(first, "pairs"), texts), "found")
+    part = components(seen.where("link").select("a", "b"))
+    found = stage(verified(stage(_further(seen, part), "pairs"), texts), "found")
     if not found.isEmpty():
         # The first links are stars by now; only their stars and the new links are needed.
-        stars = part.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        part = components(stars.unionByName(found))
+        part = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
     # All keys of a class follow it; a key with two texts joins their components.
     keyed = named.join(names, "set").select("key", "class").distinct()
     twice = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -134,32 +124,75 @@ def runs_of_rows(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
-    return df.where(F.col(x) != F.col(y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
+def _further(seen: DataFrame, part: DataFrame) -> DataFrame:
+    """Pairs (a > b) around one centre, of different components, that could be linked by what is known of each and the centre."""
+    around = seen.select(F.col("b").alias("c"), F.col("a").alias("x"), "n", "o", "rest").join(part, F.col("x") == F.col("node"), "left").withColumn("of", F.coalesce("component", "x")).drop("node", "component")
+    sizes = around.groupBy("c", "of").agg(F.count(F.lit(1)).alias("m"))
+    groups = sizes.groupBy("c").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("m", "of")).alias("most")).where("parts > 1").select("c", F.col("most.of").alias("largest"))
+    open_ = stage(around.join(groups, "c").withColumn("outside", F.col("of") != F.col("largest")), "open")
+    other = (F.col("of") != F.col("of2")) & (~F.col("outside2") | (F.col("x") < F.col("x2")))
+    second = lambda df: df.withColumnsRenamed({k: f"{k}2" for k in ("x", "n", "o", "of", "outside")})
+    tokens = open_.select("c", "x", "of", "outside", F.explode("rest").alias("t"))
+    shared = tokens.where("outside").join(second(tokens), ["c", "t"]).where(other)
+    slim = open_.select("c", "x", "n", "o", "of", "outside")
+    enough = 7 * F.least("o", "o2") >= 3 * (F.col("n") + F.col("n2"))
+    inside = slim.where("outside").join(second(slim), "c").where(other & enough)
+    both = shared.select("x", "x2").unionByName(inside.select("x", "x2"))
+    return both.select(F.greatest("x", "x2").alias("a"), F.least("x", "x2").alias("b")).distinct()
+
+
+def _joined(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    one = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
+    return one.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+
+
+class _Sets(dict):
+    """Sets and signatures of the texts of a batch."""
+
+    def __missing__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        s = shingles(text)
+        self[text] = s, signature(s)
+        return self[text]
+
+
+def linked(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> bool:
+    """Signatures first, then full sets."""
+    return bool((x[1] == y[1]).mean() >= AGREE) and similar(x[0], y[0])
+
+
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """For each pair (a, centre b): ``link``, the set size ``n`` of a, its overlap ``o`` with b, and ``rest``.
+
+    ``rest``: the least of a's shingles outside b, as many as any link of a must meet one of. A link of a needs an
+    overlap of 3/4 of n at least, so 3n/4 - o of these (one at least) are shared; all but so many, and one, suffice.
+    """
+
+    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = _Sets()
+        link, n, o, rest = [], [], [], []
+        for x, y in zip(texts_of(batch.column("ta")), texts_of(batch.column("tb")), strict=True):
+            p, q = sets[x], sets[y]
+            link.append(linked(p, q))
+            own = np.setdiff1d(p[0], q[0], assume_unique=True)
+            n.append(len(p[0]))
+            o.append(len(p[0]) - len(own))
+            need = max(1, -(-(3 * n[-1] - 4 * o[-1]) // 4))
+            rest.append(_signed(own[: max(0, len(own) - need + 1)]))
+        columns = [batch.column("a"), batch.column("b"), pa.array(link), pa.array(n, pa.int64()), pa.array(o, pa.int64()), pa.array(rest, pa.list_(pa.int64()))]
+        return pa.record_batch(columns, names=["a", "b", "link", "n", "o", "rest"])
+
+    return map_batches(_joined(pairs, texts), compare, "a long, b long, link boolean, n long, o long, rest array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs of keys whose texts are linked: signatures first, then full sets."""
+    """The pairs of keys whose texts are linked."""
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-        def of(t: str) -> tuple[np.ndarray, np.ndarray]:
-            if t not in known:
-                s = shingles(t)
-                known[t] = s, signature(s)
-            return known[t]
-
-        keep = []
-        for i, (x, y) in enumerate(zip(texts_of(batch.column("ta")), texts_of(batch.column("tb")), strict=True)):
-            (s, p), (t, q) = of(x), of(y)
-            if (p == q).mean() >= AGREE and similar(s, t):
-                keep.append(i)
+        sets = _Sets()
+        keep = [i for i, (x, y) in enumerate(zip(texts_of(batch.column("ta")), texts_of(batch.column("tb")), strict=True)) if linked(sets[x], sets[y])]
         return batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    one = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
-    both = one.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
-    return map_batches(both.select("a", "b", "ta", "tb"), compare, "a long, b long")
+    return map_batches(_joined(pairs, texts), compare, "a long, b long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
