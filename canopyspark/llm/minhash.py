@@ -2,39 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, stage, texts_of
+from .common import map_batches, stage
 from .components import components
-from .words import runs, word_hash
+from .words import hashed_words, once, runs, word_hash
 
 #: Words a shingle, bands, rows a band. A pair at similarity 0.75 shares no band with probability 5e-6.
 SHINGLE, BANDS, ROWS = 5, 32, 4
 #: Two signatures must agree in this share of places before their sets are compared: 5 deviations below 0.75.
 AGREE = 0.56
 _random = np.random.default_rng(20240601)
-# Universal hashing of 64-bit keys to 32 bits: the high half of a * x + b with odd a, modulo 2^64.
-_A = (_random.integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1)) | np.uint64(1)
-_B = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+# Universal hashing of the high half of a shingle's hash: a * x + b with odd a, modulo 2^32.
+_A = _random.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
+_B = _random.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
 
 
 def shingles(text: str) -> np.ndarray:
     """Sorted distinct hashes of a text's 5-word shingles, A-Z in lower case; of all words as one if they are fewer."""
-    words = text.encode().lower().split()
-    return np.unique(runs(word_hash.array(words), SHINGLE))
+    return np.unique(runs(word_hash.array(text.encode().lower().split()), SHINGLE))
+
+
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """:func:`shingles` of each text of a column."""
+    return [np.unique(runs(h, SHINGLE)) for (h,) in hashed_words(texts, True, word_hash)]
 
 
-def signature(s: np.ndarray, block: int = 4096) -> np.ndarray:
+def signature(s: np.ndarray, block: int = 2048) -> np.ndarray:
     """Minima of BANDS * ROWS universal hashes of a set that isn't empty."""
-    out = np.full(len(_A), np.uint64((1 << 64) - 1))
-    for i in range(0, len(s), block):
-        part = s[i : i + block]
-        np.minimum(out, (_A[:, None] * part[None, :] + _B[:, None]).min(axis=1), out=out)
-    return (out >> np.uint64(32)).astype(np.uint32)
+    x = (s >> np.uint64(32)).astype(np.uint32)
+    out = np.full(len(_A), np.uint32((1 << 32) - 1))
+    for i in range(0, len(x), block):
+        np.minimum(out, (_A[:, None] * x[None, i : i + block] + _B[:, None]).min(axis=1), out=out)
+    return out
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -72,8 +78,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, ids, bands = [], [], []
-        for x in texts_of(batch.column("text")):
-            s = shingles(x)
+        for s in shingle_sets(batch.column("text")):
             n.append(len(s))
             if len(s):
                 ids.append(xxhash.xxh3_128_digest(s.tobytes()))
@@ -146,13 +151,11 @@ def _joined(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return one.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
 
-class _Sets(dict):
-    """Sets and signatures of the texts of a batch."""
-
-    def __missing__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        s = shingles(text)
-        self[text] = s, signature(s)
-        return self[text]
+def _sets(batch: pa.RecordBatch) -> Iterator[tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]]:
+    """Sets and signatures of both texts of each row, made once for each distinct text."""
+    texts, (left, right) = once(batch.column("ta"), batch.column("tb"))
+    found = [(s, signature(s)) for s in shingle_sets(texts)]
+    return ((found[i], found[j]) for i, j in zip(left, right, strict=True))
 
 
 def linked(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> bool:
@@ -168,10 +171,8 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = _Sets()
         link, n, o, rest = [], [], [], []
-        for x, y in zip(texts_of(batch.column("ta")), texts_of(batch.column("tb")), strict=True):
-            p, q = sets[x], sets[y]
+        for p, q in _sets(batch):
             link.append(linked(p, q))
             own = np.setdiff1d(p[0], q[0], assume_unique=True)
             n.append(len(p[0]))
@@ -188,8 +189,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs of keys whose texts are linked."""
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = _Sets()
-        keep = [i for i, (x, y) in enumerate(zip(texts_of(batch.column("ta")), texts_of(batch.column("tb")), strict=True)) if linked(sets[x], sets[y])]
+        keep = [i for i, (p, q) in enumerate(_sets(batch)) if linked(p, q)]
         return batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return map_batches(_joined(pairs, texts), compare, "a long, b long")

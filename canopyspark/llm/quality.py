@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, map_batches, texts_of
-from .words import Remembered, runs, scatter, word_hash
+from .common import bounded, map_batches
+from .words import Remembered, hashed_words, runs, scatter, word_hash
 
 BITS = 20
 #: Labelled rows that the classifier is fitted on at most, those of the smallest hashes of doc_id.
@@ -35,23 +35,21 @@ word_shape = Remembered(_shape)
 _TOP = np.uint64(64 - BITS)
 
 
-def families(text: str) -> list[np.ndarray]:
+def families(h: np.ndarray, s: np.ndarray) -> list[np.ndarray]:
     """Feature numbers of a text: 1- and 2-grams of its words and of their shapes, and whether a word repeats the last."""
-    words = text.encode().split()
-    if not words:
+    if not len(h):
         return []
-    h, s = word_hash.array(words), word_shape.array(words)
     out = [scatter(h), scatter(s)]
-    if len(words) > 1:
+    if len(h) > 1:
         same = np.where(h[1:] == h[:-1], np.uint64(77), np.uint64(78))
         out += [runs(h, 2), runs(s, 2), scatter(same)]
     return [(x >> _TOP).astype(np.int64) for x in out]
 
 
-def sparse(text: str) -> tuple[np.ndarray, np.ndarray]:
+def sparse(h: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The text as a sparse vector; each family of features sums to 1."""
     index, value = [np.empty(0, np.int64)], [np.empty(0)]
-    for f in families(text):
+    for f in families(h, s):
         u, n = np.unique(f, return_counts=True)
         index.append(u)
         value.append(n / len(f))
@@ -65,11 +63,11 @@ class Weights:
     bias: float
     weights: np.ndarray | None
 
-    def score(self, text: str) -> float:
+    def score(self, texts: pa.Array) -> list[float]:
         if self.weights is None:
-            return 1.0
-        z = self.bias + sum(float(self.weights[f].mean()) for f in families(text))
-        return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
+            return [1.0] * len(texts)
+        z = [self.bias + sum(float(self.weights[f].mean()) for f in families(h, s)) for h, s in hashed_words(texts, False, word_hash, word_shape)]
+        return (1 / (1 + np.exp(-np.clip(z, -35, 35)))).tolist()
 
 
 class Ftrl:
@@ -107,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     known = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("h", "y", "text")
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
-        pairs = [sparse(x) for x in texts_of(batch.column("text"))]
+        pairs = [sparse(h, s) for h, s in hashed_words(batch.column("text"), False, word_hash, word_shape)]
         return pa.record_batch([batch.column("h"), batch.column("y"), pa.array([i.astype(np.int32) for i, _ in pairs], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in pairs], pa.list_(pa.float32()))], names=["h", "y", "i", "v"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +142,7 @@ def score(docs: DataFrame, weights: Weights, text: str = "text", out: str = "sco
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{out}` double"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scores = [shared.value.score(x) for x in texts_of(batch.column(text))]
+        scores = shared.value.score(batch.column(text))
         return pa.record_batch([*(batch.column(c) for c in keep), pa.array(scores, pa.float64())], names=[*keep, out])
 
     read = dict.fromkeys([*keep, text])

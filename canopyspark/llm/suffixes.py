@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded, map_batches, stage, word_count
-from .words import scatter, word_hash
+from .words import hashed_words, once, scatter, word_hash
 
 #: A passage has at least MIN_WORDS words. Minimisers are taken of GRAM-word hashes in windows of WINDOW positions.
 MIN_WORDS, GRAM, WINDOW = 50, 8, 32
@@ -38,8 +38,9 @@ class Rolling:
         return scatter((self.sums[stop] - self.sums[start]) * self.back[start] + (stop - start).astype(np.uint64))
 
 
-def words_of(text: str) -> np.ndarray:
-    return word_hash.array(text.encode().lower().split())
+def words_of(texts: pa.Array) -> list[np.ndarray]:
+    """Hashes of each text's words, A-Z in lower case."""
+    return [h for (h,) in hashed_words(texts, True, word_hash)]
 
 
 def suffixes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,8 +117,8 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
 
     def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts = []
-        for doc, t in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            pos, h, x = suffixes(words_of(t))
+        for doc, words in zip(batch.column("key").to_pylist(), words_of(batch.column("text")), strict=True):
+            pos, h, x = suffixes(words)
             parts.append((h, x, np.full(len(pos), doc, np.int64), pos))
         return pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=fields)
 
@@ -176,13 +177,11 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
     couples = turned.groupBy("a", "b").agg(F.collect_set("at").alias("at"))
 
     def extended(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known: dict[str, np.ndarray] = {}
+        texts, (left, right) = once(batch.column("x"), batch.column("y"))
+        words = words_of(texts)
         out: list[tuple[int, int, int, bool]] = []
-        for a, b, at, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "at", "x", "y")), strict=True):
-            for t in (x, y):
-                if t not in known:
-                    known[t] = words_of(t)
-            for i, j, n in matches(known[x], known[y], [(r["p"], r["q"]) for r in at]):
+        for a, b, at, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "at")), left, right, strict=True):
+            for i, j, n in matches(words[x], words[y], [(r["p"], r["q"]) for r in at]):
                 out += [(a, i, i + n, False), (b, j, j + n, True)]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
         columns = list(zip(*set(out), strict=True)) or [[], [], [], []]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Words remembered in a worker at most; the memory starts anew beyond that.
@@ -32,6 +34,37 @@ class Remembered(dict):
 
 word_hash = Remembered(xxhash.xxh64_intdigest)
 
+
+def hashed_words(texts: pa.Array, lower: bool, *of: Remembered) -> list[tuple[np.ndarray, ...]]:
+    """For each text of a column, the values of its words in order, an array for each of ``of``; null texts have no words.
+
+    Words stand between ASCII white space; with ``lower``, A-Z first become lower case. Distinct words of the column are
+    looked up once.
+    """
+    texts = pc.fill_null(texts, "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    coded = lists.flatten().dictionary_encode()
+    starts = lists.offsets.to_numpy()
+    starts, place = starts - starts[0], coded.indices.to_numpy()
+    words = coded.dictionary.cast(pa.binary()).to_pylist()
+    if b"" in words:  # at either end of a text
+        keep = place != words.index(b"")
+        starts = np.concatenate([[0], np.cumsum(keep)])[starts]
+        place = place[keep]
+    values = [f.array(words)[place] if len(words) else np.empty(0, np.uint64) for f in of]
+    return [tuple(v[a:b] for v in values) for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False)]
+
+
+def once(*columns: pa.Array) -> tuple[pa.Array, list[list[int]]]:
+    """The distinct texts of some columns, and the places of each column's among them."""
+    coded = pa.concat_arrays([pc.fill_null(c, "") for c in columns]).dictionary_encode()
+    place, out, at = coded.indices.to_pylist(), [], 0
+    for c in columns:
+        out.append(place[at : at + len(c)])
+        at += len(c)
+    return coded.dictionary, out
+
+
 _MIX, _FOLD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _HALF, _SHIFT = np.uint64(32), np.uint64(29)
 
