@@ -105,7 +105,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     texts = source.where(F.col("key").isNotNull())
     seen = stage(compared(stage(first, "pairs"), texts), "found")
     part = components(seen.where("link").select("a", "b"))
-    found = stage(verified(stage(_further(seen, part), "pairs"), texts), "found")
+    found = stage(verified(stage(_further(seen, part, fame), "pairs"), texts), "found")
     if not found.isEmpty():
         # The first links are stars by now; only their stars and the new links are needed.
         part = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
@@ -129,17 +129,22 @@ def runs_of_rows(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _further(seen: DataFrame, part: DataFrame) -> DataFrame:
-    """Pairs (a > b) around one centre, of different components, that could be linked by what is known of each and the centre."""
-    around = seen.select(F.col("b").alias("c"), F.col("a").alias("x"), "n", "o", "rest").join(part, F.col("x") == F.col("node"), "left").withColumn("of", F.coalesce("component", "x")).drop("node", "component")
+def _further(seen: DataFrame, part: DataFrame, fame: DataFrame) -> DataFrame:
+    """Pairs (a > b) around one centre, of different components, that could be linked by what is known of each and the centre.
+
+    A pair whose most famous centre is the same is judged around that centre only.
+    """
+    best = F.max(F.struct("fame", "b")).alias("top")
+    top = seen.select("a", "b").join(fame.withColumnRenamed("class", "b"), "b").groupBy("a").agg(best).select(F.col("a").alias("x"), F.col("top.b").alias("top"))
+    around = seen.select(F.col("b").alias("c"), F.col("a").alias("x"), "n", "o", "rest").join(part, F.col("x") == F.col("node"), "left").withColumn("of", F.coalesce("component", "x")).drop("node", "component").join(top, "x")
     sizes = around.groupBy("c", "of").agg(F.count(F.lit(1)).alias("m"))
     groups = sizes.groupBy("c").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("m", "of")).alias("most")).where("parts > 1").select("c", F.col("most.of").alias("largest"))
     open_ = stage(around.join(groups, "c").withColumn("outside", F.col("of") != F.col("largest")), "open")
-    other = (F.col("of") != F.col("of2")) & (~F.col("outside2") | (F.col("x") < F.col("x2")))
-    second = lambda df: df.withColumnsRenamed({k: f"{k}2" for k in ("x", "n", "o", "of", "outside")})
-    tokens = open_.select("c", "x", "of", "outside", F.explode("rest").alias("t"))
+    other = (F.col("of") != F.col("of2")) & (~F.col("outside2") | (F.col("x") < F.col("x2"))) & ((F.col("top") != F.col("top2")) | (F.col("top") == F.col("c")))
+    second = lambda df: df.withColumnsRenamed({k: f"{k}2" for k in ("x", "n", "o", "of", "outside", "top")})
+    tokens = open_.select("c", "x", "of", "outside", "top", F.explode("rest").alias("t"))
     shared = tokens.where("outside").join(second(tokens), ["c", "t"]).where(other)
-    slim = open_.select("c", "x", "n", "o", "of", "outside")
+    slim = open_.select("c", "x", "n", "o", "of", "outside", "top")
     enough = 7 * F.least("o", "o2") >= 3 * (F.col("n") + F.col("n2"))
     inside = slim.where("outside").join(second(slim), "c").where(other & enough)
     both = shared.select("x", "x2").unionByName(inside.select("x", "x2"))

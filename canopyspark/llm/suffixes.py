@@ -206,8 +206,18 @@ def merged(spans: DataFrame) -> DataFrame:
 
 
 def drop_repeated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with every later occurrence of a repeated passage cut out of ``text`` (words joined by spaces where cut)."""
-    later = merged(repeated_passages(docs, text, key).where("later"))
+    """``docs`` with all but the first occurrence of a repeated passage cut out of ``text`` (words joined by spaces where cut).
+
+    A pass cuts what has an earlier neighbour; passes go on until none is left, a few for very many copies.
+    """
+    while True:
+        later = stage(merged(repeated_passages(docs, text, key).where("later")), "later")
+        if later.isEmpty():
+            return docs
+        docs = stage(_cut(docs, later, text, key), "cut")
+
+
+def _cut(docs: DataFrame, later: DataFrame, text: str, key: str) -> DataFrame:
     keep = docs.columns
     joined = docs.join(later.withColumnRenamed("doc", "_doc"), F.col(key) == F.col("_doc"), "left")
 
