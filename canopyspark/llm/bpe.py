@@ -192,7 +192,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text
         decoded = pa.array([bpe.decode(x) for x in ids] if decode else [None] * len(ids), pa.string())
         return pa.record_batch([*(batch.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(ends), flat), decoded], names=[*keep, "ids", "decoded"])
 
-    return map_batches(docs.select(*[F.col(f"`{c}`") for c in keep]), run, schema)
+    return map_batches(docs.select(*[F.col(f"`{c}`") for c in keep]), run, schema, 12 << 20)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +19,8 @@ PIECES = regex.compile(PATTERN)
 PARTED = regex.compile(rf"\n|{PATTERN}")
 PARTED_ASCII = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 
-#: Chunks remembered in a worker at most; the memory starts anew beyond that.
-REMEMBERED = 1_000_000
-#: Words remembered besides chunks: the same word comes with many punctuation marks.
-WORDS_REMEMBERED = 400_000
+#: Chunks remembered in a worker at most, and words besides: the same word comes with many punctuation marks.
+REMEMBERED, WORDS_REMEMBERED = 500_000, 250_000
 #: Longer chunks (bytes) aren't remembered.
 LONGEST = 64
 
@@ -39,6 +36,31 @@ def split_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(), starts - starts[0]
 
 
+class Memory:
+    """A bounded map: what wasn't asked for while half of the bound was filled anew is forgotten."""
+
+    def __init__(self, bound: int):
+        self.half, self.young, self.old = max(1, bound // 2), {}, {}
+
+    def found(self, keys: list, make: Callable[[list], list]) -> list:
+        """The values of keys; those of unknown ones from one call of ``make``."""
+        if len(self.young) > self.half:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        values = list(map(young.get, keys))
+        lacking = [i for i, v in enumerate(values) if v is None]
+        if old:
+            for i in lacking:
+                values[i] = old.get(keys[i])
+        new = [keys[i] for i in lacking if values[i] is None]
+        made = iter(make(new) if new else ())
+        for i in lacking:
+            if values[i] is None:
+                values[i] = next(made)
+            young[keys[i]] = values[i]
+        return values
+
+
 def laid_out(values: list[bytes], place: np.ndarray) -> tuple[np.ndarray, memoryview]:
     """The values at ``place`` one after another: where each begins and ends, and all of them."""
     laid = pa.array(values, pa.binary()).take(pa.array(place))
@@ -56,11 +78,9 @@ class WordEncoder:
 
     def __init__(self, encode_words: Callable[[list[str]], list[bytes]], encode_raw: Callable[[list[str]], list[bytes]]):
         self.encode_words, self.encode_raw = encode_words, encode_raw
-        self.words: dict[str, bytes] = {"\n": b""}
+        self.words = Memory(WORDS_REMEMBERED)
 
     def encode_new(self, chunks: list[bytes]) -> list[bytes]:
-        if len(self.words) > WORDS_REMEMBERED:
-            self.words = {"\n": b""}
         plain, wide, odd = [], [], []
         for i, c in enumerate(chunks):
             (odd if b"<|" in c else plain if c.isascii() else wide).append(i)
@@ -83,14 +103,15 @@ class WordEncoder:
     def _parted(self, pieces: list[str]) -> list[bytes]:
         coded = pa.array(pieces).dictionary_encode()
         distinct, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        new = list(filterfalse(self.words.__contains__, distinct))
-        self.words.update(zip(new, self.encode_words(new), strict=True))
-        ends, data = laid_out(list(map(self.words.__getitem__, distinct)), place)
-        at = [0, *ends[np.flatnonzero(place == distinct.index("\n")) + 1].tolist()]
+        line = distinct.index("\n")
+        values = self.words.found(distinct[:line] + distinct[line + 1 :], self.encode_words)
+        values.insert(line, b"")
+        ends, data = laid_out(values, place)
+        at = [0, *ends[np.flatnonzero(place == line) + 1].tolist()]
         return [data[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
 
 
-class ChunkEncoder(dict):
+class ChunkEncoder:
     """Chunk -> its ids as little-endian bytes of one width.
 
     Exact for tokenizers whose words never span white space and whose normalisation looks at no neighbour across it.
@@ -98,22 +119,21 @@ class ChunkEncoder(dict):
     """
 
     def __init__(self, encode_new: Callable[[list[bytes]], list[bytes]]):
-        super().__init__({b"": b""})
-        self.encode_new = encode_new
+        self.chunks, self.encode_new = Memory(REMEMBERED), encode_new
 
     def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
         """The ids of each text. Distinct chunks are looked up once; their ids are laid out by Arrow."""
         words, place, starts = split_words(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
-        new = list(filterfalse(self.__contains__, words))
-        if len(self) + len(new) > REMEMBERED:
-            self.clear()
-            self[b""] = b""
-            new = [w for w in words if w]
-        if new:
-            self.update(zip(new, self.encode_new(new), strict=True))
-        ends, data = laid_out(list(map(self.__getitem__, words)), place)
-        for w in new:
+        values = self.chunks.found(words, self._new)
+        ends, data = laid_out(values, place)
+        for w in words:
             if len(w) > LONGEST:
-                del self[w]
+                self.chunks.young.pop(w, None)
         at = ends[starts].tolist()
         return [data[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
+
+    def _new(self, chunks: list[bytes]) -> list[bytes]:
+        made = self.encode_new([c for c in chunks if c])
+        if b"" in chunks:
+            made.insert(chunks.index(b""), b"")
+        return made

@@ -61,11 +61,11 @@ def bounded(spark: SparkSession) -> SparkSession:
     return ship(spark)
 
 
-def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
-    """``mapInArrow`` over pieces of about 8 MB (or one row): small batches go together, large ones are cut."""
+def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str, most: int = 8 << 20) -> DataFrame:
+    """``mapInArrow`` over pieces of about ``most`` bytes (or one row): small batches go together, large ones are cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches):
+        for part in pieces(batches, most):
             out = kernel(part)
             if isinstance(out, pa.RecordBatch):
                 yield out

@@ -161,7 +161,7 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 1, text: st
             return pa.record_batch([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
         size = 0
-        for some in pieces(batches):
+        for some in pieces(batches, 10 << 20):
             for k, ids in zip(some.column("key").to_pylist(), encode(some.column("text")), strict=True):
                 frame = packer.compress(ids + end)
                 keys.append(k)
