@@ -54,7 +54,8 @@ def compact_name(species: Column) -> Column:
 
 
 def elevation_band(metres: Column) -> Column:
-    chosen = F.when(metres < 600, "<600").when(metres < 1000, "600-999").when(metres < 1500, "1000-1499").otherwise(">=1500")
+    # Bands and their upper ends in metres.
+    chosen = F.when(metres < 600, "Low").when(metres < 1000, "Mid").when(metres < 1500, "High").otherwise("Very High")
     return F.when(metres.isNotNull() & ~F.isnan(metres), chosen)
 
 

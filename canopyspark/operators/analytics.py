@@ -81,6 +81,20 @@ def profile_bands(profiles: DataFrame, group: list[str], value: str, doy: str =
     return bands.select(*group, doy, "n", *[F.col("_q")[i].alias(f"q{round(x * 100):02d}") for i, x in enumerate(levels)])
 
 
+def profiles(records: DataFrame, smoothed: DataFrame, keys: list[str], columns: list[str], phases: list[str] | None = None) -> DataFrame:
+    """Q10: ``keys, doy, scaled``: smoothed series of the records, each scaled to [0, 1].
+
+    The value is the first of ``columns`` that the table has and that isn't null. Records without a series have no rows;
+    with ``phases``, neither have those that lack one of these dates.
+    """
+    from .transitions import minmax
+
+    chosen = records if not phases else records.dropna(subset=phases)
+    value = F.coalesce(*[F.col(f"`{c}`") for c in columns if c in smoothed.columns])
+    rows = smoothed.select(*keys, "doy", value.alias("value")).where(F.col("value").isNotNull())
+    return minmax(rows.join(chosen.select(*keys).distinct(), keys), keys, "value").select(*keys, "doy", "scaled")
+
+
 def phase_markers(records: DataFrame, phases: list[str], by: list[str]) -> DataFrame:
     """Q10: median, mean and deviation of each phase in each group."""
     long = records.unpivot(by, phases, "phase", "day")

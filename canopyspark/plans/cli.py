@@ -23,7 +23,8 @@ def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("stage", choices=sorted(LOADERS))
     parser.add_argument("--config", required=True, type=Path)
-    parser.add_argument("--mode", choices=["normal", "check"], default="normal", help="extract: all of a site-year, or only regions without a file")
+    parser.add_argument("--mode", choices=["normal", "check", "plot"], default="normal", help="extract: all of a site-year, only regions without a file, or a picture of each site-year's regions")
+    parser.add_argument("--plot-dir", type=Path, help="extract: where pictures of regions go")
     parser.add_argument("--force", action="store_true", help="process, transitions: write units that are done again")
     parser.add_argument("--exclude-csv", type=Path, help="aggregate: uid, year pairs to leave out")
     parser.add_argument("--master", help="Spark master; by default what spark-submit says")
@@ -34,7 +35,11 @@ def main(args: list[str] | None = None) -> int:
     spark = session(master=given.master)
     log = logging.getLogger(__name__)
     if given.stage == "extract":
-        log.info("extracted: %s", stages.run_extraction(spark, cfg, given.mode))
+        cfg.plot_dir = given.plot_dir or cfg.plot_dir
+        if given.mode == "plot":
+            log.info("pictures: %d", stages.plot_overlays(spark, cfg))
+        else:
+            log.info("extracted: %s", stages.run_extraction(spark, cfg, given.mode))
     elif given.stage == "aggregate":
         if given.exclude_csv is not None:
             cfg.exclude_csv_path = given.exclude_csv

@@ -112,6 +112,34 @@ def run_extraction(spark: SparkSession, cfg: Extraction, mode: str = "normal") -
     return {"units": n, "missing_uids": len(lines)}
 
 
+def plot_overlays(spark: SparkSession, cfg: Extraction, fraction: float = 0.6) -> int:
+    """One picture of each site-year (that at a fraction of its sorted ones) with its regions, as PNG below ``plot_dir``."""
+    from ..functions.overlay import draw, png
+    from ..operators.analytics import row_at_fraction
+
+    ship(spark)
+    polygons = files.read_polygons(spark, str(cfg.polygon_config_path), str(cfg.polygon_files_root))
+    regions_of = polygons.groupBy(*SITE_YEAR).agg(F.collect_list(F.struct("category", "coords")).alias("rois"))
+    pictures = files.read_pictures(spark, str(cfg.image_dataset_root))
+    chosen = row_at_fraction(pictures.select(*SITE_YEAR, "path"), SITE_YEAR, "path", fraction)
+    rows = pictures.join(chosen, [*SITE_YEAR, "path"], "left_semi").join(regions_of, SITE_YEAR)
+    folder = str(cfg.plot_dir)
+
+    def write(batches):
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                picture = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3).copy()
+                os.makedirs(folder, exist_ok=True)
+                with open(os.path.join(folder, f"{r.location}_{r.sublocation}-{r.year}.png"), "wb") as f:
+                    f.write(png(draw(picture, [(x["category"], [list(p) for p in x["coords"]]) for x in r.rois])))
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return rows.select(*SITE_YEAR, "height", "width", "data", "rois").mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 # Stage 2
 
 

@@ -104,6 +104,6 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 RECORDS_SQL = """records AS (
   SELECT c_custkey AS uid, c_mktsegment AS species, c_nationkey % 8 AS site, year(o_orderdate) AS year,
          min(dayofyear(o_orderdate))::DOUBLE AS gu, max(dayofyear(o_orderdate))::DOUBLE AS gd,
-         CASE WHEN max(c_acctbal) / 5 < 600 THEN '<600' WHEN max(c_acctbal) / 5 < 1000 THEN '600-999' WHEN max(c_acctbal) / 5 < 1500 THEN '1000-1499' ELSE '>=1500' END AS band
+         CASE WHEN max(c_acctbal) / 5 < 600 THEN 'Low' WHEN max(c_acctbal) / 5 < 1000 THEN 'Mid' WHEN max(c_acctbal) / 5 < 1500 THEN 'High' ELSE 'Very High' END AS band
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL
 )"""

@@ -80,7 +80,7 @@ def test_expressions(spark):
     assert [r.t for r in out] == [datetime(2022, 10, 27, 12, 30), datetime(2021, 6, 4, 12, 0, 5), None, None]
     assert [r.i for r in out] == [True, False, True, True]
     bands = spark.createDataFrame([(599.0,), (600.0,), (1500.0,), (NAN,), (None,)], "m double").select(X.elevation_band(F.col("m")).alias("b")).collect()
-    assert [r.b for r in bands] == ["<600", "600-999", ">=1500", None, None]
+    assert [r.b for r in bands] == ["Low", "Mid", "Very High", None, None]
     one = spark.range(1).select(
         X.site_label(F.lit("A: b "), {"q": "z"}).alias("label"), X.site_label(F.lit("q"), {"q": "z"}).alias("over"), X.product_prefix(F.lit("i1_2020-GCC-3D-p90-transitions"), F.lit("i1_2020")).alias("prefix"),
         X.hex_to_bgr(F.lit("#ff8001")).alias("bgr"), X.half_even(F.lit(2.125).cast("double"), 2).alias("half"), X.compact_name(F.lit("Fagus sylvatica")).alias("short"), X.date_of_doy(F.lit(2020), F.lit(366)).cast("string").alias("d"),
@@ -142,3 +142,26 @@ def test_agreement_is_camera_minus_reference(spark):
     df = spark.createDataFrame([(1.0, 3.0), (2.0, 4.0), (3.0, 5.5)], "x double, y double")
     r = df.agg(*analytics.agreement("x", "y")).first()
     assert r.bias == pytest.approx(13 / 6) and r.n == 3 and r.slope == pytest.approx(1.25) and r.r2 == pytest.approx(np.corrcoef([1, 2, 3], [3, 4, 5.5])[0, 1] ** 2)
+
+
+def test_profiles_take_the_first_column_there_is(spark):
+    smoothed = spark.createDataFrame([("a", d, None if d == 3 else float(d)) for d in range(1, 6)] + [("b", 1, 1.0), ("c", 1, 1.0)], "uid string, doy int, p90 double")
+    found = spark.createDataFrame([("a", 1.0), ("b", None), ("z", 1.0)], "uid string, up double")
+    out = analytics.profiles(found, smoothed, ["uid"], ["none", "p90"], ["up"]).orderBy("doy").collect()
+    assert [(r.uid, r.doy, r.scaled) for r in out] == [("a", 1, 0.0), ("a", 2, 0.25), ("a", 4, 0.75), ("a", 5, 1.0)]
+
+
+def test_latex_table(spark):
+    from canopyspark.plans.tables import latex
+
+    stats = analytics.group_stats(spark.createDataFrame([("oak", "Low", 1.0), ("oak", "Low", 3.0), ("elm", "Mid", 5.0)], "species string, band string, gu double"), ["species", "band"], ["gu"])
+    text = latex(stats, "species", "band", ["Low", "Mid"], [("GU", "{gu_mean:.1f}"), ("n", "{gu_n}")])
+    assert "elm & -- & -- & 5.0 & 1 \\\\" in text and "oak & 2.0 & 2 & -- & -- \\\\" in text
+
+
+def test_overlay():
+    from canopyspark.functions import overlay
+
+    picture = overlay.draw(np.zeros((40, 60, 3), np.uint8), [("individual tree", [[5, 5], [25, 5], [25, 25], [5, 25]]), ("other", [[30, 30], [31, 31]])])
+    assert picture[5, 10].tolist() == [60, 180, 75] and picture[15, 15].tolist() == [30, 90, 37] and picture[8, 8].tolist() == [0, 0, 0]
+    assert overlay.png(picture)[1:4] == b"PNG"

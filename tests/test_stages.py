@@ -71,6 +71,17 @@ def test_observations_and_metadata(spark, dataset):
     assert not (dataset / "1150_2/i00003").exists()
 
 
+def test_plot_mode(spark, dataset, archive):
+    import canopyspark.functions.expressions as X
+
+    kept, X.PICTURES = X.PICTURES, (*X.PICTURES, ".png")
+    try:
+        assert cli.main(["extract", "--config", str(archive / "one.json"), "--mode", "plot", "--plot-dir", str(archive / "plots")]) == 0
+    finally:
+        X.PICTURES = kept
+    assert [p.name for p in (archive / "plots").iterdir()] == ["1150_2-2022.png"]
+
+
 def test_products_and_flags(spark, dataset):
     folder = dataset / "1150_2/i00001/2022"
     assert len(list(folder.glob("*-product.csv"))) == 6 and len(list(folder.glob("*-smoothed.csv"))) == 6
