@@ -20,7 +20,7 @@ PARTED = regex.compile(rf"\n|{PATTERN}")
 PARTED_ASCII = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 
 #: Chunks remembered in a worker at most, and words besides: the same word comes with many punctuation marks.
-REMEMBERED, WORDS_REMEMBERED = 500_000, 250_000
+REMEMBERED, WORDS_REMEMBERED = 300_000, 150_000
 #: Longer chunks (bytes) aren't remembered.
 LONGEST = 64
 
@@ -76,9 +76,9 @@ class WordEncoder:
     tokens, or whose lower case isn't normalised or depends on neighbours, as they are.
     """
 
-    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], encode_raw: Callable[[list[str]], list[bytes]]):
+    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], encode_raw: Callable[[list[str]], list[bytes]], times: float = 1):
         self.encode_words, self.encode_raw = encode_words, encode_raw
-        self.words = Memory(WORDS_REMEMBERED)
+        self.words = Memory(int(WORDS_REMEMBERED * times))
 
     def encode_new(self, chunks: list[bytes]) -> list[bytes]:
         plain, wide, odd = [], [], []
@@ -118,8 +118,8 @@ class ChunkEncoder:
     ``encode_new`` gets the distinct chunks of a batch that aren't known yet, all at once.
     """
 
-    def __init__(self, encode_new: Callable[[list[bytes]], list[bytes]]):
-        self.chunks, self.encode_new = Memory(REMEMBERED), encode_new
+    def __init__(self, encode_new: Callable[[list[bytes]], list[bytes]], times: float = 1):
+        self.chunks, self.encode_new = Memory(int(REMEMBERED * times)), encode_new
 
     def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
         """The ids of each text. Distinct chunks are looked up once; their ids are laid out by Arrow."""

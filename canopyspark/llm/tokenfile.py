@@ -30,6 +30,8 @@ BLOCKS = "part int, block int, first long, n_docs long, n_tokens long, dictionar
 _encoders: dict[tuple[str, str], ChunkEncoder] = {}
 
 
+#: Times the usual number of chunks and words remembered.
+MEMORY = 2
 #: New words that the library gets in one text.
 TOGETHER = 512
 
@@ -70,7 +72,7 @@ class LibraryEncoder:
 def encoder(path: str, dtype: str) -> ChunkEncoder:
     if (path, dtype) not in _encoders:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _encoders[path, dtype] = ChunkEncoder(WordEncoder((library := LibraryEncoder(path, dtype)).words, library.raw).encode_new)
+        _encoders[path, dtype] = ChunkEncoder(WordEncoder((library := LibraryEncoder(path, dtype)).words, library.raw, MEMORY).encode_new, MEMORY)
     return _encoders[path, dtype]
 
 

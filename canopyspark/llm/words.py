@@ -9,8 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-#: Words remembered in a worker at most; the memory starts anew beyond that.
-REMEMBERED = 400_000
+#: Words remembered in a worker at most, where a value is dear; the memory starts anew beyond that.
+REMEMBERED = 100_000
 
 
 class Remembered(dict):
@@ -32,10 +32,21 @@ class Remembered(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-word_hash = Remembered(xxhash.xxh64_intdigest)
 
+class Computed:
+    """word -> value, computed each time: for values that cost no more than looking them up."""
 
-def hashed_words(texts: pa.Array, lower: bool, *of: Remembered) -> list[tuple[np.ndarray, ...]]:
+    def __init__(self, of: Callable[[bytes], int]):
+        self.of = of
+
+    def array(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.of, words), np.uint64, len(words))
+
+
+word_hash = Computed(xxhash.xxh64_intdigest)
+
+
+def hashed_words(texts: pa.Array, lower: bool, *of: Remembered | Computed) -> list[tuple[np.ndarray, ...]]:
     """For each text of a column, the values of its words in order, an array for each of ``of``; null texts have no words.
 
     Words stand between ASCII white space; with ``lower``, A-Z first become lower case. Distinct words of the column are
