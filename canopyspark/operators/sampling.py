@@ -68,20 +68,36 @@ def modal_year(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
 
 
 def daily_counts(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
-    """``keys, date, doy, n`` for every day of each series' modal year, 0 where nothing was observed."""
-    counts = df.groupBy(*keys, F.to_date(ts).alias("date")).agg(F.count(F.lit(1)).alias("n"))
-    calendar = modal_year(df, keys, ts).select(*keys, F.explode(F.sequence(F.make_date("modal_year", F.lit(1), F.lit(1)), F.make_date("modal_year", F.lit(12), F.lit(31)))).alias("date"))
-    return calendar.join(counts, [*keys, "date"], "left").select(*keys, "date", F.dayofyear("date").alias("doy"), F.coalesce("n", F.lit(0)).alias("n"))
+    """``keys, date, doy, n`` for every day of each series' modal year, 0 where nothing was observed.
 
-
-def change_point(df: DataFrame, keys: list[str], value: str = "n", order: str = "doy") -> DataFrame:
-    """``keys, k, stat``: the split before row k (from 0) that makes the largest standardised shift of the mean, the first on ties."""
+    Counts by day, then one exchange by the keys: the modal year and the gaps between days are windows.
+    """
     by = W.partitionBy(*keys)
+    days = df.groupBy(*keys, F.to_date(ts).alias("_day")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_day").isNotNull()).withColumn("_y", F.year("_day"))
+    days = days.withColumn("_total", F.sum("_n").over(W.partitionBy(*keys, "_y")))
+    days = days.withColumn("_modal", F.max(F.struct("_total", (-F.col("_y")).alias("y"))).over(by)).where(F.col("_y") == -F.col("_modal.y"))
+    line = by.orderBy("_day")
+    days = days.withColumn("_before", F.lag("_day").over(line)).withColumn("_next", F.lead("_day").over(line))
+    first = F.when(F.col("_before").isNull(), F.make_date("_y", F.lit(1), F.lit(1))).otherwise(F.col("_day"))
+    last = F.coalesce(F.date_sub("_next", 1), F.make_date("_y", F.lit(12), F.lit(31)))
+    filled = days.withColumn("date", F.explode(F.sequence(first, last)))
+    return filled.select(*keys, "date", F.dayofyear("date").alias("doy"), F.when(F.col("date") == F.col("_day"), F.col("_n")).otherwise(0).alias("n"))
+
+
+def _with_shift(df: DataFrame, parts: list[str], value: str, order: str) -> DataFrame:
+    """Adds ``_i`` (from 1) and ``_stat``: the standardised shift of the mean after row i, null where no split is judged."""
+    by = W.partitionBy(*parts)
     rows = df.withColumn("_i", F.row_number().over(by.orderBy(order))).withColumn("_sum", F.sum(value).over(by.orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
-    rows = rows.withColumn("_n", F.count(F.lit(1)).over(by)).withColumn("_total", F.sum(value).over(by)).where((F.col("_i") < F.col("_n")) & (F.col("_n") >= 10))
-    shift = F.abs((F.col("_total") - F.col("_sum")) / (F.col("_n") - F.col("_i")) - F.col("_sum") / F.col("_i"))
+    rows = rows.withColumn("_n", F.count(F.lit(1)).over(by)).withColumn("_total", F.sum(value).over(by))
+    shift = F.abs((F.col("_total") - F.col("_sum")) / F.nullif(F.col("_n") - F.col("_i"), F.lit(0)) - F.col("_sum") / F.col("_i"))
     stat = shift * F.sqrt(F.col("_i") * (F.col("_n") - F.col("_i")) / F.col("_n"))
-    return rows.groupBy(*keys).agg(F.max(F.struct(stat.alias("stat"), (-F.col("_i")).alias("i"))).alias("b")).select(*keys, (-F.col("b.i")).cast("int").alias("k"), F.col("b.stat").alias("stat"))
+    return rows.withColumn("_stat", F.when((F.col("_i") < F.col("_n")) & (F.col("_n") >= 10), stat)).drop("_sum", "_n", "_total")
+
+
+def change_point(df: DataFrame, keys: list[str], value: str = "n", order: str = "doy") -> DataFrame:
+    """``keys, k, stat``: the split before row k (from 0) that makes the largest standardised shift of the mean, the first on ties."""
+    rows = _with_shift(df, keys, value, order).where(F.col("_stat").isNotNull())
+    return rows.groupBy(*keys).agg(F.max(F.struct(F.col("_stat").alias("stat"), (-F.col("_i")).alias("i"))).alias("b")).select(*keys, (-F.col("b.i")).cast("int").alias("k"), F.col("b.stat").alias("stat"))
 
 
 def step_detector(df: DataFrame, keys: list[str], ts: str = "ts", low: int = 60, high: int = 320) -> DataFrame:
@@ -91,9 +107,11 @@ def step_detector(df: DataFrame, keys: list[str], ts: str = "ts", low: int = 60,
     change point is sought in season, what lies before and after it in the whole year. ``reason`` says why no split was
     judged ("pre_filter", "too_few_obs"); best_doy is given wherever one was.
     """
-    counts = daily_counts(df, keys, ts)
-    split = change_point(counts.where(F.col("doy").between(low, high)), keys).withColumn("k", F.col("k") + low - 1)
-    rows = counts.join(split, keys)
+    counts = daily_counts(df, keys, ts).withColumn("_in", F.col("doy").between(low, high))
+    rows = _with_shift(counts, [*keys, "_in"], "n", "doy")
+    found = F.when(F.col("_in") & F.col("_stat").isNotNull(), F.struct(F.col("_stat").alias("stat"), (-F.col("_i")).alias("i")))
+    rows = rows.withColumn("_best", F.max(found).over(W.partitionBy(*keys)))
+    rows = rows.withColumn("k", (-F.col("_best.i") + low - 1).cast("int")).withColumn("stat", F.col("_best.stat"))
     here, before = F.col("n") > 0, F.col("doy") <= F.col("k")
     one = lambda c, v: F.when(c, v)
     out = rows.groupBy(*keys, "k", "stat").agg(

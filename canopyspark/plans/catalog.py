@@ -218,7 +218,7 @@ def _cv_sql(candidates: tuple[int, ...] = (3, 5, 7, 9), folds: int = 5, longest:
     return f"""WITH {BINS_SQL}, folds(n, f) AS (VALUES {table}), r AS (SELECT uid, year, p90, row_number() OVER (PARTITION BY uid, year ORDER BY doy) AS pos, count(*) OVER (PARTITION BY uid, year) AS n FROM bins),
 z AS (SELECT r.*, f[pos] AS fold FROM r JOIN folds ON folds.n = r.n), y AS (SELECT *, {predictions} FROM z), x AS (SELECT uid, year, n, fold, p90, {picked} FROM y),
 e AS (SELECT uid, year, n, fold, {", ".join(f"avg((p90 - q{w}) ** 2) AS e{w}" for w in candidates)} FROM x GROUP BY ALL), m AS (SELECT uid, year, n, {", ".join(f"avg(e{w}) AS m{w}" for w in candidates)} FROM e GROUP BY ALL)
-SELECT uid::BIGINT AS uid, year::BIGINT AS year, n, {"CASE " + " ".join(f"WHEN m{w} = least({', '.join(f'm{v}' for v in candidates)}) THEN {w}" for w in candidates) + " END"} AS best, round(least({", ".join(f"m{w}" for w in candidates)}), 6) AS mse FROM m"""
+SELECT uid::BIGINT AS uid, year::BIGINT AS year, n, {"CASE " + " ".join(f"WHEN m{w} = least({', '.join(f'm{v}' for v in candidates)}) THEN {w}" for w in candidates) + " END"}::BIGINT AS best, round(least({", ".join(f"m{w}" for w in candidates)}), 6) AS mse FROM m"""
 
 
 @query(_cv_sql())
