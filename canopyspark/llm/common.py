@@ -104,6 +104,16 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x if x is not None else "" for x in column.to_pylist()]
 
 
+def bounded_sample(df: DataFrame, rows: int, h: str = "h") -> DataFrame:
+    """At most ``rows`` rows, those of the smallest hashes in ``h`` among an even share of all hashes.
+
+    The share is chosen from the number of rows so that about twice as many lie in it; so what tasks send for the
+    selection doesn't grow with their number.
+    """
+    share = max(1, df.count() // (2 * rows))
+    return df.where(F.pmod(F.shiftrightunsigned(h, 16), F.lit(share)) == 0).orderBy(h).limit(rows)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to lower case and nothing else. ``lower`` does it unless another upper-case letter is there."""
     wide = text.rlike(r"[\p{Lu}\p{Lt}\p{Nl}\p{So}&&[^\x00-\x7F]]")

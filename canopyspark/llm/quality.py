@@ -11,11 +11,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, map_batches
+from .common import bounded, bounded_sample, map_batches
 from .words import Remembered, hashed_words, runs, scatter, word_hash
 
 BITS = 20
-#: Labelled rows that the classifier is fitted on at most, those of the smallest hashes of doc_id.
+#: Labelled rows that the classifier is fitted on at most, chosen by hash of doc_id.
 TRAINING_ROWS = 4000
 EPOCHS, ALPHA, BETA, L1, L2 = 2, 0.5, 0.1, 0.0, 0.0
 CUT = 0.7
@@ -95,13 +95,14 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAINING_ROWS, text: str = "text") -> Weights:
     """Learn ``label`` (0 or 1) of documents, from labelled rows that aren't held out.
 
-    At most ``rows`` labels are used, those of the smallest hashes of doc_id; a null label or id is none. Features are
+    At most ``rows`` labels are used, chosen by hash of doc_id; a null label or id is none. Features are
     made on the executors; one task reads them in hash order, so the result is the same each time. Only the weights
     (4 MB) reach the driver. Without a label there are no weights and every score is 1.
     """
     spark = bounded(docs.sparkSession)
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = chosen.select("doc_id", F.col(label).cast("double").alias("y"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", "y").limit(rows)
+    chosen = chosen.select("doc_id", F.col(label).cast("double").alias("y"), F.xxhash64("doc_id").alias("h"))
+    chosen = bounded_sample(chosen, rows)
     known = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("h", "y", "text")
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .chunks import ChunkEncoder, WordEncoder
-from .common import bounded, new_path, pieces
+from .common import bounded, bounded_sample, new_path, pieces
 
 #: Rows that the dictionary is trained on, and its size in bytes: the bounds of what reaches the driver.
 TRAINING_ROWS, TRAINING_CHARS, DICTIONARY_BYTES = 1000, 20_000, 32 << 10
@@ -122,8 +122,8 @@ class Block:
 
 
 def train(docs: DataFrame, path: str, dtype: str, text: str, key: str) -> bytes:
-    """A dictionary from at most TRAINING_ROWS rows, those of the smallest hashes (empty if they are too few to train on)."""
-    rows = docs.select(F.substring(F.coalesce(F.col(text), F.lit("")), 1, TRAINING_CHARS).alias("t"), F.xxhash64(key).alias("h")).orderBy("h").limit(TRAINING_ROWS).collect()
+    """A dictionary from at most TRAINING_ROWS rows, chosen by hash of the key (empty if they are too few to train on)."""
+    rows = bounded_sample(docs.select(F.substring(F.coalesce(F.col(text), F.lit("")), 1, TRAINING_CHARS).alias("t"), F.xxhash64(key).alias("h")), TRAINING_ROWS).collect()
     samples = [x for x in encoder(path, dtype).encode([r.t for r in rows]) if x]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded, map_batches, stage
+from .common import bounded, bounded_sample, map_batches, stage
 
-#: Pivots are the farthest of each other among at most SAMPLE vectors (those of the smallest hashes of their ids).
+#: Pivots are the farthest of each other among at most SAMPLE vectors, chosen by hash of their ids.
 PIVOTS, SAMPLE = 32, 512
 #: Distance rings of a pivot in the histogram, vectors a block, queries a chunk.
 RINGS, BLOCK, CHUNK = 64, 2048, 512
@@ -102,7 +102,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
     rows = sound.where(F.size(vector) == dim).select(F.col(key).cast("long").alias("id"), is_query.alias("q"), whole.alias("v"))
 
     most = float(np.sqrt(rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).first()[0]))
-    sample = rows.select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(SAMPLE).collect()
+    sample = bounded_sample(rows.select("v", F.xxhash64("id").alias("h")), SAMPLE).collect()
     pivots = Pivots(np.array([r.v for r in sample], np.int64), most)
     width = 2 * most / RINGS + 1e-9
 
