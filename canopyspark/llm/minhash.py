@@ -18,6 +18,8 @@ from .words import hashed_words, once, runs, word_hash
 SHINGLE, BANDS, ROWS = 5, 32, 4
 #: Two signatures must agree in this share of places before their sets are compared: 5 deviations below 0.75.
 AGREE = 0.56
+#: Shingles and sets in a chunk of members that are compared at once.
+CHUNK_TOKENS, CHUNK_SETS = 8192, 256
 _random = np.random.default_rng(20240601)
 # Universal hashing of the high half of a shingle's hash: a * x + b with odd a, modulo 2^32.
 _A = _random.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
@@ -66,10 +68,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     1. Rows with equal sets form a class, named by its smallest key; only classes go on, so copies cost a count.
     2. Each band of a class's signature is a bucket. The member of a bucket that lies in the most populous buckets is
        its centre; each other member is compared with it: first signatures, then full sets. Components of these links.
-    3. A link (x, y) of a bucket with centre c shares either a shingle outside c, or so many inside that the smaller of
-       the overlaps with c suffices. So members of c's buckets that lie in different components are paired only where
-       they share one of their first shingles outside c (the prefix that a link must meet), or where those overlaps
-       suffice; then they are compared in full. Components of all links.
+    3. In the buckets of one centre, members of different components are compared in full: those outside the largest
+       component with all others, chunk by chunk; what comes out is one link for two components. So no link in a bucket is
+       lost, no pair becomes a row, and groups that are one component by then cost nothing. Components of all links.
 
     Scale: buckets are counted with pre-aggregation and joined back on (band, hash), never gathered; what moves is
     32 short rows a class, and texts only of the classes in compared pairs. The joins are sort-merge joins that AQE
@@ -105,7 +106,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     texts = source.where(F.col("key").isNotNull())
     seen = stage(compared(stage(first, "pairs"), texts), "found")
     part = components(seen.where("link").select("a", "b"))
-    found = stage(verified(stage(_further(seen, part, fame), "pairs"), texts), "found")
+    found = stage(_further(seen, part, fame), "found")
     if not found.isEmpty():
         # The first links are stars by now; only their stars and the new links are needed.
         part = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
@@ -130,25 +131,55 @@ def runs_of_rows(rows: np.ndarray) -> np.ndarray:
 
 
 def _further(seen: DataFrame, part: DataFrame, fame: DataFrame) -> DataFrame:
-    """Pairs (a > b) around one centre, of different components, that could be linked by what is known of each and the centre.
+    """Links (a, b) between different components among the members around one centre, one for two components and chunks.
 
-    A pair whose most famous centre is the same is judged around that centre only.
+    Members are dealt to chunks of about CHUNK_TOKENS shingles and CHUNK_SETS sets; chunks of members outside the largest
+    component meet all chunks of the centre. Overlaps are a product of 0/1 matrices over the shingles that both chunks
+    hold. Two members whose most famous centre is the same are compared around that centre only.
     """
     best = F.max(F.struct("fame", "b")).alias("top")
     top = seen.select("a", "b").join(fame.withColumnRenamed("class", "b"), "b").groupBy("a").agg(best).select(F.col("a").alias("x"), F.col("top.b").alias("top"))
-    around = seen.select(F.col("b").alias("c"), F.col("a").alias("x"), "n", "o", "rest").join(part, F.col("x") == F.col("node"), "left").withColumn("of", F.coalesce("component", "x")).drop("node", "component").join(top, "x")
-    sizes = around.groupBy("c", "of").agg(F.count(F.lit(1)).alias("m"))
-    groups = sizes.groupBy("c").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("m", "of")).alias("most")).where("parts > 1").select("c", F.col("most.of").alias("largest"))
-    open_ = stage(around.join(groups, "c").withColumn("outside", F.col("of") != F.col("largest")), "open")
-    other = (F.col("of") != F.col("of2")) & (~F.col("outside2") | (F.col("x") < F.col("x2"))) & ((F.col("top") != F.col("top2")) | (F.col("top") == F.col("c")))
-    second = lambda df: df.withColumnsRenamed({k: f"{k}2" for k in ("x", "n", "o", "of", "outside", "top")})
-    tokens = open_.select("c", "x", "of", "outside", "top", F.explode("rest").alias("t"))
-    shared = tokens.where("outside").join(second(tokens), ["c", "t"]).where(other)
-    slim = open_.select("c", "x", "n", "o", "of", "outside", "top")
-    enough = 7 * F.least("o", "o2") >= 3 * (F.col("n") + F.col("n2"))
-    inside = slim.where("outside").join(second(slim), "c").where(other & enough)
-    both = shared.select("x", "x2").unionByName(inside.select("x", "x2"))
-    return both.select(F.greatest("x", "x2").alias("a"), F.least("x", "x2").alias("b")).distinct()
+    around = seen.select(F.col("b").alias("c"), F.col("a").alias("x"), "s").join(part, F.col("x") == F.col("node"), "left").withColumn("of", F.coalesce("component", "x")).drop("node", "component").join(top, "x")
+    sizes = around.groupBy("c", "of").agg(F.count(F.lit(1)).alias("m"), F.sum(F.size("s")).alias("t"))
+    groups = sizes.groupBy("c").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("m", "of")).alias("most"), F.sum("m").alias("m"), F.sum("t").alias("t")).where("parts > 1")
+    chunks = F.greatest(F.ceil(F.col("m") / CHUNK_SETS), F.ceil(F.col("t") / CHUNK_TOKENS))
+    groups = groups.select("c", F.col("most.of").alias("largest"), chunks.alias("chunks"))
+    open_ = stage(around.join(groups, "c").withColumn("chunk", F.pmod(F.xxhash64("x"), F.col("chunks"))), "open")
+    packed = lambda df, name: df.groupBy("c", "chunk").agg(F.collect_list(F.struct("x", "of", "top", "s")).alias(name)).drop("chunk")
+    met = packed(open_.where(F.col("of") != F.col("largest")), "p").join(packed(open_, "q"), "c")
+    return map_batches(met.select("c", "p", "q"), _links, "a long, b long").distinct()
+
+
+def _links(batch: pa.RecordBatch) -> pa.RecordBatch:
+    found = []
+    for c, p, q in zip(batch.column("c").to_pylist(), batch.column("p"), batch.column("q"), strict=True):
+        (x, of, top, sets), (x2, of2, top2, sets2) = _unpacked(p), _unpacked(q)
+        common = np.intersect1d(np.concatenate(sets), np.concatenate(sets2))
+        both = _incidence(sets, common) @ _incidence(sets2, common).T
+        n, n2 = (np.array([len(s) for s in t]) for t in (sets, sets2))
+        link = (7 * both >= 3 * (n[:, None] + n2[None, :])) & (of[:, None] != of2[None, :])
+        link &= (top[:, None] != top2[None, :]) | (top[:, None] == c)
+        i, j = np.nonzero(link)
+        if len(i):
+            _, one = np.unique(np.stack([of[i], of2[j]]), axis=1, return_index=True)
+            found.append(np.stack([x[i[one]], x2[j[one]]]))
+    a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+    return pa.record_batch([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+
+def _unpacked(members: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    fields = members.values
+    x, of, top = (fields.field(name).to_numpy() for name in ("x", "of", "top"))
+    return x, of, top, [s.values.to_numpy() for s in fields.field("s")]
+
+
+def _incidence(sets: list[np.ndarray], shingles_: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sets), len(shingles_)), np.float32)
+    for i, s in enumerate(sets):
+        at = np.searchsorted(shingles_, s)
+        at[at == len(shingles_)] = 0
+        out[i, at[shingles_[at] == s] if len(shingles_) else []] = 1
+    return out
 
 
 def _joined(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -169,35 +200,16 @@ def linked(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -
 
 
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """For each pair (a, centre b): ``link``, the set size ``n`` of a, its overlap ``o`` with b, and ``rest``.
-
-    ``rest``: the least of a's shingles outside b, as many as any link of a must meet one of. A link of a needs an
-    overlap of 3/4 of n at least, so 3n/4 - o of these (one at least) are shared; all but so many, and one, suffice.
-    """
+    """For each pair (a, centre b): whether it is a link, and the shingles ``s`` of a."""
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        link, n, o, rest = [], [], [], []
+        link, sets = [], []
         for p, q in _sets(batch):
             link.append(linked(p, q))
-            own = np.setdiff1d(p[0], q[0], assume_unique=True)
-            n.append(len(p[0]))
-            o.append(len(p[0]) - len(own))
-            need = max(1, -(-(3 * n[-1] - 4 * o[-1]) // 4))
-            rest.append(_signed(own[: max(0, len(own) - need + 1)]))
-        columns = [batch.column("a"), batch.column("b"), pa.array(link), pa.array(n, pa.int64()), pa.array(o, pa.int64()), pa.array(rest, pa.list_(pa.int64()))]
-        return pa.record_batch(columns, names=["a", "b", "link", "n", "o", "rest"])
-
-    return map_batches(_joined(pairs, texts), compare, "a long, b long, link boolean, n long, o long, rest array<long>")
-
-
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs of keys whose texts are linked."""
-
-    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = [i for i, (p, q) in enumerate(_sets(batch)) if linked(p, q)]
-        return batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            sets.append(_signed(p[0]))
+        return pa.record_batch([batch.column("a"), batch.column("b"), pa.array(link, pa.bool_()), pa.array(sets, pa.list_(pa.int64()))], names=["a", "b", "link", "s"])
 
-    return map_batches(_joined(pairs, texts), compare, "a long, b long")
+    return map_batches(_joined(pairs, texts), compare, "a long, b long, link boolean, s array<long>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
