@@ -14,6 +14,8 @@ from ..session import ship
 
 #: ASCII white space, as ``bytes.split`` and ``bytes.strip`` take it.
 SPACE = " \t\n\x0b\x0c\r"
+#: Rows in an Arrow batch: the default of 10,000 whole texts can be hundreds of MB, once in the JVM and twice in Python.
+BATCH_ROWS = 512
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -35,11 +37,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends here and a lost executor costs nothing before it."""
+def stage(df: DataFrame, name: str, partition_by: str | None = None, batch_rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: lineage ends here and a lost executor costs nothing before it.
+
+    ``batch_rows``: rows in an Arrow batch of this write, where they are large.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
+    if batch_rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    try:
+        writer = df.write.partitionBy(partition_by) if partition_by else df.write
+        writer.parquet(path)
+    finally:
+        if batch_rows:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -51,10 +62,6 @@ def drop_staged(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Rows in an Arrow batch: the default of 10,000 whole texts can be hundreds of MB, once in the JVM and twice in Python.
-BATCH_ROWS = 512
-
-
 def bounded(spark: SparkSession) -> SparkSession:
     """The session, its Python workers set up for texts: the package there, and small Arrow batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

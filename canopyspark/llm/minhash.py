@@ -106,7 +106,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     texts = source.where(F.col("key").isNotNull())
     seen = stage(compared(stage(first, "pairs"), texts), "found")
     part = components(seen.where("link").select("a", "b"))
-    found = stage(_further(seen, part, fame), "found")
+    found = stage(_further(seen, part, fame), "found", batch_rows=16)
     if not found.isEmpty():
         # The first links are stars by now; only their stars and the new links are needed.
         part = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
@@ -145,8 +145,12 @@ def _further(seen: DataFrame, part: DataFrame, fame: DataFrame) -> DataFrame:
     chunks = F.greatest(F.ceil(F.col("m") / CHUNK_SETS), F.ceil(F.col("t") / CHUNK_TOKENS))
     groups = groups.select("c", F.col("most.of").alias("largest"), chunks.alias("chunks"))
     open_ = stage(around.join(groups, "c").withColumn("chunk", F.pmod(F.xxhash64("x"), F.col("chunks"))), "open")
-    packed = lambda df, name: df.groupBy("c", "chunk").agg(F.collect_list(F.struct("x", "of", "top", "s")).alias(name)).drop("chunk")
-    met = packed(open_.where(F.col("of") != F.col("largest")), "p").join(packed(open_, "q"), "c")
+    # A large group's chunks are dealt to several parts, eight to each, and meet all chunks there.
+    parts = F.ceil(F.col("chunks") / 8)
+    packed = lambda df, name: df.groupBy("c", "chunk", "chunks").agg(F.collect_list(F.struct("x", "of", "top", "s")).alias(name))
+    ones = packed(open_.where(F.col("of") != F.col("largest")), "p").select("c", F.pmod("chunk", parts).alias("part"), "p")
+    others = packed(open_, "q").select("c", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "q")
+    met = ones.join(others, ["c", "part"])
     return map_batches(met.select("c", "p", "q"), _links, "a long, b long").distinct()
 
 
