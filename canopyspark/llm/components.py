@@ -16,19 +16,23 @@ def components(edges: DataFrame) -> DataFrame:
     pre-aggregated and joined back, so a hub's neighbours are never gathered in one task.
     """
     now = stage(_clean(edges), "links")
-    while True:
-        if now.isEmpty():
-            break
+    mark = _mark(now)
+    while mark[0]:
         small = stage(_small_star(_large_star(now)), "links")
-        changed = not small.exceptAll(now).isEmpty() or not now.exceptAll(small).isEmpty()
         drop_staged(now)
-        now = small
-        if not changed:
+        now, old, mark = small, mark, _mark(small)
+        if mark == old:
             break
     # Stars around the smallest nodes: (larger, smallest).
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """Number of links and sums of their hashes: the same for the same set of links."""
+    h = F.xxhash64("a", "b")
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.shiftright(h, 32)), F.sum(h.bitwiseAND(F.lit((1 << 32) - 1)))).first())
+
+
 def _clean(edges: DataFrame) -> DataFrame:
     """Each link once, larger node first, no loops."""
     return edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -37,7 +41,8 @@ def _clean(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return _clean(both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+    # Repeated links do no harm to the minima that follow.
+    return both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
