@@ -20,7 +20,7 @@ PARTED = regex.compile(rf"\n|{PATTERN}")
 PARTED_ASCII = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 
 #: Chunks remembered in a worker at most, and words besides: the same word comes with many punctuation marks.
-REMEMBERED, WORDS_REMEMBERED = 300_000, 150_000
+REMEMBERED, WORDS_REMEMBERED = 160_000, 80_000
 #: Longer chunks (bytes) aren't remembered.
 LONGEST = 64
 

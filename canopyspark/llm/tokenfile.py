@@ -31,7 +31,7 @@ _encoders: dict[tuple[str, str], ChunkEncoder] = {}
 
 
 #: Times the usual number of chunks and words remembered.
-MEMORY = 2
+MEMORY = 3.75
 #: New words that the library gets in one text.
 TOGETHER = 512
 
