@@ -68,15 +68,25 @@ def suffixes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def matches(x: np.ndarray, y: np.ndarray, at: list[tuple[int, int]]) -> set[tuple[int, int, int]]:
-    """Extends anchors (position in x, position in y) left and right: (start in x, start in y, words) of at least MIN_WORDS."""
+    """Extends anchors (position in x, position in y) left and right: (start in x, start in y, words) of at least MIN_WORDS.
+
+    Shifts of long overlaps come first; one whose words all lie in matches already, on both sides, is left out, as it
+    adds no word. So two equal texts of one repeated word cost one comparison and not one a word.
+    """
     out = set()
+    bare_x, bare_y = np.ones(len(x), bool), np.ones(len(y), bool)
+    places = []
     for shift in {q - p for p, q in at}:
         i, j = max(0, -shift), max(0, shift)
-        n = min(len(x) - i, len(y) - j)
+        places.append((min(len(x) - i, len(y) - j), i, j))
+    for n, i, j in sorted(places, reverse=True):
+        if not bare_x[i : i + n].any() and not bare_y[j : j + n].any():
+            continue
         unlike = np.flatnonzero(np.concatenate([[True], x[i : i + n] != y[j : j + n], [True]]))
         for s, length in zip(unlike[:-1], np.diff(unlike) - 1, strict=True):
             if length >= MIN_WORDS:
                 out.add((i + int(s), j + int(s), int(length)))
+                bare_x[i + s : i + s + length] = bare_y[j + s : j + s + length] = False
     return out
 
 
@@ -98,6 +108,85 @@ def neighbours(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([place[ok], place[alone]]), np.concatenate([before[ok], after[alone]])
 
 
+#: Rows of :func:`linked`: pairs; rows of a partition's first run, whose neighbour before may lie in an earlier partition;
+#: rows whose neighbour after may lie in a later one; runs at the edges of a partition.
+PAIR, HEAD, TAIL, RUN = range(4)
+
+
+def linked(batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """``kind, a, pa, b, pb, h``: :func:`neighbours` over the batches (key, document, position) of a sorted partition.
+
+    A run is the rows of one key and document that lie together. Between batches the last rows of the last two runs are
+    held, and of a run that has no run of its key before it, all positions, until the run after it is seen.
+    HEAD and TAIL rows have no ``b``. RUN rows are the first two and the last two runs: document, first position, place
+    among these, last position.
+    """
+    runs: list[list[int]] = []  # h, doc, first position, last position
+    count = 0
+    pending: list[np.ndarray] = []
+
+    def same(value: int, n: int) -> np.ndarray:
+        return np.full(n, value, np.int64)
+
+    for h, doc, pos in batches:
+        n = len(h)
+        if not n:
+            continue
+        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]))
+        last = np.concatenate([first[1:], [n]]) - 1
+        goes_on = bool(runs) and runs[-1][:2] == [h[0], doc[0]]
+        held = [(r[0], r[1], r[3]) for r in runs[-2:]]
+        old = len(held)
+        ch, cd, cp = (np.concatenate([np.array(o, np.int64), c]) for o, c in zip(zip(*held, strict=True) if held else [()] * 3, (h, doc, pos), strict=True))
+        i, j = neighbours(ch, cd)
+        opening = int(last[0]) + 1 if count == 0 or (count == 1 and goes_on) else 0
+        if opening:
+            yield HEAD, doc[:opening], pos[:opening], same(0, opening), same(0, opening), int(h[0])
+        new = i >= old + opening
+        yield PAIR, cd[i[new]], cp[i[new]], cd[j[new]], cp[j[new]], 0
+        if pending and not (goes_on and len(first) == 1):
+            k = int(first[1]) if goes_on else 0
+            if h[k] == runs[-1][0]:
+                for p in pending:
+                    yield PAIR, same(runs[-1][1], len(p)), p, same(doc[k], len(p)), same(pos[k], len(p)), 0
+            pending = []
+        before = h[first[-1] - 1] if len(first) > 1 else runs[-2 if goes_on else -1][0] if not opening else h[-1]
+        if before != h[-1]:
+            pending.append(pos[first[-1] :].copy())
+        if goes_on:
+            runs[-1][3] = int(pos[last[0]])
+        fresh = range(int(goes_on), len(first))
+        for r in sorted({*fresh[:2], *fresh[-2:]}):
+            runs.append([int(h[first[r]]), int(doc[first[r]]), int(pos[first[r]]), int(pos[last[r]])])
+        count += len(fresh)
+        runs = runs if len(runs) <= 4 else runs[:2] + runs[-2:]
+    for p in pending:
+        yield TAIL, same(runs[-1][1], len(p)), p, same(0, len(p)), same(0, len(p)), runs[-1][0]
+    for place, (key, d, start, stop) in enumerate(runs):
+        yield RUN, same(d, 1), same(start, 1), same(place, 1), same(stop, 1), key
+
+
+def outside(runs: list[tuple[int, int, int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """``part, kind, b, pb``: what HEAD and TAIL rows of each partition pair with, from the RUN rows of all (partition,
+    place, key, document, first and last position)."""
+    whole: list[list[int]] = []  # key, document, first and last position of runs joined over partitions
+    of: dict[int, list[int]] = {}
+    for part, _, h, doc, start, stop in sorted(runs):
+        if whole and whole[-1][:2] == [h, doc]:
+            whole[-1][3] = stop
+        else:
+            whole.append([h, doc, start, stop])
+        of.setdefault(part, []).append(len(whole) - 1)
+    out = []
+    for part, own in of.items():
+        for kind, r in ((HEAD, own[0]), (TAIL, own[-1])):
+            if r and whole[r - 1][0] == whole[r][0]:
+                out.append((part, kind, whole[r - 1][1], whole[r - 1][3]))
+            elif r + 1 < len(whole) and whole[r + 1][0] == whole[r][0]:
+                out.append((part, kind, whole[r + 1][1], whole[r + 1][2]))
+    return out
+
+
 def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc, start, stop, later``: spans of words, of at least MIN_WORDS each, that other documents hold, too.
 
@@ -107,8 +196,8 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
 
     1. Suffixes at minimiser positions are keyed by hashes of the words that follow.
     2. All suffixes are sorted by range; neighbours that share SHARED words and lie in different documents are pairs.
-       A key of very many suffixes spans partitions (its rows are told apart by what follows, document and place); the
-       rows at both edges of a partition, two a partition, meet on the driver.
+       A key of very many suffixes spans partitions (its rows are told apart by what follows, document and place); what
+       rows at the edges of a partition pair with is found on the driver from four runs a partition.
     3. Pairs of documents are joined to their texts, and each match is extended left and right.
     """
     spark = bounded(docs.sparkSession)
@@ -126,52 +215,18 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
     ordered = array.repartitionByRange(*fields).sortWithinPartitions(*fields)
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Neighbours, and as rows of ``part`` >= 0 the first and the last suffix of the partition."""
-        names = ["a", "pa", "b", "pb", "part", "h"]
-
-        def rows(a: np.ndarray, b: np.ndarray, part: int, h: np.ndarray) -> pa.RecordBatch:
-            columns = [doc[a], pos[a], doc[b], pos[b], np.full(len(a), part), h]
-            return pa.record_batch([pa.array(c.astype(np.int64)) for c in columns], names=names)
-
-        held: list[np.ndarray] | None = None
-        first = True
-        for batch in batches:
-            now = [batch.column(c).to_numpy() for c in ("h", "doc", "pos")]
-            if not len(now[0]):
-                continue
-            old = 0
-            if held is not None:
-                old = len(held[0])
-                now = [np.concatenate(c) for c in zip(held, now, strict=True)]
-            h, doc, pos = now
-            if first:
-                yield rows(np.array([0]), np.array([0]), TaskContext.get().partitionId(), h[:1])
-                first = False
-            i, j = neighbours(h, doc)
-            new = (i >= old) | (j >= old)
-            yield rows(i[new], j[new], -1, h[i[new]])
-            # The last document of another key or run is all that later rows can need.
-            run = np.flatnonzero((h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))
-            start = int(run[-2]) + 1 if len(run) > 1 else 0
-            held = [c[max(start, len(h) - 4096) :] for c in now]
-        if held is not None:
-            h, doc, pos = held
-            yield rows(np.array([len(h) - 1]), np.array([len(h) - 1]), TaskContext.get().partitionId(), h[-1:])
-
-    found = stage(ordered.select("h", "doc", "pos").mapInArrow(paired, "a long, pa long, b long, pb long, part long, h long"), "neighbours")
-    edges = found.where("part >= 0").orderBy("part").collect()
-    ends: dict[int, list] = {}
-    for e in edges:
-        ends.setdefault(e.part, []).append((e.h, e.a, e.pa))
-    across = []
-    order = sorted(ends)
-    for p, q in zip(order, order[1:], strict=False):
-        x, y = max(ends[p]), min(ends[q])
-        if x[0] == y[0] and x[1] != y[1]:
-            across.append((x[1], x[2], y[1], y[2]))
-    pairs = found.where("part < 0").select("a", "pa", "b", "pb")
+        names, part = ["a", "pa", "b", "pb", "h", "kind", "part"], TaskContext.get().partitionId()
+        for kind, a, at, b, to, h in linked([batch.column(c).to_numpy() for c in ("h", "doc", "pos")] for batch in batches):
+            columns = [a, at, b, to, *(np.full(len(a), c, np.int64) for c in (h, kind, part))]
+            yield pa.record_batch([pa.array(c) for c in columns], names=names)
+
+    found = stage(ordered.select("h", "doc", "pos").mapInArrow(paired, "a long, pa long, b long, pb long, h long, kind long, part long"), "neighbours")
+    runs = found.where(F.col("kind") == RUN).select("part", "b", "h", "a", "pa", "pb").collect()
+    pairs = found.where(F.col("kind") == PAIR).select("a", "pa", "b", "pb")
+    across = outside([tuple(r) for r in runs])
     if across:
-        pairs = pairs.unionByName(spark.createDataFrame(across, "a long, pa long, b long, pb long"))
+        ends = spark.createDataFrame(across, "part long, kind long, b long, pb long")
+        pairs = pairs.unionByName(found.drop("b", "pb").join(F.broadcast(ends), ["part", "kind"]).select("a", "pa", "b", "pb"))
     small = F.col("a") < F.col("b")
     turned = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.struct(F.when(small, F.col("pa")).otherwise(F.col("pb")).alias("p"), F.when(small, F.col("pb")).otherwise(F.col("pa")).alias("q")).alias("at"))
     couples = turned.groupBy("a", "b").agg(F.collect_set("at").alias("at"))

@@ -334,6 +334,39 @@ def test_repeated_passages_match_brute_force(spark):
     assert all_words([(r.doc_id, r.text) for r in left]) == all_words(docs)
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 40])
+def test_neighbours_over_batches_and_partitions(size):
+    rng = np.random.default_rng(size)
+    for _ in range(60):
+        runs = int(rng.integers(1, 12))
+        h = np.repeat(np.sort(rng.integers(0, 4, runs)), (sizes := rng.integers(1, 9, runs)))
+        doc, n = np.repeat(rng.integers(0, 3, runs), sizes), len(h)
+        pos = np.arange(n)
+        want = {(doc[i], pos[i], doc[j], pos[j]) for i, j in zip(*suffixes.neighbours(h, doc), strict=True)}
+        cuts = [0, *sorted(rng.choice(n + 1, int(rng.integers(0, 5)))), n]
+        pairs, open_, edges = [], [], []
+        for part, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            for kind, *rows, key in suffixes.linked((h[i : min(i + size, hi)], doc[i : min(i + size, hi)], pos[i : min(i + size, hi)]) for i in range(lo, hi, size)):
+                rows = [tuple(int(x) for x in r) for r in zip(*rows, strict=True)]
+                if kind == suffixes.PAIR:
+                    pairs += rows
+                elif kind == suffixes.RUN:
+                    edges += [(part, b, key, a, start, stop) for a, start, b, stop in rows]
+                else:
+                    open_ += [(part, kind, a, p) for a, p, _, _ in rows]
+        ends = {(part, kind): (b, pb) for part, kind, b, pb in suffixes.outside(edges)}
+        pairs += [(a, p, *ends[part, kind]) for part, kind, a, p in open_ if (part, kind) in ends]
+        assert sorted(pairs) == sorted(want)
+
+
+def test_long_texts_of_one_word_repeat_whole(spark):
+    short, long = 10_500, 24_000
+    rows = [(1, "oak " * short), (2, "oak " * long), (3, "elm " * long), (4, "elm " * short)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    out = suffixes.merged(suffixes.repeated_passages(df)).collect()
+    assert {r.doc: [tuple(s) for s in r.spans] for r in out} == {1: [(0, short)], 2: [(0, long)], 3: [(0, long)], 4: [(0, short)]}
+
+
 def test_repeats_of_odd_rows(spark, odd, empty):
     out = suffixes.merged(suffixes.repeated_passages(odd)).collect()
     assert {r.doc for r in out} == {6, 7} and all(r.spans[0].stop - r.spans[0].start == 30_000 for r in out)
