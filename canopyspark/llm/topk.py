@@ -64,12 +64,16 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores of a row, ties to the smaller id."""
-    if len(scores) > 4 * k:
-        places = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
-    else:
-        places = np.arange(len(scores))
-    return places[np.lexsort((ids[places], -scores[places]))][:k]
+    """Places of the k highest scores, one place an id (its best), ties to the smaller id."""
+    take, n = k, len(scores)
+    while True:
+        whole = n <= 4 * take
+        places = np.arange(n) if whole else np.flatnonzero(scores >= np.partition(scores, n - take)[n - take])
+        places = places[np.lexsort((ids[places], -scores[places]))]
+        first = np.sort(np.unique(ids[places], return_index=True)[1])
+        if whole or len(first) >= k:
+            return places[first[:k]]
+        take *= 4
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0) -> DataFrame:
@@ -82,11 +86,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
     1. Each vector is keyed by its nearest pivot and its distance to it. A histogram of (pivot, ring of distances)
        gives blocks of about BLOCK vectors: rings are joined while they are small, and full ones are dealt over several
        blocks, so that copies of one vector fill no task.
-    2. A block holds its vectors sorted by distance. Its own queries search it first: their k-th score bounds what is
-       still of use.
+    2. A block holds its vectors sorted by distance. Its own queries search it first: the score of their k-th id bounds
+       what is still of use.
     3. Each query visits the annuli whose triangle-inequality bound lies within that; within a block the search expands
        from the query's own distance outwards and ends at the bound. Queries go in chunks, joined to blocks by number.
-    4. The k best of all visited blocks.
+    4. The k best ids of all visited blocks, from the k best ids of each.
 
     What is collected is bounded: SAMPLE vectors, PIVOTS x RINGS counts.
     """
@@ -141,9 +145,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
         places = np.flatnonzero(pdf.q.to_numpy())
         bounds = np.full(len(places), np.iinfo(np.int64).min)
         for i, p in enumerate(places):
-            scores = products(x[p : p + 1], x)[0][ids != ids[p]]
-            if len(scores) >= k:
-                bounds[i] = np.partition(scores, len(scores) - k)[len(scores) - k]
+            others = ids != ids[p]
+            scores = products(x[p : p + 1], x)[0][others]
+            found = best(scores, ids[others], k)
+            if len(found) == k:
+                bounds[i] = scores[found[-1]]
         return pd.DataFrame({"block": pdf.block.iloc[:1], "ids": [ids.tobytes()], "near": [pdf.near.to_numpy().tobytes()], "x": [x.tobytes()], "places": [places.astype(np.int64).tobytes()], "bounds": [bounds.tobytes()]})
 
     dealt = index.join(F.broadcast(where), ["cell", "ring"]).withColumn("block", (F.col("first") + F.pmod(F.xxhash64("id", "raw"), F.col("n"))).cast("int"))

@@ -78,6 +78,31 @@ def test_topk_is_exact(spark, kind, monkeypatch):
     assert sorted(tuple(r) for r in out) == brute_topk(vectors)
 
 
+@pytest.mark.parametrize("kind", ["rows", "best", "vectors"])
+def test_topk_counts_ids_and_not_rows(spark, kind, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    rng = np.random.default_rng(6)
+    x = [(i, [float(np.float32(v)) for v in row]) for i, row in enumerate(rng.normal(size=(200, 8)))]
+    many = x * 6
+    if kind == "best":  # one id of many rows lies above all others
+        x = [(i, [9.0] * 8) if i in (50, 51) else (i, v) for i, v in x]
+        many = x + [x[51]] * 300
+    if kind == "vectors":  # rows of one id differ
+        many = [(i, [v * f for v in row]) for i, row in x for f in (1.0, 0.5, 0.25, 0.125, -0.5, 0.75)]
+    floors = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in many]
+    want = []
+    for q in (0, 50, 100, 150):
+        scores = {}
+        for a in {tuple(v) for i, v in floors if i == q}:
+            for i, v in floors:
+                if i != q:
+                    scores[i] = max(scores.get(i, -(1 << 60)), int(np.dot(a, v)))
+        want += [(q, r, i, s) for r, (s, i) in enumerate(sorted(((-s, i) for i, s in scores.items()))[:5], 1)]
+    df = spark.createDataFrame(many, "vec_id long, embedding array<float>").repartition(3)
+    out = topk.search(df, F.col("vec_id") % 50 == 0).collect()
+    assert sorted(tuple(r) for r in out) == [(q, r, i, -s) for q, r, i, s in want]
+
+
 def test_topk_of_nothing(spark):
     assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
 
