@@ -267,7 +267,7 @@ def snr_noise(spark, sf):
 @query()
 def monte_carlo(spark, sf):
     smoothed = smooth.rolling_mean(_bins(spark, sf), TREE, "p90", 7, "doy")
-    return montecarlo.uncertainties(smoothed, TREE, "p90", "smoothed", [3, 5, 7, 9], seed=7, iterations=50, order="doy")
+    return montecarlo.uncertainties(smoothed, TREE, "p90", "smoothed", [3, 5, 7, 9], seed=7, order="doy")
 
 
 @query()

@@ -276,3 +276,13 @@ def test_empty_series(spark):
     empty = frame(spark, [])
     for out in (resample.daily_product(empty, KEYS), resample.binned_product(empty, KEYS), sampling.sampling_flags(empty, KEYS), sampling.step_detector(empty, KEYS)):
         assert out.count() == 0
+
+
+def test_monte_carlo_query_makes_a_thousand_copies(spark, sf):
+    from canopyspark.plans import catalog
+
+    found = catalog.QUERIES["monte_carlo"](spark, sf).orderBy("uid", "year").first()
+    smoothed = smooth.rolling_mean(catalog._bins(spark, sf), catalog.TREE, "p90", 7, "doy")
+    want = montecarlo.uncertainties(smoothed, catalog.TREE, "p90", "smoothed", [3, 5, 7, 9], seed=7, iterations=1000, order="doy").orderBy("uid", "year").first()
+    assert found.asDict().keys() == want.asDict().keys()
+    np.testing.assert_allclose(list(found), list(want), rtol=1e-6)
