@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Letters of the alphabet are words, cut after 16 code points so that texts without white space have letters, too.
-LETTER = r"([^\x20\x09-\x0D]{1,16})"
+#: Letters of the alphabet are words of up to 16 code points, and the single code points of longer runs, so that letters of
+#: texts without white space don't depend on where a run begins either.
+LETTER = r"((?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{1,16}+(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D])"
 #: k-mers of 5 letters whose least 2-mer is the first or the last of its four.
 K, S = 5, 2
 #: Hashes kept in a fingerprint: the least ones, 32 bits each.

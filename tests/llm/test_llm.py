@@ -119,6 +119,17 @@ def test_syncmers_are_context_free(spark):
     assert two[30 : 30 + 56] == inside and any(inside) and 0.3 < np.mean([x is not None for x in inside]) < 0.7
 
 
+def test_texts_without_spaces_keep_their_anchors(spark):
+    rng = np.random.default_rng(2)
+    for low, high in ((0x4E00, 0x5E00), (0x20000, 0x21000)):  # one and two UTF-16 units
+        text = "".join(chr(c) for c in rng.integers(low, high, 400))
+        short = text[:60]
+        near = [(text, text[:3] + "\u6f22" + text[3:]), (text, text[:2] + text[3:]), (short, short[:20] + "\u6f22" + short[20:])]
+        df = spark.createDataFrame(near, "t string, u string")
+        out = syncmers.with_sketch(syncmers.with_sketch(df, "t", "a"), "u", "b").select(syncmers.likeness(F.col("a"), F.col("b"))).collect()
+        assert min(r[0] for r in out[:2]) > 0.9 and out[2][0] > 0.5
+
+
 def test_fingerprints_of_odd_texts(spark, odd):
     rows = odd.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     out = syncmers.with_next(syncmers.with_sketch(rows, "text", "s"), "doc_id", ["text", "s"]).collect()
