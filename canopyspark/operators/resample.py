@@ -2,32 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 STRATEGIES = ("avg", "p50", "p75", "p90")
 
 
-def _aggregates(value: str, strategies: tuple[str, ...]) -> list:
-    quantiles = [s for s in strategies if s != "avg"]
-    wrong = [s for s in strategies if s not in STRATEGIES]
-    if wrong:
+def _grouped(rows: DataFrame, by: list[str], value: str, strategies: tuple[str, ...], *others: Column) -> DataFrame:
+    """``by``, ``others`` and a column a strategy over the groups. Quantiles are exact and interpolated: they come from the
+    ranks of one sorted window, so that no group is held in memory."""
+    if wrong := [s for s in strategies if s not in STRATEGIES]:
         raise ValueError(f"unknown strategies {wrong}")
-    found = [F.avg(value).alias("avg")] if "avg" in strategies else []
-    if quantiles:  # exact, interpolated; one buffer for all of them
-        found.append(F.percentile(value, F.array(*[F.lit(int(s[1:]) / 100) for s in quantiles])).alias("_q"))
-    return found
+    if any(s != "avg" for s in strategies):
+        group = W.partitionBy(*by)
+        rows = rows.withColumn("_rank", F.row_number().over(group.orderBy(value))).withColumn("_n", F.count(F.lit(1)).over(group))
 
+    def of(strategy: str) -> Column:
+        if strategy == "avg":
+            return F.avg(value)
+        at = (F.col("_n") - 1) * (int(strategy[1:]) / 100) + 1
+        part = at - F.floor(at)
+        weight = F.when(F.col("_rank") == F.floor(at), 1 - part).when(F.col("_rank") == F.floor(at) + 1, part)
+        return F.sum(F.when(weight > 0, weight * F.col(value)))
 
-def _spread(strategies: tuple[str, ...]) -> list:
-    quantiles = [s for s in strategies if s != "avg"]
-    return [F.col("avg") if s == "avg" else F.col("_q")[quantiles.index(s)].alias(s) for s in strategies]
+    return rows.groupBy(*by).agg(*others, *[of(s).alias(s) for s in strategies])
 
 
 def daily_product(df: DataFrame, keys: list[str], ts: str = "ts", value: str = "value", strategies: tuple[str, ...] = STRATEGIES) -> DataFrame:
     """``keys, date, doy`` and a column a strategy: each day from the first to the last with a value, empty days null."""
-    days = df.where(F.col(value).isNotNull()).groupBy(*keys, F.to_date(ts).alias("date")).agg(*_aggregates(value, strategies)).select(*keys, "date", *_spread(strategies))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.to_date(ts).alias("date"), F.col(value).alias("_v"))
+    days = _grouped(rows, [*keys, "date"], "_v", strategies)
     following = F.lead("date").over(W.partitionBy(*keys).orderBy("date"))
     days = days.withColumn("_until", F.coalesce(F.date_sub(following, 1), F.col("date")))
     filled = days.withColumn("_day", F.explode(F.sequence("date", "_until")))
@@ -42,10 +47,10 @@ def binned_product(df: DataFrame, keys: list[str], days: int = 3, ts: str = "ts"
     """
     doy = F.dayofyear(ts)
     label = F.lit(first_doy) + F.floor((doy - first_doy) / days).cast("int") * days
-    rows = df.where(F.col(value).isNotNull() & (doy >= first_doy))
-    bins = rows.groupBy(*keys, label.alias("doy")).agg(F.min(F.year(ts)).alias("_y"), *_aggregates(value, strategies))
+    rows = df.where(F.col(value).isNotNull() & (doy >= first_doy)).select(*keys, label.alias("_bin"), F.year(ts).alias("_year"), F.col(value).alias("_v"))
+    bins = _grouped(rows, [*keys, "_bin"], "_v", strategies, F.min("_year").alias("_y"))
     year = F.min("_y").over(W.partitionBy(*keys))
-    return bins.select(*keys, F.date_add(F.make_date(year, F.lit(1), F.lit(1)), F.col("doy") - 1).alias("date"), "doy", *_spread(strategies))
+    return bins.select(*keys, F.date_add(F.make_date(year, F.lit(1), F.lit(1)), F.col("_bin") - 1).alias("date"), F.col("_bin").alias("doy"), *strategies)
 
 
 def product(df: DataFrame, keys: list[str], window: str = "3D", **options) -> DataFrame:
