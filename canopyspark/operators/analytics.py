@@ -62,15 +62,22 @@ def half_widths(df: DataFrame, columns: list[str], factor: float = 1.96) -> Data
 def balanced_means(df: DataFrame, strata: list[str], group: str, values: list[str], draws: int = 100, seed: int = 0, key: str = "uid") -> DataFrame:
     """Q9: means of ``values`` by ``group`` over draws that take as many rows of each stratum as the smallest has.
 
-    A draw orders each stratum by a seeded hash of the row's key; the means over draws are averaged.
+    A draw orders each stratum by a seeded hash of the row's key; the means over draws are averaged. Of a large stratum only
+    rows whose hash lies below a threshold go on to a draw: about 2 n + 100 of them for n to draw, which are fewer than
+    n with a probability below 1e-20. So what is sorted follows from the smallest stratum and not from the rows.
     """
-    rows = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*strata, group]))
-    n = rows.groupBy(*strata, group).agg(F.count(F.lit(1)).alias("_c")).agg(F.min("_c").alias("_n"))
-    drawn = rows.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    by = [*strata, group]
+    rows = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in by)).select(*dict.fromkeys([*by, key, *values]))
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_c"))
+    sizes = sizes.crossJoin(F.broadcast(sizes.agg(F.min("_c").alias("_n"))))  # one row a stratum, and one row
+    share = (F.col("_n") * 2 + 100) / F.col("_c")
+    # Hashes are compared as hexadecimal text; "g" lies above all.
+    sizes = sizes.select(*by, "_n", F.when(share >= 1, "g").otherwise(F.lower(F.lpad(F.hex((share * (1 << 32)).cast("long")), 8, "0"))).alias("_below"))
+    drawn = rows.join(sizes, by).withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     lot = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_draw").cast("string"), F.col(key).cast("string")).cast("binary"))
-    drawn = drawn.withColumn("_rank", F.row_number().over(W.partitionBy("_draw", *strata, group).orderBy(lot, key)))
-    kept = drawn.crossJoin(F.broadcast(n)).where(F.col("_rank") <= F.col("_n"))
-    means = kept.groupBy("_draw", group).agg(*[F.avg(v).alias(v) for v in values])
+    drawn = drawn.withColumn("_lot", lot).where(F.col("_lot") < F.col("_below"))
+    ranked = drawn.withColumn("_rank", F.row_number().over(W.partitionBy("_draw", *by).orderBy("_lot", key)))
+    means = ranked.where(F.col("_rank") <= F.col("_n")).groupBy("_draw", group).agg(*[F.avg(v).alias(v) for v in values])
     return means.groupBy(group).agg(*[F.avg(v).alias(v) for v in values])
 
 

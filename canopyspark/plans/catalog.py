@@ -375,11 +375,11 @@ def ci_halfwidth(spark, sf):
 
 
 @query(f"""WITH {RECORDS_SQL}, n AS (SELECT min(c) AS n FROM (SELECT count(*) AS c FROM records GROUP BY band, species)),
-d AS (SELECT r.*, draw, row_number() OVER (PARTITION BY draw, band, species ORDER BY md5('3|' || draw || '|' || uid * 10000 + year), uid * 10000 + year) AS k FROM records r CROSS JOIN range(5) g(draw)),
+d AS (SELECT r.*, draw, row_number() OVER (PARTITION BY draw, band, species ORDER BY md5('3|' || draw || '|' || uid * 10000 + year), uid * 10000 + year) AS k FROM records r CROSS JOIN range(100) g(draw)),
 m AS (SELECT draw, species, avg(gu) AS gu, avg(gd) AS gd FROM d, n WHERE k <= n GROUP BY ALL) SELECT species, round(avg(gu), 6) AS gu, round(avg(gd), 6) AS gd FROM m GROUP BY ALL""")
 def balanced_means(spark, sf):
     rows = S.records(spark, sf).withColumn("row", F.col("uid") * 10000 + F.col("year"))
-    return analytics.balanced_means(rows, ["band"], "species", ["gu", "gd"], draws=5, seed=3, key="row")
+    return analytics.balanced_means(rows, ["band"], "species", ["gu", "gd"], seed=3, key="row")
 
 
 @query(f"""WITH {BINS_SQL}, z AS (SELECT year, doy, (p90 - min(p90) OVER w) / (max(p90) OVER w - min(p90) OVER w) AS v FROM bins WINDOW w AS (PARTITION BY uid, year))
