@@ -47,13 +47,19 @@ def season(df: DataFrame, low: int = 60, high: int = 320, doy: str = "doy") -> D
     return df.where(F.col(doy).between(low, high))
 
 
-def modal_shape(images: DataFrame, keys: list[str], sample: int = 25) -> DataFrame:
-    """``keys, height, width``: the commonest shape among about every (n / sample)-th image by path; ties to the larger area."""
+def strided(images: DataFrame, keys: list[str], sample: int = 25) -> DataFrame:
+    """About every (n / sample)-th image of a group by path, the first included: at most 2 * sample - 1 a group."""
     from pyspark.sql import Window as W
 
-    order = W.partitionBy(*keys).orderBy("path")
-    step = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(W.partitionBy(*keys)) / sample))
-    picked = images.withColumn("_rn", F.row_number().over(order) - 1).withColumn("_step", step).where(F.pmod("_rn", "_step") == 0)
+    group = W.partitionBy(*keys)
+    step = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(group) / sample))
+    picked = images.withColumn("_rn", F.row_number().over(group.orderBy("path")) - 1).withColumn("_step", step).where(F.pmod("_rn", "_step") == 0)
+    return picked.drop("_rn", "_step")
+
+
+def modal_shape(images: DataFrame, keys: list[str], sample: int | None = 25) -> DataFrame:
+    """``keys, height, width``: the commonest shape of the :func:`strided` images (of all without ``sample``); ties to the larger area."""
+    picked = images if sample is None else strided(images, keys, sample)
     counts = picked.groupBy(*keys, "height", "width").agg(F.count(F.lit(1)).alias("n"))
     best = F.max(F.struct("n", (F.col("height") * F.col("width")).alias("area"), "height", "width")).alias("b")
     return counts.groupBy(*keys).agg(best).select(*keys, "b.height", "b.width")

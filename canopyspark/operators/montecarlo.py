@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import kept, ship
 from .smooth import fold_ids
 from .transitions import THRESHOLDS
 
@@ -113,30 +113,33 @@ def simulate(doy: np.ndarray, smoothed: np.ndarray, noise: float, rng: np.random
 def series_numbers(units: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, unit``: the place of each series in the sorted order of all, from 0, which seeds its noise.
 
-    Two steps, so that no task holds all series: positions within sorted ranges, and running totals of range sizes.
+    Two steps, so that no task holds all series: positions within sorted ranges, and running totals of range sizes. The
+    ranges are kept before both steps read them, or each could see other ranges.
     """
     from pyspark.sql import Window as W
 
-    ranged = units.select(*keys).distinct().repartitionByRange(*keys).withColumn("_p", F.spark_partition_id())
+    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = kept(units.select(*keys).distinct().repartitionByRange(parts, *keys).withColumn("_p", F.spark_partition_id()))
     placed = ranged.withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy(*keys)) - 1)
     sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     return placed.join(starts, "_p").select(*keys, (F.col("_start") + F.col("_i")).cast("int").alias("unit"))
 
 
-def uncertainties(df: DataFrame, keys: list[str], raw: str, smoothed: str, candidates: list[int], seed: int, iterations: int = 1000, folds: int = 5, thresholds: tuple[float, ...] = THRESHOLDS, low: int = 60, high: int = 320, prefix: str = "G", doy: str = "doy", order: str = "date") -> DataFrame:
+def uncertainties(df: DataFrame, keys: list[str], raw: str, smoothed: str, candidates: list[int], seed: int, iterations: int = 1000, folds: int = 5, thresholds: tuple[float, ...] = THRESHOLDS, low: int = 60, high: int = 320, prefix: str = "G", doy: str = "doy", order: str = "date", numbers: DataFrame | None = None) -> DataFrame:
     """``keys, noise_std`` and, a date key, its standard deviation ``<key>_std`` over ``iterations`` noisy copies.
 
     Noise has the standard deviation of raw against smoothed values and is added to the smoothed series; the width is
     selected anew for each copy. Series i in sorted order draws from child i of the master seed, so results don't
-    depend on partitions. A series is one task's work: at most 366 points times the iterations.
+    depend on partitions; ``numbers`` (``keys, unit``) can give these numbers. A series is one task's work: at most 366
+    points times the iterations.
     """
     ship(df.sparkSession)
     marks = sorted(thresholds)
     names = [f"{prefix}{d}_{round(t * 100)}_std" for t in marks for d in "UD"]
     fields = df.select(*keys).schema
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", noise_std double, PEAK_std double, " + ", ".join(f"{n} double" for n in names)
-    numbered = df.join(series_numbers(df, keys), keys)
+    numbered = df.join(numbers if numbers is not None else series_numbers(df, keys), keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)

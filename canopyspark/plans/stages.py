@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import os
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,15 +35,17 @@ def regions(polygons: DataFrame, categories: list[str], ratios: list[int]) -> Da
     return rings.withColumn("area", X.shoelace(F.col("coords"))).withColumn("polygon_width", X.extent(F.col("coords"), 0)).withColumn("polygon_height", X.extent(F.col("coords"), 1))
 
 
-def extract(pictures: DataFrame, rings: DataFrame) -> DataFrame:
+def extract(pictures: DataFrame, rings: DataFrame, shapes: DataFrame | None = None) -> DataFrame:
     """``location, sublocation, year, annotation_id, ring, ts, gcc, rcc, bcc, brightness``.
 
     Pictures of another shape than their site-year's commonest are left out, as are rings without a pixel. A picture that
     can't be evaluated has no rows. Of pictures with one time, the last path counts. The pixels never move: masks go to
-    the pictures, and only ratios are exchanged.
+    the pictures, and only ratios are exchanged. ``shapes`` (site-year, height, width) come from a sample of the files'
+    first bytes in :func:`run_extraction`, so each picture is decoded once; without them, ``pictures`` are read twice.
     """
     ship(pictures.sparkSession)
-    shapes = filters.modal_shape(pictures.select(*SITE_YEAR, "path", "height", "width"), SITE_YEAR)
+    if shapes is None:
+        shapes = filters.modal_shape(pictures.select(*SITE_YEAR, "path", "height", "width"), SITE_YEAR)
     masks = rings.join(shapes, SITE_YEAR).withColumn("pixels", mask_pixels(F.col("coords"), F.col("height"), F.col("width"))).where(F.size("pixels") > 0)
     grouped = kept(masks.groupBy(*SITE_YEAR, "height", "width").agg(F.collect_list(F.struct("annotation_id", "ring", "pixels")).alias("masks")))
     size = grouped.agg(F.sum(F.aggregate("masks", F.lit(0).cast("long"), lambda n, m: n + F.size(m["pixels"])))).first()[0] or 0
@@ -91,10 +93,14 @@ def run_extraction(spark: SparkSession, cfg: Extraction, mode: str = "normal") -
     named = polygons.join(uids, "annotation_id", "left")
     done = files.completed(spark, str(cfg.output_root), "_raw-cc-data.csv")
     todo = files.pending(named, done) if mode == "check" else files.pending(named, done.select(*SITE_YEAR).distinct(), keys=SITE_YEAR)
-    missing = named.where(F.col("uid").isNull()).select(F.concat_ws("/", F.concat_ws("_", "location", "sublocation"), "year", "annotation_id").alias("line")).distinct().orderBy("line")
+    missing = named.where(F.col("uid").isNull()).select(F.concat_ws("/", F.concat_ws("_", "location", "sublocation"), "year", "annotation_id").alias("line")).distinct()
     rings = kept(regions(todo, cfg.categories_kept, cfg.shrink_ratios))
-    pictures = files.read_pictures(spark, str(cfg.image_dataset_root)).join(F.broadcast(rings.select(*SITE_YEAR).distinct()), SITE_YEAR)
-    wide = kept(by_ring(extract(pictures, rings), cfg.shrink_ratios).join(uids, "annotation_id"))
+    # Paths first: only folders with work to do are opened, a sample of their files tells the shapes, and each is decoded once.
+    listed = files.list_pictures(spark, str(cfg.image_dataset_root)).join(rings.select(*SITE_YEAR).distinct(), SITE_YEAR, "left_semi")
+    shapes = kept(filters.modal_shape(files.with_shapes(filters.strided(listed, SITE_YEAR)), SITE_YEAR, sample=None))
+    folders = [r.f for r in shapes.select(F.concat_ws("/", *SITE_YEAR).alias("f")).collect()]  # one a site-year with work to do
+    pictures = files.read_pictures(spark, str(cfg.image_dataset_root), folders)
+    wide = kept(by_ring(extract(pictures, rings, shapes), cfg.shrink_ratios).join(uids, "annotation_id"))
     columns = [f"{c}{s}" for s in ["", *(f"_s{r}" for r in cfg.shrink_ratios)] for c in ("GCC", "RCC", "BCC", "brightness")]
     body = files.csv_body(["datetime", *columns], "ts", [X.observation_key(F.col("ts")), *[F.col(c) for c in columns]])
     n = files.write_files(wide.groupBy(*KEYS).agg(body.alias("body")).withColumn("path", files.tree_path("_raw-cc-data.csv")), str(cfg.output_root))
@@ -106,10 +112,8 @@ def run_extraction(spark: SparkSession, cfg: Extraction, mode: str = "normal") -
     meta = meta.withColumn("date_processed", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")).withColumn("sub_location", F.col("sublocation"))
     text = F.to_json(F.struct(*[c for c in meta.columns if c not in ("uid", "sublocation")]), {"ignoreNullFields": "false"})
     files.write_files(meta.select(files.tree_path("_metadata.json").alias("path"), text.alias("body")), str(cfg.output_root))
-    lines = [r.line for r in missing.collect()]
-    os.makedirs(cfg.output_root, exist_ok=True)
-    (cfg.output_root / "missing_uids.txt").write_text("".join(f"{x}\n" for x in lines))
-    return {"units": n, "missing_uids": len(lines)}
+    files.write_lines(missing, str(cfg.output_root / "missing_uids.txt"))
+    return {"units": n, "missing_uids": missing.count()}
 
 
 def plot_overlays(spark: SparkSession, cfg: Extraction, fraction: float = 0.6) -> int:
@@ -120,24 +124,24 @@ def plot_overlays(spark: SparkSession, cfg: Extraction, fraction: float = 0.6) -
     ship(spark)
     polygons = files.read_polygons(spark, str(cfg.polygon_config_path), str(cfg.polygon_files_root))
     regions_of = polygons.groupBy(*SITE_YEAR).agg(F.collect_list(F.struct("category", "coords")).alias("rois"))
-    pictures = files.read_pictures(spark, str(cfg.image_dataset_root))
-    chosen = row_at_fraction(pictures.select(*SITE_YEAR, "path"), SITE_YEAR, "path", fraction)
+    listed = files.with_shapes(files.list_pictures(spark, str(cfg.image_dataset_root)).join(polygons.select(*SITE_YEAR).distinct(), SITE_YEAR, "left_semi"))
+    chosen = kept(row_at_fraction(listed.select(*SITE_YEAR, "path"), SITE_YEAR, "path", fraction))
+    folders = [r.f for r in chosen.select(F.concat_ws("/", *SITE_YEAR).alias("f")).distinct().collect()]
+    pictures = files.read_pictures(spark, str(cfg.image_dataset_root), folders)
     rows = pictures.join(chosen, [*SITE_YEAR, "path"], "left_semi").join(regions_of, SITE_YEAR)
-    folder = str(cfg.plot_dir)
 
-    def write(batches):
+    def drawn(batches):
         import numpy as np
         import pandas as pd
 
         for batch in batches:
+            bodies = []
             for r in batch.itertuples(index=False):
                 picture = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3).copy()
-                os.makedirs(folder, exist_ok=True)
-                with open(os.path.join(folder, f"{r.location}_{r.sublocation}-{r.year}.png"), "wb") as f:
-                    f.write(png(draw(picture, [(x["category"], [list(p) for p in x["coords"]]) for x in r.rois])))
-            yield pd.DataFrame({"n": [len(batch)]})
+                bodies.append(png(draw(picture, [(x["category"], [list(p) for p in x["coords"]]) for x in r.rois])))
+            yield pd.DataFrame({"path": [f"{r.location}_{r.sublocation}-{r.year}.png" for r in batch.itertuples(index=False)], "body": bodies})
 
-    return rows.select(*SITE_YEAR, "height", "width", "data", "rois").mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return files.write_files(rows.select(*SITE_YEAR, "height", "width", "data", "rois").mapInPandas(drawn, "path string, body binary"), str(cfg.plot_dir))
 
 
 # Stage 2
@@ -149,19 +153,18 @@ def process(observations: DataFrame, cfg: Processing, snow: DataFrame | None = N
     Order: brightness, snow, step detector, noon, flags, then each channel's non-null values to products. ``product``
     and ``smoothed`` are long: ``keys, channel, window, strategy, date, doy, value`` and ``smoothed``.
     """
-    selected = {c: n for c, n in files.channel_columns(cfg.shrink_suffix).items() if n in observations.columns}
+    chosen = files.channel_columns(cfg.shrink_suffix)
     brightness = f"brightness_s{cfg.shrink_suffix}" if cfg.shrink_suffix else "brightness"
-    units = observations.select(*KEYS).distinct()
-    if brightness not in observations.columns:
-        return {"status": units.withColumn("status", F.lit("no-brightness-col"))}
+    # What a unit has is what its own file has.
+    has = lambda c: F.array_contains("header", c) if "header" in observations.columns else F.lit(c in observations.columns)
     rows = filters.exclude_locations(observations, cfg.exclude_locations)
-    bright = filters.brightness_filter(rows, brightness, cfg.brightness_min, cfg.brightness_max)
-    status = filters.exclude_locations(units, cfg.exclude_locations).join(bright.select(*KEYS).distinct().withColumn("_some", F.lit(True)), KEYS, "left")
-    ending = "done" if selected else "no-matching-channels"
-    status = status.select(*KEYS, F.when(F.col("_some"), F.lit(ending)).otherwise(F.lit("empty-after-brightness")).alias("status"))
-    if not selected:
-        return {"status": status}
-    rows = filters.mask_snow(bright, snow, [c for c in bright.columns if c not in [*KEYS, "ts"]]) if snow is not None else bright
+    rows = rows.withColumns({c: F.lit(None).cast("double") for c in [brightness, *chosen.values()] if c not in rows.columns})
+    some = reduce(Column.__or__, [has(n) for n in chosen.values()])
+    units = rows.groupBy(*KEYS).agg(F.max(has(brightness)).alias("light"), F.max(some).alias("some"), F.max(F.col(brightness).between(cfg.brightness_min, cfg.brightness_max) & ~F.isnan(brightness)).alias("bright"))
+    of = F.when(~F.col("light"), "no-brightness-col").when(~F.coalesce("bright", F.lit(False)), "empty-after-brightness").when(~F.col("some"), "no-matching-channels").otherwise("done")
+    status = units.select(*KEYS, of.alias("status"))
+    bright = filters.brightness_filter(rows.where(some), brightness, cfg.brightness_min, cfg.brightness_max).withColumn("selected", F.map_from_entries(F.filter(F.array(*[F.when(has(n), F.struct(F.lit(c).alias("k"), F.lit(n).alias("v"))) for c, n in chosen.items()]), lambda e: e.isNotNull())))
+    rows = filters.mask_snow(bright, snow, [brightness, *chosen.values()]) if snow is not None else bright
     steps = sampling.step_detector(rows, KEYS)
     if cfg.noon_only_on_resolution_change:
         rows = sampling.noon_where_stepped(rows, steps, KEYS)
@@ -169,8 +172,8 @@ def process(observations: DataFrame, cfg: Processing, snow: DataFrame | None = N
     flags = flags.withColumn("resolution_change_detected", F.coalesce("resolution_change_detected", F.lit(False)))
     flags = flags.withColumn("noon_only_applied", F.col("resolution_change_detected") & F.lit(cfg.noon_only_on_resolution_change))
     flags = flags.withColumn("noon_only_gate_config", F.lit(cfg.noon_only_on_resolution_change)).withColumn("shrink_suffix", F.lit(cfg.shrink_suffix))
-    flags = flags.withColumn("column_selected", F.create_map(*[F.lit(x) for pair in selected.items() for x in pair]))
-    long = rows.select(*KEYS, "ts", *[F.col(n).alias(c) for c, n in selected.items()]).unpivot([*KEYS, "ts"], list(selected), "channel", "value").where(F.col("value").isNotNull())
+    flags = flags.join(rows.groupBy(*KEYS).agg(F.any_value("selected").alias("column_selected")), KEYS)
+    long = rows.select(*KEYS, "ts", *[F.col(n).alias(c) for c, n in chosen.items()]).unpivot([*KEYS, "ts"], list(chosen), "channel", "value").where(F.col("value").isNotNull())
     keys = [*KEYS, "channel"]
     parts, strategies = [], tuple(cfg.aggregation_strategies)
     for window in cfg.aggregation_windows:
@@ -195,52 +198,62 @@ def run_processing(spark: SparkSession, cfg: Processing, force: bool = False) ->
     skipped = kept(rows.select(*KEYS).distinct().join(todo.select(*KEYS).distinct(), KEYS, "left_anti").withColumn("status", F.lit("skip")))
     snow = files.read_snow(spark, str(cfg.snow_flags_root)) if cfg.snow_flags_root else None
     out = process(todo, cfg, snow)
-    if "product" in out:
-        product = kept(out["product"])
-        series = [*KEYS, "channel", "window"]
-        for kind, value in (("product", "value"), ("smoothed", "smoothed")):
-            columns = [F.max(F.when(F.col("strategy") == s, F.col(value))).alias(s) for s in cfg.aggregation_strategies]
-            wide = product.groupBy(*series, "date").agg(*columns)
-            if kind == "smoothed":
-                wide = wide.join(product.where("best IS NOT NULL").select(*series).distinct(), series, "left_semi")
-            body = files.csv_body(["date", *cfg.aggregation_strategies], "date", [F.col("date"), *[F.col(s) for s in cfg.aggregation_strategies]])
-            ending = F.concat(F.lit("-"), F.col("channel"), F.lit("-"), F.col("window"), F.lit(f"-{kind}.csv"))
-            files.write_files(wide.groupBy(*series).agg(body.alias("body")).withColumn("path", files.tree_path(ending)), str(cfg.output_root))
-        flags = out["flags"]
-        text = F.to_json(F.struct(*[c for c in flags.columns if c not in KEYS]), {"ignoreNullFields": "false"})
-        files.write_files(flags.select(files.tree_path("-sampling-flags.json").alias("path"), text.alias("body")), str(cfg.output_root))
+    write_products(kept(out["product"]), cfg.aggregation_strategies, str(cfg.output_root))
+    flags = out["flags"]
+    text = F.to_json(F.struct(*[c for c in flags.columns if c not in KEYS]), {"ignoreNullFields": "false"})
+    files.write_files(flags.select(files.tree_path("-sampling-flags.json").alias("path"), text.alias("body")), str(cfg.output_root))
     return out["status"].unionByName(skipped)
 
 
+def write_products(product: DataFrame, strategies: list[str], root: str) -> int:
+    """Product and smoothed files of ``keys, channel, window, strategy, date, value, best, smoothed``; returns their number.
+
+    A smoothed file has the columns of the strategies for which a width was selected, and isn't written where there is none.
+    """
+    series, n = [*KEYS, "channel", "window"], 0
+    for kind, value in (("product", "value"), ("smoothed", "smoothed")):
+        rows = product if kind == "product" else product.where(F.col("best").isNotNull())
+        cells = F.array(*[F.max(F.when(F.col("strategy") == s, F.coalesce(F.col(value).cast("string"), F.lit("")))) for s in strategies])
+        wide = rows.groupBy(*series, "date").agg(F.filter(F.array(*[F.max(F.when(F.col("strategy") == s, F.lit(s))) for s in strategies]), lambda x: x.isNotNull()).alias("names"), F.filter(cells, lambda x: x.isNotNull()).alias("cells"))
+        line = F.concat_ws(",", F.col("date").cast("string"), F.array_join("cells", ","))
+        lines = F.transform(F.array_sort(F.collect_list(F.struct("date", line.alias("l")))), lambda r: r["l"])
+        body = F.concat(F.lit("date,"), F.array_join(F.any_value("names"), ","), F.lit("\n"), F.array_join(lines, "\n"), F.lit("\n"))
+        ending = F.concat(F.lit("-"), F.col("channel"), F.lit("-"), F.col("window"), F.lit(f"-{kind}.csv"))
+        n += files.write_files(wide.groupBy(*series).agg(body.alias("body")).withColumn("path", files.tree_path(ending)), root)
+    return n
+
+
 # Stage 3
 
 
-def estimate(product: DataFrame, cfg: Modelling, keys: list[str] | None = None) -> DataFrame:
+def estimate(product: DataFrame, cfg: Modelling, keys: list[str] | None = None, numbers: DataFrame | None = None) -> DataFrame:
     """One row a series with ``status``: dates and uncertainties (maps), amplitude, baseline, peak, window, noise, SNR, cycles.
 
-    ``product`` has ``keys, date, doy`` and the strategy's column. A series' number among all sorted ones seeds its noise.
+    ``product`` has ``keys, date, doy`` and the strategy's column, and from files the ``header`` of each. A series' number
+    among all sorted ones seeds its noise; ``numbers`` gives these where ``product`` doesn't hold all.
     """
     keys = keys or KEYS
     value = str(cfg.series_strategy)
-    units = product.select(*keys).distinct()
     if value not in product.columns:
-        return units.withColumn("status", F.lit("missing-strategy"))
+        return product.select(*keys).distinct().withColumn("status", F.lit("missing-strategy"))
+    has = F.array_contains("header", value) if "header" in product.columns else F.lit(True)
+    units = product.groupBy(*keys).agg(F.max(has).alias("_has"))
     candidates = cfg.candidates()
     counts = product.groupBy(*keys).agg(F.count(value).alias("_n"))
     if not candidates:
-        return units.withColumn("status", F.lit("cv-no-candidates"))
+        return units.select(*keys, F.when(F.col("_has"), "cv-no-candidates").otherwise("missing-strategy").alias("status"))
     smoothed = smooth.cv_smooth(product, keys, value, candidates, cfg.cv_kfolds, cfg.cv_random_state)
     usable = smoothed.where(F.col("best").isNotNull())
     prefix, marks = str(cfg.series_index)[0], tuple(cfg.amplitude_thresholds)
     found = transitions.transitions(usable, keys, prefix, thresholds=marks, low=cfg.doy_min, high=cfg.doy_max)
     quality = transitions.signal_quality(usable, keys, value, "smoothed")
     peaks = transitions.cycles(usable, keys, "smoothed", found.select(*keys, "amplitude"))
-    spread = montecarlo.uncertainties(smoothed, keys, value, "smoothed", candidates, cfg.random_seed, cfg.mc_iterations, cfg.cv_kfolds, marks, cfg.doy_min, cfg.doy_max, prefix)
+    spread = montecarlo.uncertainties(smoothed, keys, value, "smoothed", candidates, cfg.random_seed, cfg.mc_iterations, cfg.cv_kfolds, marks, cfg.doy_min, cfg.doy_max, prefix, numbers=numbers)
     names = [c for c in spread.columns if c.endswith("_std") and c != "noise_std"]
     spread = spread.select(*keys, F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))]).alias("uncertainties"))
     best = usable.groupBy(*keys).agg(F.max("best").alias("window_selected"))
     out = units.join(counts, keys).join(best, keys, "left").join(found, keys, "left").join(spread, keys, "left").join(quality, keys, "left").join(peaks, keys, "left")
-    status = F.when(F.col("_n") < cfg.cv_kfolds, "too-short").when(F.col("window_selected").isNull(), "cv-failed").when(F.col("amplitude").isNull(), "no-season-data").otherwise("done")
+    status = F.when(~F.col("_has"), "missing-strategy").when(F.col("_n") < cfg.cv_kfolds, "too-short").when(F.col("window_selected").isNull(), "cv-failed").when(F.col("amplitude").isNull(), "no-season-data").otherwise("done")
     return out.select(*keys, status.alias("status"), "dates", "amplitude", "baseline", "peak_value", "uncertainties", "window_selected", "noise_std", "snr", "n_peak")
 
 
@@ -251,8 +264,15 @@ def run_modelling(spark: SparkSession, cfg: Modelling, force: bool = False) -> D
         series = f"{one.series_index}-{one.series_window}-{one.series_strategy}"
         product = files.read_product(spark, str(cfg.input_root), str(one.series_index), str(one.series_window))
         done = files.completed(spark, str(cfg.output_root), f"-{series}-transitions.json")
-        found = kept(estimate(product, one).join(done.withColumn("_d", F.lit(not force)), KEYS, "left").withColumn("status", F.when(F.col("_d"), "skip").otherwise(F.col("status"))))
+        numbers = montecarlo.series_numbers(product, KEYS)  # of all units, so that what is done doesn't change the others' noise
+        found = kept(estimate(files.pending(product, done, force), one, numbers=numbers))
+        if not force:
+            parts.append(product.select(*KEYS).distinct().join(done, KEYS, "left_semi").select(*KEYS, F.lit(series).alias("series"), F.lit("skip").alias("status")))
+        if "dates" not in found.columns:
+            parts.append(found.select(*KEYS, F.lit(series).alias("series"), "status"))
+            continue
         text = F.to_json(F.struct("dates", "amplitude", "baseline", "peak_value", "uncertainties", "window_selected", "noise_std", "snr", "n_peak"), {"ignoreNullFields": "false"})
+        text = F.regexp_replace(text, r':"(NaN|-?Infinity)"', ":$1")  # bare, as other programs write and read them
         files.write_files(found.where("status = 'done'").select(files.tree_path(f"-{series}-transitions.json").alias("path"), text.alias("body")), str(cfg.output_root))
         parts.append(found.select(*KEYS, F.lit(series).alias("series"), "status"))
     return reduce(DataFrame.unionByName, parts)
@@ -260,31 +280,67 @@ def run_modelling(spark: SparkSession, cfg: Modelling, force: bool = False) -> D
 
 # Stage 4
 
+# The fields of a region that a record begins with, after where and when it is; fields that are lists.
 _IDENTITY = ["full_name", "annotation_id", "name", "category", "genus", "species", "area", "area_s33"]
+_LISTS = ["gap_start_dates", "gap_lengths_day"]
+# The scalars of a transitions file.
+_SCALARS = ["amplitude", "baseline", "peak_value", "window_selected", "noise_std", "snr", "n_peak"]
 
 
-def _number(text: Column) -> Column:
-    """A JSON scalar as a number: booleans are 1 and 0, NaN and infinities stay, all else is null."""
-    return F.when(text == "true", 1.0).when(text == "false", 0.0).otherwise(F.expr("try_cast(_v AS DOUBLE)"))
+def _number(value: Column) -> Column:
+    """A JSON scalar as a number: booleans are 1 and 0, NaN and infinities stay; text is none, whatever it looks like."""
+    kind = F.schema_of_variant(value)
+    return F.when(~kind.isin("STRING", "VOID"), F.try_variant_get(value, "$", "double"))
+
+
+def _text(value: Column) -> Column:
+    """A JSON value as it stands in the table: True and False, text without quotes, numbers as written, objects as JSON."""
+    plain = F.try_variant_get(value, "$", "string")
+    return F.when(F.schema_of_variant(value) == "BOOLEAN", F.initcap(plain)).when(F.lower(plain) != "nan", plain)
 
 
 def collect_records(spark: SparkSession, root: str) -> DataFrame:
-    """Identity columns and ``metrics`` of every unit with flags and metadata; transitions where there are any."""
-    flags = files.read_json_maps(spark, root, "-sampling-flags.json")
+    """Identity columns, ``metrics`` and ``flags`` of every unit with flags and metadata; transitions where there are any.
+
+    ``metrics`` (numbers) is what rules judge: the flags, too, as far as they are numbers or booleans (text is null).
+    ``flags`` (text) is what is written of them.
+    """
+    flags = files.read_json_maps(spark, root, "-sampling-flags.json", "map<string,variant>")
     meta = files.read_json_maps(spark, root, "_metadata.json")
     identity = meta.select(*KEYS, *[F.col("fields")[c].alias(c) for c in _IDENTITY])
-    plain = flags.select(*KEYS, F.explode("fields").alias("metric", "_v")).where(~F.col("metric").isin("gap_start_dates", "gap_lengths_day")).select(*KEYS, "metric", _number(F.col("_v")).alias("value"))
-    done = files.read_json_maps(spark, root, "-transitions.json")
+    kept_ = F.map_filter("fields", lambda k, _: ~k.isin(*_LISTS))
+    plain = flags.select(*KEYS, F.explode(kept_).alias("metric", "_v")).select(*KEYS, "metric", _number(F.col("_v")).alias("value"))
+    done = files.read_json_maps(spark, root, "-transitions.json", "map<string,variant>")
     stem = F.regexp_replace("file", r"\.json$", "")
     done = done.withColumn("prefix", X.product_prefix(stem, F.concat_ws("_", "uid", "year"))).where(F.col("prefix").isNotNull())
-    nested = [F.from_json(F.col("fields")[c], "map<string,string>") for c in ("dates", "uncertainties")]
-    scalars = F.map_filter("fields", lambda k, _: k.isin("amplitude", "baseline", "peak_value", "window_selected", "noise_std", "snr", "n_peak"))
-    spread = F.transform_keys(F.coalesce(nested[1], F.create_map().cast("map<string,string>")), lambda k, _: X.deviation_key(k))
-    every = F.map_concat(F.coalesce(nested[0], F.create_map().cast("map<string,string>")), spread, scalars)
-    products = done.select(*KEYS, "prefix", F.explode(every).alias("m", "_v")).select(*KEYS, F.concat_ws("-", "prefix", "m").alias("metric"), _number(F.col("_v")).alias("value"))
+    nested = [F.coalesce(F.try_variant_get(F.try_element_at("fields", F.lit(c)), "$", "map<string,variant>"), F.create_map().cast("map<string,variant>")) for c in ("dates", "uncertainties")]
+    scalars = F.map_filter("fields", lambda k, _: k.isin(*_SCALARS))
+    every = F.concat(*[F.map_entries(m) for m in (nested[0], F.transform_keys(nested[1], lambda k, _: X.deviation_key(k)), scalars)])
+    products = done.select(*KEYS, "prefix", F.explode(every).alias("e")).select(*KEYS, F.concat_ws("-", "prefix", "e.key").alias("metric"), _number(F.col("e.value")).alias("value"))
     metrics = records.with_defaults(records.gather(plain.unionByName(products), KEYS))
-    selected = flags.select(*KEYS, F.col("fields")["column_selected"].alias("column_selected"))
-    return identity.join(metrics, KEYS).join(selected, KEYS)
+    return identity.join(metrics, KEYS).join(flags.select(*KEYS, with_default_flags(F.transform_values(kept_, lambda _, v: _text(v))).alias("flags")), KEYS)
+
+
+def with_default_flags(flags: Column) -> Column:
+    """The text of flags, with that of the defaults of absent ones."""
+    absent = F.create_map(*[x for k, v in records.FLAG_DEFAULTS.items() for x in (F.lit(k), F.lit(None if v is None else str(bool(v))).cast("string"))])
+    return F.map_concat(flags, F.map_filter(absent, lambda k, _: ~F.map_contains_key(flags, k)))
+
+
+def record_columns(flags: list[str], metrics: list[str]) -> tuple[list[str], list[str]]:
+    """The columns of flags and of metrics, in the order of the table: flags as they are written, then product by product
+    dates, deviations and scalars, then the season's length."""
+    seasonal = [f"{s}_{m}" for s in sampling.SEASONS for m in ("coverage_ratio", "avg_obs_per_day", "n_gaps", "max_gap_days", "max_consecutive_missing_days")]
+    first = ["start_date", "end_date", "avg_obs_per_day", "max_obs_per_day", "min_obs_per_day", "n_gaps", *seasonal, *records.FLAG_DEFAULTS, "shrink_suffix", "column_selected"]
+    known = {k: i for i, k in enumerate(first)}
+
+    def place(name: str) -> tuple:
+        prefix, _, rest = name.partition("-")
+        mark = re.match(r"[A-Z]([UD])_(\d+)", rest)
+        kind, order = (2, (_SCALARS.index(rest), False)) if rest in _SCALARS else (int(rest.endswith("-std")), (int(mark[2]), mark[1] == "D") if mark else (-1, False))
+        return name == records.SEASON_LENGTH[0], prefix, kind, order, name
+
+    return sorted(flags, key=lambda k: (known.get(k, len(known)), k)), sorted(set(metrics) - set(flags), key=place)
 
 
 def run_aggregation(spark: SparkSession, cfg: Aggregation) -> tuple[DataFrame, str]:
@@ -296,11 +352,16 @@ def run_aggregation(spark: SparkSession, cfg: Aggregation) -> tuple[DataFrame, s
         listed = files.read_exclusions(spark, str(cfg.exclude_csv_path)).withColumn("year", F.col("year").cast("string"))
     judged = kept(records.judged(found, rules, listed))
     report = records.report(records.counts(judged, rules).first().asDict(), rules)
-    passed = records.filtered(judged)
-    names = sorted(r.k for r in passed.select(F.explode(F.map_keys("metrics")).alias("k")).distinct().collect())  # bounded by the settings
-    wide = records.widen(passed, names, [*KEYS, *_IDENTITY, "column_selected"], nan_as_null=True)
+    wide = record_table(records.filtered(judged))
     out = cfg.output_path
-    os.makedirs(out.parent, exist_ok=True)
-    wide.orderBy(*KEYS).toPandas().to_csv(out, index=False)  # one row a unit
-    (out.parent / f"{out.stem}-filtering-report.txt").write_text(report)
+    files.write_table(wide, str(out), ["location", "sublocation", "year", "full_name"])
+    files.write_text(spark, str(out.parent / f"{out.stem}-filtering-report.txt"), report)
     return wide, report
+
+
+def record_table(passed: DataFrame) -> DataFrame:
+    """Records as they are written: where and when, identity, flags as text, then metrics as numbers (NaN is null)."""
+    distinct = lambda c: [r.k for r in passed.select(F.explode(F.map_keys(c)).alias("k")).distinct().collect()]  # noqa: E731  (bounded by the settings)
+    flags, metrics = record_columns(distinct("flags"), distinct("metrics"))
+    flagged = [F.try_element_at("flags", F.lit(f)).alias(f) for f in flags]
+    return records.widen(passed.select("*", *flagged), metrics, ["location", "sublocation", "year", *_IDENTITY, *flags], nan_as_null=True)

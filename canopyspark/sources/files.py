@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
+import struct
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,12 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import expressions as X
+from ..operators.resample import STRATEGIES
 from ..session import ship
 
 KEYS = ["location", "sublocation", "uid", "year"]
 CHANNELS = ["GCC", "RCC", "BCC"]
 _FOLDER = r"/([^/_]+)_([^/]+)/([^/]+)/([^/]+)/[^/]+$"
-PRODUCT_SCHEMA = "date date, avg double, p50 double, p75 double, p90 double"
 
 
 def folder_keys(path: Column) -> list[Column]:
@@ -31,10 +34,30 @@ def _texts(spark: SparkSession, root: str, name: str) -> DataFrame:
     return files.select(*folder_keys(path), F.element_at(F.split(path, "/"), -1).alias("file"), F.col("value").alias("body")).where(F.col("location") != "")
 
 
-def _csv(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
-    read = spark.read.schema(schema).option("header", True).option("pathGlobFilter", name).option("recursiveFileLookup", True).csv(str(root))
-    path = F.col("_metadata.file_path")
-    return read.select(*folder_keys(path), F.element_at(F.split(path, "/"), -1).alias("file"), "*").where(F.col("location") != "")
+def _csv(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """``path, header, fields``: one row a line of the CSV files of a name below the root, with its file's own header.
+
+    Files of one name may differ in their columns and in the order of these; :func:`named` takes a field by its name.
+    Fields are numbers, dates and words: none is quoted over a comma. A file without a line has one row of null fields.
+    """
+    files = spark.read.format("text").option("wholetext", True).option("pathGlobFilter", name).option("recursiveFileLookup", True).load(str(root))
+    lines = F.filter(F.split(F.col("value"), "\r?\n"), lambda x: F.trim(x) != "")
+    cells = lambda line: F.transform(F.split(line, ",", -1), lambda x: F.trim(F.trim(x), F.lit('"')))
+    parted = files.select(F.col("_metadata.file_path").alias("path"), lines.alias("lines")).where(F.size("lines") > 0)
+    parted = parted.select("path", cells(F.col("lines")[0]).alias("header"), F.explode_outer(F.slice("lines", 2, F.size("lines"))).alias("line"))
+    return parted.select("path", "header", cells(F.col("line")).alias("fields"))
+
+
+def named(column: str) -> Column:
+    """The field below a header's name; null where the file has no such column or the field is empty."""
+    place = F.array_position("header", F.lit(column)).cast("int")
+    return F.nullif(F.when(place > 0, F.get("fields", place - 1)), F.lit(""))
+
+
+def number(text: Column) -> Column:
+    """Text as a double; NaN and what is no number as null."""
+    value = text.try_cast("double")
+    return F.when(~F.isnan(value), value)
 
 
 def channel_columns(suffix: str | None) -> dict[str, str]:
@@ -43,28 +66,76 @@ def channel_columns(suffix: str | None) -> dict[str, str]:
 
 
 def read_observations(spark: SparkSession, root: str, suffixes: tuple[str | None, ...] = (None, "33")) -> DataFrame:
-    """``keys, ts`` and for each suffix GCC, RCC, BCC and brightness, in the order in which they are written."""
-    columns = [f"{c}_s{s}" if s else c for s in suffixes for c in [*CHANNELS, "brightness"]]
-    schema = "datetime string, " + ", ".join(f"{c} double" for c in columns)
-    rows = _csv(spark, root, "*_raw-cc-data.csv", schema)
-    return rows.select(*KEYS, F.try_to_timestamp("datetime", F.lit("yyyy-MM-dd_HHmm")).cast("timestamp_ntz").alias("ts"), *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in columns])
+    """``keys, ts, header`` and for each suffix GCC, RCC, BCC and brightness, by the names in each file's header.
+
+    What a file lacks is null; ``header`` tells what it has. A file without observations has one row without a time.
+    """
+    columns = [f"{c}_s{s}" if s else c for s in dict.fromkeys(suffixes) for c in [*CHANNELS, "brightness"]]
+    rows = _csv(spark, root, "*_raw-cc-data.csv")
+    time = F.try_to_timestamp(F.get("fields", F.lit(0)), F.lit("yyyy-MM-dd_HHmm")).cast("timestamp_ntz")  # the index comes first
+    return rows.select(*folder_keys(F.col("path")), time.alias("ts"), "header", *[number(named(c)).alias(c) for c in columns]).where(F.col("location") != "")
+
 
+def read_json_maps(spark: SparkSession, root: str, ending: str, kind: str = "map<string,string>") -> DataFrame:
+    """``keys, file, fields``: JSON objects of files that end so, as text (nested values stay JSON) or, with
+    ``map<string,variant>``, as values that know their types."""
+    return _texts(spark, root, f"*{ending}").withColumn("fields", F.from_json("body", kind)).drop("body")
 
-def read_json_maps(spark: SparkSession, root: str, ending: str) -> DataFrame:
-    """``keys, file, fields MAP<STRING, STRING>``: JSON objects of files that end so; nested values stay JSON."""
-    return _texts(spark, root, f"*{ending}").withColumn("fields", F.from_json("body", "map<string,string>")).drop("body")
 
+def read_product(spark: SparkSession, root: str, channel: str, window: str, kind: str = "product", columns: tuple[str, ...] = STRATEGIES) -> DataFrame:
+    """``keys, date, doy, header`` and ``columns`` of product (or smoothed) files of a channel and window, by name."""
+    rows = _csv(spark, root, f"*-{channel}-{window}-{kind}.csv")
+    date = F.get("fields", F.lit(0)).try_cast("date")
+    rows = rows.select(*folder_keys(F.col("path")), date.alias("date"), F.dayofyear(date).alias("doy"), "header", *[number(named(c)).alias(c) for c in columns])
+    return rows.where((F.col("location") != "") & F.col("date").isNotNull())
 
-def read_product(spark: SparkSession, root: str, channel: str, window: str, kind: str = "product") -> DataFrame:
-    """``keys, date, doy`` and strategies of product (or smoothed) files of a channel and window."""
-    rows = _csv(spark, root, f"*-{channel}-{window}-{kind}.csv", PRODUCT_SCHEMA)
-    return rows.drop("file").withColumn("doy", F.dayofyear("date"))
+
+def read_profiles(spark: SparkSession, root: str, window: str = "3D", strategy: str = "p90", channel: str = "GCC") -> DataFrame:
+    """``keys, doy, value`` of smoothed files: the first of the names that a strategy's column has had which a file has."""
+    # Names of a smoothed column in older and newer files.
+    names = (f"{channel}-{window}-{strategy}_model", f"{channel}-{window}-{strategy}", strategy)
+    rows = read_product(spark, root, channel, window, "smoothed", names)
+    value = None
+    for n in names:
+        has = F.array_contains("header", n)
+        value = F.when(has, F.col(f"`{n}`")) if value is None else value.when(has, F.col(f"`{n}`"))
+    return rows.select(*KEYS, "doy", value.alias("value")).where(F.col("value").isNotNull())
 
 
 def read_snow(spark: SparkSession, root: str) -> DataFrame:
     """``location, date, snow`` of all daily flags."""
-    rows = spark.read.schema("date date, snow int").option("header", True).option("pathGlobFilter", "*-daily_snow_flag.csv").option("recursiveFileLookup", True).csv(str(root))
-    return rows.select(F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1).alias("location"), "date", "snow")
+    rows = _csv(spark, root, "*-daily_snow_flag.csv")
+    place = F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1)
+    return rows.select(place.alias("location"), F.get("fields", F.lit(0)).try_cast("date").alias("date"), number(named("snow")).cast("int").alias("snow")).where(F.col("date").isNotNull())
+
+
+def _table(spark: SparkSession, path: str, **kinds: str) -> DataFrame:
+    """A CSV table by its header: the named columns cast, in this order."""
+    read = spark.read.option("header", True).csv(str(path))
+    return read.select(*[F.nullif(F.trim(f"`{c}`"), F.lit("")).try_cast(k).alias(c) if k != "string" else F.col(f"`{c}`") for c, k in kinds.items()])
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records table: identity and other words as strings, ``year`` as an integer, metrics (their names hold a "-") as doubles."""
+    read = spark.read.option("header", True).csv(str(path))
+    kind = lambda c: number(F.col(f"`{c}`")) if "-" in c else F.col(f"`{c}`").try_cast("int") if c == "year" else F.col(f"`{c}`")
+    return read.select(*[kind(c).alias(c) for c in read.columns])
+
+
+def read_sites(spark: SparkSession, path: str) -> DataFrame:
+    """``ID`` (a string, whatever it looks like), ``Location, Elevation`` of the sites."""
+    return _table(spark, path, ID="string", Location="string", Elevation="double")
+
+
+def read_network(spark: SparkSession, path: str) -> DataFrame:
+    """Means of the observers' network: ``species, year, elevation_band, spn_up, spn_down``."""
+    return _table(spark, path, species="string", year="int", elevation_band="string", spn_up="double", spn_down="double")
+
+
+def read_visual(spark: SparkSession, path: str) -> DataFrame:
+    """``full_name`` and the day of each visual phase, the columns that end in "_mid"."""
+    names = [c for c in spark.read.option("header", True).csv(str(path)).columns if c.endswith("_mid")]
+    return _table(spark, path, full_name="string", **dict.fromkeys(names, "double"))
 
 
 def read_exclusions(spark: SparkSession, path: str) -> DataFrame:
@@ -77,6 +148,7 @@ def read_uids(spark: SparkSession, path: str) -> DataFrame:
     return body.select(F.explode(F.from_json("value", "map<string,string>")).alias("annotation_id", "uid"))
 
 
+# The fields of a region in polygon files.
 _ROI = "map<string,struct<name:string,coords:array<array<double>>,category:string,genus:string,species:string,mix:string,type:string>>"
 
 
@@ -100,24 +172,141 @@ def read_polygons(spark: SparkSession, config: str, folder: str, hashes: dict[st
     return rows.select(place[0].alias("location"), F.get(place, 1).alias("sublocation"), "year", "annotation_id", "roi.*")
 
 
-def read_pictures(spark: SparkSession, root: str) -> DataFrame:
+def list_pictures(spark: SparkSession, root: str) -> DataFrame:
+    """``location, sublocation, year, path, ts`` of all pictures, from their paths alone: no file is opened.
+
+    The archive is <location>/<sublocation>/<year>/<month>/<day>/<file>. Files of other kinds and names without a time
+    have no row.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(root)).select("path", F.col("_metadata.file_path").alias("file"))
+    rows = files.where(X.is_picture(F.col("path"))).select(*_archive_keys(F.col("path")), F.col("file").alias("path"), X.picture_time(F.col("path")).alias("ts"))
+    return rows.where(F.col("ts").isNotNull())
+
+
+def _archive_keys(path: Column) -> list[Column]:
+    parts = F.split(path, "/")
+    return [F.try_element_at(parts, F.lit(-i)).alias(k) for k, i in (("location", 6), ("sublocation", 5), ("year", 4))]
+
+
+def read_pictures(spark: SparkSession, root: str, only: list[str] | None = None) -> DataFrame:
     """``location, sublocation, year, path, ts, height, width, data`` of all readable pictures (BGR bytes, row by row).
 
-    The archive is <location>/<sublocation>/<year>/<month>/<day>/<file>. Files of other kinds, unreadable ones and names
-    without a time have no row.
+    As :func:`list_pictures`, and unreadable files have no row. With ``only``, folders <location>/<sublocation>/<year>,
+    files elsewhere are neither opened nor decoded: the condition is on the file's path, and the scan prunes by it.
     """
     raw = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(str(root))
+    file = F.col("_metadata.file_path")
+    if only is not None:
+        raw = raw.where(F.regexp_extract(F.replace(file, F.lit("%20"), F.lit(" ")), r"([^/]+/[^/]+/[^/]+)/[^/]+/[^/]+/[^/]+$", 1).isin(only))
     path = F.col("image.origin")
-    parts = F.split(path, "/")
-    at = lambda i: F.element_at(parts, i)
-    rows = raw.where(X.is_picture(path) & (F.col("image.nChannels") == 3))
-    rows = rows.select(at(-6).alias("location"), at(-5).alias("sublocation"), at(-4).alias("year"), path.alias("path"), X.picture_time(path).alias("ts"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.data").alias("data"))
+    rows = raw.where(X.is_picture(file) & (F.col("image.nChannels") == 3))
+    rows = rows.select(*_archive_keys(path), file.alias("path"), X.picture_time(path).alias("ts"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.data").alias("data"))
     return rows.where(F.col("ts").isNotNull())
 
 
+def shape_of(head: bytes) -> tuple[int, int] | None:
+    """Height and width that the first bytes of a JPEG, PNG or JPEG 2000 file tell; none if they tell none."""
+    if head[:8] == b"\x89PNG\r\n\x1a\n" and len(head) >= 24:
+        width, height = struct.unpack_from(">II", head, 16)
+        return height, width
+    if head[4:8] == b"jP  " and (at := head.find(b"ihdr")) >= 0 and len(head) >= at + 12:
+        return struct.unpack_from(">II", head, at + 4)
+    if head[:2] != b"\xff\xd8":
+        return None
+    at = 2
+    while at + 9 <= len(head) and head[at] == 0xFF:
+        mark = head[at + 1]
+        if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):  # start of a frame
+            return struct.unpack_from(">HH", head, at + 5)
+        at += 1 if mark == 0xFF else 2 + struct.unpack_from(">H", head, at + 2)[0]
+    return None
+
+
+#: Bytes of a picture that are read to learn its shape; all of it if they don't tell.
+HEAD_BYTES = 64 << 10
+
+
+def with_shapes(pictures: DataFrame) -> DataFrame:
+    """Adds ``height`` and ``width`` to rows with a ``path``, from the files' first bytes; files that tell none have no row."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pictures.schema) + ", height int, width int"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            shapes = []
+            for path in batch.path:
+                store, name = open_store(path)
+                try:
+                    with store.open_input_file(name) as f:
+                        head = f.read(HEAD_BYTES)
+                        shapes.append(shape_of(head) or shape_of(head + f.read()) or (0, 0))
+                except (OSError, struct.error):
+                    shapes.append((0, 0))
+            out = batch.assign(height=[h for h, _ in shapes], width=[w for _, w in shapes])
+            yield out[(out.height > 0) & (out.width > 0)]
+
+    ship(pictures.sparkSession)
+    return pictures.mapInPandas(run, schema)
+
+
+def open_store(root: str):
+    """The file system of a path or URI, and the path in it: local, HDFS or an object store, on driver and workers alike."""
+    from pyarrow import fs
+
+    if re.match(r"[a-z][a-z0-9+.-]*:", root):
+        return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", root).replace(" ", "%20"))
+    return fs.LocalFileSystem(), os.path.abspath(root)
+
+
+def _path(spark: SparkSession, path: str):
+    """A Hadoop path and its file system, as Spark's own readers and writers see it."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    found, system = _path(spark, path)
+    return bool(system.exists(found))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small text file, written by the driver."""
+    found, system = _path(spark, path)
+    stream = system.create(found, True)
+    try:
+        stream.write(bytearray(text, "utf-8"))
+    finally:
+        stream.close()
+
+
+def write_table(df: DataFrame, path: str, order: list[str]) -> None:
+    """``df`` as one CSV file with a header, rows in order; null is an empty field, quotes are doubled."""
+    _write_one(df.orderBy(*order), path, "csv", header=True, nullValue="", emptyValue="", escape='"')
+
+
+def write_lines(df: DataFrame, path: str) -> None:
+    """The one column of ``df`` as the sorted lines of a text file."""
+    _write_one(df.orderBy(df.columns[0]), path, "text")
+
+
+def _write_one(ordered: DataFrame, path: str, kind: str, **options) -> None:
+    """Sorted by all tasks, then written by one, row by row; the driver sees no row. The file appears whole or not at all."""
+    spark = ordered.sparkSession
+    draft = f"{path}.{uuid.uuid4().hex}.tmp"
+    ordered.coalesce(1).write.format(kind).options(**options).save(draft)
+    folder, system = _path(spark, draft)
+    parts = [x.getPath() for x in system.listStatus(folder) if x.getPath().getName().startswith("part-")]
+    target, _ = _path(spark, path)
+    system.delete(target, False)
+    if not parts:
+        write_text(spark, path, "")
+    elif not system.rename(parts[0], target):
+        raise OSError(f"{path} can't be written")
+    system.delete(folder, True)
+
+
 def completed(spark: SparkSession, root: str, ending: str) -> DataFrame:
     """``keys`` of the units that have a file with this ending; empty where the root doesn't exist yet."""
-    if not os.path.isdir(str(root)):
+    if not exists(spark, root):
         return spark.createDataFrame([], T.StructType([T.StructField(k, T.StringType()) for k in KEYS]))
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{ending}").option("recursiveFileLookup", True).load(str(root))
     return files.select(*folder_keys(F.col("path"))).where(F.col("location") != "").distinct()
@@ -143,22 +332,27 @@ def csv_body(header: list[str], order: str, values: list[Column]) -> Column:
 
 
 def write_files(files: DataFrame, root: str) -> int:
-    """Writes ``path, body`` rows below a root that all workers can reach; returns their number.
+    """Writes ``path, body`` rows (text or bytes) below a root in any store that the workers reach; returns their number.
 
-    A file appears whole or not at all (it is renamed into place), so a task that runs again does no harm.
+    A file appears whole or not at all (it is moved into place), so a task that runs again does no harm.
     """
     ship(files.sparkSession)
-    base = str(root)
+    root = str(root)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = open_store(root)
         for batch in batches:
             for path, body in zip(batch.path, batch.body, strict=True):
-                target = os.path.join(base, path)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                draft = f"{target}.{os.getpid()}.tmp"
-                with open(draft, "w", encoding="utf-8") as f:
-                    f.write(body)
-                os.replace(draft, target)
+                target = f"{base}/{path}"
+                store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                draft = f"{target}.{uuid.uuid4().hex}.tmp"
+                with store.open_output_stream(draft) as f:
+                    f.write(body.encode("utf-8") if isinstance(body, str) else bytes(body))
+                try:
+                    store.move(draft, target)
+                except OSError:  # a store that doesn't replace files
+                    store.delete_file(target)
+                    store.move(draft, target)
             yield pd.DataFrame({"n": [len(batch)]})
 
     return files.select("path", "body").mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
