@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import ship
+from ..session import shared_folder, ship
 
 #: ASCII white space, as ``bytes.split`` and ``bytes.strip`` take it.
 SPACE = " \t\n\x0b\x0c\r"
@@ -19,19 +20,9 @@ BATCH_ROWS = 512
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of this machine only where none is set, as in tests."""
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not base:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="canopy-"))
-        base = context.getCheckpointDir()
-    return base.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/canopy-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/canopy-{name}-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return path
@@ -106,6 +97,83 @@ def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatc
         yield batch.slice(start, step)
 
 
+#: Rows of one key that make it hot in a join, and hot keys that are met by broadcast at most.
+HOT_ROWS, HOT_KEYS, HOT_BYTES = 256, 100_000, 32 << 20
+
+
+def free_stem(*tables: DataFrame) -> str:
+    """A start of names that no column of the tables begins with, in any case; with a letter more it names inner columns."""
+    names = [c.lower() for df in tables for c in df.columns]
+    stem = "_"
+    while any(n.startswith(stem) for n in names):
+        stem += "_"
+    return stem
+
+
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by their whole names, dots and all."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def column(name: str) -> Column:
+    return quoted([name])[0]
+
+
+def without(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` but those of these names, whatever their case."""
+    return [c for c in df.columns if c.lower() not in names]
+
+
+def schema_text(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def as_long(df: DataFrame, key: str) -> Column:
+    """An integer key as a long; a key of another type would turn into nulls and raises instead."""
+    kind = df.select(column(key)).schema[0].dataType
+    if not isinstance(kind, T.IntegralType | T.NullType):
+        raise TypeError(f"column {key!r} must hold integers, not {kind.simpleString()}")
+    return column(key).cast("long")
+
+
+def join_hot(rows: DataFrame, right: DataFrame, on: list[str], n: str) -> DataFrame:
+    """``rows`` left join ``right`` on ``on``, where a few keys can hold very many rows. ``right`` is staged and has each key
+    once, with few bytes a key, and in ``n`` how many rows have it. A null key finds nothing.
+
+    Keys of at least HOT_ROWS rows meet their rows by broadcast, while HOT_KEYS bounds their number; these rows, and those
+    with a null key, then go to any partition and not to that of their key. All others meet by key.
+    """
+    stem = free_stem(rows, right)
+    hot, cold, alone = stem + "hot", stem + "cold", stem + "alone"
+    values = [c for c in right.columns if c not in on]
+    often = right.where(F.col(n) >= HOT_ROWS)
+    some = 0 < often.limit(HOT_KEYS + 1).count() <= HOT_KEYS
+    apart = ~F.lit(True)
+    for c in on:
+        apart = apart | column(c).isNull()
+    met = rows
+    if some:
+        met = rows.join(F.broadcast(often.select(*on, F.struct(*values).alias(hot))), on, "left")
+        apart = apart | F.col(hot).isNotNull()
+    met = met.withColumn(alone, F.when(apart, F.monotonically_increasing_id()).otherwise(F.lit(-1)))
+    others = (right.where(F.col(n) < HOT_ROWS) if some else right).select(*[F.col(c).alias(f"{stem}on_{c}") for c in on], F.lit(-1).cast("long").alias(stem + "flag"), F.struct(*values).alias(cold))
+    same = F.col(alone) == F.col(stem + "flag")
+    for c in on:
+        same = same & (column(c) == F.col(f"{stem}on_{c}"))
+    found = (lambda v: F.coalesce(F.col(f"{hot}.{v}"), F.col(f"{cold}.{v}"))) if some else (lambda v: F.col(f"{cold}.{v}"))
+    return met.join(others, same, "left").select(*quoted(rows.columns), *[found(v).alias(v) for v in values])
+
+
+def running_starts(counts: DataFrame, key: str, n: str, out: str, block: int = 4096) -> DataFrame:
+    """``key, out``: the sum of ``n`` over all smaller keys (numbers from 0), by blocks of keys, so that no task holds all."""
+    blocks = counts.groupBy(F.floor(F.col(key) / block).alias("_block")).agg(F.sum(n).alias("_sum"))
+    before = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.select("_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    inside = W.partitionBy("_block").orderBy(key).rowsBetween(W.unboundedPreceding, -1)
+    rows = counts.withColumn("_block", F.floor(F.col(key) / block)).withColumn("_in", F.coalesce(F.sum(n).over(inside), F.lit(0)))
+    return rows.join(blocks, "_block").select(key, (F.col("_base") + F.col("_in")).cast("long").alias(out))
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings; a null text is empty."""
     return [x if x is not None else "" for x in column.to_pylist()]
