@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_staged, map_batches, new_path, stage, texts_of
+from .common import column, drop_staged, free_stem, join_hot, map_batches, new_path, quoted, schema_text, stage, texts_of, without
 
 
 def line_keys(text: str) -> tuple[list[bytes], list[bytes]]:
@@ -77,11 +77,13 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: s
     Each row is a document. A line's key is the line stripped of ASCII white space at both ends with A-Z in lower
     case; keys under ``min_chars`` code points are never dropped. A null or empty text is one empty line and stays.
     Returns all columns of ``docs`` with ``text`` rebuilt from the lines that stay (in order, joined by ``\\n``; "" where
-    nothing stays), and the columns ``n_lines`` and ``n_dropped`` (these replace columns of the same names).
-    Repeated rows count as documents of their own. An empty table gives an empty table.
+    nothing stays), and the columns ``n_lines`` and ``n_dropped`` (these replace columns of the same names, whatever their
+    case). Repeated rows count as documents of their own. An empty table gives an empty table.
 
     Scale: only 16-byte line hashes are shuffled for counting (pre-summed by key, so a line of every document costs
-    one row a task); texts move once, to meet the hashes of their own frequent lines.
+    one row a task); texts move once, to meet the hashes of their own frequent lines. Documents meet them by the text's
+    hash; texts that very many documents have meet theirs by broadcast and are not dealt to one task, and texts without a
+    frequent line meet nothing.
     """
     spark = docs.sparkSession
 
@@ -92,21 +94,23 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: s
             out.append([xxhash.xxh3_128_digest(k) for k in keys])
         return pa.record_batch([batch.column("of"), batch.column("batch"), pa.array(out, pa.list_(pa.binary()))], names=["of", "batch", "keys"])
 
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(column(text), F.lit(""))
     source = docs.select(body.alias("text"), F.xxhash64(body).alias("of"), F.pmod(F.xxhash64(F.lit(3), body, F.monotonically_increasing_id()), F.lit(batches)).cast("int").alias("batch"))
     lines = stage(map_batches(source, hashed, "of long, batch int, keys array<binary>"), "lines", "batch")
     runs = LineRuns(spark, min_docs, fanout)
     for i in range(batches):
         runs.add(lines.where(F.col("batch") == i).select(F.explode("keys").alias("key")))
     found = lines.select("of", F.explode("keys").alias("key")).join(runs.settled(), "key", "left_semi")
-    hits = found.groupBy("of").agg(F.collect_set("key").alias("_hits"))
+    # Each text once, with the hashes of its frequent lines (at most as many as it has lines) and how often it occurs.
+    often = found.groupBy("of").agg(F.collect_set("key").alias("found"))
+    hits = stage(lines.groupBy("of").agg(F.count(F.lit(1)).alias("times")).join(often, "of"), "hits")
 
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "_hits", "_of")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", n_lines long, n_dropped long"
+    keep, stem = without(docs, "n_lines", "n_dropped"), free_stem(docs)
+    schema = schema_text(docs.select(*quoted(keep))) + ", n_lines long, n_dropped long"
 
     def rebuilt(batch: pa.RecordBatch) -> pa.RecordBatch:
         made, totals, drops = [], [], []
-        for x, hit in zip(texts_of(batch.column(text)), batch.column("_hits").to_pylist(), strict=True):
+        for x, hit in zip(texts_of(batch.column(text)), batch.column(stem + "hits").to_pylist(), strict=True):
             if hit is None:
                 made.append(x)
                 totals.append(x.count("\n") + 1)
@@ -121,7 +125,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: s
         columns = [pa.array(made, pa.string()) if c == text else batch.column(c) for c in keep]
         return pa.record_batch([*columns, pa.array(totals, pa.int64()), pa.array(drops, pa.int64())], names=[*keep, "n_lines", "n_dropped"])
 
-    joined = docs.select(*keep).withColumn("_of", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).join(hits.withColumnRenamed("of", "_of"), "_of", "left").select(*keep, "_hits")
+    rows = docs.select(*quoted(keep), F.when(body != "", F.xxhash64(body)).alias(stem + "of"))
+    hits = hits.select(F.col("of").alias(stem + "of"), F.col("found").alias(stem + "hits"), F.col("times").alias(stem + "times"))
+    joined = join_hot(rows, hits, [stem + "of"], stem + "times").select(*quoted(keep), stem + "hits")
     return map_batches(joined, rebuilt, schema)
 
 
@@ -150,5 +156,3 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY r, doc_id
 """
-
-
