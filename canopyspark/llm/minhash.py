@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, stage
+from .common import HOT_BYTES, HOT_KEYS, HOT_ROWS, as_long, column, drop_staged, join_hot, map_batches, stage
 from .components import components
 from .words import hashed_words, once, runs, word_hash
 
@@ -73,8 +73,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
        lost, no pair becomes a row, and groups that are one component by then cost nothing. Components of all links.
 
     Scale: buckets are counted with pre-aggregation and joined back on (band, hash), never gathered; what moves is
-    32 short rows a class, and texts only of the classes in compared pairs. The joins are sort-merge joins that AQE
-    can split where a centre has very many members.
+    32 short rows a class, and texts only of the classes in compared pairs. Where one set, bucket or centre has very many
+    rows, these are met by broadcast and not dealt by it (see ``join_hot``), while a bound on the number of such keys holds.
     """
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -90,35 +90,44 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
                 bands.append(None)
         return pa.record_batch([batch.column("key"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["key", "n", "set", "bands"])
 
-    source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    source = docs.select(as_long(docs, key).alias("key"), column(text).alias("text"))
     rows = stage(map_batches(source, sets, "key long, n long, set binary, bands array<long>"), "sets")
     named = rows.where(F.col("key").isNotNull() & F.col("set").isNotNull())
-    names = stage(named.groupBy("set").agg(F.min("key").alias("class")), "classes")
+    names = stage(named.groupBy("set").agg(F.min("key").alias("class"), F.count(F.lit(1)).alias("rows")), "classes")
     # A class's bands come from the row that names it.
     lead = named.join(names, (F.col("key") == F.col("class")) & (named["set"] == names["set"]), "left_semi").dropDuplicates(["key", "set"])
     flat = lead.select(F.col("key").alias("class"), F.posexplode("bands").alias("band", "h"))
-    sizes = flat.groupBy("band", "h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    member = stage(flat.join(sizes, ["band", "h"]), "members")
+    flat = stage(flat, "bands")
+    sizes = stage(flat.groupBy("band", "h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sizes")
+    member = stage(join_hot(flat, sizes, ["band", "h"], "m").where(F.col("m").isNotNull()), "members")
+    drop_staged(flat)
     fame = member.groupBy("class").agg(F.sum("m").alias("fame"))
-    famed = member.select("band", "h", "class").join(fame, "class")
-    best = famed.groupBy("band", "h").agg(F.max(F.struct("fame", (-F.col("class")).alias("less"))).alias("b")).select("band", "h", (-F.col("b.less")).alias("centre"))
-    first = member.join(best, ["band", "h"]).where(F.col("class") != F.col("centre")).select(F.col("class").alias("a"), F.col("centre").alias("b")).distinct()
+    famed = member.select("band", "h", "class", "m").join(fame, "class")
+    best = famed.groupBy("band", "h").agg(F.max(F.struct("fame", (-F.col("class")).alias("less"))).alias("b"), F.max("m").alias("size"))
+    best = stage(best.select("band", "h", "size", F.col("b.fame").alias("fame"), (-F.col("b.less")).alias("centre")), "centres")
+    around = join_hot(member.select("band", "h", "class"), best, ["band", "h"], "size").where(F.col("class") != F.col("centre"))
+    first = around.select(F.col("class").alias("a"), F.col("centre").alias("b"), "fame").distinct()
     texts = source.where(F.col("key").isNotNull())
     seen = stage(compared(stage(first, "pairs"), texts), "found")
     part = components(seen.where("link").select("a", "b"))
-    found = stage(_further(seen, part, fame), "found", batch_rows=16)
+    found = stage(_further(seen, part), "found", batch_rows=16)
     if not found.isEmpty():
         # The first links are stars by now; only their stars and the new links are needed.
         part = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
-    # All keys of a class follow it; a key with two texts joins their components.
-    keyed = named.join(names, "set").select("key", "class").distinct()
-    twice = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    if not twice.isEmpty():
-        same = keyed.join(twice, "key", "left_semi").select(F.col("key").alias("a"), F.col("class").alias("b"))
-        part = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(same))
-        keyed = keyed.groupBy("key").agg(F.min("class").alias("class"))
-    placed = keyed.join(part, F.col("class") == F.col("node"), "left").select("key", F.coalesce("component", "class").alias("component_id"))
-    out = rows.select("key", "n").join(placed, "key", "left").withColumn("component_id", F.coalesce("component_id", "key"))
+    # All rows of a class follow it; a key with several texts joins their components.
+    several = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min(F.coalesce("set", F.lit(b""))).alias("lo"), F.max(F.coalesce("set", F.lit(b""))).alias("hi")).where("lo <> hi").select("key")
+    several = stage(several, "several")
+    twice = not several.isEmpty()
+    if twice:
+        keyed = named.join(several, "key", "left_semi").select("key", "set").distinct().join(names, "set").select("key", "class")
+        links = keyed.select(F.col("key").alias("a"), F.col("class").alias("b"))
+        part = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+    of = stage(names.join(part, F.col("class") == F.col("node"), "left").select("set", "rows", F.coalesce("component", "class").alias("component_id")), "components")
+    out = join_hot(rows.select("key", "n", "set"), of, ["set"], "rows")
+    if twice:  # a row without words, whose key has words elsewhere
+        blank = several.join(part, F.col("key") == F.col("node")).select("key", F.col("component").alias("_elsewhere"))
+        out = out.join(blank, "key", "left").withColumn("component_id", F.coalesce("component_id", "_elsewhere"))
+    out = out.withColumn("component_id", F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key")))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", (F.col("key").isNull() | (F.col("key") == F.col("component_id"))).alias("kept"))
 
 
@@ -130,7 +139,7 @@ def runs_of_rows(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _further(seen: DataFrame, part: DataFrame, fame: DataFrame) -> DataFrame:
+def _further(seen: DataFrame, part: DataFrame) -> DataFrame:
     """Links (a, b) between different components among the members around one centre, one for two components and chunks.
 
     Members are dealt to chunks of about CHUNK_TOKENS shingles and CHUNK_SETS sets; chunks of members outside the largest
@@ -138,13 +147,14 @@ def _further(seen: DataFrame, part: DataFrame, fame: DataFrame) -> DataFrame:
     hold. Two members whose most famous centre is the same are compared around that centre only.
     """
     best = F.max(F.struct("fame", "b")).alias("top")
-    top = seen.select("a", "b").join(fame.withColumnRenamed("class", "b"), "b").groupBy("a").agg(best).select(F.col("a").alias("x"), F.col("top.b").alias("top"))
+    top = seen.select("a", "b", "fame").groupBy("a").agg(best).select(F.col("a").alias("x"), F.col("top.b").alias("top"))
     around = seen.select(F.col("b").alias("c"), F.col("a").alias("x"), "s").join(part, F.col("x") == F.col("node"), "left").withColumn("of", F.coalesce("component", "x")).drop("node", "component").join(top, "x")
     sizes = around.groupBy("c", "of").agg(F.count(F.lit(1)).alias("m"), F.sum(F.size("s")).alias("t"))
     groups = sizes.groupBy("c").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("m", "of")).alias("most"), F.sum("m").alias("m"), F.sum("t").alias("t")).where("parts > 1")
     chunks = F.greatest(F.ceil(F.col("m") / CHUNK_SETS), F.ceil(F.col("t") / CHUNK_TOKENS))
-    groups = groups.select("c", F.col("most.of").alias("largest"), chunks.alias("chunks"))
-    open_ = stage(around.join(groups, "c").withColumn("chunk", F.pmod(F.xxhash64("x"), F.col("chunks"))), "open")
+    groups = stage(groups.select("c", "m", F.col("most.of").alias("largest"), chunks.alias("chunks")), "groups")
+    open_ = join_hot(around, groups, ["c"], "m").where(F.col("chunks").isNotNull()).drop("m")
+    open_ = stage(open_.withColumn("chunk", F.pmod(F.xxhash64("x"), F.col("chunks"))), "open")
     # A large group's chunks are dealt to several parts, eight to each, and meet all chunks there.
     parts = F.ceil(F.col("chunks") / 8)
     packed = lambda df, name: df.groupBy("c", "chunk", "chunks").agg(F.collect_list(F.struct("x", "of", "top", "s")).alias(name))
@@ -187,8 +197,17 @@ def _incidence(sets: list[np.ndarray], shingles_: np.ndarray) -> np.ndarray:
 
 
 def _joined(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    one = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
-    return one.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    """Pairs with both texts. Those of centres with very many pairs come by broadcast, while their bytes are bounded."""
+    one = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
+    centres = texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
+    hot = stage(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= HOT_ROWS).select("b"), "hot")
+    if not 0 < hot.limit(HOT_KEYS + 1).count() <= HOT_KEYS:
+        return one.join(centres, "b")
+    famous = stage(centres.join(F.broadcast(hot), "b", "left_semi"), "famous")
+    if (famous.agg(F.sum(F.octet_length("tb"))).first()[0] or 0) > HOT_BYTES:
+        return one.join(centres, "b")
+    by_key = one.join(F.broadcast(hot), "b", "left_anti").join(centres, "b")
+    return by_key.unionByName(one.join(F.broadcast(famous), "b"))
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]]:
@@ -204,16 +223,16 @@ def linked(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -
 
 
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """For each pair (a, centre b): whether it is a link, and the shingles ``s`` of a."""
+    """For each pair (a, centre b, ``fame``): whether it is a link, and the shingles ``s`` of a."""
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
         link, sets = [], []
         for p, q in _sets(batch):
             link.append(linked(p, q))
             sets.append(_signed(p[0]))
-        return pa.record_batch([batch.column("a"), batch.column("b"), pa.array(link, pa.bool_()), pa.array(sets, pa.list_(pa.int64()))], names=["a", "b", "link", "s"])
+        return pa.record_batch([*(batch.column(c) for c in ("a", "b", "fame")), pa.array(link, pa.bool_()), pa.array(sets, pa.list_(pa.int64()))], names=["a", "b", "fame", "link", "s"])
 
-    return map_batches(_joined(pairs, texts), compare, "a long, b long, link boolean, s array<long>")
+    return map_batches(_joined(pairs, texts).select("a", "b", "fame", "ta", "tb"), compare, "a long, b long, fame long, link boolean, s array<long>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
