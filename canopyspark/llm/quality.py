@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, bounded_sample, map_batches
+from .common import bounded, bounded_sample, map_batches, quoted, schema_text
 from .words import Remembered, hashed_words, runs, scatter, word_hash
 
 BITS = 20
@@ -95,36 +95,37 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAINING_ROWS, text: str = "text") -> Weights:
     """Learn ``label`` (0 or 1) of documents, from labelled rows that aren't held out.
 
-    At most ``rows`` labels are used, chosen by hash of doc_id; a null label or id is none. Features are
-    made on the executors; one task reads them in hash order, so the result is the same each time. Only the weights
-    (4 MB) reach the driver. Without a label there are no weights and every score is 1.
+    At most ``rows`` labels are used, chosen by hash of doc_id; a null label or id is none. Of rows that share an id and a
+    label one counts, that of the least hash of its text; a null or empty text, or one without words, has the bias alone.
+    Features are made on the executors; one task reads them as a sorted stream, once an epoch, so it holds a batch of them
+    at a time, and the result is the same each time. Only the weights (4 MB) reach the driver. Without a label, as for
+    empty tables, there are no weights and every score is 1. Other columns are not read.
     """
     spark = bounded(docs.sparkSession)
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     chosen = chosen.select("doc_id", F.col(label).cast("double").alias("y"), F.xxhash64("doc_id").alias("h"))
     chosen = bounded_sample(chosen, rows)
-    known = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("h", "y", "text")
+    known = docs.select("doc_id", F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "doc_id").select("h", "y", "text", F.xxhash64("text").alias("t"))
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
         pairs = [sparse(h, s) for h, s in hashed_words(batch.column("text"), False, word_hash, word_shape)]
-        return pa.record_batch([batch.column("h"), batch.column("y"), pa.array([i.astype(np.int32) for i, _ in pairs], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in pairs], pa.list_(pa.float32()))], names=["h", "y", "i", "v"])
+        return pa.record_batch([*(batch.column(c) for c in ("h", "y", "t")), pa.array([i.astype(np.int32) for i, _ in pairs], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in pairs], pa.list_(pa.float32()))], names=["h", "y", "t", "i", "v"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = []
+        model = None
         for b in batches:
             for i, v, y in zip(b.column("i"), b.column("v"), b.column("y").to_pylist(), strict=True):
-                data.append((np.append(i.values.to_numpy(), 1 << BITS), np.append(v.values.to_numpy(), np.float32(1)).astype(float), y))
-        if not data:
+                model = model or Ftrl(1 << BITS)
+                model.learn(np.append(i.values.to_numpy(), 1 << BITS), np.append(v.values.to_numpy(), np.float32(1)).astype(float), y)
+        if model is None:
             return
-        model = Ftrl(1 << BITS)
-        for _ in range(EPOCHS):
-            for i, v, y in data:
-                model.learn(i, v, y)
         w = model.at(slice(None)).astype(np.float32)
         yield pa.record_batch([pa.array([w.tobytes()], pa.binary())], names=["w"])
 
-    made = map_batches(known, features, "h long, y double, i array<int>, v array<float>")
-    found = made.repartition(1).sortWithinPartitions("h", "y").mapInArrow(train, "w binary").collect()
+    made = map_batches(known, features, "h long, y double, t long, i array<int>, v array<float>")
+    one = made.groupBy("h", "y").agg(F.min_by(F.struct("i", "v"), F.coalesce("t", F.lit(0))).alias("x")).select("h", "y", "x.i", "x.v")
+    epochs = one.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))))
+    found = epochs.repartition(1).sortWithinPartitions("epoch", "h", "y").select("i", "v", "y").mapInArrow(train, "w binary").collect()
     if not found:
         return Weights(0.0, None)
     w = np.frombuffer(bytes(found[0].w), np.float32)
@@ -138,16 +139,15 @@ def score(docs: DataFrame, weights: Weights, text: str = "text", out: str = "sco
     the bias says. A column named ``out`` is replaced.
     """
     shared = bounded(docs.sparkSession).sparkContext.broadcast(weights)
-    keep = [c for c in returned or docs.columns if c != out]
-    fields = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{out}` double"
+    keep = [c for c in returned or docs.columns if c.lower() != out.lower()]
+    schema = schema_text(docs.select(*quoted(keep))) + f", `{out}` double"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         scores = shared.value.score(batch.column(text))
         return pa.record_batch([*(batch.column(c) for c in keep), pa.array(scores, pa.float64())], names=[*keep, out])
 
     read = dict.fromkeys([*keep, text])
-    return map_batches(docs.select(*[F.col(f"`{c}`") for c in read]), run, schema)
+    return map_batches(docs.select(*quoted(list(read))), run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
