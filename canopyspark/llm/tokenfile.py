@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .chunks import ChunkEncoder, WordEncoder
-from .common import bounded, bounded_sample, new_path, pieces
+from .common import as_long, bounded, bounded_sample, column, new_path, pieces
 
 #: Rows that the dictionary is trained on, and its size in bytes: the bounds of what reaches the driver.
 TRAINING_ROWS, TRAINING_CHARS, DICTIONARY_BYTES = 1000, 20_000, 32 << 10
@@ -25,7 +25,7 @@ BLOCK_BYTES = 1 << 20
 # magic, bytes an id, dictionary hash, documents
 HEAD = struct.Struct("<4sIQQ")
 MAGIC = b"CTK1"
-BLOCKS = "part int, block int, first long, n_docs long, n_tokens long, dictionary long, body binary"
+BLOCKS = "part int, block int, first long, n_docs long, n_tokens long, dictionary long, lo long, hi long, body binary"
 
 _encoders: dict[tuple[str, str], ChunkEncoder] = {}
 
@@ -122,8 +122,15 @@ class Block:
 
 
 def train(docs: DataFrame, path: str, dtype: str, text: str, key: str) -> bytes:
-    """A dictionary from at most TRAINING_ROWS rows, chosen by hash of the key (empty if they are too few to train on)."""
-    rows = bounded_sample(docs.select(F.substring(F.coalesce(F.col(text), F.lit("")), 1, TRAINING_CHARS).alias("t"), F.xxhash64(key).alias("h")), TRAINING_ROWS).collect()
+    """A dictionary from at most TRAINING_ROWS rows, chosen by hash of the key (empty if they are too few to train on).
+
+    Of a text of more than TRAINING_CHARS code points a window of as many counts, which begins anywhere in it. Only the
+    compression depends on the dictionary.
+    """
+    body, h = F.coalesce(column(text), F.lit("")), F.xxhash64(column(key))
+    spare = F.greatest(F.char_length(body) - TRAINING_CHARS, F.lit(0))
+    window = F.substring(body, (F.pmod(F.xxhash64(h), spare + 1) + 1).cast("int"), F.lit(TRAINING_CHARS))
+    rows = bounded_sample(docs.select(window.alias("t"), h.alias("h")), TRAINING_ROWS).collect()
     samples = [x for x in encoder(path, dtype).encode([r.t for r in rows]) if x]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
@@ -158,8 +165,9 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 1, text: st
 
         def made() -> pa.RecordBatch:
             n = sum(lengths)
-            row = [part, block, first, len(keys), n, signed, pack(keys, lengths, frames, width, hashed)]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            known = [k for k in keys if k is not None]
+            row = [part, block, first, len(keys), n, signed, min(known, default=None), max(known, default=None), pack(keys, lengths, frames, width, hashed)]
+            kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 6, pa.binary()]
             return pa.record_batch([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
         size = 0
@@ -177,25 +185,29 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 1, text: st
         if keys:
             yield made()
 
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).cast("long").alias("key"), body.alias("text"), F.xxhash64(body).alias("tie"))
+    body = F.coalesce(column(text), F.lit(""))
+    rows = docs.select(as_long(docs, key).alias("key"), body.alias("text"), F.xxhash64(body).alias("tie"))
     ordered = rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie").select("key", "text")
     ordered.mapInArrow(blocks, BLOCKS).write.parquet(f"{out}/blocks")
 
 
-def read_tokens(spark: SparkSession, out: str) -> DataFrame:
-    """All documents of token files: ``doc_id, start`` (tokens of all documents before it), ``ids`` array<int>."""
-    return _read(spark, out, "ids array<int>", lambda ids: ids.astype(np.int32))
+def read_tokens(spark: SparkSession, out: str, only: list[int] | None = None) -> DataFrame:
+    """All documents of token files: ``doc_id, start`` (tokens of all documents before it), ``ids`` array<int>.
 
+    With ``only``, just the documents of these keys: the scan skips blocks by their least and largest key, and of the
+    others' frames those of the keys alone are decompressed.
+    """
+    return _read(spark, out, "ids array<int>", lambda ids: ids.astype(np.int32), only)
 
-def _read(spark: SparkSession, out: str, column: str, of: object) -> DataFrame:
+
+def _read(spark: SparkSession, out: str, field: str, of: object, only: list[int] | None = None) -> DataFrame:
     bounded(spark)
     dictionary = bytes(spark.read.parquet(f"{out}/dictionary").first().dictionary)
     blocks = spark.read.schema(BLOCKS).parquet(f"{out}/blocks")
     totals = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row a partition
     before = totals.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    schema = f"doc_id long, start long, n_tokens long, {column}"
-    name, kind = column.split()
+    schema = f"doc_id long, start long, n_tokens long, {field}"
+    name, kind = field.split()
     arrow = pa.list_(pa.int32()) if kind == "array<int>" else pa.int64()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,9 +215,16 @@ def _read(spark: SparkSession, out: str, column: str, of: object) -> DataFrame:
             for i in range(batch.num_rows):
                 block = Block(batch.column("body")[i].as_py(), dictionary)
                 start = batch.column("at")[i].as_py() + np.cumsum([0, *block.lengths[:-1].tolist()])
-                values = pa.array([of(block.tokens(j)) for j in range(block.n)], arrow)
-                yield pa.record_batch([pa.array(block.doc_ids, pa.int64()), pa.array(start, pa.int64()), pa.array(block.lengths.astype(np.int64)), values], names=["doc_id", "start", "n_tokens", name])
-
+                places = [j for j in range(block.n) if wanted is None or block.doc_ids[j] in wanted]
+                values = pa.array([of(block.tokens(j)) for j in places], arrow)
+                yield pa.record_batch([pa.array([block.doc_ids[j] for j in places], pa.int64()), pa.array(start[places], pa.int64()), pa.array(block.lengths[places].astype(np.int64)), values], names=["doc_id", "start", "n_tokens", name])
+
+    wanted = None if only is None else frozenset(only)
+    if only is not None:
+        near = F.lit(False)
+        for k in sorted(wanted):
+            near = near | ((F.col("lo") <= k) & (F.col("hi") >= k))
+        blocks = blocks.where(near)
     return blocks.join(before, "part").select((F.col("before") + F.col("first")).alias("at"), "body").mapInArrow(read, schema)
 
 
