@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import PIECES, SPACES, ChunkEncoder, WordEncoder
-from .common import map_batches
+from .common import map_batches, quoted, schema_text, without
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -181,8 +181,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text
     frequent chunks, so most words cost a lookup.
     """
     path = path or default_path()
-    keep = [c for c in docs.columns if c not in ("ids", "decoded")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in keep]).schema) + ", ids array<int>, decoded string"
+    keep = without(docs, "ids", "decoded")
+    schema = schema_text(docs.select(*quoted(keep))) + ", ids array<int>, decoded string"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = model(path)
@@ -192,7 +192,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text
         decoded = pa.array([bpe.decode(x) for x in ids] if decode else [None] * len(ids), pa.string())
         return pa.record_batch([*(batch.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(ends), flat), decoded], names=[*keep, "ids", "decoded"])
 
-    return map_batches(docs.select(*[F.col(f"`{c}`") for c in keep]), run, schema)
+    return map_batches(docs.select(*quoted(keep)), run, schema)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, map_batches, stage, word_count
+from .common import as_long, bounded, column, free_stem, map_batches, quoted, schema_text, stage, word_count
 from .words import hashed_words, once, scatter, word_hash
 
 #: A passage has at least MIN_WORDS words. Minimisers are taken of GRAM-word hashes in windows of WINDOW positions.
@@ -201,7 +201,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
     3. Pairs of documents are joined to their texts, and each match is extended left and right.
     """
     spark = bounded(docs.sparkSession)
-    source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where(F.col("key").isNotNull() & F.col("text").isNotNull())
+    source = docs.select(as_long(docs, key).alias("key"), column(text).alias("text")).where(F.col("key").isNotNull() & F.col("text").isNotNull())
     fields = ["h", "x", "doc", "pos"]
 
     def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -273,12 +273,13 @@ def drop_repeated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
 
 
 def _cut(docs: DataFrame, later: DataFrame, text: str, key: str) -> DataFrame:
-    keep = docs.columns
-    joined = docs.join(later.withColumnRenamed("doc", "_doc"), F.col(key) == F.col("_doc"), "left")
+    keep, stem = docs.columns, free_stem(docs)
+    found = later.select(F.col("doc").alias(stem + "doc"), F.col("spans").alias(stem + "spans"))
+    joined = docs.join(found, column(key) == F.col(stem + "doc"), "left")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for t, spans in zip(batch.column(text).to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        for t, spans in zip(batch.column(text).to_pylist(), batch.column(stem + "spans").to_pylist(), strict=True):
             if t is not None and spans:
                 words = t.encode().split()
                 for s in reversed(spans):
@@ -287,8 +288,7 @@ def _cut(docs: DataFrame, later: DataFrame, text: str, key: str) -> DataFrame:
             out.append(t)
         return pa.record_batch([pa.array(out, pa.string()) if c == text else batch.column(c) for c in keep], names=keep)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_batches(joined.select(*keep, "spans"), cut, schema)
+    return map_batches(joined.select(*quoted(keep), stem + "spans"), cut, schema_text(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

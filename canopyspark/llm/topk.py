@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded, bounded_sample, map_batches, stage
+from .common import as_long, bounded, bounded_sample, column, map_batches, stage
 
 #: Pivots are the farthest of each other among at most SAMPLE vectors, chosen by hash of their ids.
 PIVOTS, SAMPLE = 32, 512
@@ -95,15 +95,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
     What is collected is bounded: SAMPLE vectors, PIVOTS x RINGS counts.
     """
     spark = bounded(vectors.sparkSession)
-    valid = F.col(key).isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    name, vector = column(key), column(vector)
+    valid = name.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = vectors.where(F.coalesce(valid, F.lit(False)))
     common = sound.groupBy(F.size(vector).alias("d")).count().orderBy(F.desc("count"), "d").first()
     schema = "query_id long, rank int, vec_id long, score long"
     if common is None:
         return spark.createDataFrame([], schema)
     dim = common.d
-    whole = F.transform(F.col(vector).cast("array<double>"), lambda x: F.floor(x * F.lit(scale)).cast("long"))
-    rows = sound.where(F.size(vector) == dim).select(F.col(key).cast("long").alias("id"), is_query.alias("q"), whole.alias("v"))
+    whole = F.transform(vector.cast("array<double>"), lambda x: F.floor(x * F.lit(scale)).cast("long"))
+    rows = sound.where(F.size(vector) == dim).select(as_long(vectors, key).alias("id"), is_query.alias("q"), whole.alias("v"))
 
     most = float(np.sqrt(rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).first()[0]))
     sample = bounded_sample(rows.select("v", F.xxhash64("id").alias("h")), SAMPLE).collect()
