@@ -17,7 +17,7 @@ from .words import Remembered, hashed_words, runs, scatter, word_hash
 BITS = 20
 #: Labelled rows that the classifier is fitted on at most, chosen by hash of doc_id.
 TRAINING_ROWS = 4000
-EPOCHS, ALPHA, BETA, L1, L2 = 2, 0.5, 0.1, 0.0, 0.0
+EPOCHS, ALPHA, BETA, L1, L2 = 2, 0.5, 0.1, 1e-3, 1e-3
 CUT = 0.7
 
 
