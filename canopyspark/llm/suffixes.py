@@ -43,10 +43,11 @@ def words_of(texts: pa.Array) -> list[np.ndarray]:
     return [h for (h,) in hashed_words(texts, True, word_hash)]
 
 
-def suffixes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Retained suffixes of a text: position, hash of the SHARED words from there, and what orders equal ones.
+def suffixes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Retained suffixes of a text: position, hash of the SHARED words from there, and what orders equal ones by what
+    follows and then by what stands before.
 
-    The last has 16 bits each of the hashes of the next four STEP words, so that suffixes sort as sequences of steps.
+    These have 16 bits each of the hashes of the next (or last) four STEP words, so that suffixes sort as sequences of steps.
 
     The retained positions are the first least GRAM-word hash of each window, so every MIN_WORDS-word passage has the
     same ones wherever it stands, the first of them with SHARED words of the passage after it.
@@ -54,7 +55,7 @@ def suffixes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(hashes)
     none = np.empty(0, np.int64)
     if n < MIN_WORDS:
-        return none, none, none
+        return none, none, none, none
     rolling, at = Rolling(hashes), np.arange(n - GRAM + 1)
     grams = rolling.of(at, at + GRAM)
     windows = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
@@ -64,7 +65,11 @@ def suffixes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for i in range(4):
         a, b = chosen + SHARED + i * STEP, chosen + SHARED + (i + 1) * STEP
         rest = rest << np.uint64(16) | np.where(b <= n, rolling.of(np.minimum(a, n), np.minimum(b, n)) >> np.uint64(48), np.uint64(0))
-    return chosen, rolling.of(chosen, chosen + SHARED).view(np.int64), rest.view(np.int64)
+    left = np.zeros(len(chosen), np.uint64)
+    for i in range(4):
+        a, b = chosen - (i + 1) * STEP, chosen - i * STEP
+        left = left << np.uint64(16) | np.where(a >= 0, rolling.of(np.maximum(a, 0), np.maximum(b, 0)) >> np.uint64(48), np.uint64(0))
+    return chosen, rolling.of(chosen, chosen + SHARED).view(np.int64), rest.view(np.int64), left.view(np.int64)
 
 
 def matches(x: np.ndarray, y: np.ndarray, at: list[tuple[int, int]]) -> set[tuple[int, int, int]]:
@@ -187,6 +192,27 @@ def outside(runs: list[tuple[int, int, int, int, int, int]]) -> list[tuple[int,
     return out
 
 
+def _neighbours(array: DataFrame, order: list[str]) -> DataFrame:
+    """``a, pa, b, pb``: :func:`neighbours` of all suffixes of a staged table, in an order that begins with the key ``h``."""
+    spark = array.sparkSession
+    ordered = array.repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, part = ["a", "pa", "b", "pb", "h", "kind", "part"], TaskContext.get().partitionId()
+        for kind, a, at, b, to, h in linked([batch.column(c).to_numpy() for c in ("h", "doc", "pos")] for batch in batches):
+            columns = [a, at, b, to, *(np.full(len(a), c, np.int64) for c in (h, kind, part))]
+            yield pa.record_batch([pa.array(c) for c in columns], names=names)
+
+    found = stage(ordered.select("h", "doc", "pos").mapInArrow(paired, "a long, pa long, b long, pb long, h long, kind long, part long"), "neighbours")
+    runs = found.where(F.col("kind") == RUN).select("part", "b", "h", "a", "pa", "pb").collect()
+    pairs = found.where(F.col("kind") == PAIR).select("a", "pa", "b", "pb")
+    across = outside([tuple(r) for r in runs])
+    if across:
+        ends = spark.createDataFrame(across, "part long, kind long, b long, pb long")
+        pairs = pairs.unionByName(found.drop("b", "pb").join(F.broadcast(ends), ["part", "kind"]).select("a", "pa", "b", "pb"))
+    return pairs
+
+
 def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc, start, stop, later``: spans of words, of at least MIN_WORDS each, that other documents hold, too.
 
@@ -202,31 +228,18 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
     """
     spark = bounded(docs.sparkSession)
     source = docs.select(as_long(docs, key).alias("key"), column(text).alias("text")).where(F.col("key").isNotNull() & F.col("text").isNotNull())
-    fields = ["h", "x", "doc", "pos"]
+    fields = ["h", "x", "l", "doc", "pos"]
 
     def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts = []
         for doc, words in zip(batch.column("key").to_pylist(), words_of(batch.column("text")), strict=True):
-            pos, h, x = suffixes(words)
-            parts.append((h, x, np.full(len(pos), doc, np.int64), pos))
+            pos, h, x, left = suffixes(words)
+            parts.append((h, x, left, np.full(len(pos), doc, np.int64), pos))
         return pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=fields)
 
-    array = stage(map_batches(source, keyed, "h long, x long, doc long, pos long"), "suffixes")
-    ordered = array.repartitionByRange(*fields).sortWithinPartitions(*fields)
-
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, part = ["a", "pa", "b", "pb", "h", "kind", "part"], TaskContext.get().partitionId()
-        for kind, a, at, b, to, h in linked([batch.column(c).to_numpy() for c in ("h", "doc", "pos")] for batch in batches):
-            columns = [a, at, b, to, *(np.full(len(a), c, np.int64) for c in (h, kind, part))]
-            yield pa.record_batch([pa.array(c) for c in columns], names=names)
-
-    found = stage(ordered.select("h", "doc", "pos").mapInArrow(paired, "a long, pa long, b long, pb long, h long, kind long, part long"), "neighbours")
-    runs = found.where(F.col("kind") == RUN).select("part", "b", "h", "a", "pa", "pb").collect()
-    pairs = found.where(F.col("kind") == PAIR).select("a", "pa", "b", "pb")
-    across = outside([tuple(r) for r in runs])
-    if across:
-        ends = spark.createDataFrame(across, "part long, kind long, b long, pb long")
-        pairs = pairs.unionByName(found.drop("b", "pb").join(F.broadcast(ends), ["part", "kind"]).select("a", "pa", "b", "pb"))
+    array = stage(map_batches(source, keyed, "h long, x long, l long, doc long, pos long"), "suffixes")
+    # Neighbours by what follows, then by what stands before: a passage that goes on to the left has its own nearest one.
+    pairs = _neighbours(array, ["h", "x", "doc", "pos"]).unionByName(_neighbours(array, ["h", "l", "doc", "pos"]))
     small = F.col("a") < F.col("b")
     turned = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.struct(F.when(small, F.col("pa")).otherwise(F.col("pb")).alias("p"), F.when(small, F.col("pb")).otherwise(F.col("pa")).alias("q")).alias("at"))
     couples = turned.groupBy("a", "b").agg(F.collect_set("at").alias("at"))
