@@ -7,6 +7,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def with_sites(records: DataFrame, sites: DataFrame, overrides: dict[str, str] | None = None, location: str = "location") -> DataFrame:
+    """Adds ``elevation, elevation_band, site, image_type`` to records by their location, from ``ID, Location, Elevation``.
+
+    A location that isn't listed has no elevation and its own name as site; ``overrides`` (location -> name) come first.
+    One row an ID counts; the join is left to Spark, which broadcasts the sites if they are small.
+    """
+    from ..functions import expressions as X
+
+    one = sites.groupBy(F.col("ID").cast("string").alias("_id")).agg(F.max_by("Elevation", "Location").alias("elevation"), F.max("Location").alias("_name"))
+    place = F.col(location).cast("string")
+    joined = records.join(one, place == F.col("_id"), "left")
+    label = X.site_label(F.coalesce("_name", place))
+    for name, shown in (overrides or {}).items():
+        label = F.when(place == name, shown).otherwise(label)
+    return joined.withColumns({"elevation_band": X.elevation_band(F.col("elevation")), "site": label, "image_type": X.camera_type(place)}).drop("_id", "_name")
+
+
 def species_counts(records: DataFrame, least: int = 50, species: str = "species", uid: str = "uid") -> DataFrame:
     """Q1: series and distinct individuals of each species with at least ``least`` series."""
     groups = records.where(F.col(species).isNotNull()).groupBy(species).agg(F.count(F.lit(1)).alias("n_series"), F.countDistinct(uid).alias("n_uid"))

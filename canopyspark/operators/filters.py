@@ -65,6 +65,11 @@ def modal_shape(images: DataFrame, keys: list[str], sample: int | None = 25) ->
     return counts.groupBy(*keys).agg(best).select(*keys, "b.height", "b.width")
 
 
+def in_units(df: DataFrame, units: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the units that a second table has, too."""
+    return df.join(units.select(*keys).distinct(), keys, "left_semi")
+
+
 def of_shape(images: DataFrame, shapes: DataFrame, keys: list[str]) -> DataFrame:
     """Images of their group's modal shape."""
     return images.join(shapes, [*keys, "height", "width"], "left_semi")

@@ -61,22 +61,30 @@ def category_filter(spark, sf):
     return filters.keep_categories(S.table(spark, sf, "part").withColumnRenamed("p_type", "category"), ["ECONOMY", "PROMO"]).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH c AS (SELECT p_brand, p_size AS height, p_partkey % 3 AS width, count(*) AS n FROM part GROUP BY ALL)
-SELECT p_brand, arg_max(height, (n, height * width, height, width))::BIGINT AS height, arg_max(width, (n, height * width, height, width)) AS width FROM c GROUP BY ALL""")
+_PARTS = "SELECT p_brand, p_partkey AS path, p_size % 3 + 1 AS height, p_partkey % 5 + 1 AS width, row_number() OVER w - 1 AS i, greatest(1, count(*) OVER (PARTITION BY p_brand) // 25) AS step FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)"
+_MODAL = f"""c AS (SELECT p_brand, height, width, count(*) AS n FROM ({_PARTS}) WHERE i % step = 0 GROUP BY ALL),
+modal AS (SELECT p_brand, arg_max(height, (n, height * width, height, width)) AS height, arg_max(width, (n, height * width, height, width)) AS width FROM c GROUP BY ALL)"""
+
+
+def _pictures_of_parts(spark, sf) -> DataFrame:
+    return S.table(spark, sf, "part").select("p_brand", F.col("p_partkey").alias("path"), (F.col("p_size") % 3 + 1).alias("height"), (F.col("p_partkey") % 5 + 1).alias("width"))
+
+
+@query(f"WITH {_MODAL} SELECT p_brand, height::BIGINT AS height, width::BIGINT AS width FROM modal")
 def modal_shape(spark, sf):
-    parts = S.table(spark, sf, "part").select("p_brand", F.col("p_size").alias("height"), (F.col("p_partkey") % 3).alias("width"), F.col("p_partkey").alias("path"))
-    return filters.modal_shape(parts, ["p_brand"], sample=1 << 30)
+    return filters.modal_shape(_pictures_of_parts(spark, sf), ["p_brand"])
+
+
+@query(f"WITH {_MODAL} SELECT p_brand, path, height::BIGINT AS height, width::BIGINT AS width FROM ({_PARTS}) JOIN modal USING (p_brand, height, width)")
+def of_modal_shape(spark, sf):
+    pictures = _pictures_of_parts(spark, sf)
+    return filters.of_shape(pictures, filters.modal_shape(pictures, ["p_brand"]), ["p_brand"]).select("p_brand", "path", "height", "width")
 
 
 @query("SELECT DISTINCT c_nationkey::BIGINT AS nation FROM customer JOIN supplier ON c_nationkey = s_nationkey")
 def site_years_in_both(spark, sf):
     ours = S.table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"))
-    return ours.intersect(S.table(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation")))
-
-
-@query("SELECT c_custkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderkey IS NULL")
-def missing_uids(spark, sf):
-    return S.table(spark, sf, "customer").join(S.table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return filters.in_units(ours, S.table(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation")), ["nation"]).distinct()
 
 
 @query("""WITH x AS (SELECT DISTINCT o_custkey AS uid, year(o_orderdate) AS year FROM orders WHERE o_orderpriority = '1-URGENT'),
@@ -85,7 +93,8 @@ SELECT r.year::BIGINT AS year, count(*) AS n FROM r ANTI JOIN x USING (uid, year
 def exclusion_anti_join(spark, sf):
     orders = S.table(spark, sf, "orders").withColumn("uid", F.col("o_custkey")).withColumn("year", F.year("o_orderdate"))
     listed = orders.where("o_orderpriority = '1-URGENT'").select("uid", "year").distinct()
-    return orders.select("uid", "year").distinct().join(listed, ["uid", "year"], "left_anti").groupBy("year").agg(F.count(F.lit(1)).alias("n"))
+    judged = records.judged(orders.select("uid", "year").distinct(), records.Rules(), listed)
+    return judged.where("accepted").groupBy("year").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT n_name, coalesce(r_name, 'none') AS region, count(c_custkey) AS n FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_name <> 'ASIA' LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
@@ -211,17 +220,19 @@ def rolling_mean(spark, sf):
     return smooth.rolling_mean(_bins(spark, sf), TREE, "p90", 7, "doy").select(*TREE, "doy", "p90", "smoothed")
 
 
-def _cv_sql(candidates: tuple[int, ...] = (3, 5, 7, 9), folds: int = 5, longest: int = 122) -> str:
+def _cv_steps(candidates: tuple[int, ...] = (3, 5, 7, 9), folds: int = 5, longest: int = 122) -> str:
+    """Steps from the bins to ``m``, the error of each candidate, and ``best``, the chosen one."""
     table = ", ".join(f"({n}, [{', '.join(map(str, smooth.fold_ids(n, folds).tolist()))}])" for n in range(folds, longest + 1))
     predictions = ", ".join(f"avg(CASE WHEN fold <> {f} THEN p90 END) OVER (PARTITION BY uid, year ORDER BY pos ROWS BETWEEN {w // 2} PRECEDING AND {w // 2} FOLLOWING) AS p{w}_{f}" for w in candidates for f in range(folds))
     picked = ", ".join("CASE fold " + " ".join(f"WHEN {f} THEN p{w}_{f}" for f in range(folds)) + f" END AS q{w}" for w in candidates)
-    return f"""WITH {BINS_SQL}, folds(n, f) AS (VALUES {table}), r AS (SELECT uid, year, p90, row_number() OVER (PARTITION BY uid, year ORDER BY doy) AS pos, count(*) OVER (PARTITION BY uid, year) AS n FROM bins),
+    chosen = " ".join(f"WHEN m{w} = least({', '.join(f'm{v}' for v in candidates)}) THEN {w}" for w in candidates)
+    return f"""{BINS_SQL}, folds(n, f) AS (VALUES {table}), r AS (SELECT uid, year, p90, row_number() OVER (PARTITION BY uid, year ORDER BY doy) AS pos, count(*) OVER (PARTITION BY uid, year) AS n FROM bins),
 z AS (SELECT r.*, f[pos] AS fold FROM r JOIN folds ON folds.n = r.n), y AS (SELECT *, {predictions} FROM z), x AS (SELECT uid, year, n, fold, p90, {picked} FROM y),
-e AS (SELECT uid, year, n, fold, {", ".join(f"avg((p90 - q{w}) ** 2) AS e{w}" for w in candidates)} FROM x GROUP BY ALL), m AS (SELECT uid, year, n, {", ".join(f"avg(e{w}) AS m{w}" for w in candidates)} FROM e GROUP BY ALL)
-SELECT uid::BIGINT AS uid, year::BIGINT AS year, n, {"CASE " + " ".join(f"WHEN m{w} = least({', '.join(f'm{v}' for v in candidates)}) THEN {w}" for w in candidates) + " END"}::BIGINT AS best, round(least({", ".join(f"m{w}" for w in candidates)}), 6) AS mse FROM m"""
+e AS (SELECT uid, year, n, fold, {", ".join(f"avg((p90 - q{w}) ** 2) AS e{w}" for w in candidates)} FROM x GROUP BY ALL), m AS (SELECT uid, year, n, {", ".join(f"avg(e{w}) AS m{w}" for w in candidates)} FROM e GROUP BY ALL),
+best AS (SELECT uid, year, n, CASE {chosen} END AS best, least({", ".join(f"m{w}" for w in candidates)}) AS mse FROM m)"""
 
 
-@query(_cv_sql())
+@query(f"WITH {_cv_steps()} SELECT uid::BIGINT AS uid, year::BIGINT AS year, n, best::BIGINT AS best, round(mse, 6) AS mse FROM best")
 def cv_window(spark, sf):
     return smooth.cv_window(_bins(spark, sf), TREE, "p90", [3, 5, 7, 9], order="doy")
 
@@ -270,7 +281,16 @@ def monte_carlo(spark, sf):
     return montecarlo.uncertainties(smoothed, TREE, "p90", "smoothed", [3, 5, 7, 9], seed=7, order="doy")
 
 
-@query()
+_DATES = ", ".join(f"round(max(CASE WHEN pct = {p} THEN {c} END), 6) AS G{d}_{p}" for p in (10, 25, 50, 75, 90) for d, c in (("U", "up"), ("D", "down")))
+
+
+@query(f"""WITH {_cv_steps()},
+smooth AS (SELECT bins.uid, bins.year, doy, CASE best {" ".join(f"WHEN {w} THEN avg(p90) OVER (PARTITION BY bins.uid, bins.year ORDER BY doy ROWS BETWEEN {w // 2} PRECEDING AND {w // 2} FOLLOWING)" for w in (3, 5, 7, 9))} END AS smoothed
+  FROM bins JOIN best ON best.uid = bins.uid AND best.year = bins.year),
+{_SEASONED.removeprefix(_SMOOTH).lstrip(", ")}, t AS (SELECT q.*, a.* EXCLUDE (uid, year), pct, baseline + (pct / 100::DOUBLE) * (peak_value - baseline) AS level FROM q JOIN a USING (uid, year) CROSS JOIN (VALUES (10), (25), (50), (75), (90)) p(pct)),
+u AS (SELECT *, sign(v1 - level) - sign(v - level) AS turn, doy + (d1 - doy) * (level - v) / (v1 - v) AS day FROM t),
+marks AS (SELECT uid, year, peak, peak_value, baseline, pct, arg_max(day, i) FILTER (i < pi AND turn > 0) AS up, arg_min(day, i) FILTER (i >= pi AND turn < 0) AS down FROM u GROUP BY ALL)
+SELECT uid::BIGINT AS uid, year::BIGINT AS year, round(peak_value - baseline, 6) AS amplitude, round(baseline, 6) AS baseline, peak::DOUBLE AS PEAK, {_DATES} FROM marks GROUP BY uid, year, peak, peak_value, baseline""")
 def transition_dates(spark, sf):
     """The whole third stage but its noise: products, selected windows, dates, quality."""
     best = smooth.cv_smooth(_bins(spark, sf), TREE, "p90", [3, 5, 7, 9], order="doy")
@@ -287,11 +307,12 @@ def minmax_scale(spark, sf):
 # Records
 
 _RULES = records.Rules(
-    min_thresholds={"snr": 4.5, "GCC_3D_p90-season_length": 100}, max_thresholds={"spring_max_consecutive_missing_days": 6, "GCC_3D_p90-GU_50-std": 8},
-    nan_ok_keys=["GCC_3D_p90-season_length"], required_keys=["GCC_3D_p90-GU_50"])
+    min_thresholds={"snr": 4.5, "GCC_3D_p90-season_length": 100}, max_thresholds={"spring_max_consecutive_missing_days": 6, "GCC_3D_p90-GU_50-std": 8, "GCC_3D_p90-GD_25-std": 9},
+    nan_ok_keys=["GCC_3D_p90-season_length"], required_keys=["GCC_3D_p90-GD_25"])
 _JUDGED = f"""{METRICS_SQL}, j AS (
-  SELECT *, gd - gu AS len, coalesce(snr_g, 0) < 4.5 OR coalesce(snr_r, 9) < 4.5 AS bad_snr, coalesce(gd - gu < 100, false) AS bad_len, few OR missing > 6 AS bad_missing, gu_std > 8 AS bad_std FROM wide
-), o AS (SELECT *, NOT bad_snr AND NOT bad_len AS whole_ok, NOT bad_missing AND NOT bad_std AS spring_ok FROM j)"""
+  SELECT *, gd - gu AS len, coalesce(snr_g, 0) < 4.5 OR coalesce(snr_r, 9) < 4.5 AS bad_snr, coalesce(gd - gu < 100, false) AS bad_len, few OR missing > 6 AS bad_missing, gu_std > 8 AS bad_std,
+  few OR (NOT isnan(gd_std) AND gd_std > 9) AS bad_gd, gd IS NULL AS lacks_gd FROM wide
+), o AS (SELECT *, NOT bad_snr AND NOT bad_len AND NOT lacks_gd AS whole_ok, NOT bad_missing AND NOT bad_std AS spring_ok, NOT bad_gd AS autumn_ok FROM j)"""
 
 
 def _records(spark, sf) -> DataFrame:
@@ -304,20 +325,21 @@ def record_pivot(spark, sf):
     return records.widen(_records(spark, sf), list(names), TREE).withColumnsRenamed(names)
 
 
-@query(f"WITH {_JUDGED} SELECT uid::BIGINT AS uid, year::BIGINT AS year, whole_ok AND spring_ok AS hard, spring_ok FROM o")
+@query(f"WITH {_JUDGED} SELECT uid::BIGINT AS uid, year::BIGINT AS year, whole_ok AND spring_ok AND autumn_ok AS hard, spring_ok, autumn_ok FROM o")
 def threshold_filter(spark, sf):
     hard = records.Rules(_RULES.min_thresholds, _RULES.max_thresholds, _RULES.nan_ok_keys, _RULES.required_keys, allow_partial=False)
-    return records.judged(_records(spark, sf), hard).select(*TREE, F.col("accepted").alias("hard"), "spring_ok")
+    return records.judged(_records(spark, sf), hard).select(*TREE, F.col("accepted").alias("hard"), "spring_ok", "autumn_ok")
 
 
-@query(f"WITH {_JUDGED} SELECT uid::BIGINT AS uid, year::BIGINT AS year, CASE WHEN spring_ok THEN gu END AS gu_50, gd AS gd_25 FROM o WHERE whole_ok")
+@query(f"WITH {_JUDGED} SELECT uid::BIGINT AS uid, year::BIGINT AS year, CASE WHEN spring_ok THEN gu END AS gu_50, CASE WHEN autumn_ok THEN gd END AS gd_25 FROM o WHERE whole_ok AND (spring_ok OR autumn_ok)")
 def partial_blanking(spark, sf):
     kept = records.filtered(records.judged(_records(spark, sf), _RULES))
     return records.widen(kept, ["GCC_3D_p90-GU_50", "GCC_3D_p90-GD_25"], TREE, nan_as_null=True).toDF(*TREE, "gu_50", "gd_25")
 
 
-@query(f"""WITH {_JUDGED} SELECT count(*) AS total, count(*) FILTER (NOT whole_ok AND uid <> 2) AS excluded, count(*) FILTER (uid = 2) AS listed, count(*) FILTER (whole_ok AND NOT spring_ok AND uid <> 2) AS spring_removed,
-0::BIGINT AS autumn_removed, count(*) FILTER (bad_snr) AS rule_0, count(*) FILTER (bad_len) AS rule_1, count(*) FILTER (bad_missing) AS rule_2, count(*) FILTER (bad_std) AS rule_3, 0::BIGINT AS rule_4 FROM o""")
+@query(f"""WITH {_JUDGED}, k AS (SELECT *, whole_ok AND (spring_ok OR autumn_ok) AS ok FROM o) SELECT count(*) AS total, count(*) FILTER (NOT ok AND uid <> 2) AS excluded, count(*) FILTER (uid = 2) AS listed,
+count(*) FILTER (ok AND NOT spring_ok AND uid <> 2) AS spring_removed, count(*) FILTER (ok AND NOT autumn_ok AND uid <> 2) AS autumn_removed,
+count(*) FILTER (bad_snr) AS rule_0, count(*) FILTER (bad_len) AS rule_1, count(*) FILTER (bad_missing) AS rule_2, count(*) FILTER (bad_std) AS rule_3, count(*) FILTER (bad_gd) AS rule_4, count(*) FILTER (lacks_gd) AS rule_5 FROM k""")
 def filter_report(spark, sf):
     found = _records(spark, sf)
     return records.counts(records.judged(found, _RULES, found.where("uid = 2").select("uid", "year")), _RULES)
@@ -479,3 +501,7 @@ def missing_days(spark, sf):
     spring = filters.season(S.tree_years(spark, sf), 60, 160)
     seen = spring.groupBy(*TREE).agg(F.collect_set("doy").alias("seen"))
     return seen.select(*TREE, F.size(F.array_except(F.sequence(F.lit(60), F.lit(160)), "seen")).alias("missing"))
+
+
+# Those of the remaining that read and write files, or work on pictures and polygons.
+from . import file_queries  # noqa: E402, F401

@@ -93,17 +93,16 @@ def run_extraction(spark: SparkSession, cfg: Extraction, mode: str = "normal") -
     named = polygons.join(uids, "annotation_id", "left")
     done = files.completed(spark, str(cfg.output_root), "_raw-cc-data.csv")
     todo = files.pending(named, done) if mode == "check" else files.pending(named, done.select(*SITE_YEAR).distinct(), keys=SITE_YEAR)
-    missing = named.where(F.col("uid").isNull()).select(F.concat_ws("/", F.concat_ws("_", "location", "sublocation"), "year", "annotation_id").alias("line")).distinct()
+    missing = without_uid(named)
     rings = kept(regions(todo, cfg.categories_kept, cfg.shrink_ratios))
     # Paths first: only folders with work to do are opened, a sample of their files tells the shapes, and each is decoded once.
-    listed = files.list_pictures(spark, str(cfg.image_dataset_root)).join(rings.select(*SITE_YEAR).distinct(), SITE_YEAR, "left_semi")
+    listed = filters.in_units(files.list_pictures(spark, str(cfg.image_dataset_root)), rings, SITE_YEAR)
     shapes = kept(filters.modal_shape(files.with_shapes(filters.strided(listed, SITE_YEAR)), SITE_YEAR, sample=None))
     folders = [r.f for r in shapes.select(F.concat_ws("/", *SITE_YEAR).alias("f")).collect()]  # one a site-year with work to do
     pictures = files.read_pictures(spark, str(cfg.image_dataset_root), folders)
     wide = kept(by_ring(extract(pictures, rings, shapes), cfg.shrink_ratios).join(uids, "annotation_id"))
     columns = [f"{c}{s}" for s in ["", *(f"_s{r}" for r in cfg.shrink_ratios)] for c in ("GCC", "RCC", "BCC", "brightness")]
-    body = files.csv_body(["datetime", *columns], "ts", [X.observation_key(F.col("ts")), *[F.col(c) for c in columns]])
-    n = files.write_files(wide.groupBy(*KEYS).agg(body.alias("body")).withColumn("path", files.tree_path("_raw-cc-data.csv")), str(cfg.output_root))
+    n = files.write_observations(wide, columns, str(cfg.output_root))
     quality = sampling.sampling_flags(wide, [*KEYS, "annotation_id"]).drop(*[f"{s}_{m}" for s in sampling.SEASONS for m in ("coverage_ratio", "avg_obs_per_day", "n_gaps", "max_gap_days", "max_consecutive_missing_days")])
     base = rings.where("ring = ''").drop("ring", "uid")
     for r in cfg.shrink_ratios:
@@ -116,6 +115,11 @@ def run_extraction(spark: SparkSession, cfg: Extraction, mode: str = "normal") -
     return {"units": n, "missing_uids": missing.count()}
 
 
+def without_uid(regions_: DataFrame) -> DataFrame:
+    """``line``: site, year and annotation of the regions that have no uid."""
+    return regions_.where(F.col("uid").isNull()).select(F.concat_ws("/", F.concat_ws("_", "location", "sublocation"), "year", "annotation_id").alias("line")).distinct()
+
+
 def plot_overlays(spark: SparkSession, cfg: Extraction, fraction: float = 0.6) -> int:
     """One picture of each site-year (that at a fraction of its sorted ones) with its regions, as PNG below ``plot_dir``."""
     from ..functions.overlay import draw, png
@@ -124,7 +128,7 @@ def plot_overlays(spark: SparkSession, cfg: Extraction, fraction: float = 0.6) -
     ship(spark)
     polygons = files.read_polygons(spark, str(cfg.polygon_config_path), str(cfg.polygon_files_root))
     regions_of = polygons.groupBy(*SITE_YEAR).agg(F.collect_list(F.struct("category", "coords")).alias("rois"))
-    listed = files.with_shapes(files.list_pictures(spark, str(cfg.image_dataset_root)).join(polygons.select(*SITE_YEAR).distinct(), SITE_YEAR, "left_semi"))
+    listed = files.with_shapes(filters.in_units(files.list_pictures(spark, str(cfg.image_dataset_root)), polygons, SITE_YEAR))
     chosen = kept(row_at_fraction(listed.select(*SITE_YEAR, "path"), SITE_YEAR, "path", fraction))
     folders = [r.f for r in chosen.select(F.concat_ws("/", *SITE_YEAR).alias("f")).distinct().collect()]
     pictures = files.read_pictures(spark, str(cfg.image_dataset_root), folders)

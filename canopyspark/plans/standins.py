@@ -62,7 +62,7 @@ CHANNELS_SQL = """channels AS (
 
 
 def record_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long metrics of (nation, year): ``uid, year, metric, value``. Some are absent, some null."""
+    """Long metrics of (nation, year): ``uid, year, metric, value``. Some are absent, some null, some NaN."""
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     rows = orders.groupBy(F.col("c_nationkey").alias("uid"), F.year("o_orderdate").alias("year")).agg(
         F.min(F.dayofyear("o_orderdate")).cast("double").alias("lo"), F.max(F.dayofyear("o_orderdate")).cast("double").alias("hi"),
@@ -76,6 +76,7 @@ def record_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("GCC_3D_p90-snr").alias("metric"), (F.log10("mean") * 10 - 48).alias("value")),
         F.struct(F.lit("RCC_3D_p90-snr").alias("metric"), (F.log10("mean") * 10 - 47.5).alias("value")),
         F.struct(F.lit("spring_max_consecutive_missing_days").alias("metric"), (F.col("p") % 9).alias("value")),
+        F.struct(F.lit("GCC_3D_p90-GD_25-std").alias("metric"), F.when(F.col("n") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("hi") % 13).alias("value")),
     )
     return rows.select("uid", "year", F.explode(F.when(mark == 5, F.slice(entries, 1, 4)).otherwise(entries)).alias("e")).select("uid", "year", "e.*")
 
@@ -86,7 +87,8 @@ METRICS_SQL = """base AS (
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL
 ), wide AS (
   SELECT uid, year, mark = 5 AS few, lo + 100 AS gu, CASE WHEN mark <> 3 THEN hi - 80 END AS gd, n % 11 AS gu_std, log10(mean) * 10 - 48 AS snr_g,
-         CASE WHEN mark <> 5 THEN log10(mean) * 10 - 47.5 END AS snr_r, CASE WHEN mark <> 5 THEN p % 9 END AS missing
+         CASE WHEN mark <> 5 THEN log10(mean) * 10 - 47.5 END AS snr_r, CASE WHEN mark <> 5 THEN p % 9 END AS missing,
+         CASE WHEN mark <> 5 THEN CASE WHEN n % 5 = 0 THEN 'nan'::DOUBLE ELSE hi % 13 END END AS gd_std
   FROM base
 )"""
 

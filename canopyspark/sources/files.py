@@ -331,6 +331,12 @@ def csv_body(header: list[str], order: str, values: list[Column]) -> Column:
     return F.concat(F.lit(",".join(header) + "\n"), F.array_join(rows, "\n"), F.lit("\n"))
 
 
+def write_observations(rows: DataFrame, columns: list[str], root: str) -> int:
+    """One file a unit (``keys, ts`` and ``columns``), rows by time; returns their number."""
+    body = csv_body(["datetime", *columns], "ts", [X.observation_key(F.col("ts")), *[F.col(c) for c in columns]])
+    return write_files(rows.groupBy(*KEYS).agg(body.alias("body")).withColumn("path", tree_path("_raw-cc-data.csv")), root)
+
+
 def write_files(files: DataFrame, root: str) -> int:
     """Writes ``path, body`` rows (text or bytes) below a root in any store that the workers reach; returns their number.
 
