@@ -61,17 +61,18 @@ def bounded(spark: SparkSession) -> SparkSession:
 
 def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str, most: int = 8 << 20) -> DataFrame:
     """``mapInArrow`` over pieces of about ``most`` bytes (or one row): small batches go together, large ones are cut."""
+    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, most):
-            out = kernel(part)
+            out = kernel(part.rename_columns(names))
             if isinstance(out, pa.RecordBatch):
                 yield out
             else:
                 yield from out
 
     bounded(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, schema)  # names with dots can't be passed
 
 
 def pieces(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -47,13 +47,14 @@ def families(h: np.ndarray, s: np.ndarray) -> list[np.ndarray]:
 
 
 def sparse(h: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The text as a sparse vector; each family of features sums to 1."""
+    """The text as a sparse vector, each feature once; each family of features sums to 1."""
     index, value = [np.empty(0, np.int64)], [np.empty(0)]
     for f in families(h, s):
         u, n = np.unique(f, return_counts=True)
         index.append(u)
         value.append(n / len(f))
-    return np.concatenate(index), np.concatenate(value)
+    every, place = np.unique(np.concatenate(index), return_inverse=True)
+    return every, np.bincount(place, np.concatenate(value), len(every))
 
 
 @dataclass
