@@ -17,6 +17,8 @@ from .chunks import PIECES, SPACES, ChunkEncoder, WordEncoder
 from .common import map_batches, quoted, schema_text, without
 
 VOCABULARY = "word_bpe_49k.json"
+#: Bytes of texts that are encoded at once.
+SLICE_BYTES = 4 << 20
 
 WHITE = regex.compile(rf"[{SPACES}]+")
 
@@ -177,7 +179,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text
     of the same names. A null or empty text, or one of white space, has no ids and decodes to "". Strings of special
     tokens in a text become their ids, and nothing is added. Equal rows stay rows.
 
-    Scale: a narrow map, no shuffle. A slice of about 8 MB is encoded at once; each worker remembers the ids of
+    Scale: a narrow map, no shuffle. A slice of about 4 MB is encoded at once; each worker remembers the ids of
     frequent chunks, so most words cost a lookup.
     """
     path = path or default_path()
@@ -192,7 +194,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text
         decoded = pa.array([bpe.decode(x) for x in ids] if decode else [None] * len(ids), pa.string())
         return pa.record_batch([*(batch.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(ends), flat), decoded], names=[*keep, "ids", "decoded"])
 
-    return map_batches(docs.select(*quoted(keep)), run, schema)
+    return map_batches(docs.select(*quoted(keep)), run, schema, SLICE_BYTES)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

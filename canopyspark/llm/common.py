@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -64,17 +65,30 @@ def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterator[pa.Re
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, most):
-            out = kernel(part.rename_columns(names))
-            if isinstance(out, pa.RecordBatch):
-                yield out
-            else:
-                yield from out
+        try:
+            for part in pieces(batches, most):
+                out = kernel(part.rename_columns(names))
+                if isinstance(out, pa.RecordBatch):
+                    yield out
+                else:
+                    yield from out
+                del out
+        finally:
+            give_back()
 
     bounded(df.sparkSession)
     return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, schema)  # names with dots can't be passed
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on from stage to stage, and what they keep counts for the next one."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def pieces(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     size = 0
