@@ -72,8 +72,9 @@ def suffixes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return chosen, rolling.of(chosen, chosen + SHARED).view(np.int64), rest.view(np.int64), left.view(np.int64)
 
 
-def matches(x: np.ndarray, y: np.ndarray, at: list[tuple[int, int]]) -> set[tuple[int, int, int]]:
-    """Extends anchors (position in x, position in y) left and right: (start in x, start in y, words) of at least MIN_WORDS.
+def matches(x: np.ndarray, y: np.ndarray, shifts: set[int]) -> set[tuple[int, int, int]]:
+    """Extends anchors left and right: (start in x, start in y, words) of at least MIN_WORDS. Anchors come as their shifts,
+    position in y less position in x: those of one shift extend to the same matches.
 
     Shifts of long overlaps come first; one whose words all lie in matches already, on both sides, is left out, as it
     adds no word. So two equal texts of one repeated word cost one comparison and not one a word.
@@ -81,7 +82,7 @@ def matches(x: np.ndarray, y: np.ndarray, at: list[tuple[int, int]]) -> set[tupl
     out = set()
     bare_x, bare_y = np.ones(len(x), bool), np.ones(len(y), bool)
     places = []
-    for shift in {q - p for p, q in at}:
+    for shift in shifts:
         i, j = max(0, -shift), max(0, shift)
         places.append((min(len(x) - i, len(y) - j), i, j))
     for n, i, j in sorted(places, reverse=True):
@@ -240,16 +241,16 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
     array = stage(map_batches(source, keyed, "h long, x long, l long, doc long, pos long"), "suffixes")
     # Neighbours by what follows, then by what stands before: a passage that goes on to the left has its own nearest one.
     pairs = _neighbours(array, ["h", "x", "doc", "pos"]).unionByName(_neighbours(array, ["h", "l", "doc", "pos"]))
-    small = F.col("a") < F.col("b")
-    turned = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.struct(F.when(small, F.col("pa")).otherwise(F.col("pb")).alias("p"), F.when(small, F.col("pb")).otherwise(F.col("pa")).alias("q")).alias("at"))
-    couples = turned.groupBy("a", "b").agg(F.collect_set("at").alias("at"))
+    shift = F.col("pb") - F.col("pa")
+    turned = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), shift).otherwise(-shift).alias("shift"))
+    couples = turned.groupBy("a", "b").agg(F.collect_set("shift").alias("shifts"))
 
     def extended(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, (left, right) = once(batch.column("x"), batch.column("y"))
         words = words_of(texts)
         out: list[tuple[int, int, int, bool]] = []
-        for a, b, at, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "at")), left, right, strict=True):
-            for i, j, n in matches(words[x], words[y], [(r["p"], r["q"]) for r in at]):
+        for a, b, shifts, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "shifts")), left, right, strict=True):
+            for i, j, n in matches(words[x], words[y], set(shifts)):
                 out += [(a, i, i + n, False), (b, j, j + n, True)]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
         columns = list(zip(*set(out), strict=True)) or [[], [], [], []]
@@ -257,7 +258,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
 
     one = couples.join(source.select(F.col("key").alias("a"), F.col("text").alias("x")), "a")
     both = one.join(source.select(F.col("key").alias("b"), F.col("text").alias("y")), "b")
-    return map_batches(both.select("a", "b", "at", "x", "y"), extended, "doc long, start long, stop long, later boolean")
+    return map_batches(both.select("a", "b", "shifts", "x", "y"), extended, "doc long, start long, stop long, later boolean")
 
 
 def merged(spans: DataFrame) -> DataFrame:
