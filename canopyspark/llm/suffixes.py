@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_long, bounded, column, free_stem, map_batches, quoted, schema_text, stage, word_count
-from .words import hashed_words, once, scatter, word_hash
+from .words import by_text, coded_words, hashed_words, once, scatter, word_hash
 
 #: A passage has at least MIN_WORDS words. Minimisers are taken of GRAM-word hashes in windows of WINDOW positions.
 MIN_WORDS, GRAM, WINDOW = 50, 8, 32
@@ -247,7 +247,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
 
     def extended(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, (left, right) = once(batch.column("x"), batch.column("y"))
-        words = words_of(texts)
+        words = by_text(*coded_words(texts, True)[:2])  # equal words of a batch have equal places
         out: list[tuple[int, int, int, bool]] = []
         for a, b, shifts, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "shifts")), left, right, strict=True):
             for i, j, n in matches(words[x], words[y], set(shifts)):

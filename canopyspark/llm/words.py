@@ -46,24 +46,36 @@ class Computed:
 word_hash = Computed(xxhash.xxh64_intdigest)
 
 
-def hashed_words(texts: pa.Array, lower: bool, *of: Remembered | Computed) -> list[tuple[np.ndarray, ...]]:
-    """For each text of a column, the values of its words in order, an array for each of ``of``; null texts have no words.
+def coded_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The words of all texts of a column as places in a dictionary: where each text starts, the places, the dictionary.
 
-    Words stand between ASCII white space; with ``lower``, A-Z first become lower case. Distinct words of the column are
-    looked up once.
+    Words stand between ASCII white space; with ``lower``, A-Z first become lower case. Null texts have no words.
     """
     texts = pc.fill_null(texts, "")
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     coded = lists.flatten().dictionary_encode()
     starts = lists.offsets.to_numpy()
     starts, place = starts - starts[0], coded.indices.to_numpy()
-    words = coded.dictionary.cast(pa.binary()).to_pylist()
-    if b"" in words:  # at either end of a text
-        keep = place != words.index(b"")
+    empty = coded.dictionary.index("").as_py()  # at either end of a text
+    if empty >= 0:
+        keep = place != empty
         starts = np.concatenate([[0], np.cumsum(keep)])[starts]
         place = place[keep]
-    values = [f.array(words)[place] if len(words) else np.empty(0, np.uint64) for f in of]
-    return [tuple(v[a:b] for v in values) for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False)]
+    return starts, place, coded.dictionary
+
+
+def by_text(starts: np.ndarray, values: np.ndarray) -> list[np.ndarray]:
+    return [values[a:b] for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False)]
+
+
+def hashed_words(texts: pa.Array, lower: bool, *of: Remembered | Computed) -> list[tuple[np.ndarray, ...]]:
+    """For each text of a column, the values of its words in order, an array for each of ``of``; null texts have no words.
+
+    Words are those of :func:`coded_words`; distinct words of the column are looked up once.
+    """
+    starts, place, dictionary = coded_words(texts, lower)
+    words = dictionary.cast(pa.binary()).to_pylist()
+    return list(zip(*(by_text(starts, f.array(words)[place] if len(words) else np.empty(0, np.uint64)) for f in of), strict=True))
 
 
 def once(*columns: pa.Array) -> tuple[pa.Array, list[list[int]]]:
