@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, linededup, minhash, mixing, quality, sharding, suffixes, syncmers, tokenfile, topk
+from . import bpe, chat, linededup, minhash, mixing, quality, sharding, suffixes, syncmers, tokenfile, topk, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pivot_topk": topk.query,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shards": sharding.query,
     "op9_token_files": tokenfile.query,
     "op10_line_dedup": linededup.query,
+    "op11_whitening": whitening.query,
+    "op12_chat": chat.query,
 }
 
 ORACLES: dict[str, str] = {
@@ -26,4 +28,5 @@ ORACLES: dict[str, str] = {
     "op3_minhash_dedup": minhash.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
     "op10_line_dedup": linededup.ORACLE,
+    "op12_chat": chat.ORACLE,
 }
