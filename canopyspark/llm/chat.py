@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_long, bounded, column, map_batches, pieces, stage
+from .common import HOT_KEYS, as_long, bounded, column, give_back, map_batches, pieces, stage
 
 #: Marks around a turn, by role; other roles stand in the text between theirs, as a JSON string on a line of its own.
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
@@ -32,7 +32,7 @@ CLOSED = {opened: closed for opened, closed in [*MARKS.values(), OTHER]}
 OPENED = re.compile("|".join(map(re.escape, ROLES)))
 
 #: Turns from which a conversation may be dealt over tasks, code points of a row of output, of a piece to encode and of what is encoded together.
-LONG_TURNS, ROW_CHARS, PIECE_CHARS, TOGETHER = 4096, 1 << 20, 1 << 18, 1 << 21
+LONG_TURNS, ROW_CHARS, PIECE_CHARS, TOGETHER = 4096, 1 << 20, 1 << 18, 1 << 18
 #: Where a text may be cut without a change of its tokens: a space after something else.
 CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85]) ")
 FORMATTED = "conv_id long, segment long, n_turns int, formatted string, ids array<int>, starts array<int>, ends array<int>, loss array<boolean>"
@@ -147,18 +147,27 @@ def format_conversations(rows: DataFrame, path: str, conv: str = "conv_id", turn
     value = lambda c: F.coalesce(column(c).cast("string"), F.lit(""))
     rows = rows.select(as_long(rows, conv).alias("conv"), column(turn).alias("turn"), value(role).alias("role"), value(text).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("role", "text"))
-    many = rows.where("conv IS NOT NULL").groupBy("conv").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LONG_TURNS).select("conv")
-    short = rows.where("conv IS NOT NULL").join(many, "conv", "left_anti").repartition("conv").sortWithinPartitions("conv", "turn", "tie")
-    long = rows.join(many, "conv", "left_semi").unionByName(rows.where("conv IS NULL")).withColumn("own", F.monotonically_increasing_id())
-    long = long.repartitionByRange("conv", "turn", "tie", "own").sortWithinPartitions("conv", "turn", "tie").drop("own")
+    many = stage(rows.where("conv IS NOT NULL").groupBy("conv").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LONG_TURNS).select("conv"), "many")
+    short, long, n = rows.where("conv IS NOT NULL"), rows.where("conv IS NULL"), many.count()
+    if n:
+        side = F.broadcast(many) if n <= HOT_KEYS else many
+        short, long = short.join(side, "conv", "left_anti"), long.unionByName(rows.join(side, "conv", "left_semi"))
+    short = short.repartition("conv").sortWithinPartitions("conv", "turn", "tie")
+    long = long.withColumn("own", F.monotonically_increasing_id()).repartitionByRange("conv", "turn", "tie", "own").sortWithinPartitions("conv", "turn", "tie")
     columns = ["conv", "role", "text"]
 
     def formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rendered(batches)
+        finally:
+            give_back()
+
+    def rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         ready: list[tuple[int | None, list[tuple[str, str]]]] = []
         turns: list[tuple[str, str]] = []
         now, size, waiting = None, 0, 0
-        for some in pieces(batches):
+        for some in pieces(batches, 1 << 20):
             for of, who, what in zip(*(some.column(c).to_pylist() for c in columns), strict=True):
                 if turns and (of != now or size >= ROW_CHARS):
                     ready.append((now, turns))
@@ -225,7 +234,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if now:
             yield pa.record_batch([pa.array([x.hexdigest() if k == pa.string() else x], k) for x, k in zip(now, kinds, strict=True)], names=names)
 
-    parts = map_batches(formatted, taken, "conv_id long, segment long, n_turns long, turns string, learnt string, chars long")
+    parts = map_batches(formatted, taken, "conv_id long, segment long, n_turns long, turns string, learnt string, chars long", 2 << 20)
     ordered = parts.repartition("conv_id").sortWithinPartitions("conv_id", "segment")
     return ordered.mapInArrow(digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
