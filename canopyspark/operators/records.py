@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -20,37 +21,55 @@ def gather(metrics: DataFrame, keys: list[str], name: str = "metric", value: str
     return metrics.groupBy(*keys).agg(entries.alias("metrics"))
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)``, where ``value`` is computed once however often ``of`` uses it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def with_defaults(records: DataFrame, column: str = "metrics") -> DataFrame:
     """Absent flags get their defaults, and the season's length is derived (null unless both its dates are there)."""
-    m = F.col(column)
-    for k, v in FLAG_DEFAULTS.items():
-        m = F.when(F.map_contains_key(m, k), m).otherwise(F.map_concat(m, F.create_map(F.lit(k), F.lit(v).cast("double"))))
+    absent = F.create_map(*[x for k, v in FLAG_DEFAULTS.items() for x in (F.lit(k), F.lit(v).cast("double"))])
     length, up, down = SEASON_LENGTH
-    others = F.map_filter(F.col(column), lambda k, _: k != length)
-    return records.withColumn(column, m).withColumn(column, F.map_concat(others, F.create_map(F.lit(length), F.try_element_at(F.col(column), F.lit(down)) - F.try_element_at(F.col(column), F.lit(up)))))
+
+    def filled(m: Column) -> Column:
+        derived = F.create_map(F.lit(length), F.try_element_at(m, F.lit(down)) - F.try_element_at(m, F.lit(up)))
+        return F.map_concat(F.map_filter(m, lambda k, _: k != length), F.map_filter(absent, lambda k, _: ~F.map_contains_key(m, k)), derived)
+
+    return records.withColumn(column, let(F.col(column), filled))
 
 
-def metric_values(key: str, column: str = "metrics") -> Column:
+def rule(key: str, bound: float | None = None, is_min: bool = True, nan_ok: bool = False) -> Column:
+    """A bound of a metric, or without one that it must be there, as a row of data: many rules don't make a plan long."""
+    return F.struct(F.lit(key).alias("key"), F.lit(bound).cast("double").alias("bound"), F.lit(is_min).alias("is_min"), F.lit(nan_ok).alias("nan_ok"))
+
+
+def metric_values(key: str | Column, metrics: str | Column = "metrics") -> Column:
     """The values that a key covers in a row: its own, else those of all metrics that end in "-" and the key."""
-    m = F.col(column)
-    return F.when(F.map_contains_key(m, key), F.array(F.try_element_at(m, F.lit(key)))).otherwise(F.map_values(F.map_filter(m, lambda k, _: k.endswith(f"-{key}"))))
+    m, k = F.col(metrics) if isinstance(metrics, str) else metrics, F.lit(key)
+    return F.when(F.map_contains_key(m, k), F.array(F.try_element_at(m, k))).otherwise(F.map_values(F.map_filter(m, lambda name, _: name.endswith(F.concat(F.lit("-"), k)))))
+
 
+def broken(rule: Column, metrics: str | Column = "metrics") -> Column:
+    """Whether a row breaks a rule.
 
-def fails(key: str, bound: float, is_min: bool, nan_ok: bool = False, column: str = "metrics") -> Column:
-    """Whether a row violates a bound. No value or null fails unless ``nan_ok``; NaN passes."""
+    A bound: no value or null breaks it unless ``nan_ok``; NaN doesn't. Without a bound: no value, null and NaN break it.
+    """
 
     def bad(v: Column) -> Column:
-        beyond = (v < bound) if is_min else (v > bound)
-        return F.when(v.isNull(), F.lit(not nan_ok)).when(F.isnan(v), F.lit(False)).otherwise(beyond)
+        beyond = F.when(rule["is_min"], v < rule["bound"]).otherwise(v > rule["bound"])
+        return F.when(v.isNull(), ~rule["nan_ok"]).when(F.isnan(v), rule["bound"].isNull()).otherwise(F.coalesce(beyond, F.lit(False)))
 
-    values = metric_values(key, column)
-    return F.when(F.size(values) == 0, F.lit(not nan_ok)).otherwise(F.exists(values, bad))
+    return let(metric_values(rule["key"], metrics), lambda values: F.when(F.size(values) == 0, ~rule["nan_ok"]).otherwise(F.exists(values, bad)))
 
 
-def lacks(key: str, column: str = "metrics") -> Column:
+def fails(key: str, bound: float, is_min: bool, nan_ok: bool = False, metrics: str | Column = "metrics") -> Column:
+    """Whether a row violates a bound, see :func:`broken`."""
+    return broken(rule(key, bound, is_min, nan_ok), metrics)
+
+
+def lacks(key: str, metrics: str | Column = "metrics") -> Column:
     """Whether a row has no value, a null or a NaN for a required key."""
-    values = metric_values(key, column)
-    return (F.size(values) == 0) | F.exists(values, lambda v: v.isNull() | F.isnan(v))
+    return broken(rule(key), metrics)
 
 
 def season_of(key: str) -> str:
@@ -61,9 +80,9 @@ def season_of(key: str) -> str:
     return "whole_year"
 
 
-def blanked(metrics: Column, tag: str, when: Column) -> Column:
-    """NaN for every metric of a season (``-GU_`` or ``-GD_`` in its name) where ``when`` holds."""
-    return F.when(when, F.transform_values(metrics, lambda k, v: F.when(k.contains(f"-{tag}_"), F.lit(float("nan"))).otherwise(v))).otherwise(metrics)
+def blanked(metrics: Column, spring: Column, autumn: Column) -> Column:
+    """NaN for every metric of a season (``-GU_`` or ``-GD_`` in its name) that isn't ok."""
+    return F.transform_values(metrics, lambda k, v: F.when((k.contains("-GU_") & ~spring) | (k.contains("-GD_") & ~autumn), F.lit(float("nan"))).otherwise(v))
 
 
 @dataclass
@@ -79,43 +98,54 @@ class Rules:
     def bounds(self) -> list[tuple[str, float, bool]]:
         return [*((k, b, True) for k, b in self.min_thresholds.items()), *((k, b, False) for k, b in self.max_thresholds.items())]
 
-    def failure(self, key: str, bound: float, is_min: bool, column: str) -> Column:
-        return fails(key, bound, is_min, key in self.nan_ok_keys, column)
+    def failures(self, metrics: str | Column = "metrics") -> Column:
+        """Whether a row breaks each rule: an array in the order of :func:`rule_labels`."""
+        rules = [*(rule(k, b, is_min, k in self.nan_ok_keys) for k, b, is_min in self.bounds()), *map(rule, self.required_keys)]
+        return F.transform(F.array(*rules), lambda r: broken(r, metrics)) if rules else F.array().cast("array<boolean>")
 
 
 def judged(records: DataFrame, rules: Rules, excluded: DataFrame | None = None, keys: tuple[str, ...] = ("uid", "year"), column: str = "metrics") -> DataFrame:
-    """Adds ``by_list`` (on the exclusion list ``keys``), ``dropped``, ``spring_ok``, ``autumn_ok`` and ``accepted``."""
+    """Adds ``by_list`` (on the exclusion list ``keys``), ``failed``, ``dropped``, ``spring_ok``, ``autumn_ok`` and ``accepted``.
+
+    ``failed`` says for each rule whether the row breaks it, in the order of :func:`rule_labels`. A rule is evaluated once
+    a row: seasons, the report and blanking read what it gave.
+    """
     if excluded is not None:
         listed = excluded.select(*keys).distinct().withColumn("_x", F.lit(True))
         records = records.join(listed, list(keys), "left").withColumn("by_list", F.coalesce("_x", F.lit(False))).drop("_x")
     else:
         records = records.withColumn("by_list", F.lit(False))
-    ok: dict[str, list[Column]] = {"whole_year": [], "spring": [], "autumn": []}
-    for key, bound, is_min in rules.bounds():
-        ok[season_of(key)].append(~rules.failure(key, bound, is_min, column))
-    every = lambda cs: reduce(lambda a, b: a & b, cs, F.lit(True))
-    records = records.withColumn("spring_ok", every(ok["spring"])).withColumn("autumn_ok", every(ok["autumn"]))
-    spring, autumn = F.col("spring_ok"), F.col("autumn_ok")
-    keep = every([*ok["whole_year"], *(~lacks(k, column) for k in rules.required_keys)]) & ((spring | autumn) if rules.allow_partial else (spring & autumn))
-    return records.withColumn("dropped", ~F.col("by_list") & ~keep).withColumn("accepted", ~F.col("by_list") & ~F.col("dropped"))
+    places: dict[str, list[int]] = {"whole_year": [], "spring": [], "autumn": []}
+    for i, (key, _, _) in enumerate(rules.bounds()):
+        places[season_of(key)].append(i)
+    places["whole_year"] += range(len(rules.bounds()), len(rules.bounds()) + len(rules.required_keys))
+
+    def verdict(failed: Column) -> Column:
+        ok = {name: reduce(lambda a, b: a & b, [~F.get(failed, F.lit(i)) for i in own], F.lit(True)) for name, own in places.items()}
+        seasons = (ok["spring"] | ok["autumn"]) if rules.allow_partial else (ok["spring"] & ok["autumn"])
+        return F.struct(failed.alias("failed"), (ok["whole_year"] & seasons).alias("keep"), ok["spring"].alias("spring"), ok["autumn"].alias("autumn"))
+
+    records = records.withColumn("_verdict", let(rules.failures(column), verdict))
+    listed, keep = F.col("by_list"), F.col("_verdict.keep")
+    return records.withColumns({
+        "failed": F.col("_verdict.failed"), "dropped": ~listed & ~keep, "spring_ok": F.col("_verdict.spring"), "autumn_ok": F.col("_verdict.autumn"), "accepted": ~listed & keep,
+    }).drop("_verdict")
 
 
 def filtered(judged_records: DataFrame, column: str = "metrics") -> DataFrame:
     """Accepted records, failing seasons blanked."""
-    kept = judged_records.where("accepted")
-    kept = kept.withColumn(column, blanked(F.col(column), "GU", ~F.col("spring_ok"))).withColumn(column, blanked(F.col(column), "GD", ~F.col("autumn_ok")))
-    return kept.drop("by_list", "dropped", "accepted", "spring_ok", "autumn_ok")
+    kept = judged_records.where("accepted").withColumn(column, blanked(F.col(column), F.col("spring_ok"), F.col("autumn_ok")))
+    return kept.drop("by_list", "failed", "dropped", "accepted", "spring_ok", "autumn_ok")
 
 
-def counts(judged_records: DataFrame, rules: Rules, column: str = "metrics") -> DataFrame:
+def counts(judged_records: DataFrame, rules: Rules) -> DataFrame:
     """One row of counts: totals, and how many records each rule alone would exclude (``rule_<i>``)."""
     n = lambda c: F.count_if(c).cast("long")
     accepted = F.col("accepted")
-    alone = [n(rules.failure(k, b, is_min, column)) for k, b, is_min in rules.bounds()] + [n(lacks(k, column)) for k in rules.required_keys]
     return judged_records.agg(
         F.count(F.lit(1)).alias("total"), n(F.col("dropped")).alias("excluded"), n(F.col("by_list")).alias("listed"),
         n(accepted & ~F.col("spring_ok")).alias("spring_removed"), n(accepted & ~F.col("autumn_ok")).alias("autumn_removed"),
-        *[c.alias(f"rule_{i}") for i, c in enumerate(alone)],
+        *[n(F.get("failed", F.lit(i))).alias(f"rule_{i}") for i in range(len(rules.bounds()) + len(rules.required_keys))],
     )
 
 

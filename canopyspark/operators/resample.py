@@ -29,10 +29,16 @@ def _grouped(rows: DataFrame, by: list[str], value: str, strategies: tuple[str,
     return rows.groupBy(*by).agg(*others, *[of(s).alias(s) for s in strategies])
 
 
-def daily_product(df: DataFrame, keys: list[str], ts: str = "ts", value: str = "value", strategies: tuple[str, ...] = STRATEGIES) -> DataFrame:
-    """``keys, date, doy`` and a column a strategy: each day from the first to the last with a value, empty days null."""
+def daily_product(df: DataFrame, keys: list[str], ts: str = "ts", value: str = "value", strategies: tuple[str, ...] = STRATEGIES, fill: bool = True, counts: str | None = None) -> DataFrame:
+    """``keys, date, doy`` and a column a strategy: each day from the first to the last with a value, empty days null.
+
+    Without ``fill`` empty days are left out; then ``counts`` can name a column for the number of a day's values.
+    """
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.to_date(ts).alias("date"), F.col(value).alias("_v"))
-    days = _grouped(rows, [*keys, "date"], "_v", strategies)
+    others = [F.count(F.lit(1)).alias(counts)] if counts and not fill else []
+    days = _grouped(rows, [*keys, "date"], "_v", strategies, *others)
+    if not fill:
+        return days.select(*keys, "date", F.dayofyear("date").alias("doy"), *strategies, *([counts] if others else []))
     following = F.lead("date").over(W.partitionBy(*keys).orderBy("date"))
     days = days.withColumn("_until", F.coalesce(F.date_sub(following, 1), F.col("date")))
     filled = days.withColumn("_day", F.explode(F.sequence("date", "_until")))
