@@ -48,8 +48,11 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None, batch_rows:
 
 def drop_staged(df: DataFrame) -> None:
     """Remove the files that a staged table read from (it must not be used any more)."""
-    spark = df.sparkSession
-    for top in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/canopy-" in f}:
+    drop_files(df.sparkSession, df.inputFiles())
+
+
+def drop_files(spark: SparkSession, files: list[str]) -> None:
+    for top in {f.rsplit("/", 1)[0] for f in files if "/canopy-" in f}:
         path = spark._jvm.org.apache.hadoop.fs.Path(top)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -112,8 +115,9 @@ def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatc
         yield batch.slice(start, step)
 
 
-#: Rows of one key that make it hot in a join, and hot keys that are met by broadcast at most.
-HOT_ROWS, HOT_KEYS, HOT_BYTES = 256, 100_000, 32 << 20
+#: Rows of one key that make it hot in a join; hot keys that are met by broadcast at most, and their bytes; parts that the
+#: rows of a hot key are dealt to whose value is too long for that.
+HOT_ROWS, HOT_KEYS, HOT_BYTES, SALTS = 256, 100_000, 32 << 20, 64
 
 
 def free_stem(*tables: DataFrame) -> str:
@@ -151,32 +155,45 @@ def as_long(df: DataFrame, key: str) -> Column:
     return column(key).cast("long")
 
 
-def join_hot(rows: DataFrame, right: DataFrame, on: list[str], n: str) -> DataFrame:
+def join_hot(rows: DataFrame, right: DataFrame, on: list[str], n: str, size: Column | None = None) -> DataFrame:
     """``rows`` left join ``right`` on ``on``, where a few keys can hold very many rows. ``right`` is staged and has each key
-    once, with few bytes a key, and in ``n`` how many rows have it. A null key finds nothing.
+    once, in ``n`` how many rows have it, and by ``size`` the bytes of its value (without: few). A null key finds nothing.
 
-    Keys of at least HOT_ROWS rows meet their rows by broadcast, while HOT_KEYS bounds their number; these rows, and those
-    with a null key, then go to any partition and not to that of their key. All others meet by key.
+    Of the keys of at least HOT_ROWS rows the HOT_KEYS most frequent are treated apart; any other has at most one row in
+    HOT_KEYS. The values of those that lead, up to HOT_BYTES in all, go to the rows by broadcast; these rows, and those with
+    a null key, then go to any partition and not to that of their key. The values of the rest of them are copied to SALTS
+    parts, to which their rows are dealt. All others meet by key.
     """
     stem = free_stem(rows, right)
-    hot, cold, alone = stem + "hot", stem + "cold", stem + "alone"
+    hot, cold, alone, salt, wide = (stem + x for x in ("hot", "cold", "alone", "salt", "wide"))
     values = [c for c in right.columns if c not in on]
-    often = right.where(F.col(n) >= HOT_ROWS)
-    some = 0 < often.limit(HOT_KEYS + 1).count() <= HOT_KEYS
-    apart = ~F.lit(True)
+    first = right.where(F.col(n) >= HOT_ROWS).select(*on, F.col(n).alias(hot), (F.lit(64) if size is None else size + 64).alias(cold)).orderBy(F.desc(hot), *on).limit(HOT_KEYS)
+    until = W.orderBy(F.desc(hot), *on).rowsBetween(W.unboundedPreceding, 0)  # over HOT_KEYS short rows
+    marks = stage(first.select(*on, (F.sum(cold).over(until) > HOT_BYTES).alias(wide)), "marks")
+    found = {r[0]: r[1] for r in marks.groupBy(wide).count().collect()}
+    met, others, parts = rows, right, F.array(F.lit(0))
+    apart = F.lit(False)
     for c in on:
         apart = apart | column(c).isNull()
-    met = rows
-    if some:
-        met = rows.join(F.broadcast(often.select(*on, F.struct(*values).alias(hot))), on, "left")
+    if False in found:
+        light = F.broadcast(marks.where(~F.col(wide)).select(*on))
+        met = met.join(F.broadcast(right.join(light, on, "left_semi").select(*on, F.struct(*values).alias(hot))), on, "left")
         apart = apart | F.col(hot).isNotNull()
+        others = right.join(light, on, "left_anti")
+    if True in found:
+        dealt = F.broadcast(marks.where(wide))
+        met, others = met.join(dealt, on, "left"), others.join(dealt, on, "left")
+        parts = F.when(F.col(wide), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(parts)
+        met = met.withColumn(salt, F.when(F.col(wide), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    else:
+        met = met.withColumn(salt, F.lit(0))
     met = met.withColumn(alone, F.when(apart, F.monotonically_increasing_id()).otherwise(F.lit(-1)))
-    others = (right.where(F.col(n) < HOT_ROWS) if some else right).select(*[F.col(c).alias(f"{stem}on_{c}") for c in on], F.lit(-1).cast("long").alias(stem + "flag"), F.struct(*values).alias(cold))
-    same = F.col(alone) == F.col(stem + "flag")
+    others = others.select(*[F.col(c).alias(f"{stem}on_{c}") for c in on], F.lit(-1).cast("long").alias(stem + "flag"), F.struct(*values).alias(cold), F.explode(parts).alias(stem + "part"))
+    same = (F.col(alone) == F.col(stem + "flag")) & (F.col(salt) == F.col(stem + "part"))
     for c in on:
         same = same & (column(c) == F.col(f"{stem}on_{c}"))
-    found = (lambda v: F.coalesce(F.col(f"{hot}.{v}"), F.col(f"{cold}.{v}"))) if some else (lambda v: F.col(f"{cold}.{v}"))
-    return met.join(others, same, "left").select(*quoted(rows.columns), *[found(v).alias(v) for v in values])
+    value = (lambda v: F.coalesce(F.col(f"{hot}.{v}"), F.col(f"{cold}.{v}"))) if False in found else (lambda v: F.col(f"{cold}.{v}"))
+    return met.join(others, same, "left").select(*quoted(rows.columns), *[value(v).alias(v) for v in values])
 
 
 def running_starts(counts: DataFrame, key: str, n: str, out: str, block: int = 4096) -> DataFrame:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, drop_staged, free_stem, join_hot, map_batches, new_path, quoted, schema_text, stage, texts_of, without
+from .common import column, drop_files, free_stem, join_hot, map_batches, new_path, quoted, schema_text, stage, texts_of, without
+
+#: Batches at least, and documents in one at most.
+BATCHES, BATCH_DOCS = 4, 1 << 28
 
 
 def line_keys(text: str) -> tuple[list[bytes], list[bytes]]:
@@ -19,32 +25,58 @@ def line_keys(text: str) -> tuple[list[bytes], list[bytes]]:
 class LineRuns:
     """How many documents hold each line key, as levelled sorted runs in the shared folder.
 
-    ``add`` takes a batch of ``(key binary)`` rows, one per document and key. It merge-anti-joins the batch with
-    the run of settled keys (those known to reach ``min_docs``; they need no more counting) and writes the rest as a
-    sorted run at level 0. ``fanout`` runs of a level merge into one run of the next level; keys that reach
-    ``min_docs`` then move to the settled run. ``settled`` merges what is left and returns the keys that reach it.
+    A run is a table bucketed and sorted by key, all runs in the same buckets, so that what meets by key lies together
+    already: batches are joined with runs, and runs are merged, bucket by bucket, and no run is shuffled again.
+
+    ``add`` takes a batch of ``(key binary)`` rows, one per document and key. It merge-anti-joins the batch with the runs of
+    settled keys (those known to reach ``min_docs``; they need no more counting) and writes the rest as a sorted run at
+    level 0. ``fanout`` runs of a level merge into one run of the next level; keys that reach ``min_docs`` then move to the
+    settled runs, which are merged, too, when they are more than ``fanout``. ``settled`` merges what is left and returns the
+    keys that reach it with their numbers of documents, as far as these were counted. ``close`` ends the use of the runs.
     """
 
     def __init__(self, spark: SparkSession, min_docs: int = 10, fanout: int = 3):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
-        self.levels: dict[int, list[tuple[DataFrame, bool]]] = {}  # a run, and whether its files hold nothing else
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: dict[int, list[DataFrame]] = {}
         self.done: list[DataFrame] = []
+        self.tables: dict[DataFrame, str] = {}
+        self.spare: list[DataFrame] = []
 
     def _run(self, df: DataFrame) -> DataFrame:
-        path = new_path(self.spark, "run")
-        df.sortWithinPartitions("key").write.parquet(path)
-        return self.spark.read.schema("key binary, n long").parquet(path)
-
-    def _known(self) -> DataFrame | None:
-        out = None
-        for run in self.done:
-            out = run if out is None else out.unionByName(run)
-        return out
+        name = f"canopy_run_{uuid.uuid4().hex}"
+        df.write.bucketBy(self.buckets, "key").sortBy("key").option("path", new_path(self.spark, "run")).saveAsTable(name, format="parquet")
+        run = self.spark.table(name)
+        self.tables[run] = name
+        return run
+
+    def _drop(self, runs: list[DataFrame]) -> None:
+        for run in runs:
+            files = run.inputFiles()
+            self.spark.sql(f"DROP TABLE {self.tables.pop(run)}")
+            drop_files(self.spark, files)
+
+    def _both(self, one: DataFrame, other: DataFrame) -> DataFrame:
+        """Two runs merged: a full outer join, for which neither is shuffled (an aggregate over their union would not see
+        that equal keys lie together)."""
+        n = F.coalesce(one["n"], F.lit(0)) + F.coalesce(other["n"], F.lit(0))
+        return one.join(other, one["key"] == other["key"], "full_outer").select(F.coalesce(one["key"], other["key"]).alias("key"), n.alias("n"))
+
+    def _merged(self, runs: list[DataFrame]) -> DataFrame:
+        """The sums of runs, two at a time; sums before the last are runs of their own, dropped with the next merge."""
+        sums = runs[0]
+        for i, run in enumerate(runs[1:], 2):
+            sums = self._both(sums, run)
+            if i < len(runs):
+                sums = self._run(sums)
+                self.spare.append(sums)
+        return sums
 
     def add(self, keys: DataFrame) -> None:
-        known = self._known()
         counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"))  # summed in each task first: a line of every document stays small
-        self.levels.setdefault(0, []).append((self._run(counts if known is None else counts.join(known.select("key"), "key", "left_anti")), True))
+        for run in self.done:
+            counts = counts.join(run.select("key"), "key", "left_anti")
+        self.levels.setdefault(0, []).append(self._run(counts))
         level = 0
         while len(self.levels.get(level, [])) >= self.fanout:
             self._merge([level], level + 1)
@@ -53,25 +85,27 @@ class LineRuns:
     def _merge(self, levels: list[int], to: int) -> None:
         """Merge all runs of the levels; a key is in the merged run or, from ``min_docs`` on, in a settled one."""
         old = [run for level in levels for run in self.levels.pop(level, [])]
-        union = old[0][0]
-        for run, _ in old[1:]:
-            union = union.unionByName(run)
-        merged = self._run(union.groupBy("key").agg(F.sum("n").alias("n")))
-        self.done.append(merged.where(F.col("n") >= self.min_docs))
-        self.levels.setdefault(to, []).append((merged.where(F.col("n") < self.min_docs), False))
-        for run, alone in old:
-            if alone:
-                drop_staged(run)
+        sums = self._merged(old)
+        self.levels.setdefault(to, []).append(self._run(sums.where(F.col("n") < self.min_docs)))
+        self.done.append(self._run(sums.where(F.col("n") >= self.min_docs)))
+        if len(self.done) > self.fanout:
+            settled, self.done = self.done, []
+            self.done = [self._run(self._merged(settled))]
+            old += settled
+        self._drop(old + self.spare)
+        self.spare = []
 
     def settled(self) -> DataFrame:
-        """Keys of at least ``min_docs`` documents, each once."""
+        """``key, n``: keys of at least ``min_docs`` documents, each once."""
         if sum(map(len, self.levels.values())) > 1 or self.levels.get(0):
             self._merge(sorted(self.levels), 1 + max(self.levels))
-        known = self._known()
-        return self.spark.createDataFrame([], "key binary") if known is None else known.select("key")
+        return reduce(DataFrame.unionByName, self.done) if self.done else self.spark.createDataFrame([], "key binary, n long")
+
+    def close(self) -> None:
+        self._drop(list(self.tables))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: str = "text", batches: int = 4, fanout: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: str = "text", fanout: int = 2) -> DataFrame:
     """Drop the lines that at least ``min_docs`` documents share, in every document.
 
     Each row is a document. A line's key is the line stripped of ASCII white space at both ends with A-Z in lower
@@ -83,9 +117,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: s
     Scale: only 16-byte line hashes are shuffled for counting (pre-summed by key, so a line of every document costs
     one row a task); texts move once, to meet the hashes of their own frequent lines. Documents meet them by the text's
     hash; texts that very many documents have meet theirs by broadcast and are not dealt to one task, and texts without a
-    frequent line meet nothing.
+    frequent line meet nothing. Batches follow the rows: BATCHES, or as many as keep one under BATCH_DOCS documents.
     """
     spark = docs.sparkSession
+    batches = max(BATCHES, -(-docs.count() // BATCH_DOCS))
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -100,7 +135,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: s
     runs = LineRuns(spark, min_docs, fanout)
     for i in range(batches):
         runs.add(lines.where(F.col("batch") == i).select(F.explode("keys").alias("key")))
-    found = lines.select("of", F.explode("keys").alias("key")).join(runs.settled(), "key", "left_semi")
+    settled = stage(runs.settled(), "settled")
+    runs.close()
+    # A line of very many documents meets its rows by broadcast and not in one task.
+    found = join_hot(lines.select("of", F.explode("keys").alias("key")), settled, ["key"], "n").where(F.col("n").isNotNull()).drop("n")
     # Each text once, with the hashes of its frequent lines (at most as many as it has lines) and how often it occurs.
     often = found.groupBy("of").agg(F.collect_set("key").alias("found"))
     hits = stage(lines.groupBy("of").agg(F.count(F.lit(1)).alias("times")).join(often, "of"), "hits")
@@ -127,7 +165,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: s
 
     rows = docs.select(*quoted(keep), F.when(body != "", F.xxhash64(body)).alias(stem + "of"))
     hits = hits.select(F.col("of").alias(stem + "of"), F.col("found").alias(stem + "hits"), F.col("times").alias(stem + "times"))
-    joined = join_hot(rows, hits, [stem + "of"], stem + "times").select(*quoted(keep), stem + "hits")
+    joined = join_hot(rows, hits, [stem + "of"], stem + "times", 24 * F.size(stem + "hits")).select(*quoted(keep), stem + "hits")
     return map_batches(joined, rebuilt, schema)
 
 

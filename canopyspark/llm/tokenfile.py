@@ -145,8 +145,9 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 1, text: st
     each in its partition; both go through Spark's writers, so any store will do and a lost task is written anew.
     A null text is empty; each document ends with ``end_id``. Null keys come first; rows of equal keys lie together,
     ordered by a hash of the text. Rows are range-partitioned by both, so that one key can't fill a task unless its
-    texts are equal.
+    texts are equal. A key that isn't an integer raises a TypeError before anything is written.
     """
+    number = as_long(docs, key)
     spark, dtype = bounded(docs.sparkSession), id_type(path)
     dictionary = train(docs, path, dtype, text, key)
     hashed = dictionary_hash(dictionary)
@@ -186,7 +187,7 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 1, text: st
             yield made()
 
     body = F.coalesce(column(text), F.lit(""))
-    rows = docs.select(as_long(docs, key).alias("key"), body.alias("text"), F.xxhash64(body).alias("tie"))
+    rows = docs.select(number.alias("key"), body.alias("text"), F.xxhash64(body).alias("tie"))
     ordered = rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie").select("key", "text")
     ordered.mapInArrow(blocks, BLOCKS).write.parquet(f"{out}/blocks")
 

@@ -185,14 +185,69 @@ def test_neighbours_of_hot_and_null_keys(spark, monkeypatch):
     assert len(seen) == len(rows) and [key[t] for t in ring] == sorted(key.values())
 
 
-def test_hot_keys_meet_what_others_meet(spark, monkeypatch):
+@pytest.mark.parametrize(("keys", "size"), [(100, 32 << 20), (1, 32 << 20), (2, 32 << 20), (100, 0), (100, 100), (2, 100)])
+def test_hot_keys_meet_what_others_meet(spark, monkeypatch, keys, size):
+    """Values of hot keys by broadcast, beyond the bytes by copies to parts, beyond the number of keys by key."""
     monkeypatch.setattr(common, "HOT_ROWS", 10)
-    rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 40 + [2] * 3 + [None] * 20 + [3] * 12 + [4])], "k long, i long")
-    right = common.stage(rows.where("k IS NOT NULL AND k < 4").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("i").alias("v")), "right")
-    for limit in (100, 1):
-        monkeypatch.setattr(common, "HOT_KEYS", limit)
-        out = common.join_hot(rows, right, ["k"], "n").collect()
-        assert sorted((r.i, r.v) for r in out) == [(i, {1: 39, 2: 42, 3: 74}.get(k)) for i, k in enumerate([1] * 40 + [2] * 3 + [None] * 20 + [3] * 12 + [4])]
+    monkeypatch.setattr(common, "HOT_KEYS", keys)
+    monkeypatch.setattr(common, "HOT_BYTES", size)
+    numbers = [1] * 40 + [2] * 3 + [None] * 20 + [3] * 12 + [4] + [5] * 30
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(numbers)], "k long, i long")
+    right = common.stage(rows.where("k IS NOT NULL AND k <> 4").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("i").alias("v")), "right")
+    last = {k: max(i for i, x in enumerate(numbers) if x == k) for k in (1, 2, 3, 5)}
+    out = common.join_hot(rows, right, ["k"], "n", F.lit(1)).collect()
+    assert sorted((r.i, r.v) for r in out) == [(i, last.get(k)) for i, k in enumerate(numbers)]
+
+
+def test_rows_of_a_long_value_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_BYTES", 0)
+    rows = spark.range(4000).select(F.lit(7).cast("long").alias("k"), "id")
+    right = common.stage(spark.createDataFrame([(7, 4000, "long")], "k long, n long, v string"), "right")
+    out = common.join_hot(rows, right, ["k"], "n", F.length("v"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parts = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(parts) == 4000 and max(parts) < 3000
+
+
+def test_runs_are_not_shuffled_again(spark, monkeypatch):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        runs = linededup.LineRuns(spark, min_docs=2, fanout=9)
+        keys = spark.range(500).select(F.col("id").cast("string").cast("binary").alias("key"))
+        runs.add(keys)
+        runs.add(keys.unionByName(keys.limit(50)))
+        merged = runs._merged(runs.levels[0])
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("Bucketed: true") == 2
+        assert sorted(r.n for r in merged.collect()) == [2] * 450 + [3] * 50
+        runs._merge([0], 1)
+        batch = keys.groupBy("key").count().join(runs.done[0].select("key"), "key", "left_anti")
+        plan = batch._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Bucketed: true" in plan  # that of the batch's own counts
+        assert runs.settled().count() == 500
+        names = list(runs.tables.values())
+        runs.close()
+        assert names and not any(spark.catalog.tableExists(n) for n in names)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_many_runs_settle(spark):
+    runs = linededup.LineRuns(spark, min_docs=4, fanout=2)
+    rng = np.random.default_rng(4)
+    seen = Counter()
+    for _ in range(11):
+        batch = [bytes([int(k)]) for k in rng.zipf(1.3, 40) if k < 200]
+        seen.update(batch)
+        runs.add(spark.createDataFrame([(k,) for k in batch], "key binary"))
+    assert {bytes(r.key) for r in runs.settled().collect()} == {k for k, n in seen.items() if n >= 4}
+    assert len(runs.done) <= 3
+    runs.close()
 
 
 def test_near_duplicates_with_hot_groups(spark, monkeypatch):
@@ -256,11 +311,12 @@ def test_no_name_clashes(spark, clashing):
     assert mixing.repeat_documents(mixing.mix_sources(clashing)).where("copy IS NULL").count() == 0
 
 
-def test_keys_must_be_integers(spark):
+def test_keys_must_be_integers(spark, tmp_path):
     words = spark.createDataFrame([("a", "one two")], "doc_id string, text string")
-    for run in (minhash.near_duplicates, suffixes.repeated_passages, lambda d: tokenfile.write_tokens(d, "/nowhere", bpe.default_path())):
+    for run in (minhash.near_duplicates, suffixes.repeated_passages, lambda d: tokenfile.write_tokens(d, str(tmp_path / "out"), bpe.default_path())):
         with pytest.raises(TypeError, match="integers"):
             run(words)
+    assert not list(tmp_path.iterdir())  # nothing was written
     with pytest.raises(TypeError, match="integers"):
         topk.search(spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<float>"), F.lit(True))
 
