@@ -15,7 +15,10 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts (score of 0.7 or more); it learns from the labelled ones among them."""
+    """Documents that the classifier accepts (score of 0.7 or more); it learns from the labelled ones among them.
+
+    A null text counts as an empty one, and both get a score; equal rows have equal scores. An empty table stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     docs = docs.select(*COLUMNS)
     return quality.score(docs, quality.fit(docs, labels)).where(F.col("score") >= quality.CUT).select(*COLUMNS)
@@ -33,19 +36,29 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest doc_id. Rows of one doc_id stay together."""
+    """One document of each group of near duplicates: that of the smallest doc_id. Rows of one doc_id stay together.
+
+    Rows without a doc_id are in no group and all stay. What is joined to the texts are the ids that go, which are few
+    and each there once.
+    """
     docs = docs.select(*COLUMNS)
-    kept = minhash.near_duplicates(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("_k")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_k")), "left_semi").select(*COLUMNS)
+    gone = minhash.near_duplicates(docs.select("doc_id", "text")).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").select(*COLUMNS).unionByName(docs.where("doc_id IS NULL"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix by target weights: each document as often as it is taken, so one can come twice or not at all."""
+    """The mix by target weights: each document as often as it is taken, so one can come twice or not at all.
+
+    Null and empty texts have no words and are never taken; equal rows are taken one by one. An empty table stays empty.
+    """
     return mixing.repeat_documents(mixing.mix_sources(docs.select(*COLUMNS))).select(*COLUMNS)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document of the mix, with the digests of its ids and of the text they decode to."""
+    """Token ids of each document of the mix, with the digests of its ids and of the text they decode to.
+
+    Null and empty texts have no ids; repeated rows come as often as they are there. An empty table stays empty.
+    """
     encoded = bpe.encode_documents(docs.select("doc_id", "source", "text")).select("doc_id", "source", "ids", "decoded")
     return encoded.select(
         "doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
