@@ -76,24 +76,40 @@ def half_widths(df: DataFrame, columns: list[str], factor: float = 1.96) -> Data
     return df.select(*columns).unpivot([], columns, "phase", "std").groupBy("phase").agg((F.avg("std") * factor).alias("half_width"))
 
 
+#: Lots are counted in this many classes for each row that a draw takes, up to SPAN times as many rows as it takes.
+CLASSES, SPAN = 4, 2
+
+
 def balanced_means(df: DataFrame, strata: list[str], group: str, values: list[str], draws: int = 100, seed: int = 0, key: str = "uid") -> DataFrame:
     """Q9: means of ``values`` by ``group`` over draws that take as many rows of each stratum as the smallest has.
 
-    A draw orders each stratum by a seeded hash of the row's key; the means over draws are averaged. Of a large stratum only
-    rows whose hash lies below a threshold go on to a draw: about 2 n + 100 of them for n to draw, which are fewer than
-    n with a probability below 1e-20. So what is sorted follows from the smallest stratum and not from the rows.
+    Each row of each draw has a lot of its own, a hash of the seed, the draw, the row's key and values, and its number
+    among equal rows; a draw takes the rows of the least lots of a stratum, and the means over draws are averaged. Rows
+    whose stratum or group is null don't count; null values don't count in a mean.
+
+    Which lots are least is found by counting: lots fall into classes, of which a draw needs about CLASSES to be filled;
+    the class in which a stratum's number is reached is known from the counts, and only rows up to it are sorted. The last
+    class holds all that lies beyond, so the draw is exact whatever the lots are.
     """
     by = [*strata, group]
-    rows = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in by)).select(*dict.fromkeys([*by, key, *values]))
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_c"))
+    rows = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in by)).groupBy(*dict.fromkeys([*by, key, *values])).agg(F.count(F.lit(1)).alias("_m"))
+    sizes = rows.groupBy(*by).agg(F.sum("_m").alias("_c"))
     sizes = sizes.crossJoin(F.broadcast(sizes.agg(F.min("_c").alias("_n"))))  # one row a stratum, and one row
-    share = (F.col("_n") * 2 + 100) / F.col("_c")
-    # Hashes are compared as hexadecimal text; "g" lies above all.
-    sizes = sizes.select(*by, "_n", F.when(share >= 1, "g").otherwise(F.lower(F.lpad(F.hex((share * (1 << 32)).cast("long")), 8, "0"))).alias("_below"))
-    drawn = rows.join(sizes, by).withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    lot = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_draw").cast("string"), F.col(key).cast("string")).cast("binary"))
-    drawn = drawn.withColumn("_lot", lot).where(F.col("_lot") < F.col("_below"))
-    ranked = drawn.withColumn("_rank", F.row_number().over(W.partitionBy("_draw", *by).orderBy("_lot", key)))
+    rows = rows.join(sizes, by).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m")))).drop("_m")
+
+    def drawn(some: DataFrame) -> DataFrame:
+        lots = some.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+        parts = [F.lit(str(seed)), *[F.col(c).cast("string") for c in dict.fromkeys(["_draw", key, *values, "_copy"])]]
+        lots = lots.withColumn("_lot", F.md5(F.concat_ws("|", *parts).cast("binary")))
+        share = F.conv(F.substring("_lot", 1, 8), 16, 10).cast("long") / float(1 << 32)
+        return lots.withColumn("_class", F.least(F.floor(share * F.col("_c") / F.col("_n") * CLASSES), F.lit(CLASSES * SPAN)).cast("int"))
+
+    counts = drawn(rows).groupBy(*by, "_draw", "_class", "_n").agg(F.count(F.lit(1)).alias("_k"))
+    until = F.sum("_k").over(W.partitionBy(*by, "_draw").orderBy("_class"))
+    reached = counts.withColumn("_until", until).where(F.col("_until") >= F.col("_n")).groupBy(*by, "_draw").agg(F.min("_class").alias("_last"))
+    last = reached.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_draw", "_last"))).alias("_lasts"))  # ``draws`` numbers a stratum
+    near = drawn(rows.join(last, by)).where(F.col("_class") <= F.try_element_at("_lasts", F.col("_draw"))).drop("_lasts")
+    ranked = near.withColumn("_rank", F.row_number().over(W.partitionBy("_draw", *by).orderBy("_lot", key, *values, "_copy")))
     means = ranked.where(F.col("_rank") <= F.col("_n")).groupBy("_draw", group).agg(*[F.avg(v).alias(v) for v in values])
     return means.groupBy(group).agg(*[F.avg(v).alias(v) for v in values])
 

@@ -12,81 +12,105 @@ from .smooth import fold_ids
 from .transitions import THRESHOLDS
 
 
-def _windowed(values: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sums and counts of non-NaN values in centered windows of every row."""
-    n = values.shape[1]
-    known = ~np.isnan(values)
-    zero = np.zeros((len(values), 1))
-    total = np.hstack([zero, np.cumsum(np.where(known, values, 0.0), axis=1)])
-    count = np.hstack([zero, np.cumsum(known, axis=1)])
-    lo, hi = np.maximum(np.arange(n) - half, 0), np.minimum(np.arange(n) + half + 1, n)
-    return total[:, hi] - total[:, lo], count[:, hi] - count[:, lo]
-
-
-def smooth_rows(values: np.ndarray, window: int) -> np.ndarray:
-    """Centered means of each row, NaN kept where the value is NaN."""
-    total, count = _windowed(values, window // 2)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(np.isnan(values), np.nan, total / count)
+def _running(rows: np.ndarray) -> np.ndarray:
+    """Sums of the rows before each, and of all."""
+    out = np.zeros((len(rows) + 1, *rows.shape[1:]))
+    np.cumsum(rows, axis=0, out=out[1:])
+    return out
 
 
-def cv_errors(values: np.ndarray, candidates: list[int], folds: int, seed: int) -> np.ndarray:
-    """Cross-validated error of each candidate width for each row (NaN if a row has no predictable point)."""
-    n = values.shape[1]
-    fold = fold_ids(n, folds, seed)
-    out = np.full((len(values), len(candidates)), np.nan)
-    for c, w in enumerate(candidates):
-        errors = np.full((len(values), folds), np.nan)
-        for f in range(folds):
-            test = fold == f
-            total, count = _windowed(np.where(test, np.nan, values), w // 2)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                square = (values[:, test] - total[:, test] / count[:, test]) ** 2
-                square[count[:, test] == 0] = np.nan
-                some = ~np.isnan(square)
-                errors[:, f] = np.where(some.any(1), np.where(some, square, 0).sum(1) / some.sum(1), np.nan)
-        some = ~np.isnan(errors)
+class Copies:
+    """Noisy copies of one series, a row a point and a column a copy. All have their gaps where the series has its own.
+
+    Running sums over all points, and over the points of each fold, are made once; any window is a difference of two
+    rows of them, so a further width costs a few passes over the copies, whatever the folds.
+    """
+
+    def __init__(self, values: np.ndarray, folds: int, seed: int):
+        self.values, n = values, len(values)
+        self.known = ~np.isnan(values[:, 0])
+        filled = np.where(self.known[:, None], values, 0.0)
+        self.fold = fold_ids(n, folds, seed)
+        self.sums, self.counts = _running(filled), _running(self.known.astype(float))
+        self.members = [np.flatnonzero(self.fold == f) for f in range(folds)]
+        self.fold_sums, self.fold_counts = [], []
+        for own in self.members:  # the fold's sum before a point is that before its next member
+            self.fold_sums.append(_running(filled[own]))
+            self.fold_counts.append(_running(self.known[own].astype(float)))
+
+    def ends(self, window: int) -> tuple[np.ndarray, np.ndarray]:
+        at, half = np.arange(len(self.values)), window // 2
+        return np.maximum(at - half, 0), np.minimum(at + half + 1, len(at))
+
+    def smooth(self, window: int, chosen: np.ndarray) -> np.ndarray:
+        """Centered means of the chosen copies, NaN at gaps."""
+        lo, hi = self.ends(window)
+        sums = self.sums[:, chosen]
         with np.errstate(invalid="ignore", divide="ignore"):
-            out[:, c] = np.where(some.any(1), np.where(some, errors, 0).sum(1) / some.sum(1), np.nan)
-    return out
+            means = (sums[hi] - sums[lo]) / (self.counts[hi] - self.counts[lo])[:, None]
+        means[~self.known] = np.nan
+        return means
+
+    def errors(self, candidates: list[int]) -> np.ndarray:
+        """Cross-validated error of each candidate width for each copy (NaN if no point can be predicted)."""
+        out = np.full((len(candidates), self.values.shape[1]), np.nan)
+        for c, w in enumerate(candidates):
+            lo, hi = self.ends(w)
+            found = []
+            for own, sums, counts in zip(self.members, self.fold_sums, self.fold_counts, strict=True):
+                a, b = lo[own], hi[own]
+                i, j = np.searchsorted(own, a), np.searchsorted(own, b)
+                n = self.counts[b] - self.counts[a] - (counts[j] - counts[i])
+                use = (n > 0) & self.known[own]
+                if not use.any():
+                    continue
+                a, b, i, j = a[use], b[use], i[use], j[use]
+                others = self.sums[b] - self.sums[a] - (sums[j] - sums[i])
+                others /= n[use, None]
+                others -= self.values[own[use]]
+                found.append(np.einsum("ij,ij->j", others, others) / use.sum())
+            if found:
+                out[c] = np.mean(found, axis=0)
+        return out
 
 
-def fill_rows(values: np.ndarray) -> np.ndarray:
-    """Linear interpolation by position; the ends take the nearest value."""
-    out, at = values.copy(), np.arange(values.shape[1])
-    for row in out:
-        known = ~np.isnan(row)
-        if known.any() and not known.all():
-            row[~known] = np.interp(at[~known], at[known], row[known])
-    return out
+def filled_gaps(values: np.ndarray) -> np.ndarray:
+    """Linear interpolation by position, of all columns at once (their gaps are the same); the ends take the nearest value."""
+    known = np.flatnonzero(~np.isnan(values[:, 0])) if values.size else np.empty(0, int)
+    if not len(known) or len(known) == len(values):
+        return values
+    at = np.arange(len(values))
+    place = np.interp(at, known, np.arange(len(known)))  # a point's place among the known ones
+    left = np.floor(place).astype(int)
+    right = np.minimum(left + 1, len(known) - 1)
+    share = (place - left)[:, None]
+    return values[known[left]] * (1 - share) + values[known[right]] * share
 
 
-def transition_rows(doy: np.ndarray, values: np.ndarray, thresholds: tuple[float, ...], low: int, high: int) -> np.ndarray:
-    """Peak day, then up and down crossings of each threshold, for each row (NaN where there is none)."""
+def transition_days(doy: np.ndarray, values: np.ndarray, thresholds: tuple[float, ...], low: int, high: int) -> np.ndarray:
+    """Peak day, then up and down crossings of each threshold, a row a date and a column a copy (NaN where there is none)."""
     keep = (doy >= low) & (doy <= high)
-    days, v = doy[keep].astype(float), fill_rows(values)[:, keep]
-    out = np.full((len(values), 1 + 2 * len(thresholds)), np.nan)
-    if not v.shape[1]:
+    days, v = doy[keep].astype(float), filled_gaps(values)[keep]
+    copies = v.shape[1]
+    out = np.full((1 + 2 * len(thresholds), copies), np.nan)
+    if not len(v) or np.isnan(v[0]).all():
         return out
-    ok = ~np.isnan(v).all(1)
-    v = np.where(ok[:, None], v, 0.0)
-    rows, place = np.arange(len(v)), np.arange(v.shape[1] - 1)
-    peak, base = v.argmax(1), v.min(1)
-    amplitude = v[rows, peak] - base
-    out[:, 0] = np.where(ok, days[peak], np.nan)
+    peak, base, column = v.argmax(0), v.min(0), np.arange(copies)
+    amplitude = v[peak, column] - base
+    out[0] = days[peak]
+    before = np.arange(len(v) - 1)[:, None] < peak
     for i, t in enumerate(thresholds):
         level = base + t * amplitude
-        turn = np.diff(np.sign(v - level[:, None]), axis=1)
-        up = (turn > 0) & (place[None, :] < peak[:, None])
-        down = (turn < 0) & (place[None, :] >= peak[:, None])
-        for j, (hit, at) in enumerate(((up, up.shape[1] - 1 - up[:, ::-1].argmax(1) if up.shape[1] else None), (down, down.argmax(1) if down.shape[1] else None))):
-            if at is None:
+        side = (v > level).view(np.int8) - (v < level).view(np.int8)
+        up, down = (side[1:] > side[:-1]) & before, (side[1:] < side[:-1]) & ~before
+        for j, hit in enumerate((up, down)):
+            if not len(hit):
                 continue
-            at = np.clip(at, 0, len(place) - 1)
-            y0, y1 = v[rows, at], v[rows, at + 1]
+            at = len(hit) - 1 - hit[::-1].argmax(0) if j == 0 else hit.argmax(0)
+            y0, y1 = v[at, column], v[at + 1, column]
             with np.errstate(invalid="ignore", divide="ignore"):
                 day = days[at] + (days[at + 1] - days[at]) * (level - y0) / (y1 - y0)
-            out[:, 1 + 2 * i + j] = np.where(hit.any(1) & ok, np.where(y1 == y0, days[at], day), np.nan)
+            out[1 + 2 * i + j] = np.where(hit[at, column], np.where(y1 == y0, days[at], day), np.nan)
     return out
 
 
@@ -94,20 +118,20 @@ def simulate(doy: np.ndarray, smoothed: np.ndarray, noise: float, rng: np.random
     """Sample standard deviation of peak, ups and downs over noisy copies of a smoothed series, each smoothed anew."""
     if len(smoothed) < folds or np.isnan(noise):
         return np.full(1 + 2 * len(thresholds), np.nan)
-    noisy = smoothed[None, :] + rng.normal(0, noise, (iterations, len(smoothed)))
-    errors = cv_errors(noisy, candidates, folds, 42)
-    usable = ~np.isnan(errors).all(1)
-    best = np.where(np.isnan(errors), np.inf, errors).argmin(1)
-    again = np.full_like(noisy, np.nan)
+    noisy = np.ascontiguousarray((smoothed[None, :] + rng.normal(0, noise, (iterations, len(smoothed)))).T)
+    copies = Copies(noisy, folds, 42)
+    errors = copies.errors(candidates)
+    usable = ~np.isnan(errors).all(0)
+    best = np.where(np.isnan(errors), np.inf, errors).argmin(0)
+    found = np.full((1 + 2 * len(thresholds), iterations), np.nan)
     for c, w in enumerate(candidates):
         mine = usable & (best == c)
         if mine.any():
-            again[mine] = smooth_rows(noisy[mine], w)
-    found = transition_rows(doy, again[usable], thresholds, low, high)
-    count = (~np.isnan(found)).sum(0)
+            found[:, mine] = transition_days(doy, copies.smooth(w, mine), thresholds, low, high)
+    count = (~np.isnan(found)).sum(1)
     with np.errstate(invalid="ignore", divide="ignore"):
-        mean = np.nansum(found, 0) / count
-        return np.where(count > 1, np.sqrt(np.nansum((found - mean) ** 2, 0) / (count - 1)), np.nan)
+        mean = np.nansum(found, 1) / count
+        return np.where(count > 1, np.sqrt(np.nansum((found - mean[:, None]) ** 2, 1) / (count - 1)), np.nan)
 
 
 def series_numbers(units: DataFrame, keys: list[str]) -> DataFrame:

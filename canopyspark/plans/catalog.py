@@ -234,7 +234,7 @@ best AS (SELECT uid, year, n, CASE {chosen} END AS best, least({", ".join(f"m{w}
 
 @query(f"WITH {_cv_steps()} SELECT uid::BIGINT AS uid, year::BIGINT AS year, n, best::BIGINT AS best, round(mse, 6) AS mse FROM best")
 def cv_window(spark, sf):
-    return smooth.cv_window(_bins(spark, sf), TREE, "p90", [3, 5, 7, 9], order="doy")
+    return smooth.cv_window(_bins(spark, sf), TREE, "p90", [3, 5, 7, 9], order="doy", longest=smooth.LONGEST)
 
 
 @query(f"""WITH {TREE_SQL}, d AS (SELECT uid, year, doy, avg(value) AS avg FROM tree GROUP BY ALL), c AS (SELECT uid, year, unnest(range(min(doy), max(doy) + 1)) AS doy FROM d GROUP BY uid, year),
@@ -293,7 +293,7 @@ marks AS (SELECT uid, year, peak, peak_value, baseline, pct, arg_max(day, i) FIL
 SELECT uid::BIGINT AS uid, year::BIGINT AS year, round(peak_value - baseline, 6) AS amplitude, round(baseline, 6) AS baseline, peak::DOUBLE AS PEAK, {_DATES} FROM marks GROUP BY uid, year, peak, peak_value, baseline""")
 def transition_dates(spark, sf):
     """The whole third stage but its noise: products, selected windows, dates, quality."""
-    best = smooth.cv_smooth(_bins(spark, sf), TREE, "p90", [3, 5, 7, 9], order="doy")
+    best = smooth.cv_smooth(_bins(spark, sf), TREE, "p90", [3, 5, 7, 9], order="doy", longest=smooth.LONGEST)
     found = transitions.transitions(best, TREE, order="doy")
     names = ["PEAK", *(f"G{d}_{p}" for p in (10, 25, 50, 75, 90) for d in "UD")]
     return found.select(*TREE, "amplitude", "baseline", *[F.try_element_at("dates", F.lit(n)).alias(n) for n in names])
@@ -396,12 +396,23 @@ def ci_halfwidth(spark, sf):
     return analytics.half_widths(S.records(spark, sf), ["gu", "gd"])
 
 
-@query(f"""WITH {RECORDS_SQL}, n AS (SELECT min(c) AS n FROM (SELECT count(*) AS c FROM records GROUP BY band, species)),
-d AS (SELECT r.*, draw, row_number() OVER (PARTITION BY draw, band, species ORDER BY md5('3|' || draw || '|' || uid * 10000 + year), uid * 10000 + year) AS k FROM records r CROSS JOIN range(100) g(draw)),
-m AS (SELECT draw, species, avg(gu) AS gu, avg(gd) AS gd FROM d, n WHERE k <= n GROUP BY ALL) SELECT species, round(avg(gu), 6) AS gu, round(avg(gd), 6) AS gd FROM m GROUP BY ALL""")
+def _balanced_sql(rows: str, key: str) -> str:
+    return f"""{rows}, n AS (SELECT min(c) AS n FROM (SELECT count(*) AS c FROM r GROUP BY band, species)),
+e AS (SELECT *, row_number() OVER (PARTITION BY band, species, {key}, gu, gd) AS copy FROM r),
+d AS (SELECT e.*, draw, row_number() OVER (PARTITION BY draw, band, species ORDER BY md5(concat_ws('|', '3', draw, {key}, gu, gd, copy)), {key}, gu, gd, copy) AS k FROM e CROSS JOIN range(100) g(draw)),
+m AS (SELECT draw, species, avg(gu) AS gu, avg(gd) AS gd FROM d, n WHERE k <= n GROUP BY ALL) SELECT species, round(avg(gu), 6) AS gu, round(avg(gd), 6) AS gd FROM m GROUP BY ALL"""
+
+
+@query("WITH " + _balanced_sql(f"{RECORDS_SQL}, r AS (SELECT * FROM records)", "uid"))
 def balanced_means(spark, sf):
-    rows = S.records(spark, sf).withColumn("row", F.col("uid") * 10000 + F.col("year"))
-    return analytics.balanced_means(rows, ["band"], "species", ["gu", "gd"], seed=3, key="row")
+    return analytics.balanced_means(S.records(spark, sf), ["band"], "species", ["gu", "gd"], seed=3)
+
+
+@query("WITH " + _balanced_sql("r AS (SELECT o_orderpriority AS band, o_orderstatus AS species, o_custkey % 5 AS uid, dayofyear(o_orderdate)::DOUBLE AS gu, floor(o_totalprice / 50000)::DOUBLE AS gd FROM orders)", "uid"))
+def balanced_means_of_repeated_keys(spark, sf):
+    """As balanced_means, where five keys hold all rows and many rows are equal."""
+    rows = S.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("band"), F.col("o_orderstatus").alias("species"), (F.col("o_custkey") % 5).alias("uid"), F.dayofyear("o_orderdate").cast("double").alias("gu"), F.floor(F.col("o_totalprice") / 50000).cast("double").alias("gd"))
+    return analytics.balanced_means(rows, ["band"], "species", ["gu", "gd"], seed=3)
 
 
 @query(f"""WITH {BINS_SQL}, z AS (SELECT year, doy, (p90 - min(p90) OVER w) / (max(p90) OVER w - min(p90) OVER w) AS v FROM bins WINDOW w AS (PARTITION BY uid, year))

@@ -171,12 +171,12 @@ def picture_list(spark, sf):
     return in_units(files.list_pictures(spark, root), sites, stages.SITE_YEAR).select(*stages.SITE_YEAR, "ts")
 
 
-@query("""WITH p AS (SELECT o_orderkey % 7 AS site, o_orderdate AS ts, o_custkey % 200 AS r, o_orderkey % 150 AS g, o_custkey % 90 AS b FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey % 7, o_orderdate ORDER BY o_orderkey DESC) AS k FROM orders WHERE o_orderkey % 10 < 3) WHERE k = 1),
+@query("""WITH p AS (SELECT o_orderkey % 7 AS site, o_orderdate AS ts, o_custkey % 200 AS r, o_orderkey % 150 AS g, o_custkey % 90 AS b FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey % 7, o_orderdate ORDER BY o_orderkey DESC) AS k FROM orders) WHERE k = 1),
 m AS (SELECT *, r + 20 AS r2, g + 10 AS g2, b AS b2 FROM p), a AS (SELECT site, ts, (r + r2) / 2 AS r, (g + g2) / 2 AS g, (b + b2) / 2 AS b FROM m)
 SELECT site::VARCHAR AS annotation_id, ts, round(g / greatest(r + g + b, 1e-6), 6) AS "GCC", round(r / greatest(r + g + b, 1e-6), 6) AS "RCC", round(greatest(r + g + b, 1e-6), 6) AS brightness FROM a""")
 def picture_ratios(spark, sf):
     """Colour ratios of a square region whose upper half is darker, from pictures as rows of bytes; of one time the last counts."""
-    orders = S.table(spark, sf, "orders").where("o_orderkey % 10 < 3")
+    orders = S.table(spark, sf, "orders")
     site = (F.col("o_orderkey") % 7).cast("string")
     colour = lambda more: F.concat(*[F.lpad(F.hex(c + m), 2, "0") for c, m in zip((F.col("o_custkey") % 90, F.col("o_orderkey") % 150, F.col("o_custkey") % 200), more, strict=True)])
     data = F.unhex(F.concat(F.repeat(colour((0, 0, 0)), 7 * 16), F.repeat(colour((0, 10, 20)), 9 * 16)))

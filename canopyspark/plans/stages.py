@@ -185,7 +185,7 @@ def process(observations: DataFrame, cfg: Processing, snow: DataFrame | None = N
         made = resample.long_product(resample.product(long, keys, window, strategies=strategies), keys, strategies).withColumn("window", F.lit(window))
         candidates = [w for w in cfg.smoothing_window_candidates if w <= smooth.window_limit(days)]
         series = [*keys, "window", "strategy"]
-        parts.append(smooth.cv_smooth(made, series, "value", candidates, cfg.smoothing_cv_kfolds) if candidates else made.withColumn("best", F.lit(None).cast("int")).withColumn("smoothed", F.lit(None).cast("double")))
+        parts.append(smooth.cv_smooth(made, series, "value", candidates, cfg.smoothing_cv_kfolds, longest=smooth.LONGEST) if candidates else made.withColumn("best", F.lit(None).cast("int")).withColumn("smoothed", F.lit(None).cast("double")))
     product = reduce(DataFrame.unionByName, parts)
     return {"product": product, "flags": flags, "status": status}
 
@@ -246,7 +246,7 @@ def estimate(product: DataFrame, cfg: Modelling, keys: list[str] | None = None,
     counts = product.groupBy(*keys).agg(F.count(value).alias("_n"))
     if not candidates:
         return units.select(*keys, F.when(F.col("_has"), "cv-no-candidates").otherwise("missing-strategy").alias("status"))
-    smoothed = smooth.cv_smooth(product, keys, value, candidates, cfg.cv_kfolds, cfg.cv_random_state)
+    smoothed = smooth.cv_smooth(product, keys, value, candidates, cfg.cv_kfolds, cfg.cv_random_state, longest=smooth.LONGEST)  # a series is a year
     usable = smoothed.where(F.col("best").isNotNull())
     prefix, marks = str(cfg.series_index)[0], tuple(cfg.amplitude_thresholds)
     found = transitions.transitions(usable, keys, prefix, thresholds=marks, low=cfg.doy_min, high=cfg.doy_max)
