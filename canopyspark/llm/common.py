@@ -155,14 +155,15 @@ def as_long(df: DataFrame, key: str) -> Column:
     return column(key).cast("long")
 
 
-def join_hot(rows: DataFrame, right: DataFrame, on: list[str], n: str, size: Column | None = None) -> DataFrame:
+def join_hot(rows: DataFrame, right: DataFrame, on: list[str], n: str, size: Column | None = None, merge: bool = False) -> DataFrame:
     """``rows`` left join ``right`` on ``on``, where a few keys can hold very many rows. ``right`` is staged and has each key
     once, in ``n`` how many rows have it, and by ``size`` the bytes of its value (without: few). A null key finds nothing.
 
     Of the keys of at least HOT_ROWS rows the HOT_KEYS most frequent are treated apart; any other has at most one row in
     HOT_KEYS. The values of those that lead, up to HOT_BYTES in all, go to the rows by broadcast; these rows, and those with
     a null key, then go to any partition and not to that of their key. The values of the rest of them are copied to SALTS
-    parts, to which their rows are dealt. All others meet by key.
+    parts, to which their rows are dealt. All others meet by key; with ``merge`` also where ``right`` is so small that Spark
+    would send all of it to the rows, so that a run over few rows takes the way of one over many.
     """
     stem = free_stem(rows, right)
     hot, cold, alone, salt, wide = (stem + x for x in ("hot", "cold", "alone", "salt", "wide"))
@@ -193,7 +194,7 @@ def join_hot(rows: DataFrame, right: DataFrame, on: list[str], n: str, size: Col
     for c in on:
         same = same & (column(c) == F.col(f"{stem}on_{c}"))
     value = (lambda v: F.coalesce(F.col(f"{hot}.{v}"), F.col(f"{cold}.{v}"))) if False in found else (lambda v: F.col(f"{cold}.{v}"))
-    return met.join(others, same, "left").select(*quoted(rows.columns), *[value(v).alias(v) for v in values])
+    return met.join(others.hint("merge") if merge else others, same, "left").select(*quoted(rows.columns), *[value(v).alias(v) for v in values])
 
 
 def running_starts(counts: DataFrame, key: str, n: str, out: str, block: int = 4096) -> DataFrame:

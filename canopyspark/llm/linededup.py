@@ -165,7 +165,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: s
 
     rows = docs.select(*quoted(keep), F.when(body != "", F.xxhash64(body)).alias(stem + "of"))
     hits = hits.select(F.col("of").alias(stem + "of"), F.col("found").alias(stem + "hits"), F.col("times").alias(stem + "times"))
-    joined = join_hot(rows, hits, [stem + "of"], stem + "times", 24 * F.size(stem + "hits")).select(*quoted(keep), stem + "hits")
+    joined = join_hot(rows, hits, [stem + "of"], stem + "times", 24 * F.size(stem + "hits"), merge=True).select(*quoted(keep), stem + "hits")
     return map_batches(joined, rebuilt, schema)
 
 
