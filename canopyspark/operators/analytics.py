@@ -95,14 +95,18 @@ def balanced_means(df: DataFrame, strata: list[str], group: str, values: list[st
     rows = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in by)).groupBy(*dict.fromkeys([*by, key, *values])).agg(F.count(F.lit(1)).alias("_m"))
     sizes = rows.groupBy(*by).agg(F.sum("_m").alias("_c"))
     sizes = sizes.crossJoin(F.broadcast(sizes.agg(F.min("_c").alias("_n"))))  # one row a stratum, and one row
+    # Where classes begin, as the first digits of a lot; "g" lies above all.
+    share = lambda i: F.col("_n") / F.col("_c") * (i / CLASSES)
+    edge = lambda i: F.when(share(i) >= 1, "g").otherwise(F.lower(F.lpad(F.hex((share(i) * (1 << 32)).cast("long")), 8, "0"))).alias(f"e{i}")
+    edges = range(1, CLASSES * SPAN + 1)
+    sizes = sizes.select(*by, "_n", F.struct(F.lit("").alias("e0"), *[edge(i) for i in edges]).alias("_edges"))
     rows = rows.join(sizes, by).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m")))).drop("_m")
+    rows = rows.withColumn("_row", F.concat_ws("|", *[F.col(c).cast("string") for c in dict.fromkeys([key, *values, "_copy"])]))
 
     def drawn(some: DataFrame) -> DataFrame:
         lots = some.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-        parts = [F.lit(str(seed)), *[F.col(c).cast("string") for c in dict.fromkeys(["_draw", key, *values, "_copy"])]]
-        lots = lots.withColumn("_lot", F.md5(F.concat_ws("|", *parts).cast("binary")))
-        share = F.conv(F.substring("_lot", 1, 8), 16, 10).cast("long") / float(1 << 32)
-        return lots.withColumn("_class", F.least(F.floor(share * F.col("_c") / F.col("_n") * CLASSES), F.lit(CLASSES * SPAN)).cast("int"))
+        lots = lots.withColumn("_lot", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_draw").cast("string"), "_row").cast("binary")))
+        return lots.withColumn("_class", sum((F.col("_lot") >= F.col(f"_edges.e{i}")).cast("int") for i in edges) if edges else F.lit(0))
 
     counts = drawn(rows).groupBy(*by, "_draw", "_class", "_n").agg(F.count(F.lit(1)).alias("_k"))
     until = F.sum("_k").over(W.partitionBy(*by, "_draw").orderBy("_class"))
