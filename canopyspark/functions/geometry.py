@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Cells along the longer side of the grid on which concave polygons are shrunk.
-GRID = 192
+#: Chords of a quarter circle, which stands for the arc around a corner that points inwards.
+QUARTER = 16
 
 
 def area(ring: np.ndarray) -> float:
@@ -24,34 +24,102 @@ def _opened(ring: np.ndarray) -> np.ndarray:
     return ring if len(ring) < 3 or np.dot(x, np.roll(y, -1)) >= np.dot(y, np.roll(x, -1)) else ring[::-1]
 
 
-def _convex(ring: np.ndarray) -> bool:
-    a, b = np.roll(ring, -1, 0) - ring, np.roll(ring, -2, 0) - np.roll(ring, -1, 0)
-    return bool((a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0] >= -1e-12).all())
+def _cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a[..., 0] * b[..., 1] - a[..., 1] * b[..., 0]
 
 
-def _cut(ring: np.ndarray, point: np.ndarray, normal: np.ndarray) -> np.ndarray:
-    """The part of a convex ring on the side that ``normal`` points to."""
-    side = (ring - point) @ normal
-    out = []
+def _offsets(ring: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the segments that can bound what is ``d`` away from an anticlockwise ring: its sides moved in, in
+    order, then around each corner that points inwards the chords of a circle of radius ``d``; and the chords' centres."""
+    sides = np.roll(ring, -1, 0) - ring
+    normals = np.stack([-sides[:, 1], sides[:, 0]], 1) / np.hypot(sides[:, 0], sides[:, 1])[:, None]
+    starts, ends, centres = [ring + d * normals], [np.roll(ring, -1, 0) + d * normals], [np.empty((0, 2))]
     for i in range(len(ring)):
-        j = (i + 1) % len(ring)
-        if side[i] >= 0:
-            out.append(ring[i])
-        if (side[i] < 0) != (side[j] < 0):
-            out.append(ring[i] + (ring[j] - ring[i]) * side[i] / (side[i] - side[j]))
-    return np.array(out).reshape(-1, 2)
+        one, two = normals[i - 1], normals[i]
+        turn = float(np.arctan2(_cross(one, two), one @ two))
+        if turn < -1e-12 or one @ two < -1 + 1e-12:  # a corner inwards, or a spike
+            turn = -abs(turn)
+            angles = np.arctan2(one[1], one[0]) + np.linspace(0, turn, int(np.ceil(-turn / (np.pi / 2) * QUARTER - 1e-9)) + 1)
+            points = ring[i] + d * np.stack([np.cos(angles), np.sin(angles)], 1)
+            points[0], points[-1] = ring[i] + d * one, ring[i] + d * two
+            starts.append(points[:-1])
+            ends.append(points[1:])
+            centres.append(np.repeat(ring[i : i + 1], len(points) - 1, 0))
+    return np.concatenate(starts), np.concatenate(ends), np.concatenate(centres)
+
+
+def _near(ring: np.ndarray, d: float, starts: np.ndarray, ends: np.ndarray, centres: np.ndarray, points: np.ndarray, slack: float) -> np.ndarray:
+    """Which points lie, by more than ``slack``, in the strip of a side or the triangle of a chord: nearer than ``d``."""
+    n = len(ring)
+    sides = np.roll(ring, -1, 0) - ring
+    length = np.hypot(sides[:, 0], sides[:, 1])
+    off = points[:, None] - ring[None]
+    along, deep = (off * (sides / length[:, None])).sum(2), -_cross(off, (sides / length[:, None])[None])
+    hit = ((along > -slack) & (along < length + slack) & (deep > -slack) & (deep < d - slack)).any(1)
+    if len(centres):
+        a, b = starts[n:] - centres, ends[n:] - centres
+        off = points[:, None] - centres[None]
+        chord = b - a
+        deep = _cross(chord[None], off - a[None]) / np.hypot(chord[:, 0], chord[:, 1])
+        hit |= ((_cross(a[None], off) < slack * d) & (_cross(off, b[None]) < slack * d) & (deep < -slack)).any(1)
+    return hit
+
+
+def _split(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The segments cut where they cross each other."""
+    way = ends - starts
+    gap = starts[None, :] - starts[:, None]
+    below = _cross(way[:, None], way[None, :])
+    with np.errstate(invalid="ignore", divide="ignore"):
+        t, u = _cross(gap, way[None, :]) / below, _cross(gap, way[:, None]) / below
+    hit = (below != 0) & (t > 0) & (t < 1) & (u >= 0) & (u <= 1)
+    crossed = hit.any(1)
+    first, last = [starts[~crossed]], [ends[~crossed]]
+    for i in np.flatnonzero(crossed):
+        at = np.unique(np.concatenate([[0.0], t[i, hit[i]], [1.0]]))
+        points = starts[i] + at[:, None] * way[i]
+        points[-1] = ends[i]
+        first.append(points[:-1])
+        last.append(points[1:])
+    return np.concatenate(first), np.concatenate(last)
 
 
 def _inset(ring: np.ndarray, d: float) -> np.ndarray:
-    """A convex ring's points at least ``d`` from every side."""
-    out = ring
-    for p, q in zip(ring, np.roll(ring, -1, 0), strict=True):
-        edge = q - p
-        normal = np.array([-edge[1], edge[0]]) / np.hypot(*edge)
-        out = _cut(out, p + d * normal, normal)
-        if len(out) < 3:
-            return np.empty((0, 2))
-    return out
+    """The largest piece of what lies in an anticlockwise ring at least ``d`` away from it, as a ring (empty if none).
+
+    Segments that can bound it are cut where they cross; those whose middle isn't nearer do, and what follows one of them
+    begins where it ends.
+    """
+    if d <= 0:
+        return ring
+    size = float(np.ptp(ring, 0).max())
+    starts, ends, centres = _offsets(ring, d)
+    a, b = _split(starts, ends)
+    middle = (a + b) / 2
+    keep = np.hypot(*(b - a).T) > 1e-9 * size
+    keep[keep] = inside(ring, *middle[keep].T) & ~_near(ring, d, starts, ends, centres, middle[keep], 1e-10 * size)
+    a, b = a[keep], b[keep]
+    best, most = np.empty((0, 2)), 0.0
+    if not len(a):
+        return best
+    reach = np.hypot(a[None, :, 0] - b[:, None, 0], a[None, :, 1] - b[:, None, 1])
+    np.fill_diagonal(reach, np.inf)
+    after, seen = reach.argmin(1), np.zeros(len(a), bool)
+    open_ = reach[np.arange(len(a)), after] > 1e-6 * size  # nothing follows
+    for start in range(len(a)):
+        path = []
+        at = start
+        while not seen[at]:
+            seen[at] = True
+            path.append(at)
+            at = int(after[at])
+        if at in path and not open_[path].any():
+            points = a[path[path.index(at) :]]
+            x, y = points.T
+            own = float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2
+            if own > most:
+                best, most = points, own
+    return best
 
 
 def inside(ring: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -62,81 +130,30 @@ def inside(ring: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return hit
 
 
-def _distance(ring: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    best = np.full(x.shape, np.inf)
-    for p, q in zip(ring, np.roll(ring, -1, 0), strict=True):
-        e = q - p
-        t = np.clip(((x - p[0]) * e[0] + (y - p[1]) * e[1]) / max(e @ e, 1e-300), 0, 1)
-        best = np.minimum(best, np.hypot(x - p[0] - t * e[0], y - p[1] - t * e[1]))
-    return best
-
-
-def _largest(mask: np.ndarray) -> np.ndarray:
-    """The largest 4-connected part of a mask."""
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    while True:
-        grown = label.copy()
-        for axis in (0, 1):
-            for step in (1, -1):
-                moved = np.roll(label, step, axis)
-                edge = [slice(None)] * 2
-                edge[axis] = 0 if step == 1 else -1
-                moved[tuple(edge)] = 0
-                grown = np.maximum(grown, moved)
-        grown[~mask] = 0
-        if (grown == label).all():
-            break
-        label = grown
-    values, counts = np.unique(label[mask], return_counts=True)
-    return label == values[counts.argmax()] if len(values) else mask
-
-
-def _outline(mask: np.ndarray) -> np.ndarray:
-    """The outer border of a mask's cells, as corners (column, row)."""
-    m = np.pad(mask, 1)
-    go: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for r, c in np.argwhere(m):
-        for filled, a, b in ((m[r - 1, c], (c, r), (c + 1, r)), (m[r, c + 1], (c + 1, r), (c + 1, r + 1)), (m[r + 1, c], (c + 1, r + 1), (c, r + 1)), (m[r, c - 1], (c, r + 1), (c, r))):
-            if not filled:
-                go.setdefault((int(a[0]), int(a[1])), []).append((int(b[0]), int(b[1])))
-    start = min(go)
-    path, at = [start], go[start].pop()
-    while at != start:
-        path.append(at)
-        at = go[at].pop()
-    return np.array(path, float) - 1
-
-
 def shrink(ring: list | np.ndarray, percent: float) -> list[list[float]] | None:
     """The ring moved inwards until ``percent`` % of its area is left; the largest piece if it splits; null if none is.
 
-    Convex rings are exact (sides move in, no arcs arise). Others are cut from a grid of distances to the border with
-    GRID cells along the longer side, so their area is within about one row of cells of the target.
+    Sides move in as they are, around corners that point inwards goes a circle of QUARTER chords a quarter. Where the
+    largest piece loses a part at once, at a neck, so that no distance gives the area, the last ring before is taken.
     """
     points = _opened(np.asarray([list(p) for p in ring], float).reshape(-1, 2)) if len(ring) else np.empty((0, 2))
     if len(points) < 3 or area(points) <= 0:
         return None
-    target = area(points) * percent / 100
-    if _convex(points):
-        low, high = 0.0, float(np.ptp(points, 0).max())
-        for _ in range(60):
-            middle = (low + high) / 2
-            piece = _inset(points, middle)
-            low, high = (middle, high) if len(piece) >= 3 and area(piece) > target else (low, middle)
-        piece = _inset(points, low)
-    else:
-        corner, size = points.min(0), np.ptp(points, 0)
-        step = size.max() / GRID
-        nx, ny = (np.ceil(size / step).astype(int) + 1).tolist()
-        x, y = np.meshgrid(corner[0] + (np.arange(nx) + 0.5) * step, corner[1] + (np.arange(ny) + 0.5) * step)
-        depth = np.where(inside(points, x, y), _distance(points, x, y), -1.0)
-        low, high = 0.0, float(depth.max())
-        for _ in range(30):
-            middle = (low + high) / 2
-            low, high = (middle, high) if _largest(depth >= middle).sum() * step * step > target else (low, middle)
-        mask = _largest(depth >= low) & (depth > 0)
-        piece = _outline(mask) * step + corner if mask.any() else np.empty((0, 2))
-    return [*piece.tolist(), piece[0].tolist()] if len(piece) >= 3 else None
+    whole = area(points)
+    target, size = whole * percent / 100, float(np.ptp(points, 0).max())
+    low, high, over, under, piece = 0.0, float(np.ptp(points, 0).min()), whole - target, -target, points
+    for step in range(90):
+        # Between the two by the areas there; every third time the middle, in case that one end stays.
+        middle = (low + high) / 2 if step % 3 == 2 else low + (high - low) * over / (over - under)
+        found = _inset(points, middle)
+        gap = (area(found) if len(found) >= 3 else 0.0) - target
+        if gap > -1e-10 * target:
+            low, over, piece = middle, gap, found
+        else:
+            high, under = middle, gap
+        if abs(gap) < 1e-10 * target or high - low < 1e-13 * size:
+            break
+    return [*piece.tolist(), piece[0].tolist()] if low > 0 else None
 
 
 def fill(ring: list | np.ndarray, height: int, width: int) -> np.ndarray:

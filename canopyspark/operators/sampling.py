@@ -61,6 +61,13 @@ def sampling_flags(df: DataFrame, keys: list[str], ts: str = "ts", seasons: dict
     return rows.groupBy(*keys).agg(*out)
 
 
+def missing_days(df: DataFrame, keys: list[str], low: int, high: int, doy: str = "doy") -> DataFrame:
+    """``keys, missing``: the days of the year in [low, high] on which a series has no row, in order; series without a row
+    there have none of theirs listed, as they have no row here."""
+    inside = df.where(F.col(doy).between(low, high)).groupBy(*keys).agg(F.collect_set(F.col(doy).cast("int")).alias("_seen"))
+    return inside.select(*keys, F.array_except(F.sequence(F.lit(low), F.lit(high)), "_seen").alias("missing"))
+
+
 def modal_year(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     """``keys, modal_year``: the commonest year of a series, the smallest on a tie."""
     years = df.groupBy(*keys, F.year(ts).alias("_y")).agg(F.count(F.lit(1)).alias("_n"))

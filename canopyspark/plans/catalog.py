@@ -99,10 +99,13 @@ def exclusion_anti_join(spark, sf):
 
 @query("SELECT n_name, coalesce(r_name, 'none') AS region, count(c_custkey) AS n FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_name <> 'ASIA' LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
 def uid_lookup(spark, sf):
-    regions = S.table(spark, sf, "region").where("r_name <> 'ASIA'")
-    nations = S.table(spark, sf, "nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    """Nations take a region's name as regions take their uid; one region isn't in the list."""
+    from .stages import with_uids
+
+    names = S.table(spark, sf, "region").where("r_name <> 'ASIA'").select(F.col("r_regionkey").alias("annotation_id"), F.col("r_name").alias("uid"))
+    nations = with_uids(S.table(spark, sf, "nation").withColumnRenamed("n_regionkey", "annotation_id"), names)
     joined = nations.join(S.table(spark, sf, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return joined.groupBy("n_name", F.coalesce("r_name", F.lit("none")).alias("region")).agg(F.count("c_custkey").alias("n"))
+    return joined.groupBy("n_name", F.coalesce("uid", F.lit("none")).alias("region")).agg(F.count("c_custkey").alias("n"))
 
 
 @query("SELECT user_id AS uid, event_type, max(ts) AS ts FROM events GROUP BY ALL")
@@ -509,9 +512,8 @@ def polygon_area(spark, sf):
 
 @query(f"""WITH {TREE_SQL} SELECT uid::BIGINT AS uid, year::BIGINT AS year, 101 - count(DISTINCT doy) AS missing FROM tree WHERE doy BETWEEN 60 AND 160 GROUP BY ALL""")
 def missing_days(spark, sf):
-    spring = filters.season(S.tree_years(spark, sf), 60, 160)
-    seen = spring.groupBy(*TREE).agg(F.collect_set("doy").alias("seen"))
-    return seen.select(*TREE, F.size(F.array_except(F.sequence(F.lit(60), F.lit(160)), "seen")).alias("missing"))
+    days = sampling.missing_days(S.tree_years(spark, sf), TREE, 60, 160)
+    return days.select(*TREE, F.size("missing").alias("missing"))
 
 
 # Those of the remaining that read and write files, or work on pictures and polygons.

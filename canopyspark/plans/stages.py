@@ -90,15 +90,15 @@ def run_extraction(spark: SparkSession, cfg: Extraction, mode: str = "normal") -
         hashes = {v: k for k, v in json.loads(cfg.camera_hashes_path.read_text()).items()}
     polygons = files.read_polygons(spark, str(cfg.polygon_config_path), str(cfg.polygon_files_root), hashes)
     uids = files.read_uids(spark, str(cfg.uid_mapping_path))
-    named = polygons.join(uids, "annotation_id", "left")
+    named = with_uids(polygons, uids)
     done = files.completed(spark, str(cfg.output_root), "_raw-cc-data.csv")
     todo = files.pending(named, done) if mode == "check" else files.pending(named, done.select(*SITE_YEAR).distinct(), keys=SITE_YEAR)
     missing = without_uid(named)
     rings = kept(regions(todo, cfg.categories_kept, cfg.shrink_ratios))
-    # Paths first: only folders with work to do are opened, a sample of their files tells the shapes, and each is decoded once.
-    listed = filters.in_units(files.list_pictures(spark, str(cfg.image_dataset_root)), rings, SITE_YEAR)
+    # Only folders with work to do are listed and opened, a sample of their files tells the shapes, and each is decoded once.
+    folders = files.folders(spark, str(cfg.image_dataset_root), rings)
+    listed = files.list_pictures(spark, str(cfg.image_dataset_root), folders)
     shapes = kept(filters.modal_shape(files.with_shapes(filters.strided(listed, SITE_YEAR)), SITE_YEAR, sample=None))
-    folders = [r.f for r in shapes.select(F.concat_ws("/", *SITE_YEAR).alias("f")).collect()]  # one a site-year with work to do
     pictures = files.read_pictures(spark, str(cfg.image_dataset_root), folders)
     wide = kept(by_ring(extract(pictures, rings, shapes), cfg.shrink_ratios).join(uids, "annotation_id"))
     columns = [f"{c}{s}" for s in ["", *(f"_s{r}" for r in cfg.shrink_ratios)] for c in ("GCC", "RCC", "BCC", "brightness")]
@@ -115,6 +115,11 @@ def run_extraction(spark: SparkSession, cfg: Extraction, mode: str = "normal") -
     return {"units": n, "missing_uids": missing.count()}
 
 
+def with_uids(regions_: DataFrame, uids: DataFrame, key: str = "annotation_id") -> DataFrame:
+    """Every region with its ``uid``, null where ``uids`` (``key, uid``, each key once) doesn't have it."""
+    return regions_.join(uids.select(key, "uid"), key, "left")
+
+
 def without_uid(regions_: DataFrame) -> DataFrame:
     """``line``: site, year and annotation of the regions that have no uid."""
     return regions_.where(F.col("uid").isNull()).select(F.concat_ws("/", F.concat_ws("_", "location", "sublocation"), "year", "annotation_id").alias("line")).distinct()
@@ -128,9 +133,9 @@ def plot_overlays(spark: SparkSession, cfg: Extraction, fraction: float = 0.6) -
     ship(spark)
     polygons = files.read_polygons(spark, str(cfg.polygon_config_path), str(cfg.polygon_files_root))
     regions_of = polygons.groupBy(*SITE_YEAR).agg(F.collect_list(F.struct("category", "coords")).alias("rois"))
-    listed = files.with_shapes(filters.in_units(files.list_pictures(spark, str(cfg.image_dataset_root)), polygons, SITE_YEAR))
+    folders = files.folders(spark, str(cfg.image_dataset_root), polygons)
+    listed = files.with_shapes(files.list_pictures(spark, str(cfg.image_dataset_root), folders))
     chosen = kept(row_at_fraction(listed.select(*SITE_YEAR, "path"), SITE_YEAR, "path", fraction))
-    folders = [r.f for r in chosen.select(F.concat_ws("/", *SITE_YEAR).alias("f")).distinct().collect()]
     pictures = files.read_pictures(spark, str(cfg.image_dataset_root), folders)
     rows = pictures.join(chosen, [*SITE_YEAR, "path"], "left_semi").join(regions_of, SITE_YEAR)
 

@@ -172,13 +172,43 @@ def read_polygons(spark: SparkSession, config: str, folder: str, hashes: dict[st
     return rows.select(place[0].alias("location"), F.get(place, 1).alias("sublocation"), "year", "annotation_id", "roi.*")
 
 
-def list_pictures(spark: SparkSession, root: str) -> DataFrame:
+#: Pictures as files, before any is opened; and decoded.
+_LISTED = "location string, sublocation string, year string, path string, ts timestamp_ntz"
+_PICTURES = f"{_LISTED}, height int, width int, data binary"
+
+
+def folders(spark: SparkSession, root: str, units: DataFrame) -> list[str]:
+    """The folders <location>/<sublocation>/<year> below the root that the units have and that exist: looked for one by one
+    in tasks, so that nothing else of the archive is listed. One row a site-year comes to the driver."""
+    ship(spark)
+    root = str(root)
+
+    def there(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, base = open_store(root)
+        for batch in batches:
+            found = [store.get_file_info(f"{base}/{f}").type == fs.FileType.Directory for f in batch.folder]
+            yield batch[found]
+
+    named = units.select(F.concat_ws("/", "location", "sublocation", "year").alias("folder")).distinct()
+    return sorted(r.folder for r in named.mapInPandas(there, "folder string").collect())
+
+
+def _below(root: str, only: list[str] | None) -> list[str]:
+    """Paths to load: the root, or folders below it; signs with a meaning in patterns are taken as they are."""
+    return [str(root)] if only is None else [f"{root}/{re.sub(r'([][{}*?])', lambda m: chr(92) + m[1], f)}" for f in only]
+
+
+def list_pictures(spark: SparkSession, root: str, only: list[str] | None = None) -> DataFrame:
     """``location, sublocation, year, path, ts`` of all pictures, from their paths alone: no file is opened.
 
     The archive is <location>/<sublocation>/<year>/<month>/<day>/<file>. Files of other kinds and names without a time
-    have no row.
+    have no row. With ``only``, folders <location>/<sublocation>/<year>, these alone are listed, many of them by a job.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(root)).select("path", F.col("_metadata.file_path").alias("file"))
+    if only is not None and not only:
+        return spark.createDataFrame([], _LISTED)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(_below(root, only)).select("path", F.col("_metadata.file_path").alias("file"))
     rows = files.where(X.is_picture(F.col("path"))).select(*_archive_keys(F.col("path")), F.col("file").alias("path"), X.picture_time(F.col("path")).alias("ts"))
     return rows.where(F.col("ts").isNotNull())
 
@@ -191,14 +221,13 @@ def _archive_keys(path: Column) -> list[Column]:
 def read_pictures(spark: SparkSession, root: str, only: list[str] | None = None) -> DataFrame:
     """``location, sublocation, year, path, ts, height, width, data`` of all readable pictures (BGR bytes, row by row).
 
-    As :func:`list_pictures`, and unreadable files have no row. With ``only``, folders <location>/<sublocation>/<year>,
-    files elsewhere are neither opened nor decoded: the condition is on the file's path, and the scan prunes by it.
+    As :func:`list_pictures`, and unreadable files have no row. With ``only``, files elsewhere are neither listed, opened
+    nor decoded.
     """
-    raw = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(str(root))
-    file = F.col("_metadata.file_path")
-    if only is not None:
-        raw = raw.where(F.regexp_extract(F.replace(file, F.lit("%20"), F.lit(" ")), r"([^/]+/[^/]+/[^/]+)/[^/]+/[^/]+/[^/]+$", 1).isin(only))
-    path = F.col("image.origin")
+    if only is not None and not only:
+        return spark.createDataFrame([], _PICTURES)
+    raw = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(_below(root, only))
+    file, path = F.col("_metadata.file_path"), F.col("image.origin")
     rows = raw.where(X.is_picture(file) & (F.col("image.nChannels") == 3))
     rows = rows.select(*_archive_keys(path), file.alias("path"), X.picture_time(path).alias("ts"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.data").alias("data"))
     return rows.where(F.col("ts").isNotNull())
@@ -289,17 +318,36 @@ def write_lines(df: DataFrame, path: str) -> None:
 
 
 def _write_one(ordered: DataFrame, path: str, kind: str, **options) -> None:
-    """Sorted by all tasks, then written by one, row by row; the driver sees no row. The file appears whole or not at all."""
-    spark = ordered.sparkSession
+    """Sorted and written by all tasks, in parts, which one task then copies into one file, piece by piece: neither it nor
+    the driver holds the table. The file appears whole or not at all."""
+    spark = ship(ordered.sparkSession)
     draft = f"{path}.{uuid.uuid4().hex}.tmp"
-    ordered.coalesce(1).write.format(kind).options(**options).save(draft)
+    ordered.write.format(kind).options(**options).save(draft)
     folder, system = _path(spark, draft)
-    parts = [x.getPath() for x in system.listStatus(folder) if x.getPath().getName().startswith("part-")]
+    parts = sorted(str(x.getPath().toString()) for x in system.listStatus(folder) if x.getPath().getName().startswith("part-"))
     target, _ = _path(spark, path)
+    whole = f"{draft}/whole"
+    header = bool(options.get("header"))
+
+    def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for names in batch.parts:
+                store, name = open_store(whole)
+                with store.open_output_stream(name) as out:
+                    for i, part in enumerate(names):
+                        source, at = open_store(part)
+                        with source.open_input_stream(at) as f:
+                            skip = header and i > 0  # a part's own header
+                            while piece := f.read(8 << 20):
+                                if skip:
+                                    _, end, piece = piece.partition(b"\n")
+                                    skip = not end
+                                out.write(piece)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    spark.createDataFrame([(parts,)], "parts array<string>").mapInPandas(copy, "n long").collect()
     system.delete(target, False)
-    if not parts:
-        write_text(spark, path, "")
-    elif not system.rename(parts[0], target):
+    if not system.rename(_path(spark, whole)[0], target):
         raise OSError(f"{path} can't be written")
     system.delete(folder, True)
 
