@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
@@ -15,8 +20,8 @@ from ..sources import files
 from ..sources.files import KEYS
 from . import stages
 from . import standins as S
-from .catalog import _FLAGS, query
-from .config import Processing
+from .catalog import _AGREE, _FLAGS, _PAIRS, _RULES, ORACLES, _records, query
+from .config import Extraction, Modelling, Processing
 from .standins import BINS_SQL, RECORDS_SQL, TREE_SQL
 
 # Units: a series is a tree of one of four sites.
@@ -278,3 +283,153 @@ def more_names(spark, sf):
 def spring_coverage(spark, sf):
     flags = sampling.sampling_flags(S.tree_years(spark, sf), S.TREE, seasons={"spring": (60, 160)})
     return flags.select(*S.TREE, F.col("spring_coverage_ratio").alias("share")).where("share > 0")
+
+
+# Rings that aren't rectangles
+
+
+@query("""WITH p AS (SELECT p_partkey, (p_size + 4)::DOUBLE AS a, 5 - 8 * sin(pi() / 32) AS k FROM part), d AS (SELECT *, (8 * a - sqrt(64 * a * a - 12 * k * a * a * (1 - 0.33))) / (2 * k) AS d FROM p)
+SELECT p_partkey, round(0.33 * 3 * a * a, 6) AS area_s33, round(2 * a - 2 * d, 6) AS width_s33, round(2 * a - 2 * d, 6) AS height_s33 FROM d""")
+def shrunk_corners(spark, sf):
+    """Rings with a corner that points inwards: three squares of four; the circle around it goes in 16 chords."""
+    a, zero = (F.col("p_size") + 4).cast("double"), F.lit(0.0)
+    ring = F.array(*[F.array(x, y) for x, y in ((zero, zero), (2 * a, zero), (2 * a, a), (a, a), (a, 2 * a), (zero, 2 * a))])
+    rings = stages.regions(S.table(spark, sf, "part").select("p_partkey", F.lit("tree").alias("category"), ring.alias("coords")), ["tree"], [33])
+    return rings.where("ring = '_s33'").select("p_partkey", F.col("area").alias("area_s33"), F.col("polygon_width").alias("width_s33"), F.col("polygon_height").alias("height_s33"))
+
+
+@query("SELECT p_partkey, (2 * r * r + 2 * r + 1)::BIGINT AS diamond, ((r + 1) * (r + 2) / 2)::BIGINT AS triangle, (3 * r * r + 4 * r + 1)::BIGINT AS corner FROM (SELECT p_partkey, p_size % 20 + 2 AS r FROM part)")
+def slanted_masks(spark, sf):
+    """Pixels of diamonds, triangles and rings with a corner inwards, their borders included."""
+    r = (F.col("p_size") % 20 + 2).cast("double")
+    ring = lambda points: F.array(*[F.array(F.lit(30.0) + x, F.lit(30.0) + y) for x, y in points])
+    zero = F.lit(0.0)
+    shapes = {"diamond": [(r, zero), (zero, r), (-r, zero), (zero, -r)], "triangle": [(zero, zero), (r, zero), (zero, r)], "corner": [(zero, zero), (2 * r, zero), (2 * r, r), (r, r), (r, 2 * r), (zero, 2 * r)]}
+    size = lambda points: F.size(mask_pixels(ring(points), F.lit(90), F.lit(90))).cast("long")
+    return S.table(spark, sf, "part").select("p_partkey", *[size(p).alias(n) for n, p in shapes.items()])
+
+
+# Whole stages over files
+
+
+def _painted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pictures of 24 x 16 pixels in one colour, as PNG."""
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    for batch in batches:
+        head = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 24, 16, 8, 2, 0, 0, 0))
+        yield pd.DataFrame({"path": batch.path, "body": [head + chunk(b"IDAT", zlib.compress((b"\0" + bytes([r, g, b]) * 24) * 16)) + chunk(b"IEND", b"") for r, g, b in zip(batch.r, batch.g, batch.b, strict=True)]})
+
+
+@query("""WITH d AS (SELECT event_type, ts::DATE AS day, max(date_trunc('minute', ts)) AS ts, count(*) AS n, max(user_id) AS u FROM events GROUP BY ALL),
+p AS (SELECT *, n % 200 + 20 AS r, u % 150 + 30 AS g, (n + u) % 90 AS b FROM d WHERE day <> DATE '2024-01-09'),
+s AS (SELECT event_type, day, ts, g / (r + g + b) AS gcc, r + g + b AS light, dayofyear(day) - lag(dayofyear(day)) OVER (PARTITION BY event_type ORDER BY ts) AS step FROM p)
+SELECT event_type AS location, 'u_' || event_type AS uid, count(*) AS n, round(avg(gcc), 6) AS gcc, round(avg(gcc), 6) AS gcc_s33, round(avg(light), 6) AS brightness, 80.0::DOUBLE AS area, 26.4::DOUBLE AS area_s33, 10.0::DOUBLE AS polygon_width,
+  strftime(min(day), '%Y-%m-%d') AS start_date, strftime(max(day), '%Y-%m-%d') AS end_date, count(*) FILTER (step > 1) AS n_gaps, event_type || '_1/2024/b_' || event_type AS missing FROM s WHERE event_type <> 'click' GROUP BY event_type""")
+def extracted_files(spark, sf):
+    """The first stage over files: pictures, polygons and uids written, read, evaluated and written as observations and metadata.
+
+    Of three regions a site one has a uid, one has none, one lies outside the pictures; one site has no regions.
+    """
+    days = S.table(spark, sf, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.max(F.date_trunc("minute", "ts")).alias("ts"), F.count(F.lit(1)).alias("n"), F.max("user_id").alias("u")).where("day <> DATE '2024-01-09'")
+    path = F.concat("event_type", F.date_format("ts", "'/1/'yyyy/MM/dd/'cam_'yyyy-MM-dd_HHmm'.jpg'"))
+    root = scratch(spark)
+    painted = days.select(path.alias("path"), (F.col("n") % 200 + 20).alias("r"), (F.col("u") % 150 + 30).alias("g"), ((F.col("n") + F.col("u")) % 90).alias("b"))
+    files.write_files(painted.mapInPandas(_painted, "path string, body binary"), f"{root}/images")
+    sites = days.where("event_type <> 'click'").select("event_type").distinct()
+    ring = lambda x, y: F.lit([[x, y], [x + 10.0, y], [x + 10.0, y + 8.0], [x, y + 8.0]])
+    roi = lambda name, place: F.struct(F.concat(F.lit(name), "event_type").alias("k"), F.struct(F.lit("I.1").alias("name"), place.alias("coords"), F.lit("individual tree").alias("category")).alias("v"))
+    rois = F.map_from_entries(F.array(roi("a_", ring(4.0, 3.0)), roi("b_", ring(6.0, 5.0)), roi("c_", ring(40.0, 30.0))))
+    key = F.concat("event_type", F.lit("_1"))
+    files.write_files(sites.select(F.concat("event_type", F.lit(".json")).alias("path"), F.to_json(rois).alias("body")), f"{root}/polygons")
+    every = lambda k, v: F.to_json(F.map_from_entries(F.collect_list(F.struct(k.alias("k"), v.alias("v")))))  # noqa: E731  (a row a site)
+    config = sites.agg(every(key, F.create_map(F.lit("2024"), F.concat("event_type", F.lit(".json")))).alias("body"))
+    named = F.explode(F.array(F.lit("a_"), F.lit("c_"))).alias("of")
+    uids = sites.select("event_type", named).agg(every(F.concat("of", "event_type"), F.concat(F.when(F.col("of") == "a_", "u_").otherwise("v_"), "event_type")).alias("body"))
+    files.write_files(config.select(F.lit("sites.json").alias("path"), "body").unionByName(uids.select(F.lit("uids.json").alias("path"), "body")), root)
+    stages.run_extraction(spark, Extraction(f"{root}/images", f"{root}/out", f"{root}/polygons", f"{root}/sites.json", f"{root}/uids.json"))
+    seen = files.read_observations(spark, f"{root}/out").groupBy("location", "uid").agg(F.count("ts").alias("n"), F.avg("GCC").alias("gcc"), F.avg("GCC_s33").alias("gcc_s33"), F.avg("brightness").alias("brightness"))
+    kinds = {"area": "double", "area_s33": "double", "polygon_width": "double", "start_date": "string", "end_date": "string", "n_gaps": "long"}
+    meta = files.read_json_maps(spark, f"{root}/out", "_metadata.json").select("location", "uid", *[F.col("fields")[c].cast(k).alias(c) for c, k in kinds.items()])
+    lines = spark.read.text(f"{root}/out/missing_uids.txt").select(F.regexp_extract("value", "^([^_]+)_", 1).alias("location"), F.col("value").alias("missing"))
+    return seen.join(meta, ["location", "uid"]).join(lines, "location")
+
+
+_FIRST_BINS = "SELECT DISTINCT uid, year FROM bins"
+
+
+@query(f"""WITH {BINS_SQL}, t AS ({ORACLES["transition_dates"]})
+SELECT {_PLACE_SQL}, 'GCC-3D-p90' AS series, 'done' AS status, 'skip' AS again, amplitude, baseline, "PEAK", "GU_50", "GD_50" FROM t
+UNION ALL SELECT {_PLACE_SQL}, 'RCC-3D-p90', 'too-short', 'too-short', NULL, NULL, NULL, NULL, NULL FROM ({_FIRST_BINS})""")
+def transition_files(spark, sf):
+    """The third stage over files of two indices, twice: the dates that the first run wrote, and what became of each series.
+
+    The files of one index are too short; NaN and infinities in the files that are written are read as such.
+    """
+    bins = _units(resample.binned_product(S.tree_years(spark, sf), S.TREE, strategies=("p90",)))
+    long = resample.long_product(bins, KEYS, ("p90",)).withColumns({"channel": F.lit("GCC"), "window": F.lit("3D"), "best": F.lit(None).cast("int"), "smoothed": F.lit(None).cast("double")})
+    first = W.partitionBy(*KEYS).orderBy("doy")
+    short = long.withColumn("channel", F.lit("RCC")).withColumn("_i", F.row_number().over(first)).where("_i <= 3").drop("_i")
+    root = scratch(spark)
+    stages.write_products(long.unionByName(short), ["p90"], root)
+    settings = Modelling(root, root, random_seed=3, series_index=["GCC", "RCC"], mc_iterations=2)
+    status = stages.kept(stages.run_modelling(spark, settings))
+    again = stages.run_modelling(spark, settings).withColumnRenamed("status", "again")
+    fields = files.read_json_maps(spark, root, "-transitions.json", "map<string,variant>")
+    value = lambda path: F.try_variant_get(F.try_element_at("fields", F.lit(path.split(".")[0])), "$" + "".join(f".{x}" for x in path.split(".")[1:]), "double").alias(path.split(".")[-1])
+    stem = F.concat(F.concat_ws("_", "uid", "year"), F.lit("-"))
+    found = fields.select(*KEYS, F.replace(F.regexp_replace("file", r"-transitions\.json$", ""), stem, F.lit("")).alias("series"), *map(value, ("amplitude", "baseline", "dates.PEAK", "dates.GU_50", "dates.GD_50")))
+    return status.join(again, [*KEYS, "series"]).join(found, [*KEYS, "series"], "left")
+
+
+# Tables of the last stage and beside it
+
+
+@query(f"""WITH {BINS_SQL}, s AS (SELECT uid, year, doy, avg(avg) OVER w AS avg, avg(p90) OVER w AS p90 FROM bins WINDOW w AS (PARTITION BY uid, year ORDER BY doy ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+v AS (SELECT *, CASE uid % 3 WHEN 0 THEN avg ELSE p90 END AS v FROM s)
+SELECT {_PLACE_SQL}, doy::BIGINT AS doy, round((v - min(v) OVER t) / (max(v) OVER t - min(v) OVER t), 6) AS scaled FROM v WINDOW t AS (PARTITION BY uid, year)""")
+def profile_columns(spark, sf):
+    """Smoothed files of three ages, whose column has three names, one of them beside another: profiles take the oldest name."""
+    bins = _units(resample.binned_product(S.tree_years(spark, sf), S.TREE, strategies=("avg", "p90")))
+    rows = smooth.rolling_mean(smooth.rolling_mean(bins, KEYS, "avg", 3, "doy", "old"), KEYS, "p90", 3, "doy", "new")
+    root, kind = scratch(spark), F.col("uid").cast("int") % 3
+    for i, (header, columns) in enumerate(((["date", "GCC-3D-p90_model", "p90"], ["old", "new"]), (["date", "GCC-3D-p90"], ["new"]), (["date", "avg", "p90"], ["old", "new"]))):
+        body = files.csv_body(header, "date", [F.col("date"), *map(F.col, columns)])
+        files.write_files(rows.where(kind == i).groupBy(*KEYS).agg(body.alias("body")).withColumn("path", files.tree_path("-GCC-3D-smoothed.csv")), root)
+    smoothed = files.read_profiles(spark, root)
+    return analytics.profiles(smoothed, smoothed, KEYS, ["value"])
+
+
+@query(f"""WITH {_PAIRS} SELECT CASE threshold WHEN 'gu' THEN 'GCC_3D_p90-GU_50' ELSE 'GCC_3D_p90-GD_25' END AS threshold, upper(phase) || '_mid' AS phase, {_AGREE} FROM p GROUP BY ALL HAVING count(*) >= 10""")
+def record_validation(spark, sf):
+    """The table of records and that of visual dates, written, read by their names and compared."""
+    name = lambda uid, year: F.concat_ws("_", uid.cast("string"), year.cast("string"))
+    ours = S.records(spark, sf).select(name(F.col("uid"), F.col("year")).alias("full_name"), "species", "year", F.col("gu").alias("GCC_3D_p90-GU_50"), F.col("gd").alias("GCC_3D_p90-GD_25"))
+    seen = S.table(spark, sf, "orders").groupBy(name(F.col("o_custkey"), F.year("o_orderdate")).alias("full_name")).agg(F.lit("x").alias("site"), F.avg(F.dayofyear("o_orderdate")).alias("LUD_mid"), (F.max("o_totalprice") / 2000).alias("LUH_mid"))
+    root = scratch(spark)
+    files.write_table(ours, f"{root}/records.csv", ["full_name"])
+    files.write_table(seen, f"{root}/visual.csv", ["full_name"])
+    records_, visual = files.read_records(spark, f"{root}/records.csv"), files.read_visual(spark, f"{root}/visual.csv")
+    return analytics.visual_validation(records_, visual, "full_name", ["GCC_3D_p90-GU_50", "GCC_3D_p90-GD_25"], ["LUD_mid", "LUH_mid"])
+
+
+def _report_sql() -> str:
+    share = lambda n: f"format('{{:.1f}}', {n} / total * 100)"
+    wide = lambda label, n: f"'{label}: ' || format('{{:>3d}}', {n}) || ' (' || {share(n)} || ' %)'"
+    accepted = "(total - excluded - listed - spring_removed - autumn_removed)"
+    lines = ["'Filtering Report'", "repeat('=', 16)", "'Total tree-years found : ' || total", f"'Fully accepted         : ' || {accepted} || ' (' || {share(accepted)} || ' %)'", wide("Partially accepted     ", "(spring_removed + autumn_removed)")]
+    lines += [wide("  - Spring removed (GU NaN) ", "spring_removed"), wide("  - Autumn removed (GD NaN) ", "autumn_removed"), wide("Excluded (thresholds)  ", "excluded"), wide("Excluded (external CSV)", "listed")]
+    lines += ["''", "'Per-season filters     : partial (failing season blanked)'", "''", "'Per-filter exclusions (independent counts — a tree-year may appear in multiple):'", "repeat('-', 78)", f"'  {'Filter':<55}  {'Excluded':>8}  {'%':>6}'", "repeat('-', 78)"]
+    lines += [f"'  {label:<55}  ' || format('{{:>8d}}', rule_{i}) || '  ' || lpad({share(f'rule_{i}')}, 6, ' ') || ' %'" for i, label in enumerate(records.rule_labels(_RULES))]
+    return f"WITH f AS ({ORACLES['filter_report']}), l AS (SELECT [{', '.join([*lines, repr('-' * 78)])}] AS l FROM f) SELECT unnest(generate_series(1, len(l)))::BIGINT AS place, unnest(l) AS line FROM l"
+
+
+@query(_report_sql())
+def report_lines(spark, sf):
+    """The filtering report as it is written beside the records."""
+    found = _records(spark, sf)
+    text = records.report(records.counts(records.judged(found, _RULES, found.where("uid = 2").select("uid", "year")), _RULES).first().asDict(), _RULES)
+    path = f"{scratch(spark)}.txt"
+    files.write_text(spark, path, text)
+    body = spark.read.text(path, wholetext=True)
+    lines = body.select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), r"\n", -1)).alias("place", "line"))
+    return lines.select((F.col("place") + 1).cast("long").alias("place"), "line")

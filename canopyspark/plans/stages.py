@@ -111,7 +111,7 @@ def run_extraction(spark: SparkSession, cfg: Extraction, mode: str = "normal") -
     meta = meta.withColumn("date_processed", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")).withColumn("sub_location", F.col("sublocation"))
     text = F.to_json(F.struct(*[c for c in meta.columns if c not in ("uid", "sublocation")]), {"ignoreNullFields": "false"})
     files.write_files(meta.select(files.tree_path("_metadata.json").alias("path"), text.alias("body")), str(cfg.output_root))
-    files.write_lines(missing, str(cfg.output_root / "missing_uids.txt"))
+    files.write_lines(missing, f"{cfg.output_root}/missing_uids.txt")
     return {"units": n, "missing_uids": missing.count()}
 
 

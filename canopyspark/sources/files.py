@@ -144,7 +144,7 @@ def read_exclusions(spark: SparkSession, path: str) -> DataFrame:
 
 def read_uids(spark: SparkSession, path: str) -> DataFrame:
     """``annotation_id, uid``."""
-    body = spark.read.option("wholetext", True).text(str(path))
+    body = spark.read.text(str(path), wholetext=True)
     return body.select(F.explode(F.from_json("value", "map<string,string>")).alias("annotation_id", "uid"))
 
 
@@ -158,9 +158,9 @@ def read_polygons(spark: SparkSession, config: str, folder: str, hashes: dict[st
     ``config`` maps sites and years to polygon files; entries whose file is missing have no rows. Sites that are no
     stations are renamed through ``hashes`` (name -> folder), their sublocation then is 1.
     """
-    listed = spark.read.option("wholetext", True).text(str(config)).select(F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("site", "years"))
+    listed = spark.read.text(str(config), wholetext=True).select(F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("site", "years"))
     listed = listed.select("site", F.explode("years").alias("year", "file"))
-    bodies = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(str(folder))
+    bodies = spark.read.option("pathGlobFilter", "*.json").text(str(folder), wholetext=True)
     bodies = bodies.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.from_json("value", _ROI).alias("rois"))
     rows = listed.join(bodies, "file").select("site", "year", F.explode("rois").alias("annotation_id", "roi"))
     renamed = None

@@ -103,11 +103,48 @@ def test_convex_polygons_shrink_exactly(percent):
         assert (out[0] == out[-1]).all()
 
 
-def test_concave_polygons_shrink_to_the_area():
-    ring = [[0, 0], [40, 0], [40, 12], [14, 12], [14, 40], [0, 40]]
-    out = np.array(geometry.shrink(ring, 33))
-    assert geometry.area(out) == pytest.approx(geometry.area(np.array(ring, float)) * 0.33, rel=0.05)
-    assert geometry.inside(np.array(ring, float), out[:, 0], out[:, 1]).mean() > 0.99
+def _star(points, inner, outer):
+    turn = np.arange(2 * points) * np.pi / points
+    radius = np.where(np.arange(2 * points) % 2, inner, outer)
+    return np.stack([50 + radius * np.cos(turn), 50 + radius * np.sin(turn)], 1).tolist()
+
+
+def _jagged(n, seed):
+    rng = np.random.default_rng(seed)
+    turn, radius = np.sort(rng.random(n)) * 2 * np.pi, 30 + 10 * rng.random(n)
+    return np.stack([100 + radius * np.cos(turn), 100 + radius * np.sin(turn)], 1).tolist()
+
+
+CONCAVE = {
+    "L": [[0, 0], [20, 0], [20, 10], [10, 10], [10, 20], [0, 20]], "U": [[0, 0], [30, 0], [30, 20], [20, 20], [20, 8], [10, 8], [10, 20], [0, 20]], "star": _star(5, 15, 40), "cog": _star(12, 30, 40),
+    "spike": [[0, 0], [10, 0], [10, 10], [5, 10], [5, 20], [5, 10], [0, 10]], "jagged": _jagged(15, 1), "more jagged": _jagged(40, 2),
+}
+
+
+@pytest.mark.parametrize("percent", [20, 33, 80])
+@pytest.mark.parametrize("name", CONCAVE)
+def test_concave_polygons_shrink_exactly(name, percent):
+    for ring in (CONCAVE[name], CONCAVE[name][::-1], [*CONCAVE[name], CONCAVE[name][0]]):
+        points, out = np.array(CONCAVE[name], float), np.array(geometry.shrink(ring, percent))
+        assert geometry.area(out) == pytest.approx(geometry.area(points) * percent / 100, rel=1e-6) and (out[0] == out[-1]).all()
+        away = np.full(len(out), np.inf)
+        for p, q in zip(points, np.roll(points, -1, 0), strict=True):
+            e = q - p
+            t = np.clip(((out - p) @ e) / max(e @ e, 1e-300), 0, 1)
+            away = np.minimum(away, np.hypot(*(out - p - t[:, None] * e).T))
+        assert geometry.inside(points, out[:, 0], out[:, 1]).all()
+        assert np.ptp(away) <= away.max() * (1 - np.cos(np.pi / 64)) + 1e-6  # all equally far from the border, but for the chords
+
+
+def test_a_ring_that_splits_keeps_its_larger_part():
+    dumb_bell = [[0, 0], [10, 0], [10, 4], [20, 4], [20, 0], [32, 0], [32, 12], [20, 12], [20, 6], [10, 6], [10, 10], [0, 10]]
+    out = np.array(geometry.shrink(dumb_bell, 33))
+    assert out[:, 0].min() > 20 and geometry.area(out) == pytest.approx(0.33 * geometry.area(np.array(dumb_bell, float)), rel=1e-6)
+    at_the_neck = np.array(geometry.shrink(dumb_bell, 50))  # no distance gives half of it: the last ring that holds together
+    assert at_the_neck[:, 0].min() < 10 and at_the_neck[:, 0].max() > 20 and geometry.area(at_the_neck) > 0.5 * 264
+
+
+def test_degenerate_rings_have_no_shrunk_one():
     assert geometry.shrink([[0, 0], [1, 1]], 33) is None and geometry.shrink([[0, 0], [1, 1], [2, 2]], 33) is None
 
 

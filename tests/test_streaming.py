@@ -47,8 +47,10 @@ def test_daily_means_of_a_stream(spark, tmp_path):
 def test_polygons_of_renamed_and_missing_sites(spark, tmp_path):
     roi = {"name": "I.1", "coords": SQUARE, "category": "individual tree", "genus": "g", "species": "s"}
     (tmp_path / "p").mkdir()
-    (tmp_path / "p/one.json").write_text(json.dumps({"a": roi, "b": roi}))
-    (tmp_path / "c.json").write_text(json.dumps({"hill_cam": {"2020": "one.json"}, "1150": {"2021": "one.json", "2022": "gone.json"}}))
+    (tmp_path / "p/one.json").write_text(json.dumps({"a": roi, "b": roi}, indent=1))  # over several lines, as people write it
+    (tmp_path / "c.json").write_text(json.dumps({"hill_cam": {"2020": "one.json"}, "1150": {"2021": "one.json", "2022": "gone.json"}}, indent=2))
+    (tmp_path / "u.json").write_text(json.dumps({"a": "i1", "b": "i2"}, indent=2))
+    assert {(r.annotation_id, r.uid) for r in files.read_uids(spark, str(tmp_path / "u.json")).collect()} == {("a", "i1"), ("b", "i2")}
     out = files.read_polygons(spark, str(tmp_path / "c.json"), str(tmp_path / "p"), {"hill_cam": "9f3", "1150": "zzz"}).collect()
     assert sorted((r.location, r.sublocation, r.year, r.annotation_id) for r in out) == [("1150", None, "2021", "a"), ("1150", None, "2021", "b"), ("9f3", "1", "2020", "a"), ("9f3", "1", "2020", "b")]
     assert out[0].coords == SQUARE and out[0].mix is None
