@@ -143,15 +143,18 @@ def shrink(ring: list | np.ndarray, percent: float) -> list[list[float]] | None:
     target, size = whole * percent / 100, float(np.ptp(points, 0).max())
     low, high, over, under, piece = 0.0, float(np.ptp(points, 0).min()), whole - target, -target, points
     for step in range(90):
-        # Between the two by the areas there; every third time the middle, in case that one end stays.
-        middle = (low + high) / 2 if step % 3 == 2 else low + (high - low) * over / (over - under)
+        # The border's length says how fast area is lost; beyond what is known to be too far, between both by the areas, and
+        # every third time the middle, in case that one end stays.
+        middle = low + over / float(np.hypot(*(np.roll(piece, -1, 0) - piece).T).sum())
+        if middle >= high or step % 3 == 2:
+            middle = (low + high) / 2 if step % 3 == 2 else low + (high - low) * over / (over - under)
         found = _inset(points, middle)
         gap = (area(found) if len(found) >= 3 else 0.0) - target
         if gap > -1e-10 * target:
-            low, over, piece = middle, gap, found
+            low, over, piece = middle, max(gap, 0.0), found
         else:
             high, under = middle, gap
-        if abs(gap) < 1e-10 * target or high - low < 1e-13 * size:
+        if abs(gap) < 1e-9 * target or high - low < 1e-13 * size:
             break
     return [*piece.tolist(), piece[0].tolist()] if low > 0 else None
 
@@ -177,7 +180,15 @@ def fill(ring: list | np.ndarray, height: int, width: int) -> np.ndarray:
 def shrunk_ring(ring: Column, percent: int) -> Column:
     @F.pandas_udf("array<array<double>>")
     def run(rings: pd.Series) -> pd.Series:
-        return rings.map(lambda r: None if r is None else shrink(r, percent))
+        made: dict[tuple, list | None] = {}  # equal rings of a batch are shrunk once
+
+        def one(r: object) -> list | None:
+            key = tuple(float(x) for p in r for x in p)
+            if key not in made:
+                made[key] = shrink(r, percent)
+            return made[key]
+
+        return rings.map(lambda r: None if r is None else one(r))
 
     return run(ring)
 
