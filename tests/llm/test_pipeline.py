@@ -50,6 +50,29 @@ def test_mix_repeats_whole_documents(stages):
     assert stages[5].count() == stages[4].count()
 
 
+def test_tokens_are_the_librarys(stages):
+    import hashlib
+
+    from test_llm import library
+
+    ref = library()
+    texts = {r.doc_id: r.text or "" for r in stages[4].collect()}
+    ids = {k: ref.encode(t, add_special_tokens=False).ids for k, t in texts.items()}
+    rows = stages[5].collect()
+    assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in stages[4].select("doc_id").collect())
+    for r in rows:
+        assert list(r.ids) == ids[r.doc_id] and r.n_tokens == len(r.ids)
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, r.ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(ref.decode(list(r.ids), skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_rows_without_an_id_pass_near_duplicates(spark, sf):
+    rows = [(None, "one two three four five six", "en", "a", 1)] * 3 + [(2, "one two three four five six", "en", "a", 1), (1, "one two three four five six", "en", "a", 1), (1, "other words here", "en", "a", 1), (3, None, "en", "a", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_duplicate_stage(spark, df, sf)
+    assert Counter(r.doc_id for r in out.collect()) == {None: 3, 1: 2, 3: 1}
+
+
 def test_run_is_the_stages(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"] and out.count() > 0
