@@ -27,6 +27,7 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--plot-dir", type=Path, help="extract: where pictures of regions go")
     parser.add_argument("--force", action="store_true", help="process, transitions: write units that are done again")
     parser.add_argument("--exclude-csv", type=Path, help="aggregate: uid, year pairs to leave out")
+    parser.add_argument("--verbose", action="store_true", help="aggregate: log a line for each series")
     parser.add_argument("--master", help="Spark master; by default what spark-submit says")
     given = parser.parse_args(args)
     cfg = LOADERS[given.stage](given.config)
@@ -43,7 +44,7 @@ def main(args: list[str] | None = None) -> int:
     elif given.stage == "aggregate":
         if given.exclude_csv is not None:
             cfg.exclude_csv_path = given.exclude_csv
-        log.info("%s", stages.run_aggregation(spark, cfg)[1])
+        log.info("%s", stages.run_aggregation(spark, cfg, given.verbose)[1])
     else:
         run = stages.run_processing if given.stage == "process" else stages.run_modelling
         for row in run(spark, cfg, given.force).groupBy("status").count().collect():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import re
 from functools import reduce
 
@@ -18,6 +19,7 @@ from ..sources import files
 from ..sources.files import KEYS
 from .config import Aggregation, Extraction, Modelling, Processing
 
+log = logging.getLogger(__name__)
 SITE_YEAR = ["location", "sublocation", "year"]
 #: Masks go to the workers by broadcast up to this size.
 MASK_BYTES = 64 << 20
@@ -352,8 +354,17 @@ def record_columns(flags: list[str], metrics: list[str]) -> tuple[list[str], lis
     return sorted(flags, key=lambda k: (known.get(k, len(known)), k)), sorted(set(metrics) - set(flags), key=place)
 
 
-def run_aggregation(spark: SparkSession, cfg: Aggregation) -> tuple[DataFrame, str]:
-    """Stage 4: the filtered records as one CSV file, and the report beside it."""
+def verdicts(judged: DataFrame, rules: records.Rules) -> DataFrame:
+    """``line``: what became of each series, and the rules that it breaks."""
+    labels = F.array(*map(F.lit, records.rule_labels(rules))).cast("array<string>")
+    broken = F.array_join(F.filter(labels, lambda _, i: F.get("failed", i)), "; ")
+    part = F.when(~F.col("spring_ok"), "accepted, spring removed").when(~F.col("autumn_ok"), "accepted, autumn removed").otherwise("accepted")
+    kind = F.when(F.col("by_list"), "excluded by list").when(F.col("dropped"), "excluded").otherwise(part)
+    return judged.orderBy(*KEYS).select(F.concat_ws(": ", F.concat_ws("_", "uid", "year"), kind, F.nullif(broken, F.lit(""))).alias("line"))
+
+
+def run_aggregation(spark: SparkSession, cfg: Aggregation, verbose: bool = False) -> tuple[DataFrame, str]:
+    """Stage 4: the filtered records as one CSV file, and the report beside it; with ``verbose``, a line for each series in the log."""
     found = filters.exclude_locations(collect_records(spark, str(cfg.input_root)), cfg.exclude_locations)
     rules = cfg.rules()
     listed = None
@@ -361,6 +372,9 @@ def run_aggregation(spark: SparkSession, cfg: Aggregation) -> tuple[DataFrame, s
         listed = files.read_exclusions(spark, str(cfg.exclude_csv_path)).withColumn("year", F.col("year").cast("string"))
     judged = kept(records.judged(found, rules, listed))
     report = records.report(records.counts(judged, rules).first().asDict(), rules)
+    if verbose:
+        for row in verdicts(judged, rules).toLocalIterator():  # a partition at a time
+            log.info("%s", row.line)
     wide = record_table(records.filtered(judged))
     out = cfg.output_path
     files.write_table(wide, str(out), ["location", "sublocation", "year", "full_name"])

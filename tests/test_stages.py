@@ -96,7 +96,8 @@ def test_transitions_and_records(spark, dataset, archive):
     assert 150 < found["dates"]["PEAK"] < 220 and found["dates"]["GU_50"] < found["dates"]["GD_50"] and found["uncertainties"]["GU_50_std"] >= 0 and found["window_selected"] in (3, 5, 7, 9)
     assert isinstance(found["snr"], float)
     four = settings(archive, "four", input_root=str(dataset), output_path=str(archive / "records.csv"), min_thresholds={"snr": -100}, required_keys=["GCC_3D_p90-GU_50"])
-    assert cli.main(["aggregate", "--config", str(four)]) == 0
+    assert cli.main(["aggregate", "--config", str(four), "--verbose"]) == 0
+    assert "i00001_2022: accepted\n" in (archive / "aggregate.log").read_text()
     table = pd.read_csv(archive / "records.csv")
     first = ["location", "sublocation", "year", "full_name", "annotation_id", "name", "category", "genus", "species", "area", "area_s33", "start_date", "end_date"]
     assert list(table.columns)[:13] == first and table.columns[-1] == "GCC_3D_p90-season_length" and table.columns.is_unique
@@ -109,7 +110,8 @@ def test_transitions_and_records(spark, dataset, archive):
     assert "Total tree-years found : 1" in (archive / "records-filtering-report.txt").read_text()
     excluded = archive / "excluded.csv"
     excluded.write_text("uid,year,why\ni00001,2022,x\n")
-    cli.main(["aggregate", "--config", str(four), "--exclude-csv", str(excluded)])
+    cli.main(["aggregate", "--config", str(four), "--exclude-csv", str(excluded), "--verbose"])
+    assert "i00001_2022: excluded by list" in (archive / "aggregate.log").read_text()
     assert "Excluded (external CSV):   1 (100.0 %)" in (archive / "records-filtering-report.txt").read_text()
 
 
