@@ -174,4 +174,8 @@ def uncertainties(df: DataFrame, keys: list[str], raw: str, smoothed: str, candi
         found = simulate(pdf[doy].to_numpy(), s, noise, rng, iterations, candidates, folds, tuple(marks), low, high)
         return pd.DataFrame([[*pdf[keys].iloc[0].tolist(), noise, *found]], columns=[*keys, "noise_std", "PEAK_std", *names])
 
-    return numbered.select(*dict.fromkeys([*keys, "unit", order, doy, raw, smoothed])).groupBy(*keys).applyInPandas(run, schema)
+    # Few rows make much work here: a stated number of parts isn't merged for being small, as one left to Spark would be (and
+    # with the usual number Spark takes the step for superfluous).
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1
+    dealt = numbered.select(*dict.fromkeys([*keys, "unit", order, doy, raw, smoothed])).repartition(parts, *keys)
+    return dealt.groupBy(*keys).applyInPandas(run, schema)
