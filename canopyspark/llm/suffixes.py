@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import as_long, bounded, column, free_stem, map_batches, quoted, schema_text, stage, word_count
@@ -18,6 +19,9 @@ MIN_WORDS, GRAM, WINDOW = 50, 8, 32
 #: Words right of the first minimiser of any passage: what suffixes must share to be compared.
 SHARED = MIN_WORDS - WINDOW + 1
 STEP = 8
+#: Words of a piece of a text, and words that it has in common with the pieces beside it on either side (at least MIN_WORDS);
+#: each round that goes on has pieces so many times longer.
+PIECE, MARGIN, LONGER = 8192, 1024, 4
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -225,7 +229,8 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
     2. All suffixes are sorted by range; neighbours that share SHARED words and lie in different documents are pairs.
        A key of very many suffixes spans partitions (its rows are told apart by what follows, document and place); what
        rows at the edges of a partition pair with is found on the driver from four runs a partition.
-    3. Pairs of documents are joined to their texts, and each match is extended left and right.
+    3. Pairs of documents are joined to the pieces of their texts that the suffixes lie in, and each match is extended left and
+       right. One that reaches the end of a piece, and meets no other there, goes on in a round of longer pieces.
     """
     spark = bounded(docs.sparkSession)
     source = docs.select(as_long(docs, key).alias("key"), column(text).alias("text")).where(F.col("key").isNotNull() & F.col("text").isNotNull())
@@ -241,24 +246,87 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id")
     array = stage(map_batches(source, keyed, "h long, x long, l long, doc long, pos long"), "suffixes")
     # Neighbours by what follows, then by what stands before: a passage that goes on to the left has its own nearest one.
     pairs = _neighbours(array, ["h", "x", "doc", "pos"]).unionByName(_neighbours(array, ["h", "l", "doc", "pos"]))
-    shift = F.col("pb") - F.col("pa")
-    turned = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), shift).otherwise(-shift).alias("shift"))
-    couples = turned.groupBy("a", "b").agg(F.collect_set("shift").alias("shifts"))
+    swap = F.col("a") > F.col("b")
+    turned = [F.when(swap, F.col(x)).otherwise(F.col(y)).alias(y) for x, y in (("b", "a"), ("pb", "pa"), ("a", "b"), ("pa", "pb"))]
+    anchors, spans, links, size, margin = pairs.select(*turned), None, None, PIECE, MARGIN
+    while True:
+        found = stage(_extended(source, anchors, size, margin), "matches")
+        new = found.where(F.col("later").isNotNull()).select("doc", "start", "stop", "later")
+        spans = new if spans is None else spans.unionByName(new)
+        cut = found.where(F.col("later").isNull()).select(F.col("doc").alias("a"), "b", "shift", "start", "stop", "left", "right")
+        links = stage(_whole(cut if links is None else links.withColumns({"left": F.lit(False), "right": F.lit(False)}).unionByName(cut)), "links")
+        at = F.explode(F.filter(F.array(F.when(F.col("left"), F.col("start")), F.when(F.col("right"), F.col("stop") - 1)), lambda x: x.isNotNull()))
+        anchors = links.where("left OR right").select("a", "b", "shift", at.alias("pa")).select("a", "pa", "b", (F.col("pa") + F.col("shift")).alias("pb"))
+        if anchors.isEmpty():
+            return spans
+        needed = stage(anchors.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "long")
+        source, size, margin = source.join(needed, "key", "left_semi"), size * LONGER, margin * LONGER
+
+
+def _pieces(source: DataFrame, size: int, margin: int) -> DataFrame:
+    """``doc, piece, first, more, text``: each ``size`` words of a text with ``margin`` words on either side, the place of its
+    first word, and whether words follow it. A text of up to ``size`` words is one piece."""
+
+    def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[int, int, int, bool, str]] = []
+        for doc, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            words = text.encode().split() if len(text) > size else []
+            if len(words) <= size:
+                rows.append((doc, 0, 0, False, text))
+            else:
+                for k in range(-(-len(words) // size)):
+                    start, stop = max(0, k * size - margin), (k + 1) * size + margin
+                    rows.append((doc, k, start, stop < len(words), b" ".join(words[start:stop]).decode()))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc", "piece", "first", "more", "text"])
+
+    return map_batches(source.select("key", "text"), cut, "doc long, piece long, first long, more boolean, text string")
+
+
+def _extended(source: DataFrame, anchors: DataFrame, size: int, margin: int) -> DataFrame:
+    """``doc, start, stop, later``: both sides of the matches of at least MIN_WORDS through the anchors ``a, pa, b, pb``.
+
+    An anchor sees the pieces of both texts that it lies in, so a text is not sent whole to all that it has a passage in
+    common with. Of texts in several pieces come the matches themselves, too (``later`` null, ``doc`` and ``b`` the texts,
+    ``shift``), and whether they end, ``left`` or ``right``, where a piece does and the text doesn't.
+    """
+    at = lambda c: F.floor(F.col(c) / size).cast("long")
+    couples = anchors.groupBy("a", at("pa").alias("ka"), "b", at("pb").alias("kb")).agg(F.collect_set(F.col("pb") - F.col("pa")).alias("shifts"))
+    texts_of = _pieces(source, size, margin)
+    side = lambda d, k, f, m, t: texts_of.select(*[F.col(c).alias(n) for c, n in zip(("doc", "piece", "first", "more", "text"), (d, k, f, m, t), strict=True)])
+    both = couples.join(side("a", "ka", "fa", "ma", "x"), ["a", "ka"]).join(side("b", "kb", "fb", "mb", "y"), ["b", "kb"])
 
     def extended(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, (left, right) = once(batch.column("x"), batch.column("y"))
         words = by_text(*coded_words(texts, True)[:2])  # equal words of a batch have equal places
-        out: list[tuple[int, int, int, bool]] = []
-        for a, b, shifts, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "shifts")), left, right, strict=True):
-            for i, j, n in matches(words[x], words[y], set(shifts)):
-                out += [(a, i, i + n, False), (b, j, j + n, True)]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-        columns = list(zip(*set(out), strict=True)) or [[], [], [], []]
-        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc", "start", "stop", "later"])
-
-    one = couples.join(source.select(F.col("key").alias("a"), F.col("text").alias("x")), "a")
-    both = one.join(source.select(F.col("key").alias("b"), F.col("text").alias("y")), "b")
-    return map_batches(both.select("a", "b", "shifts", "x", "y"), extended, "doc long, start long, stop long, later boolean")
+        out = set()
+        for a, b, shifts, fa, fb, ma, mb, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "shifts", "fa", "fb", "ma", "mb")), left, right, strict=True):
+            for i, j, n in matches(words[x], words[y], {s + fa - fb for s in shifts}):
+                p, q = fa + i, fb + j
+                out |= {(a, p, p + n, False, None, None, None, None), (b, q, q + n, True, None, None, None, None)}
+                if fa or fb or ma or mb:
+                    cut = p > 0 and q > 0 and (i == 0 or j == 0)
+                    end_x, end_y = i + n == len(words[x]), j + n == len(words[y])
+                    goes_on = (end_x or end_y) and not (end_x and not ma) and not (end_y and not mb)
+                    out.add((a, p, p + n, None, b, q - p, cut, goes_on))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
+        columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
+        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc", "start", "stop", "later", "b", "shift", "left", "right"])
+
+    rows = both.select("a", "b", "shifts", "fa", "fb", "ma", "mb", "x", "y")
+    return map_batches(rows, extended, "doc long, start long, stop long, later boolean, b long, shift long, left boolean, right boolean")
+
+
+def _whole(cut: DataFrame) -> DataFrame:
+    """Matches of two texts and one shift that meet are one; it has the ends, open or not, of the outermost."""
+    by = ["a", "b", "shift"]
+    along = W.partitionBy(*by).orderBy("start", "stop")
+    before = F.max("stop").over(along.rowsBetween(W.unboundedPreceding, -1))
+    begins = cut.withColumn("begins", F.when(F.col("start") <= before, 0).otherwise(1))
+    runs = begins.withColumn("run", F.sum("begins").over(along.rowsBetween(W.unboundedPreceding, 0)))
+    # Of ends at one place one that isn't open is the truth.
+    ends = runs.groupBy(*by, "run").agg(F.min(F.struct("start", "left")).alias("l"), F.max(F.struct("stop", (~F.col("right")).alias("closed"))).alias("r"))
+    return ends.select(*by, "l.start", "r.stop", "l.left", (~F.col("r.closed")).alias("right"))
 
 
 def merged(spans: DataFrame) -> DataFrame:

@@ -287,6 +287,43 @@ def test_repeats_with_longer_left_parts(spark):
     assert sum(map(len, got.values())) >= 0.99 * sum(map(len, want.values()))
 
 
+def test_repeats_over_pieces_of_long_texts(spark, monkeypatch):
+    """Passages over the ends of pieces, of other lengths than they, in texts of one piece and of many."""
+    from test_llm import brute_repeats
+
+    monkeypatch.setattr(suffixes, "PIECE", 70)
+    monkeypatch.setattr(suffixes, "MARGIN", 50)
+    rng = np.random.default_rng(72)
+    fresh = lambda n: [f"u{x}" for x in rng.integers(0, 1 << 40, n)]
+    passages = [fresh(n) for n in (49, 50, 69, 71, 150, 700)]
+    docs = [(0, " ".join(fresh(2000) + passages[5] + fresh(5))), (1, " ".join(passages[5])), (2, "oak " * 400), (3, "oak " * 900), (4, None), (5, "")]
+    for i in range(10, 50):
+        w = fresh(int(rng.integers(0, 200)))
+        for _ in range(int(rng.integers(0, 3))):
+            w += passages[int(rng.integers(5))] + fresh(int(rng.integers(0, 100)))
+        docs.append((i, " ".join(w)))
+    docs += [(60 + i, docs[0][1]) for i in range(3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    out = {r.doc: {j for s in r.spans for j in range(s.start, s.stop)} for r in suffixes.merged(suffixes.repeated_passages(df)).collect()}
+    assert out == brute_repeats([(k, t) for k, t in docs if t])
+
+
+def test_a_match_goes_on_where_only_its_first_anchor_is_known(spark, monkeypatch):
+    """Rounds of longer pieces follow a match to its ends, and a text is sent in the pieces that are needed alone."""
+    rng = np.random.default_rng(73)
+    words = [f"u{x}" for x in rng.integers(0, 1 << 40, 3000)]
+    docs = spark.createDataFrame([(1, " ".join(["a"] * 7 + words)), (2, " ".join(words + ["b"])), (3, "c d")], "key long, text string")
+    anchors = spark.createDataFrame([(1, 1507, 2, 1500)], "a long, pa long, b long, pb long")
+    first = suffixes._extended(docs, anchors, 100, 50)
+    (match,) = suffixes._whole(first.where("later IS NULL").drop("later").withColumnRenamed("doc", "a")).collect()
+    assert (match.a, match.b, match.shift, match.start, match.stop, match.left, match.right) == (1, 2, -7, 1457, 1650, True, True)
+    monkeypatch.setattr(suffixes, "PIECE", 100)
+    monkeypatch.setattr(suffixes, "MARGIN", 50)
+    monkeypatch.setattr(suffixes, "_neighbours", lambda array, order: anchors)
+    out = suffixes.merged(suffixes.repeated_passages(docs, key="key")).collect()
+    assert {r.doc: [tuple(s) for s in r.spans] for r in out} == {1: [(7, 3007)], 2: [(0, 3000)]}
+
+
 # Clashing names
 
 
