@@ -93,10 +93,11 @@ def matches(x: np.ndarray, y: np.ndarray, shifts: set[int]) -> set[tuple[int, in
         if not bare_x[i : i + n].any() and not bare_y[j : j + n].any():
             continue
         unlike = np.flatnonzero(np.concatenate([[True], x[i : i + n] != y[j : j + n], [True]]))
-        for s, length in zip(unlike[:-1], np.diff(unlike) - 1, strict=True):
-            if length >= MIN_WORDS:
-                out.add((i + int(s), j + int(s), int(length)))
-                bare_x[i + s : i + s + length] = bare_y[j + s : j + s + length] = False
+        lengths = np.diff(unlike) - 1
+        long = lengths >= MIN_WORDS
+        for s, length in zip(unlike[:-1][long].tolist(), lengths[long].tolist(), strict=True):
+            out.add((i + s, j + s, length))
+            bare_x[i + s : i + s + length] = bare_y[j + s : j + s + length] = False
     return out
 
 
