@@ -9,11 +9,18 @@ import numpy as np
 
 from .geometry import fill, shrink
 
-#: Blue, green, red of each kind of region; others are white.
-COLOURS = {"individual tree": (60, 180, 75), "group of trees": (255, 130, 0), "grassland": (25, 225, 255)}
-
-
-def border(ring: list, height: int, width: int, thickness: int = 3) -> np.ndarray:
+#: The colour of each kind of region.
+COLOURS = {
+    "individual tree": "FF34FF",
+    "group of trees": "1CE6FF",
+    "grassland": "008941",
+    "cropland": "F7E24F",
+    "shrubs": "72FF00",
+    "other": "FF4A46",
+}
+
+
+def border(ring: list, height: int, width: int, thickness: int = 6) -> np.ndarray:
     """Flat indices of the pixels within ``thickness`` of a ring's sides."""
     points = np.asarray(ring, float)
     mask = np.zeros((height, width), bool)
@@ -25,11 +32,12 @@ def border(ring: list, height: int, width: int, thickness: int = 3) -> np.ndarra
 
 
 def draw(picture: np.ndarray, regions: list[tuple[str, list]], percent: float = 100 / 3, alpha: float = 0.5) -> np.ndarray:
-    """Outlines each region and shades it where it is shrunk to a third of its area."""
+    """Outlines each region and shades it where it is shrunk to a third of its area, kind by kind in their order, so that later
+    ones lie on top. Regions of kinds without a colour are left out."""
     height, width, _ = picture.shape
     flat = picture.reshape(-1, 3)
-    for kind, ring in regions:
-        colour = np.array(COLOURS.get(kind, (255, 255, 255)))
+    for kind, ring in sorted((r for r in regions if r[0] in COLOURS), key=lambda r: r[0]):
+        colour = np.array([*bytes.fromhex(COLOURS[kind])][::-1])
         if (inner := shrink(ring, percent)) is not None:
             at = fill(inner, height, width)
             flat[at] = (alpha * colour + (1 - alpha) * flat[at]).astype(np.uint8)

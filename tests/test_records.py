@@ -199,6 +199,10 @@ def test_latex_table(spark):
 def test_overlay():
     from canopyspark.functions import overlay
 
-    picture = overlay.draw(np.zeros((40, 60, 3), np.uint8), [("individual tree", [[5, 5], [25, 5], [25, 25], [5, 25]]), ("other", [[30, 30], [31, 31]])])
-    assert picture[5, 10].tolist() == [60, 180, 75] and picture[15, 15].tolist() == [30, 90, 37] and picture[8, 8].tolist() == [0, 0, 0]
+    square = lambda x, y: [[x, y], [x + 30, y], [x + 30, y + 30], [x, y + 30]]
+    picture = overlay.draw(np.zeros((50, 130, 3), np.uint8), [("individual tree", square(5, 5)), ("grassland", square(90, 5)), ("lake", square(50, 15))])
+    assert picture[5, 15].tolist() == [255, 52, 255] and picture[20, 20].tolist() == [127, 26, 127] and picture[9, 9].tolist() == [0, 0, 0]
+    assert picture[5, 105].tolist() == [65, 137, 0] and not picture[:, 42:84].any()
+    over = [overlay.draw(np.zeros((50, 130, 3), np.uint8), r)[5, 15].tolist() for r in ([("shrubs", square(5, 5)), ("other", square(5, 5))], [("other", square(5, 5)), ("shrubs", square(5, 5))])]
+    assert over == [[0, 255, 114], [0, 255, 114]]
     assert overlay.png(picture)[1:4] == b"PNG"
