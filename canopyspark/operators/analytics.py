@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 
 def with_sites(records: DataFrame, sites: DataFrame, overrides: dict[str, str] | None = None, location: str = "location") -> DataFrame:
     """Adds ``elevation, elevation_band, site, image_type`` to records by their location, from ``ID, Location, Elevation``.
@@ -76,8 +78,11 @@ def half_widths(df: DataFrame, columns: list[str], factor: float = 1.96) -> Data
     return df.select(*columns).unpivot([], columns, "phase", "std").groupBy("phase").agg((F.avg("std") * factor).alias("half_width"))
 
 
-#: Lots are counted in this many classes for each row that a draw takes, up to SPAN times as many rows as it takes.
-CLASSES, SPAN = 4, 2
+#: Lots are looked at one by one from SPAN deviations and CLASSES rows before the place where a draw's last lot is expected
+#: to that far behind it.
+CLASSES, SPAN = 4, 6
+#: Equal rows are dealt in blocks of so many.
+BLOCK = 256
 
 
 def balanced_means(df: DataFrame, strata: list[str], group: str, values: list[str], draws: int = 100, seed: int = 0, key: str = "uid") -> DataFrame:
@@ -87,34 +92,54 @@ def balanced_means(df: DataFrame, strata: list[str], group: str, values: list[st
     among equal rows; a draw takes the rows of the least lots of a stratum, and the means over draws are averaged. Rows
     whose stratum or group is null don't count; null values don't count in a mean.
 
-    Which lots are least is found by counting: lots fall into classes, of which a draw needs about CLASSES to be filled;
-    the class in which a stratum's number is reached is known from the counts, and only rows up to it are sorted. The last
-    class holds all that lies beyond, so the draw is exact whatever the lots are.
+    Lots are spread evenly, so the place of a draw's last one is known but for a few deviations, which grow as the root of
+    the rows. Rows well before it are summed where they are, rows well behind it are dropped, and only those between are
+    exchanged and sorted. Counts tell whether the place lies between; draws where it doesn't are sorted as a whole, so that
+    each is exact whatever the lots are. Runs jobs; the strata are broadcast, and a row a stratum and draw is kept.
     """
-    by = [*strata, group]
-    rows = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in by)).groupBy(*dict.fromkeys([*by, key, *values])).agg(F.count(F.lit(1)).alias("_m"))
+    by, named = [*strata, group], [*dict.fromkeys([key, *values])]
+    spark = df.sparkSession
+    rows = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in by)).groupBy(*dict.fromkeys([*by, *named])).agg(F.count(F.lit(1)).alias("_m"))
     sizes = rows.groupBy(*by).agg(F.sum("_m").alias("_c"))
-    sizes = sizes.crossJoin(F.broadcast(sizes.agg(F.min("_c").alias("_n"))))  # one row a stratum, and one row
-    # Where classes begin, as the first digits of a lot; "g" lies above all.
-    share = lambda i: F.col("_n") / F.col("_c") * (i / CLASSES)
-    edge = lambda i: F.when(share(i) >= 1, "g").otherwise(F.lower(F.lpad(F.hex((share(i) * (1 << 32)).cast("long")), 8, "0"))).alias(f"e{i}")
-    edges = range(1, CLASSES * SPAN + 1)
-    sizes = sizes.select(*by, "_n", F.struct(F.lit("").alias("e0"), *[edge(i) for i in edges]).alias("_edges"))
-    rows = rows.join(sizes, by).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m")))).drop("_m")
-    rows = rows.withColumn("_row", F.concat_ws("|", *[F.col(c).cast("string") for c in dict.fromkeys([key, *values, "_copy"])]))
-
-    def drawn(some: DataFrame) -> DataFrame:
-        lots = some.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-        lots = lots.withColumn("_lot", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_draw").cast("string"), "_row").cast("binary")))
-        return lots.withColumn("_class", sum((F.col("_lot") >= F.col(f"_edges.e{i}")).cast("int") for i in edges) if edges else F.lit(0))
-
-    counts = drawn(rows).groupBy(*by, "_draw", "_class", "_n").agg(F.count(F.lit(1)).alias("_k"))
-    until = F.sum("_k").over(W.partitionBy(*by, "_draw").orderBy("_class"))
-    reached = counts.withColumn("_until", until).where(F.col("_until") >= F.col("_n")).groupBy(*by, "_draw").agg(F.min("_class").alias("_last"))
-    last = reached.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_draw", "_last"))).alias("_lasts"))  # ``draws`` numbers a stratum
-    near = drawn(rows.join(last, by)).where(F.col("_class") <= F.try_element_at("_lasts", F.col("_draw"))).drop("_lasts")
-    ranked = near.withColumn("_rank", F.row_number().over(W.partitionBy("_draw", *by).orderBy("_lot", key, *values, "_copy")))
-    means = ranked.where(F.col("_rank") <= F.col("_n")).groupBy("_draw", group).agg(*[F.avg(v).alias(v) for v in values])
+    sizes = kept(sizes.crossJoin(F.broadcast(sizes.agg(F.min("_c").alias("_n")))))  # one row a stratum
+    # A row makes ``draws`` lots, so few rows make much work: a stated number of parts isn't merged for being small.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) + 1
+    blocks = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_m") - 1) / BLOCK))))
+    blocks = blocks.repartition(parts, *dict.fromkeys([*by, *named, "_block"]))
+    copies = F.sequence(F.col("_block") * BLOCK + 1, F.least(F.col("_m"), (F.col("_block") + 1) * BLOCK))
+
+    def drawn(todo: DataFrame, each: Column) -> DataFrame:
+        """A row a draw of ``todo``: sums over the rows that it takes, and whether their number is right.
+
+        A group is a lot between ``_low`` and ``_high``, or all before, or all behind; no filter, which would be pushed to
+        where it makes each lot a second time.
+        """
+        lots = blocks.join(F.broadcast(todo), by).withColumn("_copy", F.explode(copies))
+        lots = lots.withColumn("_row", F.concat_ws("|", *[F.col(c).cast("string") for c in dict.fromkeys([*named, "_copy"])])).withColumn("_draw", F.explode(each))
+        lots = lots.withColumn("_lot", F.md5(F.concat("_draw", "_row").cast("binary")))
+        lots = lots.withColumn("_class", F.when(F.col("_lot") < F.col("_low"), 0).when(F.col("_lot") < F.col("_high"), 1).otherwise(2))
+        own = {"_class": F.col("_class"), **{f"_o{i}": F.when(F.col("_class") == 1, F.col(c)) for i, c in enumerate(["_lot", *named, "_copy"])}}
+        sums = [x for i, v in enumerate(values) for x in (F.sum(v).alias(f"_s{i}"), F.count(v).alias(f"_v{i}"))]
+        groups = lots.groupBy(*by, "_draw", "_n", *[c.alias(n) for n, c in own.items()]).agg(F.count(F.lit(1)).alias("_k"), *sums)
+        line = W.partitionBy("_draw", *by)
+        groups = groups.withColumn("_until", F.sum("_k").over(line.orderBy(*own)))
+        taken = F.col("_until") <= F.col("_n")
+        sums = [F.sum(F.when(taken, F.col(f"_{x}{i}"))).alias(f"_{x}{i}") for i in range(len(values)) for x in "sv"]
+        return groups.groupBy("_draw", *by).agg((F.sum(F.when(taken, F.col("_k"))) == F.first("_n")).alias("_ok"), *sums)
+
+    # Where lots begin to be looked at and where they end, as first digits; "" lies below all and "g" above.
+    share, slack = F.col("_n") / F.col("_c"), (SPAN * F.sqrt(F.col("_n") * (1 - F.col("_n") / F.col("_c"))) + CLASSES) / F.col("_c")
+    edge = lambda x: F.lower(F.lpad(F.hex((x * (1 << 48)).cast("long")), 12, "0"))
+    low, high = F.when(share - slack <= 0, "").otherwise(edge(share - slack)), F.when(share + slack >= 1, "g").otherwise(edge(share + slack))
+    every = F.array(*[F.lit(f"{seed}|{d}|") for d in range(draws)]).cast("array<string>")  # what the lots of each draw are made of
+    found = kept(drawn(sizes.select(*by, "_n", F.when(share >= 1, "g").otherwise(low).alias("_low"), high.alias("_high")), every))
+    done = found.where("_ok")
+    left = sizes.select(*by, "_n", F.explode(every).alias("_draw")).join(done, [*by, "_draw"], "left_anti")
+    if not left.isEmpty():
+        left = left.groupBy(*by, "_n").agg(F.collect_list("_draw").alias("_draws")).withColumns({"_low": F.lit(""), "_high": F.lit("g")})
+        done = done.unionByName(drawn(left, F.col("_draws")))
+    totals = done.groupBy("_draw", group).agg(*[F.sum(f"_{x}{i}").alias(f"_{x}{i}") for i in range(len(values)) for x in "sv"])
+    means = totals.select(group, *[(F.col(f"_s{i}") / F.nullif(F.col(f"_v{i}"), F.lit(0))).alias(v) for i, v in enumerate(values)])
     return means.groupBy(group).agg(*[F.avg(v).alias(v) for v in values])
 
 

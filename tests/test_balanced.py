@@ -88,3 +88,12 @@ def test_folds_of_long_series(spark):
         assert (out[uid].n, out[uid].best, out[uid].mse) == (len(own), [3, 9, 21][int(np.argmin(errors))], pytest.approx(min(errors)))
     with pytest.raises(Exception, match="more than 732 points"):
         smooth.cv_window(df, ["uid"], "v", [3], longest=smooth.LONGEST).collect()
+
+
+def test_lots_are_summed_where_they_are(spark):
+    """What comes out rests on a kept row a stratum and draw; no window sorts the lots of a stratum as a whole."""
+    rows = [("a", "s", i, float(i % 7)) for i in range(600)] + [("b", "s", i, float(i % 5)) for i in range(300)]
+    out = analytics.balanced_means(spark.createDataFrame(rows, SCHEMA), ["band"], "species", ["v"], draws=5)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" in plan and "Window" not in plan and "Generate" not in plan
+    assert [r.species for r in out.collect()] == ["s"]
