@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import kept
+from ..session import dealt, kept
 
 
 def with_sites(records: DataFrame, sites: DataFrame, overrides: dict[str, str] | None = None, location: str = "location") -> DataFrame:
@@ -98,14 +98,11 @@ def balanced_means(df: DataFrame, strata: list[str], group: str, values: list[st
     each is exact whatever the lots are. Runs jobs; the strata are broadcast, and a row a stratum and draw is kept.
     """
     by, named = [*strata, group], [*dict.fromkeys([key, *values])]
-    spark = df.sparkSession
     rows = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in by)).groupBy(*dict.fromkeys([*by, *named])).agg(F.count(F.lit(1)).alias("_m"))
     sizes = rows.groupBy(*by).agg(F.sum("_m").alias("_c"))
     sizes = kept(sizes.crossJoin(F.broadcast(sizes.agg(F.min("_c").alias("_n")))))  # one row a stratum
-    # A row makes ``draws`` lots, so few rows make much work: a stated number of parts isn't merged for being small.
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) + 1
     blocks = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_m") - 1) / BLOCK))))
-    blocks = blocks.repartition(parts, *dict.fromkeys([*by, *named, "_block"]))
+    blocks = dealt(blocks, *dict.fromkeys([*by, *named, "_block"]))  # a row makes ``draws`` lots
     copies = F.sequence(F.col("_block") * BLOCK + 1, F.least(F.col("_m"), (F.col("_block") + 1) * BLOCK))
 
     def drawn(todo: DataFrame, each: Column) -> DataFrame:

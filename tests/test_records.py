@@ -206,3 +206,15 @@ def test_overlay():
     over = [overlay.draw(np.zeros((50, 130, 3), np.uint8), r)[5, 15].tolist() for r in ([("shrubs", square(5, 5)), ("other", square(5, 5))], [("other", square(5, 5)), ("shrubs", square(5, 5))])]
     assert over == [[0, 255, 114], [0, 255, 114]]
     assert overlay.png(picture)[1:4] == b"PNG"
+
+
+@pytest.mark.parametrize("name", ["mask_sizes", "slanted_masks"])
+def test_masks_are_dealt(spark, sf, name):
+    """A small file of rings is no one task's work, and equal rings of a batch have equal masks, null ones none."""
+    from canopyspark.plans import catalog
+
+    assert catalog.QUERIES[name](spark, sf).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    rings = [[[5.9, 5.0], [25.0, 5.0], [25.0, 25.0]], None, [[0.0, 0.0], [3.0, 0.0], [3.0, 3.0]], [[5.9, 5.0], [25.0, 5.0], [25.0, 25.0]]]
+    rows = spark.createDataFrame([(i, r, 40, w) for i, (r, w) in enumerate(zip(rings, (60, 60, 60, 20), strict=True))], "i int, ring array<array<double>>, h int, w int").coalesce(1)
+    out = {r.i: r.m for r in rows.select("i", geometry.mask_pixels(F.col("ring"), F.col("h"), F.col("w")).alias("m")).collect()}
+    assert out == {i: None if r is None else geometry.fill(r, 40, 20 if i == 3 else 60).tolist() for i, r in enumerate(rings)}
