@@ -20,7 +20,8 @@ def sampling_flags(df: DataFrame, keys: list[str], ts: str = "ts", seasons: dict
 
     A gap is a step of more than one day of the year between consecutive rows; its length is that step, it starts the day
     after the earlier row. A season with fewer than two rows counts as wholly missing; ``max_gap_days`` looks between
-    rows of the season, ``max_consecutive_missing_days`` also at its ends. One exchange by the keys.
+    rows of the season, ``max_consecutive_missing_days`` also at its ends. Rows are counted by date first, in one exchange;
+    windows, in a second one by the keys, see a row a series and date, however many rows a date has.
     """
     seasons = seasons or SEASONS
     by = W.partitionBy(*keys)
@@ -28,18 +29,19 @@ def sampling_flags(df: DataFrame, keys: list[str], ts: str = "ts", seasons: dict
     for name, (a, b) in seasons.items():
         inside = F.col("_d").between(a, b)
         label = F.when(inside, F.lit(name)) if label is None else label.when(inside, F.lit(name))
-    rows = df.select(*keys, F.col(ts).alias("_ts"), F.dayofyear(ts).alias("_d")).withColumn("_s", label)
-    line = by.orderBy("_ts")
-    rows = rows.withColumn("_step", F.abs(F.col("_d") - F.lag("_d").over(line))).withColumn("_before", F.lag("_ts").over(line))
-    inner = W.partitionBy(*keys, "_s").orderBy("_ts")
-    rows = rows.withColumn("_sstep", F.abs(F.col("_d") - F.lag("_d").over(inner)))
+    rows = df.select(*keys, F.col(ts).alias("_ts"), F.to_date(ts).alias("_date"), F.dayofyear(ts).alias("_d"))
+    rows = rows.groupBy(*keys, "_date", "_d").agg(F.count(F.lit(1)).alias("_n"), F.min("_ts").alias("_ts"), F.max("_ts").alias("_end")).withColumn("_s", label)
+    line = by.orderBy("_date")
+    rows = rows.withColumn("_step", F.abs(F.col("_d") - F.lag("_d").over(line))).withColumn("_before", F.lag("_date").over(line))
+    inner = W.partitionBy(*keys, "_s").orderBy("_date")
+    rows = rows.withColumn("_sstep", F.greatest(F.abs(F.col("_d") - F.lag("_d").over(inner)), F.when(F.col("_n") > 1, 0)))  # none between rows of a date
     days = W.partitionBy(*keys, "_d")
-    rows = rows.withColumn("_same", F.count(F.lit(1)).over(days)).withColumn("_fresh", F.row_number().over(days.orderBy("_ts")) == 1)
+    rows = rows.withColumn("_same", F.sum("_n").over(days)).withColumn("_fresh", F.row_number().over(days.orderBy("_date")) == 1)
     along = W.partitionBy(*keys, "_s", "_fresh").orderBy("_d")
     rows = rows.withColumn("_hole", F.when(F.col("_fresh"), F.col("_d") - F.lag("_d").over(along) - 1))
     gap = F.col("_step") > 1
-    gaps = F.array_sort(F.collect_list(F.when(gap, F.struct(F.col("_before").alias("t"), F.date_format(F.date_add(F.to_date("_before"), 1), "yyyy-MM-dd").alias("s"), F.col("_step").alias("n")))))
-    first, last, count = F.min("_ts"), F.max("_ts"), F.count(F.lit(1))
+    gaps = F.array_sort(F.collect_list(F.when(gap, F.struct(F.col("_before").alias("t"), F.date_format(F.date_add("_before", 1), "yyyy-MM-dd").alias("s"), F.col("_step").alias("n")))))
+    first, last, count = F.min("_ts"), F.max("_end"), F.sum("_n")
     out = [
         F.date_format(first, "yyyy-MM-dd").alias("start_date"), F.date_format(last, "yyyy-MM-dd").alias("end_date"),
         (count / span_days(first, last)).alias("avg_obs_per_day"), F.max("_same").cast("int").alias("max_obs_per_day"), F.min("_same").cast("int").alias("min_obs_per_day"),
@@ -47,9 +49,9 @@ def sampling_flags(df: DataFrame, keys: list[str], ts: str = "ts", seasons: dict
     ]
     for name, (a, b) in seasons.items():
         here, whole = F.col("_s") == name, b - a + 1
-        n = F.count_if(here)
+        n = F.coalesce(F.sum(F.when(here, F.col("_n"))), F.lit(0))
         few = n < 2
-        low, high = F.min(F.when(here, F.col("_ts"))), F.max(F.when(here, F.col("_ts")))
+        low, high = F.min(F.when(here, F.col("_ts"))), F.max(F.when(here, F.col("_end")))
         ends = F.greatest(F.min(F.when(here, F.col("_d"))) - a, F.lit(b) - F.max(F.when(here, F.col("_d"))), F.coalesce(F.max(F.when(here, F.col("_hole"))), F.lit(0)))
         out += [
             F.when(few, 0.0).otherwise(F.count_if(here & F.col("_fresh")) / whole).alias(f"{name}_coverage_ratio"),

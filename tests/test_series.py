@@ -5,6 +5,7 @@ from datetime import date, datetime, timedelta
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from canopyspark.operators import filters, montecarlo, resample, sampling, smooth, transitions
 
@@ -286,3 +287,18 @@ def test_monte_carlo_query_makes_a_thousand_copies(spark, sf):
     want = montecarlo.uncertainties(smoothed, catalog.TREE, "p90", "smoothed", [3, 5, 7, 9], seed=7, iterations=1000, order="doy").orderBy("uid", "year").first()
     assert found.asDict().keys() == want.asDict().keys()
     np.testing.assert_allclose(list(found), list(want), rtol=1e-6)
+
+
+def test_sampling_flags_see_a_row_a_date(spark):
+    """However many rows a date has, one of them is exchanged for windows; steps between rows of a date are none."""
+    times = F.timestamp_seconds(F.lit(1583020800) + F.col("id") % 80_000 + (F.col("id") % 2) * 3 * 86_400)  # 2020-03-01 and 2020-03-04
+    rows = spark.range(0, 200_000, 1, 4).select(F.lit("a").alias("uid"), F.lit(2020).alias("year"), times.alias("ts"))
+    size = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = size()
+    out = sampling.sampling_flags(rows, ["uid", "year"]).first()
+    assert size() - before < 50_000
+    assert (out.n_gaps, out.gap_lengths_day, out.gap_start_dates) == (1, [3], ["2020-03-02"])
+    assert (out.max_obs_per_day, out.min_obs_per_day, out.avg_obs_per_day) == (100_000, 100_000, 50_000.0)
+    assert (out.spring_max_gap_days, out.spring_n_gaps, out.spring_coverage_ratio, out.spring_max_consecutive_missing_days) == (3, 1, 2 / 101, 96)
+    one = sampling.sampling_flags(rows.where("id % 2 = 0"), ["uid", "year"]).first()
+    assert (one.spring_max_gap_days, one.spring_n_gaps, one.n_gaps) == (0, 0, 0)
