@@ -218,3 +218,19 @@ def test_masks_are_dealt(spark, sf, name):
     rows = spark.createDataFrame([(i, r, 40, w) for i, (r, w) in enumerate(zip(rings, (60, 60, 60, 20), strict=True))], "i int, ring array<array<double>>, h int, w int").coalesce(1)
     out = {r.i: r.m for r in rows.select("i", geometry.mask_pixels(F.col("ring"), F.col("h"), F.col("w")).alias("m")).collect()}
     assert out == {i: None if r is None else geometry.fill(r, 40, 20 if i == 3 else 60).tolist() for i, r in enumerate(rings)}
+
+
+def test_folders_are_listed_by_few_tasks(spark, tmp_path):
+    """Many folders aren't a task each; the setting is as before afterwards, and no file is lost."""
+    from canopyspark.sources import files
+
+    for i in range(100):
+        folder = tmp_path / "a_1" / str(i) / "2020"
+        folder.mkdir(parents=True)
+        (folder / f"{i}_2020-done.json").write_text("{}")
+    tasks = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalTasks()
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, setting = tasks(), spark.conf.get(name)
+    done = files.completed(spark, str(tmp_path), "-done.json")
+    assert tasks() - before <= files.LISTERS and spark.conf.get(name) == setting
+    assert {r.uid for r in done.collect()} == {str(i) for i in range(100)}
